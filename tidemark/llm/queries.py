@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CAPACITY = 2048
 WEIGHTS = [5.0, 2.0, 1.0]
+#: Dated entries of a block list: domain, day, category from that day on (None: off the list).
+URL_LIST = [
+    ("spam-farm.example.org", "2023-11-01", "spam"),
+    ("spam-farm.example.org", "2024-06-01", None),
+    ("spam-farm.example.org", "2024-08-15", "spam"),
+    ("cheap-pills.example.com", "2024-02-10", "pharma"),
+    ("ads-track.example.org", "2023-01-01", "ads"),
+    ("tionsh.example.net", "2024-03-01", "adult"),
+    ("tionsh.example.net", "2024-05-01", "phishing"),
+    ("tionsh.example.net", "2024-10-01", None),
+    ("blog.tionble.example.com", "2024-01-20", "malware"),
+    ("example.net", "2024-11-01", "parked"),
+]
+FIRST_FETCH = "2024-01-01"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +48,16 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages have no fetch time: page_id deals them over the days of a year."""
+    from tidemark.llm.url_filters import filter_urls
+
+    day = F.date_add(F.lit(FIRST_FETCH).cast("date"), F.pmod("page_id", F.lit(365)).cast("int"))
+    entries = spark.createDataFrame(URL_LIST, "domain string, day string, category string")
+    entries = entries.select("domain", F.col("day").cast("date").alias("listed_on"), "category")
+    return filter_urls(_table(spark, sf_dir, "pages").withColumn("fetched_on", day), entries)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix_sources
 
@@ -56,6 +82,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.shared import shared_dir
+    from tidemark.llm.token_files import read_digests, write_tokens
+
+    path = f"{shared_dir(spark)}/tidemark/tokens-{uuid.uuid4().hex}"
+    write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return read_digests(spark, path)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.language import identify_language
 
@@ -69,11 +104,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op4_source_mixing, op5_simhash, op6_sharding, op7_exact_dedup, op9_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_url_filters, op4_source_mixing, op5_simhash, op6_sharding, op7_exact_dedup, op8_token_files, op9_language_id, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
+    entries = ", ".join(f"('{d}', DATE '{day}', {f"'{c}'" if c else "NULL"})" for d, day, c in URL_LIST)
     return {
+        "op3_url_filters": f"""
+            WITH entries(domain, listed_on, category) AS (VALUES {entries}),
+            spans AS (SELECT domain, category, listed_on AS since, lead(listed_on) OVER (PARTITION BY domain ORDER BY listed_on) AS until FROM entries),
+            captures AS (
+                SELECT page_id, lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), '')) AS host,
+                       DATE '{FIRST_FETCH}' + CAST(page_id % 365 AS INTEGER) AS at
+                FROM pages),
+            hits AS (
+                SELECT page_id, s.domain, s.category, row_number() OVER (PARTITION BY page_id ORDER BY length(s.domain) DESC) AS k
+                FROM captures c JOIN spans s ON (c.host = s.domain OR ends_with(c.host, '.' || s.domain))
+                 AND c.at >= s.since AND (s.until IS NULL OR c.at < s.until) AND s.category IS NOT NULL)
+            SELECT c.page_id, c.host, h.domain, h.category, h.page_id IS NOT NULL AS blocked
+            FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND h.k = 1
+        """,
         "op7_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

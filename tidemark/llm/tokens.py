@@ -11,17 +11,39 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORDS, LONGEST = 400_000, 48
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or one from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class _Memory(dict):
     """Word (bytes) -> its ids as little-endian 32-bit integers."""
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+        self.tokenizer, self.letters = tokenizer, _byte_letters()
+        # Words of letters are one piece to a byte-level tokenizer; then its model alone gives the ids, faster.
+        self.direct = True
+        self.direct = all(self.by_model(w) == self.by_library(w) for w in ("a", "the", "zebra", "qxqz", "déjà", "straße", "ñandú", "çéèêñßüöä"))
+
+    def by_library(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def by_model(self, word: str) -> bytes:
+        pieces = self.tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters))
+        return np.array([p.id for p in pieces], "<u4").tobytes()
+
+    def ids(self, word: str) -> bytes:
+        # Up to U+024F lower-case letters are in normal form and have no lower case of their own.
+        simple = self.direct and word.isalpha() and word == word.lower() and max(word) < "\u0250"
+        return self.by_model(word) if simple else self.by_library(word)
 
     def __missing__(self, word: bytes) -> bytes:
         if len(word) > 1 and word[-1] in b",." and 97 <= word[-2] <= 122:
             ids = self[word[:-1]] + self[word[-1:]]  # a letter and a mark never share a token
         else:
-            ids = np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.ids(word.decode("utf-8"))
         if len(self) < WORDS and len(word) <= LONGEST:
             self[word] = ids
         return ids
@@ -44,7 +66,7 @@ class WordCoder:
     def encode(self, text: str | None) -> bytes:
         text = text or ""
         if "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.memory.by_library(text)
         return b"".join(map(self.memory.__getitem__, text.encode("utf-8").translate(LOWER).split()))
 
 
