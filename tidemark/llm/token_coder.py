@@ -7,8 +7,8 @@ id three predictions are mixed into one distribution of 2**16 parts:
 * order 1: the id that last followed the previous id,
 * order 0: an adaptive distribution over classes of ids, with even chances inside a class.
 
-How much the first two get depends on adaptive hit rates, kept by how often the prediction was right before.
-All arithmetic is on integers, so that any machine decodes what another one encoded.
+How much the first two get depends on adaptive hit rates, kept by whether the prediction was right the last time and
+whether both agree.  All arithmetic is on integers, so that any machine decodes what another one encoded.
 """
 
 from __future__ import annotations
@@ -18,27 +18,28 @@ from functools import cache
 
 import numpy as np
 
-MAGIC = b"TMX1"
+MAGIC = b"TMX2"
 #: Ids of a block, bits of a lane's context tables, ids that can be coded.
-BLOCK, TABLE_BITS, LIMIT = 2048, 11, 1 << 17
-#: Parts of the whole, of the classes' distribution; least share of order 0.
-WHOLE, CLASS_BITS, LEAST = 1 << 16, 12, 1 << 13
-RATE = 5
-U64 = np.uint64
-TOP, BOTTOM = U64(1 << 48), U64(1 << 32)
+BLOCK, TABLE_BITS, LIMIT = 2048, 9, 1 << 17
+#: Parts of the whole and of the classes' distribution; least share of order 0; bounds of a hit rate.
+WHOLE, CLASS_BITS, LEAST = 1 << 16, 12, 1 << 12
+LOWEST, HIGHEST = 256, WHOLE - 2 * LEAST
+RATE, COUNT, REBUILD = 4, 24, 128
+U32, U64 = np.uint32, np.uint64
+SETTLED = U64(1 << 32)
 
 
 @cache
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of each id, first id of each class, and bits that tell ids of a class apart.
 
-    A class holds the ids that agree in the leading three bits after the first of id + 16.
+    A class holds the ids that agree in the leading two bits after the first of id + 4.
     """
-    x = np.arange(LIMIT) + 16
+    x = np.arange(LIMIT) + 4
     e = np.frexp(x)[1] - 1
-    cls = (e - 4) * 8 + ((x >> (e - 3)) & 7)
+    cls = (e - 2) * 4 + ((x >> (e - 2)) & 3)
     first = np.flatnonzero(np.diff(cls, prepend=-1))
-    return cls.astype(np.int64), first.astype(np.int64), (e[first] - 3).astype(np.int64)
+    return cls.astype(np.int64), first.astype(U32), (e[first] - 2).astype(U32)
 
 
 class _Model:
@@ -46,138 +47,147 @@ class _Model:
 
     def __init__(self, n: int) -> None:
         self.classes, self.first, self.bits = _classes()
-        k = len(self.first)
-        self.n, self.k = n, k
+        self.k, self.n, self.step = len(self.first), n, 0
         self.lane = np.arange(n)
-        self.before = np.zeros(n, np.int64)  # the previous id
+        self.before = np.zeros(n, U32)  # the previous id
         self.row = self.lane << TABLE_BITS
         self.slot1 = self.slot2 = self.row
-        self.seen1 = np.zeros(n << TABLE_BITS, np.int32)  # id * 4 + confidence
-        self.seen2 = np.zeros(n << TABLE_BITS, np.int32)
-        self.rate1 = np.full(n * 4, WHOLE // 4, np.int32)
-        self.rate2 = np.full(n * 8, WHOLE // 3, np.int32)
-        self.count = np.ones((n, k), np.int32)
-        self.edge = np.zeros((n, k + 1), np.int16)
-        self.at_class = self.lane * (k + 1)
-        self.step = 0
+        self.seen1 = np.zeros(n << TABLE_BITS, U32)  # id * 2 + whether it was right the last time
+        self.seen2 = np.zeros(n << TABLE_BITS, U32)
+        self.at1, self.at2 = self.lane * 2, self.lane * 4
+        self.rate1 = np.full(n * 2, WHOLE // 8, np.int32)
+        self.rate2 = np.full(n * 4, WHOLE // 8, np.int32)
+        self.width = n
+        self.count = np.ones(self.k * n, np.int32)  # by class, then lane
+        self.edge = np.zeros((self.k + 1) * n, np.int16)
+        self.edges = self.edge.reshape(-1, n)[1:]
         self._rebuild()
 
     def _rebuild(self) -> None:
+        total = self.count.reshape(self.k, -1).cumsum(0, dtype=np.int32)
         spare = (1 << CLASS_BITS) - self.k
-        total = self.count.cumsum(1)
-        self.edge[:, 1:] = total * spare // total[:, -1:] + np.arange(1, self.k + 1)
+        self.edge.reshape(self.k + 1, -1)[1:] = total * spare // total[-1] + np.arange(1, self.k + 1)[:, None]
 
     def shrink(self, n: int) -> None:
         """Only the first n lanes go on."""
-        if n < self.n:
-            for name, per in (("lane", 1), ("before", 1), ("row", 1), ("slot1", 1), ("slot2", 1), ("at_class", 1), ("rate1", 4), ("rate2", 8)):
-                setattr(self, name, getattr(self, name)[: n * per])
-            self.count, self.edge, self.n = self.count[:n], self.edge[:n], n
+        self.n = n
+        for name in ("lane", "before", "row", "slot1", "slot2", "at1", "at2"):
+            setattr(self, name, getattr(self, name)[:n])
+        self.edges = self.edges[:, :n]
 
     def predict(self) -> None:
-        """id1, id2, part1, part2: predicted ids and their parts; a prediction that repeats order 2's gets none."""
-        e1, e2 = self.seen1[self.slot1], self.seen2[self.slot2]
-        self.e1, self.e2, self.id1, self.id2 = e1, e2, e1 >> 2, e2 >> 2
-        self.agree = self.id1 == self.id2
-        self.s1 = self.lane * 4 + (e1 & 3)
-        self.s2 = self.lane * 8 + (e2 & 3) * 2 + self.agree
-        self.p1, self.p2 = self.rate1[self.s1], self.rate2[self.s2]
-        self.part2 = (self.p2.astype(np.int64) * (WHOLE - 2 * LEAST) >> 16) + 1
-        self.part1 = np.where(self.agree, 0, (self.p1.astype(np.int64) * (WHOLE - LEAST - self.part2) >> 16) + 1)
-        self.rest = WHOLE - self.part1 - self.part2
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, cls: np.ndarray) -> None:
-        self.rate2[self.s2] = self.p2 + ((np.where(hit2, WHOLE - 1, 0) - self.p2) >> RATE)
+        """id1, id2, part1, part2, rest: predicted ids, their parts and order 0's; order 1 gets none where it repeats order 2."""
+        self.e1, self.e2 = self.seen1.take(self.slot1), self.seen2.take(self.slot2)
+        self.id1, self.id2 = self.e1 >> U32(1), self.e2 >> U32(1)
+        other = self.id1 != self.id2
+        self.s1 = self.at1 + (self.e1 & U32(1))
+        self.s2 = self.at2 + ((self.e2 & U32(1)) * U32(2) + other)
+        self.p1, self.part2 = self.rate1.take(self.s1), self.rate2.take(self.s2)
+        self.part1 = ((U32(WHOLE - LEAST) - self.part2.view(U32)) * self.p1.view(U32) >> U32(16)) * other
+        self.both = self.part1 + self.part2.view(U32)
+        self.rest = (U32(WHOLE) - self.both).view(np.int32)
+
+    def class_part(self, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a class begins in order 0's share, and its parts."""
+        at = cls * self.width + self.lane
+        a = self.edge.take(at) * self.rest >> CLASS_BITS
+        return a, (self.edge.take(at + self.width) * self.rest >> CLASS_BITS) - a
+
+    def class_at(self, u: np.ndarray) -> np.ndarray:
+        """The class that covers part u of order 0's share."""
+        c = ((((u + 1) << CLASS_BITS) - 1) // self.rest).astype(np.int16)
+        return np.add.reduce((self.edges <= c).view(np.uint8), 0, np.uint8).astype(np.int64)
+
+    def update(self, ids: np.ndarray, hit2: np.ndarray, cls: np.ndarray) -> None:
         same1 = self.id1 == ids
-        self.rate1[self.s1] = self.p1 + ((np.where(same1, WHOLE - 1, 0) - self.p1) >> RATE)
-        fresh = ids << 2
-        self.seen2[self.slot2] = np.where(hit2, fresh + np.minimum((self.e2 & 3) + 1, 3), fresh)
-        self.seen1[self.slot1] = np.where(same1, fresh + np.minimum((self.e1 & 3) + 1, 3), fresh)
-        self.count.ravel()[self.lane * self.k + cls] += 24
+        self.rate2[self.s2] = self.part2 + ((hit2 * np.int32(HIGHEST - LOWEST) + np.int32(LOWEST) - self.part2) >> RATE)
+        self.rate1[self.s1] = self.p1 + ((same1 * np.int32(HIGHEST - LOWEST) + np.int32(LOWEST) - self.p1) >> RATE)
+        twice = ids + ids
+        self.seen2[self.slot2] = twice + hit2
+        self.seen1[self.slot1] = twice + same1
+        at = cls * self.width + self.lane
+        self.count[at] = self.count.take(at) + COUNT
         self.step += 1
-        if self.step % 32 == 0 or self.step & (self.step - 1) == 0:
+        if self.step % REBUILD == 0 or self.step & (self.step - 1) == 0:
             self._rebuild()
-        mixed = ids * 40503
-        self.slot1 = self.row + ((mixed >> 4) & ((1 << TABLE_BITS) - 1))
-        self.slot2 = self.row + ((mixed * 7 + self.before * 48271 >> 5) & ((1 << TABLE_BITS) - 1))
-        self.before = ids
+        mixed = ids * U32(0x9E3779B1)
+        self.slot1 = self.row + (mixed >> U32(32 - TABLE_BITS))
+        self.slot2 = self.row + ((mixed + self.before) * U32(0x85EBCA6B) >> U32(32 - TABLE_BITS))
+        self.before = mixed
 
 
 class _Encoder:
+    """Intervals [low, low + width) in 64 bits.  Where the width falls under 2**32, 32 bits are settled and written;
+    an interval over a multiple of 2**32 is first cut off there, which leaves no carry."""
+
     def __init__(self, n: int, steps: int) -> None:
-        self.low, self.range = np.zeros(n, U64), np.full(n, 2**64 - 1, U64)
-        self.width = 3 * steps + 8
-        self.out, self.at = np.zeros(n * self.width, np.uint16), np.arange(n) * self.width
-        self.begin = self.at.copy()
-        self.n = n
+        self.low, self.width = np.zeros(n, U64), np.full(n, 2**64 - 1, U64)
+        self.begin = np.arange(n) * (steps + 4)
+        self.out, self.at = np.zeros(n * (steps + 4), U32), self.begin.copy()
 
     def put(self, cum: np.ndarray, part: np.ndarray, inside: np.ndarray, bits: np.ndarray) -> None:
-        """Narrow each lane's interval to [cum, cum + part) of WHOLE, then to inside of 2**bits; write what is settled."""
+        """Narrow each lane to [cum, cum + part) of WHOLE, then to number inside of 2**bits."""
         n = len(cum)
-        low, width = self.low[:n], self.range[:n]
+        low, width = self.low[:n], self.width[:n]
         width >>= U64(16)
-        low += width * cum.view(U64)
-        width *= part.view(U64)
-        width >>= bits.view(U64)
-        low += width * inside.view(U64)
-        while True:
-            settled = (low ^ (low + width)) < TOP
-            go = np.flatnonzero(settled | (width < BOTTOM))
-            if not len(go):
-                break
-            now = low[go]
-            w = np.where(settled[go], width[go], (U64(0) - now) & (BOTTOM - U64(1)))
-            at = self.at[go]
-            self.out[at] = now >> U64(48)
+        low += width * cum
+        width *= part
+        width >>= bits
+        low += width * inside
+        go = np.flatnonzero(width < SETTLED)
+        if len(go):
+            now, w = low.take(go), width.take(go)
+            edge = U64(0) - now & SETTLED - U64(1)  # up to the next multiple; 0 on one
+            w = np.where((edge > 0) & (edge < w), edge, w)
+            at = self.at.take(go)
+            self.out[at] = now >> U64(32)
             self.at[go] = at + 1
-            low[go] = now << U64(16)
-            width[go] = w << U64(16)
+            low[go] = now << U64(32)
+            width[go] = w << U64(32)
 
     def finish(self) -> list[bytes]:
-        for _ in range(4):
-            self.out[self.at] = self.low >> U64(48)
+        for _ in range(2):
+            self.out[self.at] = self.low >> U64(32)
             self.at += 1
-            self.low <<= U64(16)
-        return [self.out[a:b].astype("<u2").tobytes() for a, b in zip(self.begin, self.at, strict=True)]
+            self.low <<= U64(32)
+        return [self.out[a:b].astype("<u4").tobytes() for a, b in zip(self.begin, self.at, strict=True)]
 
 
 class _Decoder:
     def __init__(self, streams: list[bytes]) -> None:
         n = len(streams)
-        words = np.concatenate([np.frombuffer(s, "<u2") for s in streams] + [np.zeros(8, np.uint16)])
-        self.words, self.at = words.astype(U64), np.cumsum([0, *(len(s) // 2 for s in streams)])[:n]
-        self.low, self.range, self.code = np.zeros(n, U64), np.full(n, 2**64 - 1, U64), np.zeros(n, U64)
-        for _ in range(4):
-            self.code = self.code << U64(16) | self.words[self.at]
-            self.at = self.at + 1
+        self.words = np.concatenate([np.frombuffer(s, "<u4") for s in streams] + [np.zeros(4, U32)]).astype(U32)
+        self.at = np.cumsum([0, *(len(s) // 4 for s in streams)])[:n]
+        self.low, self.width = np.zeros(n, U64), np.full(n, 2**64 - 1, U64)
+        self.code = self.words[self.at].astype(U64) << U64(32) | self.words[self.at + 1]
+        self.at = self.at + 2
+        self.last = len(self.words) - 1
 
     def value(self, n: int) -> np.ndarray:
         """Where in WHOLE each lane's code lies."""
-        self.range[:n] >>= U64(16)
-        return np.minimum(((self.code[:n] - self.low[:n]) // self.range[:n]).view(np.int64), WHOLE - 1)
+        self.width[:n] >>= U64(16)
+        return np.minimum((self.code[:n] - self.low[:n]) // self.width[:n], U64(WHOLE - 1)).astype(np.int32)
 
     def take(self, cum: np.ndarray, part: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """Narrow to [cum, cum + part); return which of 2**bits follows, narrow to it and read on."""
         n = len(cum)
-        low, width = self.low[:n], self.range[:n]
-        low += width * cum.view(U64)
-        width *= part.view(U64)
-        width >>= bits.view(U64)
-        inside = np.minimum((self.code[:n] - low) // width, (U64(1) << bits.view(U64)) - U64(1))
+        low, width = self.low[:n], self.width[:n]
+        low += width * cum
+        width *= part
+        width >>= bits
+        inside = np.minimum((self.code[:n] - low) // width, (U64(1) << bits.astype(U64)) - U64(1))
         low += width * inside
-        while True:
-            settled = (low ^ (low + width)) < TOP
-            go = np.flatnonzero(settled | (width < BOTTOM))
-            if not len(go):
-                break
-            now = low[go]
-            w = np.where(settled[go], width[go], (U64(0) - now) & (BOTTOM - U64(1)))
-            at = self.at[go]
-            self.code[go] = self.code[go] << U64(16) | self.words[at]
+        go = np.flatnonzero(width < SETTLED)
+        if len(go):
+            now, w = low.take(go), width.take(go)
+            edge = U64(0) - now & SETTLED - U64(1)
+            w = np.where((edge > 0) & (edge < w), edge, w)
+            at = self.at.take(go)
+            self.code[go] = self.code.take(go) << U64(32) | self.words.take(np.minimum(at, self.last))
             self.at[go] = at + 1
-            low[go] = now << U64(16)
-            width[go] = w << U64(16)
-        return inside.view(np.int64)
+            low[go] = now << U64(32)
+            width[go] = np.maximum(w << U64(32), SETTLED)  # damaged data may leave nothing
+        return inside.astype(U32)
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -186,33 +196,32 @@ def encode(ids: np.ndarray) -> bytes:
     total = len(ids)
     if total and int(ids.max()) >= LIMIT:
         raise ValueError(f"ids must be below {LIMIT}")
-    n = -(-total // BLOCK)
+    n, whole = -(-total // BLOCK), total // BLOCK
+    rest = total - whole * BLOCK
     streams: list[bytes] = []
     if n:
         steps = min(total, BLOCK)
-        grid = np.zeros((steps, n), np.int64)
-        whole = total // BLOCK
+        grid = np.zeros((steps, n), U32)
         if whole:
             grid[:, :whole] = ids[: whole * BLOCK].reshape(whole, BLOCK).T
-        if rest := total - whole * BLOCK:
+        if rest:
             grid[:rest, whole] = ids[whole * BLOCK :]
         model, coder = _Model(n), _Encoder(n, steps)
         for step in range(steps):
             if rest and step == rest:
                 model.shrink(whole)
             got = grid[step, : model.n]
-            cls = model.classes[got]
+            cls = model.classes.take(got)
             model.predict()
             hit2 = got == model.id2
             hit1 = (got == model.id1) & ~hit2
-            edges = model.edge.ravel()
-            a = (edges[model.at_class + cls] * model.rest) >> CLASS_BITS
-            b = (edges[model.at_class + cls + 1] * model.rest) >> CLASS_BITS
-            cum = np.where(hit2, 0, np.where(hit1, model.part2, a + model.part2 + model.part1))
-            part = np.where(hit2, model.part2, np.where(hit1, model.part1, b - a))
             missed = ~(hit2 | hit1)
-            coder.put(cum, part, (got - model.first[cls]) * missed, model.bits[cls] * missed)
-            model.update(got, hit2, hit1, cls)
+            begin, size = model.class_part(cls)
+            part2 = model.part2
+            cum = np.where(missed, begin.view(U32) + model.both, hit1 * part2.view(U32))
+            part = np.where(missed, size, np.where(hit2, part2, model.part1.view(np.int32))).view(U32)
+            coder.put(cum, part, (got - model.first.take(cls)) * missed, model.bits.take(cls) * missed)
+            model.update(got, hit2, cls)
         streams = coder.finish()
     sizes = np.array([[len(s), zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK])] for k, s in enumerate(streams)], "<u4").reshape(-1, 2)
     head = MAGIC + np.array([BLOCK, n, total, 0], "<u4").tobytes()
@@ -226,39 +235,32 @@ def decode(data: bytes) -> np.ndarray:
     block, n, total, _ = (int(v) for v in np.frombuffer(data, "<u4", 4, 4))
     if block != BLOCK or n != -(-total // BLOCK):
         raise ValueError("header of coded ids is damaged")
-    sizes = np.frombuffer(data, "<u4", 2 * n, 20).reshape(n, 2)
-    at = 20 + 8 * n
-    ends = at + np.cumsum(sizes[:, 0], dtype=np.int64)
     if not n:
         return np.zeros(0, "<u4")
-    if ends[-1] != len(data):
+    sizes = np.frombuffer(data, "<u4", 2 * n, 20).reshape(n, 2)
+    ends = 20 + 8 * n + np.cumsum(sizes[:, 0], dtype=np.int64)
+    if ends[-1] != len(data) or (sizes[:, 0] % 4 | (sizes[:, 0] < 8)).any():
         raise ValueError("coded ids are cut short")
     steps, whole = min(total, BLOCK), total // BLOCK
     rest = total - whole * BLOCK
-    grid = np.zeros((steps, n), np.int64)
+    grid = np.zeros((steps, n), U32)
     model, coder = _Model(n), _Decoder([data[e - s : e] for e, s in zip(ends, sizes[:, 0].tolist(), strict=True)])
     for step in range(steps):
         if rest and step == rest:
             model.shrink(whole)
-        m = model.n
         model.predict()
-        v = coder.value(m)
-        both = model.part2 + model.part1
-        hit2 = v < model.part2
-        hit1 = ~hit2 & (v < both)
-        u = np.maximum(v - both, 0)
-        c = (((u + 1) << CLASS_BITS) - 1) // model.rest
-        cls = (model.edge[:, 1:] <= c[:, None].astype(np.int16)).sum(1)
-        cls = np.minimum(cls, model.k - 1)
-        edges = model.edge.ravel()
-        a = (edges[model.at_class + cls] * model.rest) >> CLASS_BITS
-        b = (edges[model.at_class + cls + 1] * model.rest) >> CLASS_BITS
-        bits = model.bits[cls] * ~(hit2 | hit1)
-        inside = coder.take(np.where(hit2, 0, np.where(hit1, model.part2, a + both)), np.where(hit2, model.part2, np.where(hit1, model.part1, b - a)), bits)
-        got = np.where(hit2, model.id2, np.where(hit1, model.id1, np.minimum(model.first[cls] + inside, LIMIT - 1))).astype(np.int64)
-        grid[step, :m] = got
-        model.update(got, hit2, hit1, model.classes[got])
-    ids = np.ascontiguousarray(grid.T.reshape(-1)[:total] if not rest or n > 1 else grid[:, 0], "<u4")[:total]
+        v, part2, both = coder.value(model.n), model.part2, model.both.view(np.int32)
+        hit2, missed = v < part2, v >= both
+        hit1 = ~(hit2 | missed)
+        cls = model.class_at((v - both) * missed)
+        begin, size = model.class_part(cls)
+        cum = np.where(missed, begin + both, hit1 * part2).view(U32)
+        part = np.where(missed, size, np.where(hit2, part2, model.part1.view(np.int32))).view(U32)
+        inside = coder.take(cum, part, model.bits.take(cls) * missed)
+        got = np.where(missed, np.minimum(model.first.take(cls) + inside, U32(LIMIT - 1)), np.where(hit2, model.id2, model.id1))
+        grid[step, : model.n] = got
+        model.update(got, hit2, model.classes.take(got))
+    ids = np.ascontiguousarray(grid.T, "<u4").reshape(-1)[:total] if not rest or n > 1 else np.ascontiguousarray(grid[:, 0], "<u4")
     for k in range(n):
         if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK]) != sizes[k, 1]:
             raise ValueError(f"checksum of block {k} is wrong")

@@ -7,7 +7,7 @@ from functools import cache
 import numpy as np
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Words that a Python worker remembers, and the longest of them.
+#: Words that a Python worker remembers from before and since it last made room, each; the longest of them.
 WORDS, LONGEST = 400_000, 48
 
 
@@ -22,7 +22,8 @@ class _Memory(dict):
     """Word (bytes) -> its ids as little-endian 32-bit integers."""
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer, self.letters = tokenizer, _byte_letters()
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        self.old: dict[bytes, bytes] = {}
         # Words of letters are one piece to a byte-level tokenizer; then its model alone gives the ids, faster.
         self.direct = True
         self.direct = all(self.by_model(w) == self.by_library(w) for w in ("a", "the", "zebra", "qxqz", "déjà", "straße", "ñandú", "çéèêñßüöä"))
@@ -31,20 +32,26 @@ class _Memory(dict):
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def by_model(self, word: str) -> bytes:
-        pieces = self.tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters))
-        return np.array([p.id for p in pieces], "<u4").tobytes()
+        if not word.isascii():
+            word = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return b"".join([p.id.to_bytes(4, "little") for p in self.model.tokenize(word)])
 
     def ids(self, word: str) -> bytes:
         # Up to U+024F lower-case letters are in normal form and have no lower case of their own.
-        simple = self.direct and word.isalpha() and word == word.lower() and max(word) < "\u0250"
+        simple = self.direct and word.isalpha() and (word.isascii() or word == word.lower() and max(word) < "\u0250")
         return self.by_model(word) if simple else self.by_library(word)
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1] in b",." and 97 <= word[-2] <= 122:
+        if (ids := self.old.get(word)) is not None:
+            pass
+        elif len(word) > 1 and word[-1] in b",." and 97 <= word[-2] <= 122:
             ids = self[word[:-1]] + self[word[-1:]]  # a letter and a mark never share a token
         else:
             ids = self.ids(word.decode("utf-8"))
-        if len(self) < WORDS and len(word) <= LONGEST:
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.old = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
