@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import MISSING, audit_number, audit_text, parsed_date
-from tidemark.operators.features import BY_DATE, BY_ROW, change
+from tidemark.operators.features import by_date, by_row, change
 
 MAX_BLOCK, EXCURSION, REVERT = 5, 0.10, 0.02
 GAP_DAYS, EXTREME_Z, LAST_ALERT = 7, 8.0, 0.05
@@ -73,7 +73,7 @@ def out_of_order(valid: DataFrame) -> DataFrame:
 
 def with_gap(series: DataFrame) -> DataFrame:
     """Add date_before and gap_days, null on the first row."""
-    return series.withColumn("date_before", F.lag("date").over(BY_DATE)).withColumn("gap_days", F.datediff("date", "date_before"))
+    return series.withColumn("date_before", F.lag("date").over(by_date())).withColumn("gap_days", F.datediff("date", "date_before"))
 
 
 def gap_histogram(series: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def reverting(max_block: int = MAX_BLOCK, excursion: float = EXCURSION, revert:
     Each point of the block is at least `excursion` off the value before it, and the value after it is within `revert` of the
     value before.  One term for each length of a block and place in it; the ends of a series cannot be judged.
     """
-    at = lambda k: F.lead("value", k).over(BY_ROW) if k > 0 else F.lag("value", -k).over(BY_ROW) if k < 0 else F.col("value")
+    at = lambda k: F.lead("value", k).over(by_row()) if k > 0 else F.lag("value", -k).over(by_row()) if k < 0 else F.col("value")
     terms = []
     for length in range(1, max_block + 1):
         for place in range(length):
@@ -128,7 +128,7 @@ def robust_extremes(series: DataFrame, z: float = EXTREME_Z) -> DataFrame:
 
 def repeated_values(series: DataFrame) -> DataFrame:
     """How often a value equals the one before."""
-    same = F.col("value") == F.lag("value").over(BY_ROW)
+    same = F.col("value") == F.lag("value").over(by_row())
     return series.withColumn("same", same).groupBy("series_id").agg(F.count_if("same").alias("n_repeated"))
 
 

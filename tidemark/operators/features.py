@@ -5,7 +5,7 @@ Every window is partitioned by series_id, so one shuffle on it serves them all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 LAGS = [1, 2, 3, 5, 7, 10, 14, 20, 30]
@@ -16,8 +16,13 @@ TRENDS = [5, 10, 20, 30]
 DRIFT = 60
 CALENDAR = ["day_of_week", "month", "quarter", "days_since_previous_observation"]
 
-BY_DATE = Window.partitionBy("series_id").orderBy("date")
-BY_ROW = Window.partitionBy("series_id").orderBy("row")
+
+def by_date() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("date")
+
+
+def by_row() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("row")
 
 
 def with_position(series: DataFrame, order: str = "date") -> DataFrame:
@@ -25,9 +30,9 @@ def with_position(series: DataFrame, order: str = "date") -> DataFrame:
     return series.withColumn("row", (F.row_number().over(Window.partitionBy("series_id").orderBy(order)) - 1).cast("int"))
 
 
-def last(k: int) -> Window:
+def last(k: int) -> WindowSpec:
     """The k observations that end with the current one."""
-    return BY_ROW.rowsBetween(-(k - 1), 0)
+    return by_row().rowsBetween(-(k - 1), 0)
 
 
 def rolling(value: Column, k: int, first: int | None = None) -> Column:
@@ -36,7 +41,7 @@ def rolling(value: Column, k: int, first: int | None = None) -> Column:
 
 
 def lagged(k: int, column: str = "value") -> Column:
-    return F.lag(column, k).over(BY_ROW)
+    return F.lag(column, k).over(by_row())
 
 
 def change(k: int, column: str = "value") -> Column:
@@ -50,7 +55,7 @@ def with_features(series: DataFrame) -> DataFrame:
     Windows that are not full give null.  A lag is looked up once and used for its level, ratio and variation.
     """
     v = F.col("value")
-    base = series.withColumns({"ret_1": change(1), **{f"lag_{k}": lagged(k) for k in sorted({*LAGS, *VARIATIONS})}, "lag_60": lagged(DRIFT), "date_before": F.lag("date").over(BY_ROW)})
+    base = series.withColumns({"ret_1": change(1), **{f"lag_{k}": lagged(k) for k in sorted({*LAGS, *VARIATIONS})}, "lag_60": lagged(DRIFT), "date_before": F.lag("date").over(by_row())})
     out = base.withColumns(
         {
             **{f"rolling_mean_{k}": rolling(F.avg("value").over(last(k)), k) for k in MEANS},
@@ -92,7 +97,7 @@ def feature_names(kind: str) -> list[str]:
 
 def with_targets(df: DataFrame, h: int) -> DataFrame:
     """Add target_date, target_value and return_h of the observation h later; the last h rows have none."""
-    ahead = df.withColumns({"target_date": F.lead("date", h).over(BY_ROW), "target_value": F.lead("value", h).over(BY_ROW)})
+    ahead = df.withColumns({"target_date": F.lead("date", h).over(by_row()), "target_value": F.lead("value", h).over(by_row())})
     return ahead.withColumn("return_h", F.col("target_value") / F.col("value") - 1)
 
 

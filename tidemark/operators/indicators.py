@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.recursive import Difference, averaged, span, wilder
-from tidemark.operators.features import BY_ROW, change, last, rolling
+from tidemark.operators.features import by_row, change, last, rolling
 
 WINDOWS = [5, 10, 20, 30, 50, 100]
 RETURNS = [1, 3, 5, 10, 20]
@@ -26,7 +26,7 @@ def relative_strength(gain: Column, loss: Column) -> Column:
 
 def with_averages(series: DataFrame) -> DataFrame:
     """Add ema_*, macd, macd_signal, macd_hist and rsi_*.  One grouped call to Python makes all recursive columns."""
-    delta = F.col("value") - F.lag("value").over(BY_ROW)
+    delta = F.col("value") - F.lag("value").over(by_row())
     moved = series.withColumn("delta", delta).withColumns(
         {"gain": F.when(F.col("delta").isNotNull(), F.greatest("delta", F.lit(0.0))), "loss": F.when(F.col("delta").isNotNull(), F.greatest(-F.col("delta"), F.lit(0.0)))}
     )

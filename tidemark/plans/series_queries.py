@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.recursive import averaged, averaged_in_sql, span
 from tidemark.functions.scalars import audit_number, business_days_later, parsed_date, plausible, quote_rate, quoted_number, rounded
 from tidemark.operators import audit, features, forecast, indicators, merge, site
-from tidemark.operators.features import BY_ROW, change, last, rolling
+from tidemark.operators.features import by_row, change, last, rolling
 from tidemark.sources import sinks, tables
 
 SPLIT_DAY = "1996-01-01"
@@ -294,7 +294,7 @@ def _six_paths(paths: DataFrame) -> DataFrame:
 
 
 def variation_since_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = positioned(spark, sf_dir).withColumn("delta", F.col("value") - F.lag("value").over(BY_ROW))
+    s = positioned(spark, sf_dir).withColumn("delta", F.col("value") - F.lag("value").over(by_row()))
     return six(merge.last_rows(s, 70), "delta").select("series_id", "date", "delta")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluation, forecast, learning
 from tidemark.operators.features import with_features
 from tidemark.plans.series_queries import positioned, six
+from tidemark.sources.staging import staged
 
 H = 5
 #: Parameter sets that the search query draws beside the default.
@@ -16,7 +17,8 @@ METRICS = ["mae", "rmse", "mape_pct", "smape_pct", "bias", "r2_level", "r2_retur
 
 
 def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.horizon_dataset(with_features(positioned(spark, sf_dir)), H)
+    """The 31 features are made once and staged: splits, folds and models all read them."""
+    return evaluation.horizon_dataset(staged(with_features(positioned(spark, sf_dir)), "features"), H)
 
 
 def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
