@@ -7,8 +7,7 @@ id three predictions are mixed into one distribution of 2**16 parts:
 * order 1: the id that last followed the previous id,
 * order 0: an adaptive distribution over classes of ids, with even chances inside a class.
 
-How much the first two get depends on adaptive hit rates, kept by whether the prediction was right the last time and
-whether both agree.  All arithmetic is on integers, so that any machine decodes what another one encoded.
+How much the first two get depends on adaptive hit rates; order 2 has one for when both agree.  All arithmetic is on integers, so that any machine decodes what another one encoded.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from functools import cache
 
 import numpy as np
 
-MAGIC = b"TMX2"
+MAGIC = b"TMX3"
 #: Ids of a block, bits of a lane's context tables, ids that can be coded.
 BLOCK, TABLE_BITS, LIMIT = 2048, 9, 1 << 17
 #: Parts of the whole and of the classes' distribution; least share of order 0; bounds of a hit rate.
@@ -43,20 +42,18 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Model:
-    """The model of n lanes."""
+    """The model of n lanes.  kind: type of ids in the tables, as small as they allow, since the tables should stay in cache."""
 
-    def __init__(self, n: int) -> None:
+    def __init__(self, n: int, kind: type) -> None:
         self.classes, self.first, self.bits = _classes()
         self.k, self.n, self.step = len(self.first), n, 0
         self.lane = np.arange(n)
         self.before = np.zeros(n, U32)  # the previous id
         self.row = self.lane << TABLE_BITS
         self.slot1 = self.slot2 = self.row
-        self.seen1 = np.zeros(n << TABLE_BITS, U32)  # id * 2 + whether it was right the last time
-        self.seen2 = np.zeros(n << TABLE_BITS, U32)
-        self.at1, self.at2 = self.lane * 2, self.lane * 4
-        self.rate1 = np.full(n * 2, WHOLE // 8, np.int32)
-        self.rate2 = np.full(n * 4, WHOLE // 8, np.int32)
+        self.seen1, self.seen2 = np.zeros(n << TABLE_BITS, kind), np.zeros(n << TABLE_BITS, kind)
+        self.rate1 = np.full(n, WHOLE // 8, np.int32)
+        self.rate2 = np.full(2 * n, WHOLE // 8, np.int32)
         self.width = n
         self.count = np.ones(self.k * n, np.int32)  # by class, then lane
         self.edge = np.zeros((self.k + 1) * n, np.int16)
@@ -71,19 +68,17 @@ class _Model:
     def shrink(self, n: int) -> None:
         """Only the first n lanes go on."""
         self.n = n
-        for name in ("lane", "before", "row", "slot1", "slot2", "at1", "at2"):
+        for name in ("lane", "before", "row", "slot1", "slot2", "rate1"):
             setattr(self, name, getattr(self, name)[:n])
         self.edges = self.edges[:, :n]
 
     def predict(self) -> None:
         """id1, id2, part1, part2, rest: predicted ids, their parts and order 0's; order 1 gets none where it repeats order 2."""
-        self.e1, self.e2 = self.seen1.take(self.slot1), self.seen2.take(self.slot2)
-        self.id1, self.id2 = self.e1 >> U32(1), self.e2 >> U32(1)
+        self.id1, self.id2 = self.seen1.take(self.slot1).astype(U32), self.seen2.take(self.slot2).astype(U32)
         other = self.id1 != self.id2
-        self.s1 = self.at1 + (self.e1 & U32(1))
-        self.s2 = self.at2 + ((self.e2 & U32(1)) * U32(2) + other)
-        self.p1, self.part2 = self.rate1.take(self.s1), self.rate2.take(self.s2)
-        self.part1 = ((U32(WHOLE - LEAST) - self.part2.view(U32)) * self.p1.view(U32) >> U32(16)) * other
+        self.state = self.lane + other * self.width
+        self.part2 = self.rate2.take(self.state)
+        self.part1 = ((U32(WHOLE - LEAST) - self.part2.view(U32)) * self.rate1.view(U32) >> U32(16)) * other
         self.both = self.part1 + self.part2.view(U32)
         self.rest = (U32(WHOLE) - self.both).view(np.int32)
 
@@ -98,13 +93,11 @@ class _Model:
         c = ((((u + 1) << CLASS_BITS) - 1) // self.rest).astype(np.int16)
         return np.add.reduce((self.edges <= c).view(np.uint8), 0, np.uint8).astype(np.int64)
 
-    def update(self, ids: np.ndarray, hit2: np.ndarray, cls: np.ndarray) -> None:
-        same1 = self.id1 == ids
-        self.rate2[self.s2] = self.part2 + ((hit2 * np.int32(HIGHEST - LOWEST) + np.int32(LOWEST) - self.part2) >> RATE)
-        self.rate1[self.s1] = self.p1 + ((same1 * np.int32(HIGHEST - LOWEST) + np.int32(LOWEST) - self.p1) >> RATE)
-        twice = ids + ids
-        self.seen2[self.slot2] = twice + hit2
-        self.seen1[self.slot1] = twice + same1
+    def update(self, ids: np.ndarray, hit2: np.ndarray, same1: np.ndarray, cls: np.ndarray) -> None:
+        self.rate2[self.state] = self.part2 + ((hit2 * np.int32(HIGHEST - LOWEST) + np.int32(LOWEST) - self.part2) >> RATE)
+        self.rate1 = self.rate1 + ((same1 * np.int32(HIGHEST - LOWEST) + np.int32(LOWEST) - self.rate1) >> RATE)
+        self.seen2[self.slot2] = ids
+        self.seen1[self.slot1] = ids
         at = cls * self.width + self.lane
         self.count[at] = self.count.take(at) + COUNT
         self.step += 1
@@ -198,6 +191,7 @@ def encode(ids: np.ndarray) -> bytes:
         raise ValueError(f"ids must be below {LIMIT}")
     n, whole = -(-total // BLOCK), total // BLOCK
     rest = total - whole * BLOCK
+    kind = np.uint16 if total and int(ids.max()) < 1 << 16 else U32
     streams: list[bytes] = []
     if n:
         steps = min(total, BLOCK)
@@ -206,25 +200,26 @@ def encode(ids: np.ndarray) -> bytes:
             grid[:, :whole] = ids[: whole * BLOCK].reshape(whole, BLOCK).T
         if rest:
             grid[:rest, whole] = ids[whole * BLOCK :]
-        model, coder = _Model(n), _Encoder(n, steps)
+        model, coder = _Model(n, kind), _Encoder(n, steps)
         for step in range(steps):
             if rest and step == rest:
                 model.shrink(whole)
             got = grid[step, : model.n]
             cls = model.classes.take(got)
             model.predict()
-            hit2 = got == model.id2
-            hit1 = (got == model.id1) & ~hit2
-            missed = ~(hit2 | hit1)
+            same1, hit2 = got == model.id1, got == model.id2
+            missed = ~(hit2 | same1)
             begin, size = model.class_part(cls)
             part2 = model.part2
-            cum = np.where(missed, begin.view(U32) + model.both, hit1 * part2.view(U32))
-            part = np.where(missed, size, np.where(hit2, part2, model.part1.view(np.int32))).view(U32)
-            coder.put(cum, part, (got - model.first.take(cls)) * missed, model.bits.take(cls) * missed)
-            model.update(got, hit2, cls)
+            hit1 = same1 > hit2
+            # Each lane has one of three cases, so masked terms add up to the chosen one.
+            cum = (begin + model.both.view(np.int32)) * missed + part2 * hit1
+            part = size * missed + part2 * hit2 + model.part1.view(np.int32) * hit1
+            coder.put(cum.view(U32), part.view(U32), (got - model.first.take(cls)) * missed, model.bits.take(cls) * missed)
+            model.update(got, hit2, same1, cls)
         streams = coder.finish()
     sizes = np.array([[len(s), zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK])] for k, s in enumerate(streams)], "<u4").reshape(-1, 2)
-    head = MAGIC + np.array([BLOCK, n, total, 0], "<u4").tobytes()
+    head = MAGIC + np.array([BLOCK, n, total, np.dtype(kind).itemsize], "<u4").tobytes()
     return head + sizes.tobytes() + b"".join(streams)
 
 
@@ -232,8 +227,9 @@ def decode(data: bytes) -> np.ndarray:
     """The ids of a container; raises ValueError if its header or a block's checksum is wrong."""
     if data[:4] != MAGIC:
         raise ValueError("not a container of coded ids")
-    block, n, total, _ = (int(v) for v in np.frombuffer(data, "<u4", 4, 4))
-    if block != BLOCK or n != -(-total // BLOCK):
+    block, n, total, size = (int(v) for v in np.frombuffer(data, "<u4", 4, 4))
+    kind = {2: np.uint16, 4: U32}.get(size)
+    if block != BLOCK or n != -(-total // BLOCK) or kind is None:
         raise ValueError("header of coded ids is damaged")
     if not n:
         return np.zeros(0, "<u4")
@@ -244,22 +240,22 @@ def decode(data: bytes) -> np.ndarray:
     steps, whole = min(total, BLOCK), total // BLOCK
     rest = total - whole * BLOCK
     grid = np.zeros((steps, n), U32)
-    model, coder = _Model(n), _Decoder([data[e - s : e] for e, s in zip(ends, sizes[:, 0].tolist(), strict=True)])
+    model, coder = _Model(n, kind), _Decoder([data[e - s : e] for e, s in zip(ends, sizes[:, 0].tolist(), strict=True)])
     for step in range(steps):
         if rest and step == rest:
             model.shrink(whole)
         model.predict()
         v, part2, both = coder.value(model.n), model.part2, model.both.view(np.int32)
         hit2, missed = v < part2, v >= both
-        hit1 = ~(hit2 | missed)
+        hit1 = hit2 == missed
         cls = model.class_at((v - both) * missed)
         begin, size = model.class_part(cls)
-        cum = np.where(missed, begin + both, hit1 * part2).view(U32)
-        part = np.where(missed, size, np.where(hit2, part2, model.part1.view(np.int32))).view(U32)
-        inside = coder.take(cum, part, model.bits.take(cls) * missed)
-        got = np.where(missed, np.minimum(model.first.take(cls) + inside, U32(LIMIT - 1)), np.where(hit2, model.id2, model.id1))
+        cum = (begin + both) * missed + part2 * hit1
+        part = size * missed + part2 * hit2 + model.part1.view(np.int32) * hit1
+        inside = coder.take(cum.view(U32), part.view(U32), model.bits.take(cls) * missed)
+        got = np.minimum(model.first.take(cls) + inside, U32(LIMIT - 1)) * missed + model.id2 * hit2 + model.id1 * hit1
         grid[step, : model.n] = got
-        model.update(got, hit2, model.classes.take(got))
+        model.update(got, hit2, model.id1 == got, model.classes.take(got))
     ids = np.ascontiguousarray(grid.T, "<u4").reshape(-1)[:total] if not rest or n > 1 else np.ascontiguousarray(grid[:, 0], "<u4")
     for k in range(n):
         if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK]) != sizes[k, 1]:
