@@ -25,7 +25,11 @@ def to_double(text: Column) -> Column:
 
 def audit_number(raw: Column) -> Column:
     """Value of a raw field, null where it is missing or no number; "1,234.5" is no number here."""
-    text = audit_text(raw)
+    return number_of(audit_text(raw))
+
+
+def number_of(text: Column) -> Column:
+    """Value of a text that audit_text made."""
     return F.when(~text.isin(*MISSING), to_double(text))
 
 

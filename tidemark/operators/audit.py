@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import MISSING, audit_number, audit_text, parsed_date
+from tidemark.functions.scalars import MISSING, audit_text, number_of, parsed_date
 from tidemark.operators.features import by_date, by_row, change
 
 MAX_BLOCK, EXCURSION, REVERT = 5, 0.10, 0.02
@@ -25,10 +25,10 @@ class DataQualityError(ValueError):
 
 def with_flags(raw: DataFrame, day_first: bool = False) -> DataFrame:
     """raw (series_id, row_in_file, date_raw, value_raw) with date, value, five flags and the first reason that holds."""
-    text, value = audit_text(F.col("value_raw")), F.col("value")
+    text, value = F.col("value_text"), F.col("value")
     infinite = F.abs(value) == float("inf")
-    checked = raw.withColumns({"date": parsed_date(F.col("date_raw"), day_first), "value": audit_number(F.col("value_raw"))})
-    return checked.withColumns(
+    checked = raw.withColumn("value_text", audit_text(F.col("value_raw"))).withColumns({"date": parsed_date(F.col("date_raw"), day_first), "value": number_of(text)})
+    flagged = checked.withColumns(
         {
             "bad_date": F.col("date").isNull(),
             "missing": F.col("value_raw").isNull() | text.isin(*MISSING),
@@ -38,6 +38,7 @@ def with_flags(raw: DataFrame, day_first: bool = False) -> DataFrame:
             "reason": F.when(F.col("date").isNull(), BAD_DATE).when(value.isNull(), BAD_NUMBER).when(value <= 0, NOT_POSITIVE).when(infinite, NOT_FINITE),
         }
     )
+    return flagged.drop("value_text")
 
 
 def flag_counts(flagged: DataFrame) -> DataFrame:
@@ -93,24 +94,23 @@ def weekday_histogram(series: DataFrame) -> DataFrame:
     return series.groupBy("series_id", F.weekday("date").alias("day_of_week")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def reverting(max_block: int = MAX_BLOCK, excursion: float = EXCURSION, revert: float = REVERT) -> Column:
-    """Whether an observation lies in a block of up to max_block that leaves its level and comes back.
+def with_excursions(series: DataFrame, max_block: int = MAX_BLOCK, excursion: float = EXCURSION, revert: float = REVERT) -> DataFrame:
+    """Add excursion: whether an observation lies in a block of up to max_block that leaves its level and comes back.
 
     Each point of the block is at least `excursion` off the value before it, and the value after it is within `revert` of the
-    value before.  One term for each length of a block and place in it; the ends of a series cannot be judged.
+    value before.  One term for each length of a block and place in it, over neighbours that are looked up once; the ends
+    of a series cannot be judged.
     """
-    at = lambda k: F.lead("value", k).over(by_row()) if k > 0 else F.lag("value", -k).over(by_row()) if k < 0 else F.col("value")
+    near = [k for k in range(-max_block, max_block + 1) if k]
+    name = lambda k: "value" if k == 0 else f"value_{'after' if k > 0 else 'before'}_{abs(k)}"
+    looked = series.withColumns({name(k): (F.lead if k > 0 else F.lag)("value", abs(k)).over(by_row()) for k in near})
     terms = []
     for length in range(1, max_block + 1):
         for place in range(length):
-            before, after = at(-place - 1), at(length - place)
-            off = [F.abs(at(k - place) / before - 1) >= excursion for k in range(length)]
-            terms.append(reduce(lambda a, b: a & b, off, F.abs(after / before - 1) <= revert))
-    return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in terms]), F.lit(False))
-
-
-def with_excursions(series: DataFrame) -> DataFrame:
-    return series.withColumn("excursion", reverting())
+            before, after = F.col(name(-place - 1)), F.col(name(length - place))
+            off = [F.abs(F.col(name(k - place)) / before - 1) >= excursion for k in range(length)]
+            terms.append(F.coalesce(reduce(lambda a, b: a & b, off, F.abs(after / before - 1) <= revert), F.lit(False)))
+    return looked.withColumn("excursion", reduce(lambda a, b: a | b, terms)).drop(*[name(k) for k in near])
 
 
 def robust_extremes(series: DataFrame, z: float = EXTREME_Z) -> DataFrame:

@@ -1 +1,306 @@
-SQL = {}
+"""DuckDB SQL that says what a query says, over the same tables.
+
+Written from the definitions, not from the Spark plans: averages fold lists, medians are quantiles, folds are joins.
+"""
+
+from __future__ import annotations
+
+from tidemark.operators.features import LAGS, MEANS, STDS, TRENDS, VARIATIONS
+from tidemark.operators.indicators import RANGES, WINDOWS
+from tidemark.plans.series_queries import DATES, NUMBERS, PAGES, SPLIT_DAY
+
+#: Mean order value by status and day, with positions.
+POSITIONS = """
+    series AS (
+        SELECT o_orderstatus AS series_id, CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS value
+        FROM orders GROUP BY ALL),
+    pos AS (SELECT series_id, date, value, CAST(row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS INTEGER) AS rn FROM series)
+"""
+
+
+def six(expression: str) -> str:
+    return f"(floor(({expression}) * 1e6 + 0.5) / 1e6)"
+
+
+def over(k: int, tail: str = "") -> str:
+    return f"OVER (PARTITION BY series_id ORDER BY rn ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW){tail}"
+
+
+BY = "OVER (PARTITION BY series_id ORDER BY rn)"
+
+
+def lag(k: int, column: str = "value") -> str:
+    return f"lag({column}, {k}) {BY}"
+
+
+def ema(column: str, alpha: float, least: int) -> str:
+    """Fold of a list of all values so far; column must not have nulls among them."""
+    values = f"list({column}) FILTER ({column} IS NOT NULL) OVER (PARTITION BY series_id ORDER BY rn ROWS UNBOUNDED PRECEDING)"
+    return f"CASE WHEN len({values}) >= {least} THEN list_reduce({values}, lambda a, x: {1 - alpha!r} * a + {alpha!r} * x) END"
+
+
+def span(column: str, n: int) -> str:
+    return ema(column, 2.0 / (n + 1), n)
+
+
+def q(body: str, extra: str = "") -> str:
+    return f"WITH {POSITIONS}{',' + extra if extra else ''} {body}"
+
+
+RET = f"ret AS (SELECT *, value / {lag(1)} - 1 AS r FROM pos)"
+INDICATORS = f"""
+    moves AS (SELECT *, value - {lag(1)} AS d, value / {lag(1)} - 1 AS ret_1, value / {lag(3)} - 1 AS ret_3, value / {lag(5)} - 1 AS ret_5,
+                     value / {lag(10)} - 1 AS ret_10, value / {lag(20)} - 1 AS ret_20 FROM pos),
+    sides AS (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0.0) END AS gain, CASE WHEN d IS NOT NULL THEN greatest(-d, 0.0) END AS loss FROM moves),
+    emas AS (SELECT *, {", ".join(f"{span('value', n)} AS ema_{n}" for n in (12, 20, 26, 50))},
+                    {ema("gain", 1 / 14, 14)} AS g14, {ema("loss", 1 / 14, 14)} AS l14,
+                    {", ".join(f"CASE WHEN rn >= {k - 1} THEN avg(value) {over(k)} END AS ma_{k}" for k in (5, 10, 20, 30))},
+                    {", ".join(f"CASE WHEN rn >= {k} THEN stddev_samp(ret_1) {over(k)} END AS vol_{k}" for k in (10, 20, 30))},
+                    CASE WHEN rn >= 19 THEN min(value) {over(20)} END AS low_20, CASE WHEN rn >= 19 THEN max(value) {over(20)} END AS high_20 FROM sides),
+    lines AS (SELECT *, ema_12 - ema_26 AS macd FROM emas),
+    ind AS (SELECT *, {span("macd", 9)} AS macd_signal, macd - ({span("macd", 9)}) AS macd_hist, ema_20 / ema_50 - 1 AS gap,
+                   CASE WHEN l14 = 0 AND g14 > 0 THEN 100.0 WHEN g14 = 0 AND l14 > 0 THEN 0.0 ELSE 100 - 100 / (1 + g14 / nullif(l14, 0)) END AS rsi_14,
+                   (value - low_20) / nullif(high_20 - low_20, 0) AS range_pos_20 FROM lines)
+"""
+VOTES = "(CASE WHEN gap > 0 THEN 1 WHEN gap < 0 THEN -1 ELSE 0 END + CASE WHEN ret_10 > 0 THEN 1 WHEN ret_10 < 0 THEN -1 ELSE 0 END + CASE WHEN rsi_14 >= 55 THEN 1 WHEN rsi_14 <= 45 THEN -1 ELSE 0 END + CASE WHEN macd_hist > 0 THEN 1 WHEN macd_hist < 0 THEN -1 ELSE 0 END)"
+
+
+def rule(up: str, down: str) -> str:
+    return q(f'SELECT series_id, rn AS "row", CASE WHEN {up} THEN 1 WHEN {down} THEN -1 ELSE 0 END AS signal FROM ind', INDICATORS)
+
+
+def excursion() -> str:
+    at = lambda k: f"lead(value, {k}) {BY}" if k > 0 else f"lag(value, {-k}) {BY}" if k < 0 else "value"
+    terms = []
+    for length in range(1, 6):
+        for place in range(length):
+            before = at(-place - 1)
+            inside = " AND ".join(f"abs({at(k - place)} / {before} - 1) >= 0.10" for k in range(length))
+            terms.append(f"coalesce(abs({at(length - place)} / {before} - 1) <= 0.02 AND {inside}, false)")
+    return " OR ".join(terms)
+
+
+#: Signals of the one trend rule, the last 20 % as holdout, five folds of 120 before it, targets inside each slice.
+BACKTEST = f"""
+    emas AS (SELECT *, {span("value", 20)} AS ema_20, {span("value", 50)} AS ema_50, lead(value, 5) {BY} / value - 1 AS y FROM pos),
+    sig AS (SELECT *, CASE WHEN ema_20 / ema_50 - 1 > 0.003 THEN 1 WHEN ema_20 / ema_50 - 1 < -0.003 THEN -1 ELSE 0 END AS signal FROM emas),
+    ends AS (SELECT series_id, CAST(count(*) AS INTEGER) AS n, CAST(round_even(count(*) * 0.8, 0) AS INTEGER) AS dev_end FROM pos GROUP BY 1),
+    folds AS (
+        SELECT series_id, 0 AS fold, dev_end AS train_end, dev_end AS valid_from, n AS valid_to FROM ends
+        UNION ALL
+        SELECT series_id, CAST(f AS INTEGER), CAST(dev_end - 5 - 600 + (f - 1) * 120 - 5 AS INTEGER), CAST(dev_end - 5 - 600 + (f - 1) * 120 AS INTEGER), CAST(dev_end - 5 - 600 + f * 120 AS INTEGER)
+        FROM ends, range(1, 6) t(f) WHERE dev_end - 5 - 600 > 100),
+    train AS (SELECT s.*, fold FROM sig s JOIN folds f ON s.series_id = f.series_id AND rn + 5 < train_end),
+    cap AS (SELECT series_id, fold, greatest(quantile_cont(abs(y), 0.9), 1e-6) AS cap FROM train GROUP BY ALL),
+    raw AS (SELECT series_id, fold, signal, count(*) AS n_train, CASE WHEN count(*) >= 20 THEN quantile_cont(y, 0.5) ELSE avg(y) END AS e FROM train GROUP BY ALL),
+    expected AS (SELECT r.series_id, r.fold, signal, n_train, greatest(-cap, least(cap, e)) AS expected FROM raw r JOIN cap c ON r.series_id = c.series_id AND r.fold = c.fold),
+    pred AS (
+        SELECT s.*, f.fold, coalesce(e.expected, 0.0) AS p
+        FROM sig s JOIN folds f ON s.series_id = f.series_id AND rn >= valid_from AND rn + 5 < valid_to
+        LEFT JOIN expected e ON e.series_id = s.series_id AND e.fold = f.fold AND e.signal = s.signal),
+    scored AS (
+        SELECT series_id, fold, avg(abs(value * (p - y))) AS mae, avg(abs(value * y)) AS mae_naive, sqrt(avg((value * (p - y)) * (value * (p - y)))) AS rmse,
+               sqrt(avg((value * y) * (value * y))) AS rmse_naive, avg(CASE WHEN p <> 0 THEN CASE WHEN sign(p) = sign(y) THEN 1.0 ELSE 0.0 END END) AS da,
+               avg(CASE WHEN signal <> 0 THEN 1.0 ELSE 0.0 END) AS coverage, count(*) AS n
+        FROM pred GROUP BY ALL)
+"""
+SCORES = ", ".join(f"{six(e)} AS {n}" for e, n in (("mae", "mae"), ("mae_naive", "mae_naive"), ("mae / mae_naive", "mae_ratio"), ("rmse", "rmse"), ("rmse_naive", "rmse_naive"), ("rmse / rmse_naive", "rmse_ratio"), ("da", "directional_accuracy"), ("coverage", "signal_coverage")))
+SUMMARY = """
+    s AS (SELECT series_id, avg(mae / mae_naive) AS ratio, quantile_cont(mae / mae_naive, 0.5) AS middle, avg(da) AS da, avg(coverage) AS cov FROM scored WHERE fold > 0 GROUP BY 1)
+"""
+
+#: Usable rows, the last 15 % as test, development rows with targets before it, five folds of 150.
+DATASET = f"""
+    f AS (SELECT *, lag(value, 60) {BY} AS v60, CASE WHEN rn >= 20 THEN stddev_samp(r) {over(20)} END AS vol, lead(value, 5) {BY} AS tv, lead(date, 5) {BY} AS td FROM ret),
+    use0 AS (SELECT *, row_number() {BY} - 1 AS k, count(*) OVER (PARTITION BY series_id) AS n FROM f WHERE rn >= 30),
+    use1 AS (SELECT *, max(CASE WHEN k = CAST(round_even(n * 0.85, 0) AS INTEGER) THEN rn END) OVER (PARTITION BY series_id) AS t0, tv / value - 1 AS y FROM use0),
+    ds0 AS (SELECT *, CASE WHEN rn >= t0 THEN 'test' WHEN rn + 5 < t0 THEN 'dev' ELSE 'purged' END AS split FROM use1 WHERE y IS NOT NULL),
+    ds AS (SELECT *, row_number() OVER (PARTITION BY series_id, split ORDER BY rn) - 1 AS dev_row, count(*) OVER (PARTITION BY series_id, split) AS n_dev FROM ds0),
+    wf AS (SELECT DISTINCT series_id, f AS fold, n_dev - 150 * (6 - f) AS valid_from FROM ds, range(1, 6) t(f) WHERE split = 'dev' AND n_dev >= 955),
+    base AS (
+        SELECT d.series_id, 'wf' AS split, fold, rn, value AS v, tv AS a, y, pow(value / v60, 5 / 60.0) - 1 AS dr, vol * sqrt(5) AS sigma
+        FROM ds d JOIN wf ON d.series_id = wf.series_id AND d.split = 'dev' AND dev_row >= valid_from AND dev_row < valid_from + 150
+        UNION ALL
+        SELECT series_id, 'holdout', 0, rn, value, tv, y, pow(value / v60, 5 / 60.0) - 1, vol * sqrt(5) FROM ds WHERE split = 'test'),
+    long AS (
+        SELECT series_id, split, fold, rn, v, a, y, 'naive' AS model, 0.0 AS p, v AS pv FROM base
+        UNION ALL SELECT series_id, split, fold, rn, v, a, y, 'drift', dr, v * (1 + dr) FROM base WHERE dr IS NOT NULL),
+    met AS (
+        SELECT series_id, split, model, count(*) AS n, avg(abs(pv - a)) AS mae, sqrt(avg((pv - a) * (pv - a))) AS rmse, 100 * avg(abs(pv - a) / abs(a)) AS mape,
+               100 * avg(2 * abs(pv - a) / (abs(a) + abs(pv))) AS smape, avg(pv - a) AS bias, 1 - sum((pv - a) * (pv - a)) / (count(*) * var_pop(a)) AS r2_level,
+               1 - sum((p - y) * (p - y)) / (count(*) * var_pop(y)) AS r2_return, 1 - sum((p - y) * (p - y)) / sum(y * y) AS r2_oos,
+               avg(CASE WHEN model <> 'naive' AND p <> 0 AND y <> 0 THEN CASE WHEN sign(p) = sign(y) THEN 1.0 ELSE 0.0 END END) AS da
+        FROM long GROUP BY ALL)
+"""
+CALIBRATION = """
+    floors AS (SELECT series_id, quantile_cont(sigma, 0.1) AS fl FROM base WHERE split = 'wf' GROUP BY 1),
+    res AS (SELECT b.series_id, abs(y) AS r, abs(y) / greatest(sigma, fl) AS z, fl FROM base b JOIN floors f ON b.series_id = f.series_id WHERE split = 'wf'),
+    cal AS (SELECT series_id, count(*) AS n, list_sort(list(r))[CAST(least(ceil((count(*) + 1) * 0.9), count(*)) AS INTEGER)] AS q_abs, max(fl) AS fl,
+                   list_sort(list(z))[CAST(least(ceil((count(*) + 1) * 0.9), count(*)) AS INTEGER)] AS q_norm FROM res GROUP BY 1)
+"""
+
+
+def dataset(body: str, extra: str = "") -> str:
+    return q(body, f"{RET}, {DATASET}{',' + extra if extra else ''}")
+
+
+def paths(slope: str, name: str) -> str:
+    extra = f"steps AS (SELECT *, value - {lag(1)} AS d FROM pos), e AS (SELECT series_id, count(*) AS n, min_by(value, rn) AS a, max_by(value, rn) AS z, coalesce(stddev_samp(d), 1.0) AS s FROM steps GROUP BY 1)"
+    v = f"(z + {slope} * h)"
+    bands = ", ".join(f"{six(f'{v} + ({sign}{z} * (s * sqrt(h)))')} AS {side}{b}" for b, z in ((80, 1.2815515655), (95, 1.9599639845)) for side, sign in (("lower", "-"), ("upper", "+")))
+    return q(f"SELECT series_id, '{name}' AS model, CAST(h AS INTEGER) AS horizon, {six(v)} AS value, {six('s')} AS spread, {bands} FROM e, range(1, 21) t(h)", extra)
+
+
+def literals(rows: list[str]) -> str:
+    return ", ".join(f"({k}, '{v}')" for k, v in enumerate(rows))
+
+
+RAW = """
+    priced AS (SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS price, o_orderkey % 97 AS m FROM orders),
+    raw AS (
+        SELECT o_orderstatus AS series_id, o_orderkey AS row_in_file, CASE WHEN o_orderkey % 89 = 1 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date_raw,
+               CASE m WHEN 1 THEN '' WHEN 2 THEN 'nan' WHEN 3 THEN 'n/a' WHEN 4 THEN '-' || price WHEN 5 THEN replace(price, '.', ',') WHEN 6 THEN '1,' || price ELSE price END AS value_raw
+        FROM priced),
+    cleaned AS (SELECT *, CASE WHEN contains(value_raw, ',') AND NOT contains(value_raw, '.') THEN replace(value_raw, ',', '.') ELSE value_raw END AS t FROM raw),
+    typed AS (SELECT *, TRY_CAST(date_raw AS DATE) AS date, CASE WHEN t IN ('', 'nan', 'None', 'null') THEN NULL ELSE TRY_CAST(t AS DOUBLE) END AS value FROM cleaned),
+    flagged AS (SELECT *, CASE WHEN date IS NULL THEN 'invalid_date' WHEN value IS NULL THEN 'missing_or_not_numeric' WHEN value <= 0 THEN 'not_positive' END AS reason FROM typed)
+"""
+UPSERT = f"""
+    old AS (SELECT series_id, date, value FROM pos WHERE date < DATE '{SPLIT_DAY}'),
+    new AS (SELECT series_id, date, CASE WHEN rn % 7 = 0 THEN value + 1 ELSE value END AS value FROM pos WHERE date >= DATE '{SPLIT_DAY}' - 90),
+    m AS (SELECT coalesce(n.series_id, o.series_id) AS series_id, coalesce(n.date, o.date) AS date, coalesce(n.value, o.value) AS value,
+                 CASE WHEN o.value IS NULL THEN 'added' WHEN abs(n.value - o.value) > 1e-9 THEN 'corrected' ELSE 'unchanged' END AS status
+          FROM old o FULL JOIN new n ON o.series_id = n.series_id AND o.date = n.date)
+"""
+#: A scraped number's text t with a decimal point: of comma and point the last is the decimal sign.
+QUOTED = "CASE WHEN contains(t, ',') AND contains(t, '.') THEN CASE WHEN instr(reverse(t), ',') < instr(reverse(t), '.') THEN replace(replace(t, '.', ''), ',', '.') ELSE replace(t, ',', '') END ELSE replace(t, ',', '.') END"
+ROW = 'series_id, rn AS "row"'
+PCT = f"p AS (SELECT *, (value - {lag(1)}) / {lag(1)} * 100 AS pct FROM pos)"
+LAST20 = "recent AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY rn DESC) AS age FROM p)"
+LATER = ", ".join(f"CAST(f + CAST({n} + 2 * floor((wd + {n}) / 5) AS INTEGER) AS DATE) AS later_{n}" for n in (1, 5, 8, 20))
+
+SQL = {
+    "series_position": q('SELECT series_id, date, value, rn AS "row" FROM pos'),
+    "ship_series_position": """SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS value,
+        CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY CAST(l_shipdate AS DATE)) - 1 AS INTEGER) AS "row" FROM lineitem GROUP BY l_returnflag, CAST(l_shipdate AS DATE)""",
+    "event_series_position": 'SELECT event_type AS series_id, ts, value, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS INTEGER) AS "row" FROM events',
+    "pct_change": q(f"SELECT {ROW}, {', '.join(f'value / {lag(k)} - 1 AS ret_{k}' for k in (1, 3, 5, 10, 20))} FROM pos"),
+    "lag_features": q(f"SELECT {ROW}, {', '.join(f'{lag(k)} AS lag_{k}, {lag(k)} / value - 1 AS lag_{k}_rel' for k in LAGS)}, {', '.join(f'value / {lag(k)} - 1 AS variation_{k}' for k in VARIATIONS)} FROM pos"),
+    "rolling_mean": q(f"SELECT {ROW}, {', '.join(f'CASE WHEN rn >= {k - 1} THEN {six(f"avg(value) {over(k)}")} END AS rolling_mean_{k}, CASE WHEN rn >= {k - 1} THEN {six(f"avg(value) {over(k)} / value - 1")} END AS rolling_mean_{k}_rel' for k in MEANS)} FROM pos"),
+    "moving_averages": q(f"SELECT {ROW}, {', '.join(f'CASE WHEN rn >= {k - 1} THEN {six(f"avg(value) {over(k)} / value")} END AS ma_{k}' for k in WINDOWS)} FROM pos"),
+    "rolling_std": q(f"SELECT {ROW}, {', '.join(f'CASE WHEN rn >= {k} THEN {six(f"stddev_samp(r) {over(k)}")} END AS rolling_std_{k}, CASE WHEN rn >= {k - 1} THEN {six(f"stddev_samp(value) {over(k)}")} END AS rolling_std_{k}_level' for k in STDS)} FROM ret", RET),
+    "rolling_slope": q(f"SELECT {ROW}, {', '.join(f'CASE WHEN rn >= {k - 1} THEN {six(f"regr_slope(value, rn) {over(k)} / value")} END AS trend_{k}' for k in TRENDS)} FROM pos"),
+    "rolling_minmax": q(f"SELECT {ROW}, {', '.join(f'CASE WHEN rn >= {k - 1} THEN max(value) {over(k)} END AS high_{k}, CASE WHEN rn >= {k - 1} THEN min(value) {over(k)} END AS low_{k}' for k in RANGES)} FROM pos"),
+    "range_position": q(f"SELECT {ROW}, {six('range_pos_20')} AS range_pos_20 FROM ind", INDICATORS),
+    "ema_20_50": q(f"SELECT {ROW}, {six(span('value', 20))} AS ema_20, {six(span('value', 50))} AS ema_50 FROM pos"),
+    "ema_in_sql": q(f"SELECT {ROW}, {six(span('value', 20))} AS ema_20 FROM pos"),
+    "macd": q(f"SELECT {ROW}, {six('macd')} AS macd, {six('macd_signal')} AS macd_signal, {six('macd_hist')} AS macd_hist FROM ind", INDICATORS),
+    "rsi_14": q(f"SELECT {ROW}, {six('rsi_14')} AS rsi_14 FROM ind", INDICATORS),
+    "gap_features": q(f"SELECT {ROW}, {six('ma_5 / ma_20 - 1')} AS ma_gap_5_20, {six('ma_10 / ma_30 - 1')} AS ma_gap_10_30, {six('gap')} AS ema_gap_20_50, {six(f'ema_20 / {lag(5, "ema_20")} - 1')} AS ema_slope_20, {six('vol_10 / nullif(vol_30, 0)')} AS vol_ratio_10_30 FROM ind", INDICATORS),
+    "feature_vector": q(
+        f"SELECT {ROW}, {six('gap')} AS trend, {six('ret_10')} AS momentum_10, {six('ret_20')} AS momentum_20, {six('rsi_14')} AS rsi, {six('macd / value')} AS macd_norm, {six('macd_hist / value')} AS macd_hist_norm, {six('range_pos_20')} AS range_pos, {six('vol_20')} AS vol FROM ind QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY rn DESC) <= 28",
+        INDICATORS,
+    ),
+    "calendar_features": q(f"SELECT {ROW}, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(month(date) AS INTEGER) AS month, CAST(quarter(date) AS INTEGER) AS quarter, CAST(date - {lag(1, 'date')} AS INTEGER) AS days_since_previous_observation FROM pos"),
+    "lead_targets": q(f"SELECT {ROW}, lead(date, 5) {BY} AS target_date, lead(value, 5) {BY} AS target_value, lead(value, 5) {BY} / value - 1 AS return_h FROM pos"),
+    "drift_baseline": q(f"SELECT {ROW}, {', '.join(f'{six(f"pow(value / {lag(60)}, {h / 60!r}) - 1")} AS drift_{h}' for h in (5, 10, 20))} FROM pos"),
+    "usable_counts": q("SELECT series_id, count(*) AS n_usable, min(rn) AS first_row FROM pos WHERE rn >= 30 GROUP BY 1"),
+    "excursion_flags": q(f"SELECT {ROW}, {excursion()} AS excursion FROM pos"),
+    "robust_z_extremes": q(
+        f"SELECT r.series_id, date, {six('r')} AS ret, {six('abs(r - m) / (1.4826 * mad)')} AS robust_z FROM ret r JOIN mads USING (series_id) WHERE abs(r - m) / (1.4826 * mad) > 2.0",
+        f"{RET}, meds AS (SELECT series_id, quantile_cont(r, 0.5) AS m FROM ret GROUP BY 1), mads AS (SELECT series_id, any_value(m) AS m, quantile_cont(abs(r - m), 0.5) AS mad FROM ret JOIN meds USING (series_id) GROUP BY 1)",
+    ),
+    "gap_histogram": q(f"SELECT series_id, g AS gap_days, count(*) AS n FROM (SELECT series_id, CAST(date - {lag(1, 'date')} AS INTEGER) AS g FROM pos) WHERE g IS NOT NULL GROUP BY ALL"),
+    "gap_summary": q(f"SELECT series_id, quantile_cont(g, 0.5) AS median_gap, max(g) AS max_gap, bool_or(isodow(date) >= 6) AS has_weekend FROM (SELECT series_id, date, CAST(date - {lag(1, 'date')} AS INTEGER) AS g FROM pos) GROUP BY 1"),
+    "long_gaps": q(f"SELECT * FROM (SELECT series_id, {lag(1, 'date')} AS from_date, date AS to_date, CAST(date - {lag(1, 'date')} AS INTEGER) AS gap_days FROM pos) WHERE gap_days > 1"),
+    "weekday_histogram": q("SELECT series_id, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, count(*) AS n FROM pos GROUP BY ALL"),
+    "year_histogram": q("SELECT series_id, CAST(year(date) AS INTEGER) AS year, count(*) AS n FROM pos GROUP BY ALL"),
+    "repeated_values": q(f"SELECT series_id, count(*) FILTER (same) AS n_repeated FROM (SELECT series_id, value = {lag(1)} AS same FROM pos) GROUP BY 1"),
+    "last_observation": q(f"SELECT series_id, date, value, c AS change, abs(c) > 0.05 AS alert FROM (SELECT *, value / {lag(1)} - 1 AS c FROM pos) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY date DESC) = 1"),
+    "audit_flag_counts": f"""WITH {RAW} SELECT series_id, count(*) AS n_rows, count(*) FILTER (date IS NULL) AS bad_date, count(*) FILTER (t IN ('', 'nan', 'None', 'null')) AS missing,
+        count(*) FILTER (value IS NULL AND t NOT IN ('', 'nan', 'None', 'null')) AS non_numeric, count(*) FILTER (value <= 0) AS non_positive, CAST(0 AS BIGINT) AS non_finite FROM flagged GROUP BY 1""",
+    "quarantine": f"WITH {RAW} SELECT series_id, row_in_file, date_raw, value_raw, reason FROM flagged WHERE reason IS NOT NULL",
+    "duplicate_dates": f"WITH {RAW} SELECT series_id, date, count(*) AS n_rows, count(DISTINCT value) AS n_values FROM flagged WHERE reason IS NULL GROUP BY ALL HAVING count(*) > 1",
+    "chronological": f"WITH {RAW} SELECT series_id, NOT coalesce(bool_or(falls), false) AS chronological FROM (SELECT series_id, date < lag(date) OVER (PARTITION BY series_id ORDER BY row_in_file) AS falls FROM flagged WHERE reason IS NULL) GROUP BY 1",
+    "number_normalisers": f"""WITH raw(id, raw) AS (VALUES {literals(NUMBERS)}), s AS (SELECT id, replace(replace(trim(raw), ' ', ''), chr(160), '') AS t FROM raw),
+        n AS (SELECT id, CASE WHEN t IN ('', 'nan') THEN NULL ELSE TRY_CAST(CASE WHEN contains(t, ',') AND NOT contains(t, '.') THEN replace(t, ',', '.') ELSE t END AS DOUBLE) END AS audited,
+            TRY_CAST(nullif(nullif({QUOTED}, 'nan'), '') AS DOUBLE) AS quoted FROM s)
+        SELECT CAST(id AS INTEGER) AS id, audited, CASE WHEN id = 6 THEN CAST('nan' AS DOUBLE) ELSE quoted END AS quoted, CASE WHEN quoted BETWEEN 500 AND 10000 THEN quoted END AS believed FROM n""",
+    "date_normalisers": f"""WITH raw(id, d) AS (VALUES {literals(DATES)}), p AS (SELECT id, TRY_CAST(d AS DATE) AS iso, CAST(try_strptime(d, '%m/%d/%Y') AS DATE) AS md, CAST(try_strptime(d, '%d/%m/%Y') AS DATE) AS dm FROM raw)
+        SELECT CAST(id AS INTEGER) AS id, coalesce(iso, md) AS month_first, coalesce(iso, dm) AS day_first FROM p""",
+    "page_quotes": rf"""WITH raw(id, html) AS (VALUES {literals(PAGES)}), x AS (SELECT id, regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g') AS x FROM raw),
+        f AS (SELECT id, replace(coalesce(nullif(regexp_extract(x, '(?i)USD\s*\(cours\s+moyen\)\s*[^0-9]{{0,80}}([0-9][0-9\s.,]*)', 1), ''),
+                                          nullif(regexp_extract(x, '(?i)\bUSD\b\s*[^0-9]{{0,120}}([0-9][0-9\s.,]*)', 1), '')), ' ', '') AS t FROM x),
+        n AS (SELECT id, TRY_CAST({QUOTED} AS DOUBLE) AS v FROM f)
+        SELECT CAST(id AS INTEGER) AS id, CASE WHEN v BETWEEN 500 AND 10000 THEN v END AS rate FROM n""",
+    "page_text": r"SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g') AS text FROM pages",
+    "business_days": q(f"SELECT date, {LATER} FROM (SELECT DISTINCT date, date - CAST(greatest(isodow(date) - 5, 0) AS INTEGER) AS f, least(isodow(date) - 1, 4) AS wd FROM pos)"),
+    "collection_calendar": "SELECT CAST(d AS DATE) AS date FROM range(DATE '2024-03-05' - 40, DATE '2024-03-06', INTERVAL 1 DAY) t(d)",
+    "date_range_filter": q("SELECT series_id, date, value FROM pos QUALIFY date >= max(date) OVER (PARTITION BY series_id) - 183"),
+    "date_search_top80": q(f"SELECT series_id, date, value, {six('pct')} AS pct FROM (SELECT *, coalesce((value - {lag(1)}) / {lag(1)} * 100, 0.0) AS pct FROM pos) WHERE contains(CAST(date AS VARCHAR), '-03-') QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY date DESC) <= 80"),
+    "quartile_picks": q('SELECT series_id, date, value, rn AS "row" FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM pos) WHERE rn IN (0, floor(n * 0.25), floor(n * 0.5), floor(n * 0.75), n - 1)'),
+    "new_observations": q(f"SELECT series_id, count(*) FILTER (date > DATE '{SPLIT_DAY}') AS n_new FROM pos GROUP BY 1"),
+    "upsert_by_date": q("SELECT * FROM m", UPSERT),
+    "upsert_counts": q("SELECT series_id, count(*) AS n, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'corrected') AS corrected FROM m GROUP BY 1", UPSERT),
+    "series_overview": q("SELECT series_id, count(*) AS observations, min(date) AS start, max(date) AS last_date, min_by(value, date) AS first_value, max_by(value, date) AS last_value, min(value) AS value_min, max(value) AS value_max FROM pos GROUP BY 1"),
+    "pct_summary": q(f"SELECT series_id, {six('avg(pct)')} AS average, {six('stddev_samp(pct)')} AS std FROM p GROUP BY 1", PCT),
+    "recent_stats": q(f"SELECT series_id, {six('max_by(pct, rn)')} AS last_pct, {six('avg(value)')} AS average, {six('stddev_samp(pct)')} AS volatility, {six('greatest(0.0, least(100.0, (avg(value) - min(value)) / (max(value) - min(value)) * 100))')} AS marker FROM recent WHERE age <= 20 GROUP BY 1", f"{PCT}, {LAST20}"),
+    "technical_snapshot": q(
+        f"SELECT series_id, date, value, {six('ema_20')} AS ema_20, {six('ema_50')} AS ema_50, {six('gap')} AS ema_gap_20_50, {six('rsi_14')} AS rsi_14, {six('macd')} AS macd, {six('macd_hist')} AS macd_hist, {six('ret_10 * 100')} AS momentum_10_pct, {six('ret_20 * 100')} AS momentum_20_pct, {six('vol_20 * 100')} AS volatility_20_pct, {six('range_pos_20')} AS range_position_20 FROM ind QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY rn DESC) = 1",
+        INDICATORS,
+    ),
+    "published_envelope": q("SELECT series_id, date, value FROM pos"),
+    "naive_paths": paths("0.0", "naive"),
+    "drift_paths": paths("((z - a) / (n - 1))", "drift"),
+    "recent_drift_paths": q(
+        f"SELECT series_id, CAST(h AS INTEGER) AS horizon, {six('z + h * s')} AS value, 12.0::DOUBLE AS spread, {', '.join(f'{six(f"z + h * s + ({sign}{z} * (12.0 * sqrt(h)))")} AS {side}{b}' for b, z in ((80, 1.28), (95, 1.96)) for side, sign in (('lower', '-'), ('upper', '+')))} FROM e, range(1, 31) t(h)",
+        f"steps AS (SELECT *, value - {lag(1)} AS d, row_number() OVER (PARTITION BY series_id ORDER BY rn DESC) AS age FROM pos), e AS (SELECT series_id, max_by(value, rn) AS z, avg(d) FILTER (age <= 60) AS s FROM steps GROUP BY 1 HAVING count(*) >= 30)",
+    ),
+    "variation_since_last": q(f"SELECT series_id, date, {six('d')} AS delta FROM (SELECT *, value - {lag(1)} AS d FROM pos) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY rn DESC) <= 70"),
+    "signal_ma": rule("gap > 0.003", "gap < -0.003"),
+    "signal_ma_rsi": rule("gap > 0.003 AND rsi_14 >= 55", "gap < -0.003 AND rsi_14 <= 45"),
+    "signal_trend_momentum": rule("gap > 0.003 AND ret_10 > 0", "gap < -0.003 AND ret_10 < 0"),
+    "signal_combo": rule(f"gap IS NOT NULL AND {VOTES} >= 2", f"gap IS NOT NULL AND {VOTES} <= -2"),
+    "signal_combo_strict": rule(f"gap + ret_10 + rsi_14 + macd_hist IS NOT NULL AND {VOTES} >= 2", f"gap + ret_10 + rsi_14 + macd_hist IS NOT NULL AND {VOTES} <= -2"),
+    "candidate_grid": """SELECT strategy, CAST(fast AS INTEGER) AS fast, CAST(slow AS INTEGER) AS slow, CAST(n AS BIGINT) AS n
+        FROM (VALUES ('ma', 3), ('ma_rsi', 24), ('trend_momentum', 6), ('combo', 72)) s(strategy, n), (VALUES (5), (10), (20)) f(fast), (VALUES (30), (50), (100)) g(slow)""",
+    "unchosen_candidates": "SELECT CAST(945 - 360 AS BIGINT) AS n",
+    "fold_range_join": q(
+        """SELECT f.series_id, fold, role, count(*) AS n, min(rn) AS first_row, max(rn) AS last_row
+           FROM (SELECT s.series_id, fold, rn, CASE WHEN rn + 5 < train_end THEN 'train' WHEN rn >= valid_from AND rn + 5 < valid_to THEN 'valid' END AS role
+                 FROM pos s JOIN folds ON s.series_id = folds.series_id WHERE fold > 0) f WHERE role IS NOT NULL GROUP BY ALL""",
+        BACKTEST,
+    ),
+    "signal_expectation": q(f"SELECT series_id, signal, n_train, {six('expected')} AS expected FROM expected WHERE fold = 0", BACKTEST),
+    "strategy_holdout_metrics": q(f"SELECT series_id, {SCORES}, n FROM scored WHERE fold = 0", BACKTEST),
+    "walk_forward_metrics": q(f"SELECT series_id, fold, {SCORES}, n FROM scored WHERE fold > 0", BACKTEST),
+    "fold_summary": q(
+        f"SELECT series_id, {six('ratio')} AS mae_ratio_mean, {six('middle')} AS mae_ratio_median, {six('da')} AS directional_accuracy_mean, {six('cov')} AS signal_coverage_mean, {six('least(greatest(ratio - 1, -0.5), 1.0) - 0.5 * greatest(da - 0.5, -0.25) + 0.05 * abs(cov - 0.6)')} AS composite FROM s",
+        f"{BACKTEST}, {SUMMARY}",
+    ),
+    "deploy_rule": q("SELECT s.series_id, CASE WHEN ratio < 1 AND mae / mae_naive < 1 THEN 'ma' ELSE 'naive' END AS selected_model FROM s JOIN scored h ON s.series_id = h.series_id AND h.fold = 0", f"{BACKTEST}, {SUMMARY}"),
+    "holdout_predictions": q(f"SELECT series_id, date, value, {six('value * (1 + y)')} AS actual_value, {six('value * (1 + p)')} AS pred_value, {six('y')} AS actual_return, {six('p')} AS pred_return, signal FROM pred WHERE fold = 0", BACKTEST),
+    "live_forecast": q(
+        f"""SELECT l.series_id, l.date, l.value, l.signal, {six("greatest(-c.cap, least(c.cap, CASE WHEN b.n_same >= 20 THEN b.mid WHEN b.n_same > 0 THEN b.mean ELSE 0 END))")} AS expected_return,
+            {six("l.value * (1 + CASE WHEN n_same < 30 THEN lo_all ELSE lo_same END)")} AS lower, {six("l.value * (1 + CASE WHEN n_same < 30 THEN hi_all ELSE hi_same END)")} AS upper
+            FROM latest l JOIN bands b ON l.series_id = b.series_id JOIN caps c ON c.series_id = l.series_id""",
+        f"""{BACKTEST}, latest AS (SELECT series_id, date, value, signal FROM sig QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY rn DESC) = 1),
+            caps AS (SELECT series_id, greatest(quantile_cont(abs(y), 0.9), 1e-6) AS cap FROM sig WHERE y IS NOT NULL GROUP BY 1),
+            bands AS (SELECT s.series_id, count(*) FILTER (s.signal = l.signal) AS n_same, quantile_cont(y, 0.5) FILTER (s.signal = l.signal) AS mid, avg(y) FILTER (s.signal = l.signal) AS mean,
+                quantile_cont(y, 0.1) FILTER (s.signal = l.signal) AS lo_same, quantile_cont(y, 0.9) FILTER (s.signal = l.signal) AS hi_same, quantile_cont(y, 0.1) AS lo_all, quantile_cont(y, 0.9) AS hi_all
+                FROM sig s JOIN latest l ON s.series_id = l.series_id WHERE y IS NOT NULL GROUP BY 1)""",
+    ),
+    "horizon_split": dataset("SELECT series_id, split, count(*) AS n, min(rn) AS first_row, max(rn) AS last_row FROM ds GROUP BY ALL"),
+    "training_folds": dataset("SELECT series_id, CAST(fold AS INTEGER) AS fold, CAST(valid_from - 5 AS INTEGER) AS train_end, CAST(valid_from AS INTEGER) AS valid_from, CAST(valid_from + 150 AS INTEGER) AS valid_to FROM wf"),
+    "metric_block_naive_drift": dataset(
+        f"""SELECT series_id, 5 AS horizon, split, model, n, {", ".join(f"{six(e)} AS {name}" for e, name in (("mae", "mae"), ("rmse", "rmse"), ("mape", "mape_pct"), ("smape", "smape_pct"), ("bias", "bias"), ("r2_level", "r2_level"), ("r2_return", "r2_return"), ("r2_oos", "r2_oos_vs_naive"), ("da", "directional_accuracy")))},
+            {six("mae / max(CASE WHEN model = 'naive' THEN mae END) OVER (PARTITION BY series_id, split)")} AS mae_ratio_vs_naive, {six("rmse / max(CASE WHEN model = 'naive' THEN rmse END) OVER (PARTITION BY series_id, split)")} AS rmse_ratio_vs_naive FROM met"""
+    ),
+    "fold_metrics": dataset(f"SELECT series_id, CAST(fold AS INTEGER) AS fold, model, count(*) AS n, {six('avg(abs(pv - a))')} AS mae, {six('sqrt(avg((pv - a) * (pv - a)))')} AS rmse FROM long WHERE split = 'wf' GROUP BY ALL"),
+    "cumulative_gain": dataset(f"SELECT {ROW}, {six(f'sum(abs(v - a) - abs(v * (1 + dr) - a)) OVER (PARTITION BY series_id ORDER BY rn)')} AS cumulative_gain FROM base WHERE split = 'holdout'"),
+    "conformal_interval_naive": dataset(f"SELECT series_id, 5 AS horizon, n AS n_calibration, {six('q_abs')} AS q_abs, {six('fl')} AS sigma_floor, {six('q_norm')} AS q_norm FROM cal", CALIBRATION),
+    "interval_coverage_naive": dataset(
+        f"SELECT b.series_id, 5 AS horizon, split, {six('avg(CASE WHEN abs(y) <= q_norm * greatest(sigma, fl) THEN 1.0 ELSE 0.0 END)')} AS empirical_coverage, {six('avg(v * 2 * q_norm * greatest(sigma, fl))')} AS mean_width, count(*) AS n FROM base b JOIN cal c ON b.series_id = c.series_id WHERE split = 'holdout' GROUP BY b.series_id, split",
+        CALIBRATION,
+    ),
+}

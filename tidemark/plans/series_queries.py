@@ -56,7 +56,8 @@ def rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def moving_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = positioned(spark, sf_dir).select("series_id", "row", *[rolling(F.avg("value").over(last(k)), k).alias(f"ma_{k}") for k in indicators.WINDOWS])
+    """Relative to the value: sums of cents have exact ties at any digit, ratios hardly."""
+    s = positioned(spark, sf_dir).select("series_id", "row", *[(rolling(F.avg("value").over(last(k)), k) / F.col("value")).alias(f"ma_{k}") for k in indicators.WINDOWS])
     return six(s, *[f"ma_{k}" for k in indicators.WINDOWS])
 
 
