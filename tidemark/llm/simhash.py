@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
@@ -226,21 +227,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return sigs.select("id", "w0").join(groups, names).select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
-#: Of the 512 check bits as many may differ as the angle between two texts' shingle vectors explains at a Jaccard
-#: similarity of 0.8: acos(2 * 0.8 / 1.8) / pi = 0.15 of them, and a little for the estimate's own error.
-TABLES, CHECKS, CHECK_BITS = 3, 8, 80
+TABLES, CHECKS = 3, 8
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tables: int = TABLES, checks: int = CHECKS, max_bits: int = CHECK_BITS, bytes_shared: int = 4) -> DataFrame:
+def bits_at(similarity: float, bits: int) -> int:
+    """Bits of SimHash that may differ at a Jaccard similarity: those that the angle between the texts' shingle vectors
+    explains, acos(2 s / (1 + s)) / pi of all, and one standard error of that estimate."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = TABLES, checks: int = CHECKS, bytes_shared: int = 4) -> DataFrame:
     """The rows of docs but for near copies: of each component the row with the smallest id stays.
 
-    A link asks for 8 * checks bytes of SimHash over `shingle`-word shingles in which at most max_bits bits
-    differ (a similarity of 0.8 or more).  At that similarity 64 bits over shingles differ in 9 bits or so, where no
+    A link asks for 8 * checks bytes of SimHash over `shingle`-word shingles that differ in no more bits than
+    bits_at(similarity) allows.  At a similarity of 0.8, 64 bits over shingles differ in 9 bits or so, where no
     byte need be equal; so the index is built on SimHash of the distinct words, which a few changed words hardly move, in
     `tables` independent tables of 64 bits.  Wordless texts are all one group.  docs must be a table that reads
     alike each time (row numbers tie the result to it).
     """
-    width = tables + checks
+    width, max_bits = tables + checks, bits_at(similarity, 64 * checks)
     sigs = stored(signatures(docs, id_col, text_col, lambda t: wide_fingerprint(t, shingle, tables, checks), width), "signatures")
     groups, _ = _groups(sigs, width, lambda nodes: near_links(nodes, tables, list(range(tables, width)), max_bits, bytes_shared))
     (row,) = fresh(docs, "nd_row")
