@@ -146,3 +146,52 @@ def test_rolling_selection(series):
     chosen = forecast.model_scores(forecast.rolling_scores(series, ["naive"]))
     paths = forecast.forecast_paths(series, chosen).where("series_id = 'long'").orderBy("horizon").toPandas()
     assert len(paths) == 20 and (paths.lower95 < paths.lower80).all() and (paths.upper80 > paths.value).all()
+
+
+def test_models_survive_a_table(spark, series, tmp_path):
+    feats = staged(features.with_features(series), "f")
+    d = staged(evaluation.horizon_dataset(feats, 5), "d")
+    best = spark.createDataFrame([("long", json.dumps({"n_estimators": 15}))], "series_id string, params string")
+    learning.fit_models(d, best, 5, splits="'dev'").write.parquet(str(tmp_path / "m"))
+    got = learning.predict(spark.read.parquet(str(tmp_path / "m")), feats).select("series_id", "row", F.col("pred_return").alias("again"))
+    both = learning.holdout_predictions(d, best).join(got, ["series_id", "row"]).toPandas()
+    assert len(both) > 100
+    np.testing.assert_allclose(both.again, both.pred_return)
+
+
+def test_leak_checks(series):
+    from tidemark.operators import leakage
+
+    feats = staged(features.with_features(series), "f")
+    rows = leakage.feature_checks(series, [31, 150, 299]).collect()
+    assert {(r.series_id, r.check, r.n) for r in rows} == {(s, c, 3) for s in ("long", "short") for c in ("truncation", "perturbation")}
+    rows += leakage.target_checks(series, feats, 5).collect() + leakage.split_checks(feats, 5).collect()
+    assert all(r.ok for r in rows) and len(rows) >= 12
+    late = series.withColumn("value", F.lead("value", 1).over(features.by_row())).dropna()
+    assert not all(r.ok for r in leakage.target_checks(late, feats, 5).collect())
+    with pytest.raises(ValueError):
+        leakage.require_history(series, 301)
+    assert leakage.require_history(series, 300) is series
+
+
+def test_workflows(spark, series, tmp_path):
+    from tidemark.plans import workflows
+
+    raw = series.where("series_id = 'long'").select("series_id", F.col("row").alias("row_in_file"), F.col("date").cast("string").alias("date_raw"), F.col("value").cast("string").alias("value_raw"))
+    got = workflows.train(spark, raw, str(tmp_path / "train"), draws=0, horizons=[5])[5].first()
+    assert got.lower < got.value < got.upper and got.selected_model in ("trees", "naive") and got.approx_target_date > got.date
+    assert spark.read.parquet(str(tmp_path / "train/h=5/importances")).count() == 31
+    summary = workflows.search_strategies(spark, series.where("series_id = 'long'"), str(tmp_path / "strategy"), limit=8, horizons=[5, 10]).collect()
+    assert [r.horizon for r in sorted(summary)] == [5, 10]
+    known, observed = series.where("row < 290").drop("row"), series.where("row >= 285").drop("row")
+    paths = workflows.refresh(spark, known, observed, str(tmp_path / "site")).collect()
+    assert {r.series_id for r in paths} == {"long", "short"} and len(paths) == 40
+    assert {r.added for r in spark.read.json(str(tmp_path / "site/status")).collect()} == {10, 1010}
+
+
+def test_latest_quote(spark):
+    from tidemark.functions.scalars import latest_quote
+
+    pages = ["<h1>Marché officiel des changes</h1> 09/11/2026 <b>1 USD = 2 260,96 CDF</b>", "marché officiel des changes 31/12/2024 1 USD = 1.234,5 CDF", "1 USD = 5 CDF", "Marché officiel des changes 01/01/2024 1 USD = 1,2,3 CDF"]
+    got = spark.createDataFrame(list(enumerate(pages)), "k int, html string").select("k", latest_quote(F.col("html")).alias("q")).orderBy("k").collect()
+    assert [r.q and (str(r.q.date), r.q.value) for r in got] == [("2026-11-09", 2260.96), ("2024-12-31", 1234.5), None, None]

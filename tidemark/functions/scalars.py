@@ -67,6 +67,18 @@ def quote_rate(html: Column) -> Column:
     return plausible(quoted_number(quote_text(html)))
 
 
+def latest_quote(html: Column) -> Column:
+    """date and value of the newest quote on the market page; null unless both are there.
+
+    The value stands as "1 USD = X CDF", the day as DD/MM/YYYY after the market's name.  No range is asked for, and a value without
+    a point has only its first comma replaced, so that a second one makes it no number.
+    """
+    text = plain_text(html)
+    day = F.regexp_extract(text, r"(?iu)March\u00e9 officiel des changes\s+(\d{2}/\d{2}/\d{4})", 1)
+    value = quoted_number(F.regexp_replace(F.regexp_extract(text, r"(?i)1\s*USD\s*=\s*([0-9\s.,]+)\s*CDF", 1), r"[\s\u202f]", ""))
+    return F.when((day != "") & value.isNotNull(), F.struct(F.try_to_timestamp(day, F.lit("dd/MM/yyyy")).cast("date").alias("date"), value.alias("value")))
+
+
 def parsed_date(raw: Column, day_first: bool = False) -> Column:
     """Date of a text, null where it is none.  ISO dates always count; other orders by day_first."""
     iso = F.try_to_timestamp(raw, F.lit("yyyy-MM-dd")).cast("date")

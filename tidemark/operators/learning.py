@@ -82,6 +82,43 @@ def holdout_predictions(dataset: DataFrame, best: DataFrame, kind: str = "scale_
     return rows.groupBy("series_id").applyInPandas(run, "series_id string, row int, value double, actual_return double, pred_return double")
 
 
+#: A fitted model as rows, one for each node of each tree.
+NODES = "series_id string, horizon int, depth int, base double, tree int, node int, feature int, threshold double, left_child int, leaf double"
+
+
+def fit_models(dataset: DataFrame, best: DataFrame, h: int, kind: str = "scale_free", splits: str = "'dev', 'test', 'purged'") -> DataFrame:
+    """Fitted trees of each series as a table that any writer can keep, one row for each node."""
+    rows = dataset.where(f"split in ({splits})").select("series_id", "row", "return_h", *feature_names(kind)).join(best.select("series_id", "params"), "series_id")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("row")
+        model = boosted.fit(_matrix(part, kind), SCALE * part["return_h"].to_numpy(), json.loads(part["params"].iloc[0]), SEED)
+        head = part["series_id"].iloc[0], h, model.params["max_depth"], model.base
+        nodes = [(*head, k, j, *node) for k, tree in enumerate(model.trees) for j, node in enumerate(tree)]
+        return pd.DataFrame(nodes, columns=[c.split()[0] for c in NODES.split(", ")])
+
+    return rows.groupBy("series_id").applyInPandas(run, NODES)
+
+
+def predict(models: DataFrame, features: DataFrame, kind: str = "scale_free") -> DataFrame:
+    """Predicted return of each row of features by its series' models: series_id, horizon, row, date, value, pred_return."""
+    names = feature_names(kind)
+
+    def run(key: tuple, rows: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (horizon, depth, base), nodes in fitted.groupby(["horizon", "depth", "base"]):
+            columns = ["feature", "threshold", "left_child", "leaf"]
+            trees = [list(t[columns].itertuples(index=False, name=None)) for _, t in nodes.sort_values(["tree", "node"]).groupby("tree")]
+            model = boosted.Regressor({"max_depth": depth}, base, trees)
+            part = rows[["series_id", "row", "date", "value"]].copy()
+            part.insert(1, "horizon", horizon)
+            out.append(part.assign(pred_return=model.predict(rows[names].to_numpy(float)) / SCALE))
+        return pd.concat(out) if out else pd.DataFrame(columns=["series_id", "horizon", "row", "date", "value", "pred_return"])
+
+    slim = features.dropna(subset=names).select("series_id", "row", "date", "value", *names)
+    return slim.groupBy("series_id").cogroup(models.groupBy("series_id")).applyInPandas(run, "series_id string, horizon int, row int, date date, value double, pred_return double")
+
+
 def importances(dataset: DataFrame, best: DataFrame, h: int, kind: str = "scale_free", repeats: int = REPEATS) -> DataFrame:
     """Normalised split gain, and the rise of the test error when a feature is permuted (mean, std over repeats), with ranks."""
     rows = dataset.where("split in ('dev', 'test')").select("series_id", "row", "split", "value", "return_h", *feature_names(kind)).join(best.select("series_id", "params"), "series_id")
