@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one window partition should hold; hash buckets are made so small.
-ROWS_PER_CELL = 50_000
+ROWS_PER_CELL = 8_000
 
 #: Java's pattern for a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -8,7 +8,7 @@ import numpy as np
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words that a Python worker remembers from before and since it last made room, each; the longest of them.
-WORDS, LONGEST = 700_000, 32
+WORDS, LONGEST = 500_000, 32
 
 
 def _byte_letters() -> dict[int, str]:
