@@ -20,7 +20,7 @@ def audit_text(raw: Column) -> Column:
 
 def to_double(text: Column) -> Column:
     """The number that a text spells, null where it spells none (type suffixes such as 1d or 2f are no numbers)."""
-    return F.when(~text.rlike("(?i)[df]$") | text.rlike("(?i)^[+-]?inf$"), text.try_cast("double"))
+    return F.when(~text.rlike("(?i)[0-9.][df]$"), text.try_cast("double"))
 
 
 def audit_number(raw: Column) -> Column:
@@ -81,8 +81,8 @@ def latest_quote(html: Column) -> Column:
 
 def parsed_date(raw: Column, day_first: bool = False) -> Column:
     """Date of a text, null where it is none.  ISO dates always count; other orders by day_first."""
-    iso = F.try_to_timestamp(raw, F.lit("yyyy-MM-dd")).cast("date")
-    other = F.try_to_timestamp(raw, F.lit("d/M/yyyy" if day_first else "M/d/yyyy")).cast("date")
+    iso = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), raw.try_cast("date"))
+    other = F.when(raw.contains("/"), F.try_to_timestamp(raw, F.lit("d/M/yyyy" if day_first else "M/d/yyyy")).cast("date"))
     return F.coalesce(iso, other)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.univariate import MODELS, fit_forecast
+from tidemark.sources.staging import spread
 
 HORIZONS, ORIGINS, WINDOW, LEAST = [5, 10, 20], 12, 730, 100
 Z80, Z95 = 1.2815515655, 1.9599639845
@@ -39,7 +40,7 @@ def rolling_scores(series: DataFrame, models: list[str] = MODELS) -> DataFrame:
                     out.append((key, name, h, int(origin), float(np.abs(actual[:h] - path[:h]).mean()) / base))
         return pd.DataFrame(out, columns=["series_id", "model", "h", "origin", "ratio"])
 
-    return slim.groupBy("series_id", "model").applyInPandas(run, "series_id string, model string, h int, origin int, ratio double")
+    return spread(slim, "series_id", "model").groupBy("series_id", "model").applyInPandas(run, "series_id string, model string, h int, origin int, ratio double")
 
 
 def model_scores(scores: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def forecast_paths(series: DataFrame, chosen: DataFrame, horizon: int = max(HORI
         path, spread = fit_forecast(part["model"].iloc[0], part.sort_values("row")["value"].to_numpy(float), horizon)
         return pd.DataFrame({"series_id": part["series_id"].iloc[0], "model": part["model"].iloc[0], "horizon": np.arange(1, horizon + 1, dtype=np.int32), "value": path, "spread": spread})
 
-    return with_bands(window.groupBy("series_id").applyInPandas(run, "series_id string, model string, horizon int, value double, spread double"))
+    return with_bands(spread(window, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, model string, horizon int, value double, spread double"))
 
 
 def with_bands(paths: DataFrame, z80: float = Z80, z95: float = Z95) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import boosted
 from tidemark.operators.evaluation import walk_forward_folds
 from tidemark.operators.features import feature_names
+from tidemark.sources.staging import spread
 
 #: Targets are fitted in per cent, so that penalties mean the same at every level.
 SCALE, SEED, REPEATS = 100.0, 42, 10
@@ -57,7 +58,7 @@ def fold_predictions(dataset: DataFrame, h: int, sets: DataFrame, kind: str = "s
         out = part.loc[~train, ["series_id", "candidate", "fold", "row", "value", "return_h"]].rename(columns={"return_h": "actual_return"})
         return out.assign(pred_return=model.predict(_matrix(part[~train], kind)) / SCALE)
 
-    return tasks.groupBy("series_id", "candidate", "fold").applyInPandas(run, "series_id string, candidate int, fold int, row int, value double, actual_return double, pred_return double")
+    return spread(tasks, "series_id", "candidate", "fold").groupBy("series_id", "candidate", "fold").applyInPandas(run, "series_id string, candidate int, fold int, row int, value double, actual_return double, pred_return double")
 
 
 def search(predictions: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def holdout_predictions(dataset: DataFrame, best: DataFrame, kind: str = "scale_
         out = part.loc[~dev, ["series_id", "row", "value", "return_h"]].rename(columns={"return_h": "actual_return"})
         return out.assign(pred_return=model.predict(_matrix(part[~dev], kind)) / SCALE)
 
-    return rows.groupBy("series_id").applyInPandas(run, "series_id string, row int, value double, actual_return double, pred_return double")
+    return spread(rows, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, row int, value double, actual_return double, pred_return double")
 
 
 #: A fitted model as rows, one for each node of each tree.
@@ -97,7 +98,7 @@ def fit_models(dataset: DataFrame, best: DataFrame, h: int, kind: str = "scale_f
         nodes = [(*head, k, j, *node) for k, tree in enumerate(model.trees) for j, node in enumerate(tree)]
         return pd.DataFrame(nodes, columns=[c.split()[0] for c in NODES.split(", ")])
 
-    return rows.groupBy("series_id").applyInPandas(run, NODES)
+    return spread(rows, "series_id").groupBy("series_id").applyInPandas(run, NODES)
 
 
 def predict(models: DataFrame, features: DataFrame, kind: str = "scale_free") -> DataFrame:
@@ -141,5 +142,5 @@ def importances(dataset: DataFrame, best: DataFrame, h: int, kind: str = "scale_
             out.append((part["series_id"].iloc[0], name, model.gain[j] / total, float(np.mean(rises)), float(np.std(rises))))
         return pd.DataFrame(out, columns=["series_id", "feature", "gain", "permutation_rise", "permutation_std"])
 
-    got = rows.groupBy("series_id").applyInPandas(run, "series_id string, feature string, gain double, permutation_rise double, permutation_std double")
+    got = spread(rows, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, feature string, gain double, permutation_rise double, permutation_std double")
     return got.withColumn("permutation_rank", F.rank().over(Window.partitionBy("series_id").orderBy(F.desc("permutation_rise"))))

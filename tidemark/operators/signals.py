@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.staging import spread
+
 #: The grid of candidate rules.
 FAST, SLOW = [5, 10, 20], [30, 50, 100]
 RSI, MOMENTUM = [7, 14, 21], [5, 10, 20]
@@ -101,12 +103,18 @@ def _chosen(prefix: str, by: str, windows: list[int]) -> Column:
 def candidate_signals(indicators: DataFrame, rules: DataFrame) -> DataFrame:
     """The signal of every rule on every row: series_id, row, date, value, candidate, strategy, signal.
 
-    rules is a grid of at most 945 rows, so it is broadcast and nothing is shuffled.
+    rules is a grid of at most 945 rows, so it is broadcast.  Rows are dealt over all tasks first, as each becomes as many rows
+    as there are rules; the inputs that a rule names are columns of their own, so that none is worked out twice.
     """
-    g = _chosen("ema", "fast", FAST) / F.nullif(_chosen("ema", "slow", SLOW), F.lit(0.0)) - 1
-    rsi, momentum = _chosen("rsi", "rsi_period", RSI), _chosen("ret", "mom_window", MOMENTUM)
-    columns = [F.col(c) for c in ("neutral_band", "rsi_bull", "rsi_bear", "score_threshold")]
-    band, bull, bear, threshold = columns
+    inputs = {
+        "gap": _chosen("ema", "fast", FAST) / F.nullif(_chosen("ema", "slow", SLOW), F.lit(0.0)) - 1,
+        "rsi": _chosen("rsi", "rsi_period", RSI),
+        "momentum": _chosen("ret", "mom_window", MOMENTUM),
+    }
+    names = [*[f"ema_{k}" for k in (*FAST, *SLOW)], *[f"rsi_{k}" for k in RSI], *[f"ret_{k}" for k in MOMENTUM], "macd_hist"]
+    rows = spread(indicators.select("series_id", "row", "date", "value", *names), "series_id", "row")
+    crossed = rows.crossJoin(F.broadcast(rules)).withColumns(inputs)
+    g, rsi, momentum, band, bull, bear, threshold = (F.col(c) for c in (*inputs, "neutral_band", "rsi_bull", "rsi_bear", "score_threshold"))
     by_rule = (
         F.when(F.col("strategy") == "ma", ma(g, band))
         .when(F.col("strategy") == "ma_rsi", ma_rsi(g, rsi, band, bull, bear))
@@ -114,4 +122,4 @@ def candidate_signals(indicators: DataFrame, rules: DataFrame) -> DataFrame:
         .when(F.col("strategy") == "combo", combo(g, momentum, rsi, F.col("macd_hist"), bull, bear, threshold))
         .otherwise(F.raise_error(F.concat(F.lit("no strategy is named "), F.col("strategy"))))
     )
-    return indicators.crossJoin(F.broadcast(rules)).select("series_id", "row", "date", "value", "candidate", "strategy", by_rule.cast("int").alias("signal"))
+    return crossed.select("series_id", "row", "date", "value", "candidate", "strategy", by_rule.cast("int").alias("signal"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,11 +167,12 @@ def last_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as raw observations of two text columns, some of them spoilt by a rule on the key."""
-    k = F.col("o_orderkey")
-    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    spoilt = F.when(k % 97 == 1, "").when(k % 97 == 2, "nan").when(k % 97 == 3, "n/a").when(k % 97 == 4, F.concat(F.lit("-"), price)).when(k % 97 == 5, F.replace(price, F.lit("."), F.lit(","))).when(k % 97 == 6, F.concat(F.lit("1,"), price)).otherwise(price)
+    k, price = F.col("o_orderkey"), F.col("price")
+    orders = tables.table(spark, sf_dir, "orders").withColumns({"price": F.col("o_totalprice").cast("decimal(18,2)").cast("string"), "rest": k % 97})
+    spoilt = {1: F.lit(""), 2: F.lit("nan"), 3: F.lit("n/a"), 4: F.concat(F.lit("-"), price), 5: F.translate(price, ".", ","), 6: F.concat(F.lit("1,"), price)}
+    value = reduce(lambda c, r: c.when(F.col("rest") == r, spoilt[r]), spoilt, F.when(F.lit(False), price)).otherwise(price)
     day = F.when(k % 89 == 1, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return tables.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("series_id"), k.alias("row_in_file"), day.alias("date_raw"), spoilt.alias("value_raw"))
+    return orders.select(F.col("o_orderstatus").alias("series_id"), k.alias("row_in_file"), day.alias("date_raw"), value.alias("value_raw"))
 
 
 def audit_flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

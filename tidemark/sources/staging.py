@@ -21,3 +21,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over spark.sql.shuffle.partitions tasks, also where it is small.
+
+    For steps that multiply rows or fit models: adaptive execution joins small partitions by their bytes, which
+    would run all that work in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
