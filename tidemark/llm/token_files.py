@@ -15,7 +15,7 @@ from tidemark.llm import token_coder
 from tidemark.llm.tokens import coder
 
 #: Ids that a segment gathers before it is coded; a longer document makes a longer segment.
-SEGMENT = 4_000_000
+SEGMENT = 8_000_000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> None:
