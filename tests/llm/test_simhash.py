@@ -108,6 +108,39 @@ def test_drop_near_against_jaccard(spark):
     assert kept >= set(ids) - touched
 
 
+def _passages(rng, kind, n):
+    """A text by Zipf's law, and the text with a passage of up to a sixth of it inserted, cut out or appended."""
+    vocabulary = np.array([f"w{k}" for k in range(20_000)])
+    weight = 1 / np.arange(1, 20_001)
+    words = list(rng.choice(vocabulary, n, p=weight / weight.sum()))
+    size, at = max(1, int(n * rng.uniform(0.02, 0.16))), int(rng.integers(1, n * 3 // 4))
+    passage = list(rng.choice(vocabulary, size, p=weight / weight.sum()))
+    other = {"insert": words[:at] + passage + words[at:], "cut": words[:at] + words[at + size :], "append": words + passage}[kind]
+    return words, other
+
+
+def _shingles(words):
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def _jaccard(a, b):
+    x, y = _shingles(a), _shingles(b)
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("kind", ["insert", "cut", "append"])
+def test_drop_near_meets_passages(spark, tmp_path, kind):
+    rng = np.random.default_rng(5)
+    pairs = [_passages(rng, kind, int(rng.integers(60, 400))) for _ in range(300)]
+    rows = [(2 * k + j, " ".join(p[j])) for k, p in enumerate(pairs) for j in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    kept = {r.doc_id for r in simhash.drop_near(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    alike = [k for k, p in enumerate(pairs) if _jaccard(*p) >= 0.9]
+    assert len(alike) > 50
+    assert not [k for k in alike if 2 * k + 1 in kept]
+    assert kept >= set(range(0, 600, 2))
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + k, 1001 + k) for k in range(90)]

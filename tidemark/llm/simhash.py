@@ -58,23 +58,48 @@ def _mixed(x: np.ndarray, turns: range) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, shingle: int, tables: int, checks: int) -> np.ndarray:
-    """tables words of SimHash over the distinct words, then checks words of SimHash over the shingles."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending; none without words, one of all words where they are fewer."""
     words = words_of(text)
-    if not words:
-        return np.zeros(tables + checks, np.uint64)
     digest = xxhash.xxh64_intdigest
     own = np.array([digest(w, SEED) for w in words], np.uint64)
-    chain, k = own[: max(1, len(own) - shingle + 1)].copy(), min(shingle, len(own))
-    for j in range(1, k):
+    chain = own[: max(1, len(own) - shingle + 1)].copy()
+    for j in range(1, min(shingle, len(own))):
         chain = chain * np.uint64(0x100000001B3) + own[j : j + len(chain)]
-    parts = [majority(_mixed(np.unique(own), range(tables)))]
+    return np.unique(chain)
+
+
+def overlap_least(size: int, similarity: float) -> int:
+    """Shingles that a set of this size shares at least with any set at this Jaccard similarity or above."""
+    return math.ceil(similarity * size - 1e-9)
+
+
+def heads(own: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in one order for all texts, so many that no similar set can lie wholly behind them.
+
+    Uncommon shingles come first, by hash; then those in common (ascending), by rank.
+    """
+    most = len(own) - overlap_least(len(own), similarity) + 1 if len(own) else 0
+    if not len(common):
+        return own[:most]
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    often = common[at] == own
+    out = own[~often][:most]
+    if len(out) < most:
+        out = np.concatenate([out, own[often][np.argsort(rank[at[often]])][: most - len(out)]])
+    return out
+
+
+def set_words(own: np.ndarray, checks: int) -> np.ndarray:
+    """checks words of SimHash over the distinct shingles, then two words that name the set."""
+    if not len(own):
+        return np.zeros(checks + 2, np.uint64)
     size = 8192  # rows at a time, so that a very long text needs little memory
-    if len(chain) <= size:
-        parts.append(majority(_mixed(chain, range(tables, tables + checks))))
-    else:
-        parts.append(_majority_of_many(chain, range(tables, tables + checks), size))
-    return np.concatenate(parts)
+    parts = [majority(_mixed(own, range(checks))) if len(own) <= size else _majority_of_many(own, range(checks), size)]
+    name = np.zeros(2, np.uint64)
+    for at in range(0, len(own), size):
+        name += _mixed(own[at : at + size], range(checks, checks + 2)).sum(0, dtype=np.uint64)
+    return np.concatenate([*parts, name])
 
 
 def _majority_of_many(x: np.ndarray, turns: range, size: int) -> np.ndarray:
@@ -151,6 +176,47 @@ def near_links(nodes: DataFrame, tables: int, checks: list[int], most: int, byte
     if not carried:
         shared = stored(shared, "postings")
         shared = shared.join(nodes.select("node", *names), "node")
+    rank = np.zeros(256, np.int64)
+    for i, subset in enumerate(subsets):
+        rank[sum(1 << p for p in subset)] = i
+
+    def links(part: pd.DataFrame, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        table = part[[f"w{t}" for t in range(tables)]].to_numpy()
+        words = part[[f"w{k}" for k in checks]].to_numpy().view(np.uint64)
+        slot = part["slot"].to_numpy()
+
+        def first(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            equal = np.ascontiguousarray(table[i] ^ table[j]).view(np.uint8).reshape(len(i), tables, 8) == 0
+            tally = equal.sum(2)
+            at = (tally >= bytes_shared).argmax(1)
+            mine = equal[np.arange(len(i)), at]
+            mine &= mine.cumsum(1) <= bytes_shared
+            return slot[i] == at * len(masks) + rank[np.packbits(mine, axis=1, bitorder="little")[:, 0]]
+
+        return bucket_links(start, words, most, first)
+
+    return list_links(shared, names, bool(carried), links)
+
+
+def set_links(nodes: DataFrame, checks: int, most: int) -> DataFrame:
+    """Links a, b between nodes that share one of their heads and differ in at most `most` bits of their check words.
+
+    Sets at the similarity that the heads were made for always share a head, so no such pair is lost here.
+    """
+    names = [f"w{k}" for k in range(checks)]
+    postings = nodes.select("node", F.explode("heads").alias("value"))
+    shared = stored(postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("n > 1"), "postings")
+    shared = shared.join(nodes.select("node", *names), "node").withColumn("slot", F.lit(0))
+
+    def links(part: pd.DataFrame, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return bucket_links(start, part[names].to_numpy().view(np.uint64), most, lambda i, j: np.ones(len(i), bool))
+
+    return list_links(shared, names, False, links).distinct()
+
+
+def list_links(shared: DataFrame, names: list[str], dealt: bool, links: Callable[[pd.DataFrame, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Links a, b inside the posting lists of shared (node, slot, value, n, names).  links gets whole lists and where they begin, and
+    gives places of linked rows.  dealt: whether the rows of a list are together already."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks)
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -162,26 +228,10 @@ def near_links(nodes: DataFrame, tables: int, checks: list[int], most: int, byte
         held = None
 
         def found(part: pd.DataFrame) -> pd.DataFrame:
-            key = part[["slot", "value", "x", "y"]].to_numpy()
-            start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
-            table = part[[f"w{t}" for t in range(tables)]].to_numpy()
-            words = part[[f"w{k}" for k in checks]].to_numpy().view(np.uint64)
-            slot, node = key[:, 0], part["node"].to_numpy()
-
-            def first(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                equal = np.ascontiguousarray(table[i] ^ table[j]).view(np.uint8).reshape(len(i), tables, 8) == 0
-                tally = equal.sum(2)
-                at = (tally >= bytes_shared).argmax(1)
-                mine = equal[np.arange(len(i)), at]
-                mine &= mine.cumsum(1) <= bytes_shared
-                return slot[i] == at * len(masks) + rank[np.packbits(mine, axis=1, bitorder="little")[:, 0]]
-
-            a, b = bucket_links(start, words, most, first)
-            return pd.DataFrame({"a": node[a], "b": node[b]})
-
-        rank = np.zeros(256, np.int64)
-        for i, s in enumerate(subsets):
-            rank[sum(1 << p for p in s)] = i
+            key, node = part[["slot", "value", "x", "y"]].to_numpy(), part["node"].to_numpy()
+            a, b = links(part, np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1)))))
+            return pd.DataFrame({"a": node[a], "b": node[b]}).drop_duplicates()
+
         for batch in batches:
             part = batch if held is None else pd.concat([held, batch], ignore_index=True)
             key = part[["slot", "value", "x", "y"]].to_numpy()
@@ -197,8 +247,8 @@ def near_links(nodes: DataFrame, tables: int, checks: list[int], most: int, byte
     keys = ["slot", "value", "x", "y"]
     out = []
     for part, by in ((small, ["slot", "value"]), (large, keys)):
-        dealt = part.drop("n").repartition(*by) if by == keys or not carried else part.drop("n")
-        out.append(dealt.sortWithinPartitions(*keys).select("node", *names, *keys).mapInPandas(rows, "a long, b long"))
+        part = part.drop("n") if dealt and by != keys else part.drop("n").repartition(*by)
+        out.append(part.sortWithinPartitions(*keys).select("node", *names, *keys).mapInPandas(rows, "a long, b long"))
     return out[0].union(out[1])
 
 
@@ -227,7 +277,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return sigs.select("id", "w0").join(groups, names).select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
-TABLES, CHECKS = 3, 8
+CHECKS = 8
+#: Texts that are sampled for common shingles, and how many of these are kept.
+SAMPLE, COMMON, OFTEN = 20_000, 50_000, 8
 
 
 def bits_at(similarity: float, bits: int) -> int:
@@ -237,18 +289,56 @@ def bits_at(similarity: float, bits: int) -> int:
     return int(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = TABLES, checks: int = CHECKS, bytes_shared: int = 4) -> DataFrame:
+def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many texts of a hash sample have, ascending, and their ranks, most frequent last.
+
+    They only order the heads, so that lists of common passages stay short; no result depends on them.
+    """
+    modulus = max(1, docs.count() // SAMPLE)
+    texts = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(modulus)) == 0)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch["text"]]
+            yield pd.DataFrame({"s": np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)})
+
+    counts = texts.mapInPandas(rows, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    found = counts.orderBy(F.desc("n"), "s").limit(COMMON).select("s").collect()
+    common = np.array([r.s for r in found], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return common[order], (len(common) - order).astype(np.int32)
+
+
+def set_signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, checks: int) -> DataFrame:
+    """id, row (its number in the scan), check words, k0 and k1 that name the shingle set, and its heads."""
+    common, rank = common_shingles(docs, text_col, shingle)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.pop("text")]
+            sig = np.array([set_words(s, checks) for s in sets], np.uint64).reshape(len(batch), checks + 2).view(np.int64)
+            words = {name: sig[:, k] for k, name in enumerate([*(f"w{k}" for k in range(checks)), "k0", "k1"])}
+            yield batch.assign(**words, heads=[heads(s, similarity, common, rank).view(np.int64) for s in sets])
+
+    slim = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    kinds = ", ".join(f"w{k} long" for k in range(checks)) + ", k0 long, k1 long, heads array<long>"
+    return slim.mapInPandas(rows, f"id {slim.schema['id'].dataType.simpleString()}, row long, {kinds}")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, checks: int = CHECKS) -> DataFrame:
     """The rows of docs but for near copies: of each component the row with the smallest id stays.
 
-    A link asks for 8 * checks bytes of SimHash over `shingle`-word shingles that differ in no more bits than
-    bits_at(similarity) allows.  At a similarity of 0.8, 64 bits over shingles differ in 9 bits or so, where no
-    byte need be equal; so the index is built on SimHash of the distinct words, which a few changed words hardly move, in
-    `tables` independent tables of 64 bits.  Wordless texts are all one group.  docs must be a table that reads
+    Sets of `shingle`-word shingles at the similarity or above share one of their heads, so every such pair meets in
+    the list of one.  A link asks for 8 * checks bytes of SimHash over the shingles that differ in no more bits than
+    bits_at(similarity) allows.  Wordless texts are all one group.  docs must be a table that reads
     alike each time (row numbers tie the result to it).
     """
-    width, max_bits = tables + checks, bits_at(similarity, 64 * checks)
-    sigs = stored(signatures(docs, id_col, text_col, lambda t: wide_fingerprint(t, shingle, tables, checks), width), "signatures")
-    groups, _ = _groups(sigs, width, lambda nodes: near_links(nodes, tables, list(range(tables, width)), max_bits, bytes_shared))
+    sigs = stored(set_signatures(docs, id_col, text_col, shingle, similarity, checks), "signatures")
+    first_row = F.coalesce(F.min_by("row", "id"), F.min("row"))
+    alike = [F.first(c).alias(c) for c in (*(f"w{k}" for k in range(checks)), "heads")]
+    nodes = sigs.groupBy("k0", "k1").agg(F.min("id").alias("id"), first_row.alias("row"), *alike)
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = components(set_links(nodes, checks, bits_at(similarity, 64 * checks)))
     (row,) = fresh(docs, "nd_row")
-    kept = groups.select(F.col("component_row").alias(row)).distinct()
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    rooted = nodes.select("id", "row", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(first_row.alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(rooted.select(row), row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
