@@ -141,6 +141,34 @@ def test_drop_near_meets_passages(spark, tmp_path, kind):
     assert kept >= set(range(0, 600, 2))
 
 
+@pytest.mark.parametrize("together", [400_000, 400])
+def test_drop_near_is_exact(spark, tmp_path, monkeypatch, together):
+    """Pairs on both sides of 0.8, and groups in several blocks: what stays is what all pairs by brute force leave."""
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(60):
+        words, other = _passages(rng, ["insert", "cut", "append"][k % 3], int(rng.integers(5, 300)))
+        texts += [words, other, words[: int(len(words) * rng.uniform(0.74, 0.86))]]
+    base = [f"b{k}" for k in range(200)]
+    for _ in range(40):
+        words = list(base)
+        for at in rng.integers(0, 200, int(rng.integers(1, 8))):
+            words[at] = f"x{rng.integers(10**9)}"
+        texts.append(words)
+    sets = [_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    kept = {r.doc_id for r in simhash.drop_near(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert kept == set(root)
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + k, 1001 + k) for k in range(90)]

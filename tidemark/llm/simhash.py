@@ -280,13 +280,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 CHECKS = 8
 #: Texts that are sampled for common shingles, and how many of these are kept.
 SAMPLE, COMMON, OFTEN = 20_000, 50_000, 8
+#: Standard errors of room for proposed links (sets of five shingles lose ties, which takes two or three of them), and the
+#: heads (a fifth of the shingles) of the texts in a block that one task compares.
+ERRORS, TOGETHER = 6.5, 400_000
 
 
-def bits_at(similarity: float, bits: int) -> int:
+def bits_at(similarity: float, bits: int, errors: float) -> int:
     """Bits of SimHash that may differ at a Jaccard similarity: those that the angle between the texts' shingle vectors
-    explains, acos(2 s / (1 + s)) / pi of all, and one standard error of that estimate."""
+    explains, acos(2 s / (1 + s)) / pi of all, and so many standard errors of that estimate."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + errors * math.sqrt(bits * share * (1 - share)))
 
 
 def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -325,12 +328,64 @@ def set_signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, si
     return slim.mapInPandas(rows, f"id {slim.schema['id'].dataType.simpleString()}, row long, {kinds}")
 
 
+def linked_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the sets whose Jaccard similarity is at least the limit, by breadth-first search."""
+    size = np.array([len(s) for s in sets])
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(code, kind="stable")]
+    ends = np.append(0, np.cumsum(np.bincount(code, minlength=len(values))))
+    begin = np.append(0, np.cumsum(size))
+    left, queue, a, b = np.arange(1, len(sets)), [0], [], []
+    while len(left):
+        if not queue:
+            queue.append(int(left[0]))
+            left = left[1:]
+            continue
+        at = queue.pop()
+        lists = [owner[ends[c] : ends[c + 1]] for c in code[begin[at] : begin[at + 1]]]
+        both = np.bincount(np.concatenate([*lists, owner[:0]]), minlength=len(sets))[left]
+        near = both >= similarity * (size[left] + size[at] - both) - 1e-9
+        found = left[near]
+        a.append(np.full(len(found), at)), b.append(found)
+        queue.extend(found.tolist())
+        left = left[~near]
+    return np.concatenate(a or [left]).astype(np.int64), np.concatenate(b or [left]).astype(np.int64)
+
+
+def exact_links(docs: DataFrame, nodes: DataFrame, proposed: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Links a, b that join the nodes of each proposed group as all its pairs at the similarity would.
+
+    Groups of over TOGETHER heads are compared block by block, each pair of blocks in a task of its own.
+    """
+    roots = proposed.select(F.col("root").alias("node"), "root").distinct().union(proposed.select("node", "root"))
+    members = nodes.select("node", "row", F.size("heads").alias("heads")).join(roots, "node")
+    sizes = members.groupBy("root").agg(F.ceil(F.sum("heads") / TOGETHER).cast("int").alias("blocks"))
+    members = members.join(sizes, "root")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).join(members, "row")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(own=[shingle_set(t, shingle).tobytes() for t in batch.pop("text")])
+
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    made = texts.select("node", "root", "blocks", "text").mapInPandas(sets, "node long, root long, blocks int, own binary").withColumn("block", own)
+    made = made.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    made = made.withColumns({"x": F.least("block", F.col("other").cast("long")), "y": F.greatest("block", F.col("other").cast("long"))})
+
+    def links(part: pd.DataFrame) -> pd.DataFrame:
+        node = part["node"].to_numpy()
+        a, b = linked_sets([np.frombuffer(s, np.uint64) for s in part["own"]], similarity)
+        return pd.DataFrame({"a": node[a], "b": node[b]})
+
+    return made.select("node", "root", "x", "y", "own").groupBy("root", "x", "y").applyInPandas(links, "a long, b long")
+
+
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, checks: int = CHECKS) -> DataFrame:
     """The rows of docs but for near copies: of each component the row with the smallest id stays.
 
     Sets of `shingle`-word shingles at the similarity or above share one of their heads, so every such pair meets in
-    the list of one.  A link asks for 8 * checks bytes of SimHash over the shingles that differ in no more bits than
-    bits_at(similarity) allows.  Wordless texts are all one group.  docs must be a table that reads
+    the list of one.  SimHash of 8 * checks bytes over the shingles, with ERRORS standard errors of room, proposes links there; groups
+    of these are then compared shingle by shingle, and only pairs at the similarity link.  Wordless texts are all one group.  docs must be a table that reads
     alike each time (row numbers tie the result to it).
     """
     sigs = stored(set_signatures(docs, id_col, text_col, shingle, similarity, checks), "signatures")
@@ -338,7 +393,8 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     alike = [F.first(c).alias(c) for c in (*(f"w{k}" for k in range(checks)), "heads")]
     nodes = sigs.groupBy("k0", "k1").agg(F.min("id").alias("id"), first_row.alias("row"), *alike)
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = components(set_links(nodes, checks, bits_at(similarity, 64 * checks)))
+    proposed = components(set_links(nodes, checks, bits_at(similarity, 64 * checks, ERRORS)))
     (row,) = fresh(docs, "nd_row")
+    roots = components(exact_links(docs, nodes, proposed, text_col, shingle, similarity))
     rooted = nodes.select("id", "row", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(first_row.alias(row))
     return docs.withColumn(row, F.monotonically_increasing_id()).join(rooted.select(row), row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
