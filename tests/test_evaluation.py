@@ -195,3 +195,20 @@ def test_latest_quote(spark):
     pages = ["<h1>Marché officiel des changes</h1> 09/11/2026 <b>1 USD = 2 260,96 CDF</b>", "marché officiel des changes 31/12/2024 1 USD = 1.234,5 CDF", "1 USD = 5 CDF", "Marché officiel des changes 01/01/2024 1 USD = 1,2,3 CDF"]
     got = spark.createDataFrame(list(enumerate(pages)), "k int, html string").select("k", latest_quote(F.col("html")).alias("q")).orderBy("k").collect()
     assert [r.q and (str(r.q.date), r.q.value) for r in got] == [("2026-11-09", 2260.96), ("2024-12-31", 1234.5), None, None]
+
+
+def test_selected_paths_chooses_among_all_models(monkeypatch):
+    from tidemark.operators import forecast
+    from tidemark.plans import training_queries
+
+    class Scores:
+        def where(self, condition):
+            return condition
+
+    seen = []
+    monkeypatch.setattr(training_queries, "positioned", lambda spark, sf_dir: "series")
+    monkeypatch.setattr(forecast, "rolling_scores", lambda series, models=forecast.MODELS: seen.append(list(models)))
+    monkeypatch.setattr(forecast, "model_scores", lambda scores: Scores())
+    monkeypatch.setattr(forecast, "forecast_paths", lambda series, chosen: chosen)
+    training_queries.selected_paths(None, "")
+    assert seen == [list(forecast.MODELS)]

@@ -96,7 +96,7 @@ def path_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best path model of each series, refitted, with bands."""
     s = positioned(spark, sf_dir)
-    chosen = forecast.model_scores(forecast.rolling_scores(s, ["naive", "drift", "arima_110", "blend_naive_arima110"])).where("place = 1")
+    chosen = forecast.model_scores(forecast.rolling_scores(s)).where("place = 1")
     return forecast.forecast_paths(s, chosen)
 
 
