@@ -212,3 +212,14 @@ def test_selected_paths_chooses_among_all_models(monkeypatch):
     monkeypatch.setattr(forecast, "forecast_paths", lambda series, chosen: chosen)
     training_queries.selected_paths(None, "")
     assert seen == [list(forecast.MODELS)]
+
+
+def test_searches_have_the_sizes_of_whole_runs():
+    import inspect
+
+    from tidemark.plans import strategy_queries, training_queries, workflows
+
+    default = lambda f, name: inspect.signature(f).parameters[name].default
+    assert strategy_queries.SEARCH_LIMIT == default(workflows.search_strategies, "limit")
+    assert training_queries.DRAWS == default(workflows.train, "draws")
+    assert strategy_queries.HORIZONS == training_queries.HORIZONS == workflows.HORIZONS

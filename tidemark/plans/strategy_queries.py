@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from tidemark.plans.series_queries import positioned, six, with_indicators
 
 #: The rule that single-rule queries use, and the horizon.
 FAST, SLOW, BAND, H = 20, 50, 0.003, 5
-#: Rules that the search query draws from the 945: a bounded search budget.
-SEARCH_LIMIT = 40
+#: Rules that the search query draws from the 945, and its horizons, as workflows.search_strategies has them.
+SEARCH_LIMIT, HORIZONS = 360, [5, 10, 20]
 METRICS = ["mae", "mae_naive", "mae_ratio", "rmse", "rmse_naive", "rmse_ratio", "directional_accuracy", "signal_coverage"]
 
 
@@ -114,12 +116,16 @@ def candidate_signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strategy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best rule of each series by walk-forward over a seeded sample of the grid."""
-    s = positioned(spark, sf_dir)
-    rules = signals.sampled_candidates(spark, SEARCH_LIMIT, H)
-    sig = signals.candidate_signals(with_indicators(spark, sf_dir), rules)
-    best = backtest.best(backtest.fold_summary(backtest.evaluate(sig.drop("date", "strategy"), s, backtest.folds(s, H), H)))
-    return best.join(rules, "candidate")
+    """Best rule of each series and horizon by walk-forward over a seeded sample of the grid."""
+    s, ind = positioned(spark, sf_dir), with_indicators(spark, sf_dir)
+
+    def best(h: int) -> DataFrame:
+        rules = signals.sampled_candidates(spark, SEARCH_LIMIT, h)
+        sig = signals.candidate_signals(ind, rules)
+        found = backtest.best(backtest.fold_summary(backtest.evaluate(sig.drop("date", "strategy"), s, backtest.folds(s, h), h)))
+        return found.join(rules, "candidate").withColumn("horizon", F.lit(h))
+
+    return reduce(DataFrame.unionByName, [best(h) for h in HORIZONS])
 
 
 QUERIES = [

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +13,9 @@ from tidemark.operators.features import with_features
 from tidemark.plans.series_queries import positioned, six
 from tidemark.sources.staging import staged
 
-H = 5
-#: Parameter sets that the search query draws beside the default.
-DRAWS = 2
+H, HORIZONS = 5, [5, 10, 20]
+#: Parameter sets that the search draws beside the default, as workflows.train does.
+DRAWS = 30
 METRICS = ["mae", "rmse", "mape_pct", "smape_pct", "bias", "r2_level", "r2_return", "r2_oos_vs_naive", "directional_accuracy"]
 
 
@@ -69,24 +72,29 @@ def interval_coverage_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return six(evaluation.coverage(p.where("split = 'holdout'"), c, "naive", "conformal_normalized"), "empirical_coverage", "mean_width")
 
 
-def learned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parameter sets of the boosted trees by their walk-forward ratio."""
-    sets = learning.parameter_sets(spark, DRAWS, H)
-    return learning.search(learning.fold_predictions(_dataset(spark, sf_dir), H, sets)).join(sets, "candidate")
+def _by_horizon(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+    """What make gives of the dataset, the ranked parameter sets and each horizon."""
+    feats, out = staged(with_features(positioned(spark, sf_dir)), "features"), []
+    for h in HORIZONS:
+        data, sets = evaluation.horizon_dataset(feats, h), learning.parameter_sets(spark, DRAWS, h)
+        ranked = learning.search(learning.fold_predictions(data, h, sets)).join(sets, "candidate")
+        out.append(make(data, ranked, h).withColumn("horizon", F.lit(h)))
+    return reduce(DataFrame.unionByName, out)
 
 
-def _default(spark: SparkSession, dataset: DataFrame) -> DataFrame:
-    return dataset.select("series_id").distinct().crossJoin(F.broadcast(learning.parameter_sets(spark, 0, H).select("params")))
+def learned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameter sets of the boosted trees by their walk-forward ratio, by horizon."""
+    return _by_horizon(spark, sf_dir, lambda data, ranked, h: ranked)
 
 
 def learned_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _dataset(spark, sf_dir)
-    return learning.holdout_predictions(d, _default(spark, d))
+    """Holdout predictions with the best parameter set of each series and horizon."""
+    return _by_horizon(spark, sf_dir, lambda data, ranked, h: learning.holdout_predictions(data, ranked.where("place = 1")))
 
 
 def learned_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _dataset(spark, sf_dir)
-    return learning.importances(d, _default(spark, d), H)
+    """Importances of the features with the best parameter set of each series and horizon."""
+    return _by_horizon(spark, sf_dir, lambda data, ranked, h: learning.importances(data, ranked.where("place = 1"), h))
 
 
 def path_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
