@@ -2,6 +2,8 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,36 +25,63 @@ def test_words_encode_like_the_library(text):
     assert CODER.encode(text) == library(text)
 
 
-def test_documents_encode_like_the_library(docs):
+@pytest.mark.parametrize("size", [1 << 24, 40])
+def test_documents_encode_like_the_library(docs, odd, monkeypatch, size):
     assert CODER.memory.direct
-    for r in docs.collect():
-        assert CODER.encode(r.text) == library(r.text)
+    monkeypatch.setattr(tokens, "SLICE", size)
+    monkeypatch.setattr(tokens, "GATHER", size)
+    for df in (docs, odd):
+        texts = [r.text for r in df.collect()]
+        want = [library(t) for t in texts]
+        assert [CODER.encode(t) for t in texts] == want
+        for whole in (pa.array([None, *texts])[1:], pa.array(texts[:0], pa.string())):
+            got = []
+            for at, ids, ends in CODER.encode_many(whole, 7):
+                assert at == len(got)
+                got += [p.tobytes() for p in np.split(ids, ends[:-1])]
+            assert got == [w + b"\7\0\0\0" for w in want[: len(whole)]]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 2047, 2048, 2049, 6000])
 def test_round_trip(n):
     rng = np.random.default_rng(n)
-    for ids in (rng.integers(0, token_coder.LIMIT, n), rng.zipf(1.4, n) % 49408, np.zeros(n), np.arange(n) % 3):
+    for ids in (rng.integers(0, 1 << 17, n), rng.integers(0, 1 << 32, n), rng.integers(0, 30_000, 40 * n), rng.zipf(1.4, n) % 49408, np.zeros(n), np.arange(n) % 3):
         ids = ids.astype("<u4")
         assert (token_coder.decode(token_coder.encode(ids)) == ids).all()
 
 
 def test_damage_shows():
     data = bytearray(token_coder.encode(np.arange(5000, dtype="<u4") % 700))
-    for at in (0, 5, 30, 4000):
+    for at in (0, 5, 30, len(data) // 2, len(data) - 9):
         bad = data.copy()
         bad[at] ^= 64
         with pytest.raises(ValueError):
             token_coder.decode(bytes(bad))
     with pytest.raises(ValueError):
         token_coder.decode(bytes(data[:-2]))
-    with pytest.raises(ValueError):
-        token_coder.encode(np.array([token_coder.LIMIT]))
+
+
+def test_blocks_do_not_depend_on_each_other():
+    rng = np.random.default_rng(1)
+    ids = (rng.zipf(1.3, 5 * token_coder.BLOCK) % 900).astype("<u4")
+    data = bytearray(token_coder.encode(ids))
+    data[-20] ^= 1  # in the last block
+    with pytest.raises(ValueError, match="block 4"):
+        token_coder.decode(bytes(data))
 
 
 def test_coding_pays():
+    """Repeated passages, and the ids of documents: under zlib's size for the same blocks and under the entropy of single ids."""
     ids = np.tile(np.arange(300), 40)
-    assert len(token_coder.encode(ids)) < len(ids) * 2 / 5
+    assert len(token_coder.encode(ids)) < len(ids) / 4
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id")["text"].combine_chunks()
+    ids = np.concatenate([ids for _, ids, _ in CODER.encode_many(texts, 1)])
+    blocks = [ids[at : at + token_coder.BLOCK].astype("<u2") for at in range(0, len(ids), token_coder.BLOCK)]
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum() / 8
+    size = len(token_coder.encode(ids)) / len(ids)
+    assert size < 0.75 * sum(len(zlib.compress(b.tobytes(), 9)) for b in blocks) / len(ids)
+    assert size < 0.95 * entropy
 
 
 @pytest.mark.parametrize("table", ["docs", "odd", "none"])

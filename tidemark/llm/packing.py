@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +19,22 @@ from tidemark.llm.tokens import coder
 def pieces(docs: DataFrame, capacity: int, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """id, piece, start, length, ids_crc32 of every piece: a text's ids and end_id, cut only where longer than capacity."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, end = coder(tokenizer), np.array([end_id], "<u4").tobytes()
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = []
-            for id_, text in zip(batch["id"], batch["text"], strict=True):
-                ids = code.encode(text) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    got.append((id_, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(got, columns=["id", "piece", "start", "length", "ids_crc32"])
+            for at, ids, ends in coder(tokenizer).encode_many(batch["text"], end_id):
+                begin = np.concatenate(([0], ends[:-1]))
+                n = -(-(ends - begin) // capacity)
+                doc = np.repeat(np.arange(len(ends)), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(capacity, (ends - begin)[doc] - start)
+                first, data = 4 * (begin[doc] + start), memoryview(ids).cast("B")
+                crc = [zlib.crc32(data[a : a + 4 * k]) for a, k in zip(first.tolist(), length.tolist(), strict=True)]
+                own = batch["id"].take(pa.array(at + doc))
+                yield pa.RecordBatch.from_arrays([own, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(rows, f"id {slim.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(rows, f"id {slim.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def patterns(present: np.ndarray, capacity: int) -> np.ndarray:

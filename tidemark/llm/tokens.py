@@ -1,14 +1,23 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded memory of words."""
+"""Token ids of whole texts by the tokenizers library: each distinct word of a batch is encoded once, with a bounded memory of words."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words that a Python worker remembers from before and since it last made room, each; the longest of them.
 WORDS, LONGEST = 500_000, 32
+#: Marks that are cut off the end of a word; an apostrophe can belong to letters.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words whose ids are gathered at a time.
+GATHER = 1 << 17
+#: Bytes of text that are split into words at a time; a longer text goes alone.
+SLICE = 1 << 24
 
 
 def _byte_letters() -> dict[int, str]:
@@ -38,14 +47,16 @@ class _Memory(dict):
 
     def ids(self, word: str) -> bytes:
         # Up to U+024F lower-case letters are in normal form and have no lower case of their own.
-        simple = self.direct and word.isalpha() and (word.isascii() or word == word.lower() and max(word) < "\u0250")
+        simple = self.direct and word.isalpha() and (word.isascii() or word == word.lower() and max(word) < "ɐ")
         return self.by_model(word) if simple else self.by_library(word)
 
     def __missing__(self, word: bytes) -> bytes:
+        if not word:
+            return b""
         if (ids := self.old.get(word)) is not None:
             pass
-        elif len(word) > 1 and word[-1] in b",." and 97 <= word[-2] <= 122:
-            ids = self[word[:-1]] + self[word[-1:]]  # a letter and a mark never share a token
+        elif len(letters := word.rstrip(MARKS)) < len(word) and letters and letters.decode("utf-8")[-1].isalpha():
+            return self[letters] + self[word[len(letters) :]]  # a letter and a mark never share a token
         else:
             ids = self.ids(word.decode("utf-8"))
         if len(word) <= LONGEST:
@@ -76,6 +87,47 @@ class WordCoder:
             return self.memory.by_library(text)
         return b"".join(map(self.memory.__getitem__, text.encode("utf-8").translate(LOWER).split()))
 
+    def encode_many(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Runs of texts of about SLICE bytes: number of the first text, ids of all, and where each text's ids end.
+
+        Every text ends with end_id; a null counts as empty.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+            yield at, *self._run(texts[at:stop], end_id)
+            at = stop
+
+    def _run(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        whole = {int(k): np.frombuffer(self.memory.by_library(texts[int(k)].as_py()), "<u4") for k in special}
+        if whole:
+            texts = pc.if_else(pc.match_substring(texts, "<|"), pa.scalar("", pa.large_string()), texts)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+        found = [self.memory[w] for w in words.dictionary.to_pylist()]
+        found.append(np.array([end_id], "<u4").tobytes())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        last = np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()  # a slice's offsets need not begin with 0
+        code = np.insert(words.indices.to_numpy(), last, len(found) - 1)
+        n = size.take(code)
+        done = np.concatenate(([0], np.cumsum(n)))
+        ids = np.zeros(done[-1], "<u4")
+        for k in range(0, len(code), GATHER):
+            own, begin = n[k : k + GATHER], done[k]
+            first = start.take(code[k : k + GATHER]) - done[k : k + len(own)] + begin
+            part = ids[begin : done[k + len(own)]]
+            part[:] = pool.take(np.repeat(first, own) + np.arange(len(part)))
+        ends = done[last + np.arange(1, len(last) + 1)]
+        if whole:
+            parts = np.split(ids, ends[:-1])
+            parts = [np.concatenate((whole[k], p)) if k in whole else p for k, p in enumerate(parts)]
+            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return ids, ends
+
 
 @cache
 def coder(path: str) -> WordCoder:
