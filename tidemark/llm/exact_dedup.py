@@ -5,52 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fresh
-
-
-def _grouped(docs: DataFrame, id_col: str, text_col: str, keep: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """docs with hash, digest and row number added, and one row per group of equal texts."""
-    names = fresh(docs, "dd_hash", "dd_sha", "dd_row", "dd_size", "dd_keep", "dd_best")
-    h, sha, row, size, keep_id, best = names
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({h: F.unhex(F.md5(text)), row: F.monotonically_increasing_id(), sha: F.sha2(text, 256)})
-    pick, by = (F.max, F.max_by) if keep == "max" else (F.min, F.min_by)
-    # The hash leads the key and spreads the shuffle; the text in the key is what compares the bytes.  Copies
-    # meet in the map-side aggregate, so that a hot group sends one row from each task.
-    groups = (
-        rows.select(h, row, F.col(id_col).alias(keep_id), text.alias("dd_text"))
-        .groupBy(h, "dd_text")
-        .agg(
-            F.count(F.lit(1)).alias(size),
-            F.coalesce(by(row, keep_id), F.min(row)).alias(best),
-            pick(keep_id).alias(keep_id),
-        )
-        .select(h, F.sha2("dd_text", 256).alias(sha), size, keep_id, best)
-    )
-    return rows, groups, names
-
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when their bytes are; null counts as empty.  The row with the smallest (keep="min") or
-    largest ("max") id of a group stays.  Of repeated rows with that same id exactly one is kept; a row whose id
-    is null stays only in a group without any other id.  An empty table gives an empty result.  keep must be
-    re-evaluated on a table (files), as row numbers of equal rows come from the scan.  The groups join back by
-    hash and SHA-256; the join's hot keys are split by adaptive execution.
+    Texts are equal when their bytes are, however long; null counts as empty.  The row with the smallest (keep="min") or
+    largest ("max") id of a group stays; a row whose id is null stays only in a group without any other id.  Repeated
+    rows with that same id each appear, exactly one of them as kept.  An empty table gives an empty result; other columns of docs are
+    not read, whatever their names.
+
+    The hash leads the key and spreads the shuffle; the text in the key is what compares the bytes.  Copies meet in the map-side
+    aggregate, so that a hot group sends one row from each task.  Rows without their texts find their group by hash and SHA-256, where adaptive
+    execution splits a hot one.  Everything is keyed by content, so a scan that is repeated on other executors changes nothing.
     """
-    rows, groups, (h, sha, row, size, keep_id, best) = _grouped(docs, id_col, text_col, keep)
-    slim = rows.select(F.col(id_col).alias("dd_id"), h, sha, row)
-    return slim.join(groups, [h, sha]).select(
-        F.col("dd_id").alias(id_col),
-        F.col(keep_id).alias("keep_id"),
-        F.col(size).alias("group_size"),
-        (F.col(row) == F.col(best)).alias("kept"),
-        F.col(sha).alias("text_sha256"),
-    )
+    pick = F.max if keep == "max" else F.min
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("hash"), text.alias("text"))
+    groups = rows.groupBy("hash", "text").agg(F.count(F.lit(1)).alias("group_size"), pick("id").alias("keep_id"))
+    groups = groups.select("hash", F.sha2("text", 256).alias("sha"), "group_size", "keep_id")
+    slim = rows.select("hash", F.sha2("text", 256).alias("sha"), "id").groupBy("hash", "sha", "id").agg(F.count(F.lit(1)).alias("copies"))
+    found = slim.join(groups, ["hash", "sha"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs that exact_groups marks as kept, with all their columns.  Joins by row: no hot key."""
-    rows, groups, (*_, row, _size, _keep, best) = _grouped(docs, id_col, text_col, keep)
-    return rows.join(groups.select(F.col(best).alias(row)), row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    """The rows of docs that exact_groups marks as kept, with all their columns, whatever these are called.
+
+    One aggregate over whole rows: each text crosses the network once, copies meet before that.  Null texts count as empty ones but stay null;
+    of rows with equal text and id the one with the least hash of its columns stays; an empty table gives an empty result.
+    """
+    text, own = F.col(text_col), F.col(id_col)
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(text.isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)])
+    hashed = F.xxhash64(text.isNull(), *[F.col(f"`{c}`") for c in others if "map<" not in docs.schema[c].dataType.simpleString()])
+    key = F.struct(own.isNotNull() if keep == "max" else own.isNull(), own, hashed)
+    full = F.coalesce(text, F.lit(""))
+    best = docs.groupBy(F.unhex(F.md5(full)).alias("hash"), full.alias("full")).agg((F.max_by if keep == "max" else F.min_by)(row, key).alias("row"))
+    back = {c: F.col(f"row.c{k}") for k, c in enumerate(others)} | {text_col: F.when(~F.col("row.none"), F.col("full"))}
+    return best.select(*[back[c].alias(c) for c in docs.columns])

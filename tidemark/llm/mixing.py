@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import WORD, fresh, stored
+from tidemark.llm.shared import WORD, fresh, stored, with_row_key
 
 SEED = 20_240_602
 
@@ -75,12 +75,12 @@ def sainte_lague(claims: DataFrame, keys: list[str], within: list[str], claim: s
     return joined.withColumn(out, F.col("low") + F.coalesce("won", F.lit(0))).select(*claims.columns, out)
 
 
-def _taken(docs: DataFrame, weights: list[float], share: float, max_repeats: int, block_words: int, words_per_shard: int, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """id, row (its number in the scan), size, source_size, target and taken of every row of docs."""
+def _taken(docs: DataFrame, row: Column, weights: list[float], share: float, max_repeats: int, block_words: int, words_per_shard: int, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """id, row (what names a row among those of the same id and size), size, source_size, target and taken of every row of docs."""
     slim = stored(
         docs.select(
             F.col(id_col).alias("id"),
-            F.monotonically_increasing_id().alias("row"),
+            row.alias("row"),
             F.col(source_col).isNull().alias("none"),
             F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
             word_count(F.col(text_col)).alias("size"),
@@ -125,22 +125,25 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.0, max_r
     documents, by Sainte-Lague.  In a shard a source's documents stand in seeded order; the quota takes whole
     passes over them, then a run of blocks from a seeded block on, round the end.  taken never exceeds
     max_repeats times the document's size; a source's sum misses its target by a few blocks at most.  Null
-    text: size 0, takes 0; a null source is one of its own, last in order; repeated rows count each; an empty
-    table gives an empty result.  A hot source is split over as many shards as its words need.
+    text: size 0, takes 0; a null source is one of its own, last in order; repeated rows count each, and rows of one id and size stand
+    in any order; a very long text takes its share of the run; an empty table gives an empty result; other columns are not read, whatever
+    their names.  A hot source is split over as many shards as its words need.
     """
-    taken = _taken(docs, weights, share, max_repeats, block_words, words_per_shard, id_col, text_col, source_col, seed)
+    taken = _taken(docs, F.monotonically_increasing_id(), weights, share, max_repeats, block_words, words_per_shard, id_col, text_col, source_col, seed)
     return taken.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def mixed_rows(docs: DataFrame, weights: list[float], share: float = 1.0, max_repeats: int = 3, block_words: int = 8, words_per_shard: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+def mixed_rows(docs: DataFrame, weights: list[float], share: float = 1.0, max_repeats: int = 3, block_words: int = 8, words_per_shard: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, plain_table: bool = False) -> DataFrame:
     """The rows of docs as often as the mixture takes them, with all their columns.
 
     A document comes whole: taken words over its size, rounded half up.  Only documents at the ends of a run of
-    blocks are taken in part, so the rounding moves a cell by two documents at most.  Documents without words do
-    not come.  docs must be a table that reads alike each time (row numbers tie the result to it).
+    blocks are taken in part, so the rounding moves a cell by two documents at most.  Documents without words (null and empty
+    texts too) do not come; repeated rows are taken each; an empty table gives an empty result; no column's name can clash.  plain_table: docs is
+    read from files as it is, which saves a copy of it.
     """
-    taken = _taken(docs, weights, share, max_repeats, block_words, words_per_shard, id_col, text_col, source_col, seed)
-    row, copies, copy = fresh(docs, "mx_row", "mx_copies", "mx_copy")
-    often = taken.where("size > 0").select(F.col("row").alias(row), F.expr("(2 * taken + size) div (2 * size)").alias(copies)).where(F.col(copies) > 0)
-    numbered = docs.withColumn(row, F.monotonically_increasing_id()).join(often, row)
+    keyed, key = with_row_key(docs, plain_table)
+    taken = _taken(keyed, F.struct(*key), weights, share, max_repeats, block_words, words_per_shard, id_col, text_col, source_col, seed)
+    copies, copy = fresh(keyed, "mx_copies", "mx_copy")
+    often = taken.where("size > 0").select(*[F.col(f"row.{c}").alias(c) for c in key], F.expr("(2 * taken + size) div (2 * size)").alias(copies)).where(F.col(copies) > 0)
+    numbered = keyed.join(often, key)
     return numbered.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[f"`{c}`" for c in docs.columns])

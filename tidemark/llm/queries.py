@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,10 +82,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.shared import shared_dir
+    from tidemark.llm.shared import new_path
     from tidemark.llm.token_files import read_digests, write_tokens
 
-    path = f"{shared_dir(spark)}/tidemark/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path())
     return read_digests(spark, path)
 

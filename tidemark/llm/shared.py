@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +18,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset and all is one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, under the application's own folder: that one can go as a whole when the application has ended."""
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -42,6 +51,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def with_row_key(docs: DataFrame, plain_table: bool) -> tuple[DataFrame, list[str]]:
+    """docs with two columns that name each row, alike in every scan and whatever executors there are, and these columns' names.
+
+    Rows of a plain_table (one that is read from files as it is) are named by file and place in it.  Any other docs is
+    written to the shared folder with numbers.  Nothing that a scan counts up as it runs would do: splits follow the executors at hand.
+    """
+    file, at = fresh(docs, "row_file", "row_at")
+    if plain_table:
+        try:
+            return docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at)), [file, at]
+        except AnalysisException:  # not read from files after all
+            pass
+    return stored(docs.select("*", F.lit(0).cast("long").alias(file), F.monotonically_increasing_id().alias(at)), "rows"), [file, at]
+
+
 def bucket_bits(rows: int) -> int:
     """Bits of a hash that split rows into buckets of about ROWS_PER_CELL rows."""
     return max(0, (rows // ROWS_PER_CELL).bit_length())

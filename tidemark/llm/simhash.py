@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import fresh, stored
+from tidemark.llm.shared import stored, with_row_key
 
 SEED = 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Buckets up to this size give all their links, larger ones a spanning forest of them; over BLOCK they are split.
+#: Lists up to SMALL give all their links, larger ones a spanning forest of them; over BLOCK they are split.
 SMALL, BLOCK = 32, 20_000
+#: One of so many nodes is counted to find the large lists.
+SAMPLED = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -111,15 +113,15 @@ def _majority_of_many(x: np.ndarray, turns: range, size: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, make: Callable[[str | None], np.ndarray], width: int) -> DataFrame:
-    """id, row (its number in the scan) and words w0.. of the signature of every row."""
+    """id and words w0.. of the signature of every row."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sig = np.array([make(t) for t in batch.pop("text")], np.uint64).reshape(len(batch), width).view(np.int64)
             yield batch.assign(**{f"w{k}": sig[:, k] for k in range(width)})
 
-    slim = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    kinds = f"id {slim.schema['id'].dataType.simpleString()}, row long, " + ", ".join(f"w{k} long" for k in range(width))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kinds = f"id {slim.schema['id'].dataType.simpleString()}, " + ", ".join(f"w{k} long" for k in range(width))
     return slim.mapInPandas(rows, kinds)
 
 
@@ -163,19 +165,17 @@ def near_links(nodes: DataFrame, tables: int, checks: list[int], most: int, byte
     A pair with that many bytes in common meets in a posting list keyed by some bytes_shared positions and
     the bytes there.  Lists of one are dropped before Python sees them.  In a list the shared bytes of a pair are
     tallied and its check words verified; a pair that meets in several lists counts in its first.  Large lists give
-    a spanning forest of their links, which joins the same nodes; the largest are compared block by block, each pair
-    of blocks in a task of its own.
+    a spanning forest of their links, which joins the same nodes; the largest are split before any task holds them.
     """
     subsets = list(combinations(range(8), bytes_shared))
     masks = np.array([sum(0xFF << 8 * p for p in s) for s in subsets], np.uint64).view(np.int64)
     names = [f"w{k}" for k in sorted({*range(tables), *checks})]
     lists = F.array(*[F.struct(F.lit(t * len(masks) + i).cast("int").alias("slot"), F.col(f"w{t}").bitwiseAND(F.lit(int(m))).alias("value")) for t in range(tables) for i, m in enumerate(masks)])
     carried = names if len(names) == 1 else []
-    postings = nodes.select("node", *carried, F.explode(lists).alias("list")).select("node", *carried, "list.slot", "list.value")
-    shared = postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("slot", "value"))).where("n > 1")
+    postings = lambda rows: rows.select("node", *carried, F.explode(lists).alias("list")).select("node", *carried, "list.slot", "list.value")
+    shared = met(postings, nodes)
     if not carried:
-        shared = stored(shared, "postings")
-        shared = shared.join(nodes.select("node", *names), "node")
+        shared = stored(shared, "postings").join(nodes.select("node", *names), "node")
     rank = np.zeros(256, np.int64)
     for i, subset in enumerate(subsets):
         rank[sum(1 << p for p in subset)] = i
@@ -204,9 +204,8 @@ def set_links(nodes: DataFrame, checks: int, most: int) -> DataFrame:
     Sets at the similarity that the heads were made for always share a head, so no such pair is lost here.
     """
     names = [f"w{k}" for k in range(checks)]
-    postings = nodes.select("node", F.explode("heads").alias("value"))
-    shared = stored(postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("n > 1"), "postings")
-    shared = shared.join(nodes.select("node", *names), "node").withColumn("slot", F.lit(0))
+    shared = stored(met(lambda rows: rows.select("node", F.lit(0).alias("slot"), F.explode("heads").alias("value")), nodes), "postings")
+    shared = shared.join(nodes.select("node", *names), "node")
 
     def links(part: pd.DataFrame, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return bucket_links(start, part[names].to_numpy().view(np.uint64), most, lambda i, j: np.ones(len(i), bool))
@@ -214,15 +213,30 @@ def set_links(nodes: DataFrame, checks: int, most: int) -> DataFrame:
     return list_links(shared, names, False, links).distinct()
 
 
+def met(postings: Callable[[DataFrame], DataFrame], nodes: DataFrame) -> DataFrame:
+    """The postings (node, slot, value, ..) of lists of two or more, with x and y, 0 but for the members of large lists.
+
+    A large list is dealt to blocks of about BLOCK nodes by hash, and each pair of blocks x, y is a list of its own, so that no
+    task ever holds more and any two members still meet.  Which lists are large is seen in a hash sample of the nodes, of which a
+    list of BLOCK has some 300; one just under or over it may fall on either side, which changes the work but no link.
+    """
+    own = F.xxhash64("node")
+    count = postings(nodes.where(F.pmod(own, F.lit(SAMPLED)) == 0)).groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
+    large = stored(count.select("slot", "value", F.ceil(F.col("n") * SAMPLED / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "large-lists")
+    rows = postings(nodes)
+    if large.isEmpty():
+        rows = rows.withColumns({"x": F.lit(0), "y": F.lit(0)})
+    else:
+        rows = rows.join(large, ["slot", "value"], "left")
+        block, other = F.coalesce(F.pmod(own, F.col("blocks")), F.lit(0)).cast("int"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+        rows = rows.withColumn("block", block).withColumn("other", other)
+        rows = rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("blocks", "block", "other")
+    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("slot", "value", "x", "y"))).where("n > 1").drop("n")
+
+
 def list_links(shared: DataFrame, names: list[str], dealt: bool, links: Callable[[pd.DataFrame, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Links a, b inside the posting lists of shared (node, slot, value, n, names).  links gets whole lists and where they begin, and
+    """Links a, b inside the posting lists of shared (node, slot, value, x, y, names).  links gets whole lists and where they begin, and
     gives places of linked rows.  dealt: whether the rows of a list are together already."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks)
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    small = shared.where(F.col("n") <= BLOCK).withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
-    large = shared.where(F.col("n") > BLOCK).withColumn("own", own).withColumn("other", other)
-    large = large.withColumns({"x": F.least("own", F.col("other").cast("long")), "y": F.greatest("own", F.col("other").cast("long"))}).drop("own", "other")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -245,22 +259,8 @@ def list_links(shared: DataFrame, names: list[str], dealt: bool, links: Callable
             yield found(held.reset_index(drop=True))
 
     keys = ["slot", "value", "x", "y"]
-    out = []
-    for part, by in ((small, ["slot", "value"]), (large, keys)):
-        part = part.drop("n") if dealt and by != keys else part.drop("n").repartition(*by)
-        out.append(part.sortWithinPartitions(*keys).select("node", *names, *keys).mapInPandas(rows, "a long, b long"))
-    return out[0].union(out[1])
-
-
-def _groups(sigs: DataFrame, width: int, links_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[str]]:
-    """For every distinct signature: its words, the smallest id of its component and the row that has it."""
-    names = [f"w{k}" for k in range(width)]
-    first_row = F.coalesce(F.min_by("row", "id"), F.min("row"))
-    nodes = stored(sigs.groupBy(*names).agg(F.min("id").alias("id"), first_row.alias("row")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = components(links_of(nodes))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = rooted.groupBy("root").agg(F.min("id").alias("component_id"), first_row.alias("component_row"))
-    return rooted.select("root", *names).join(best, "root").drop("root"), names
+    part = shared if dealt else shared.repartition(*keys)
+    return part.sortWithinPartitions(*keys).select("node", *names, *keys).mapInPandas(rows, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -269,12 +269,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Fingerprints of 64 bits link when at most max_bits (0 to 6) differ; such a pair shares at least
     8 - max_bits positional bytes.  Rows of one fingerprint are one node, so copies never make pairs.  Null, empty
     and wordless texts have fingerprint zero, linked like any other; texts of under `shingle` words have
-    one shingle; null ids never name a component unless all its ids are null; repeated rows appear each.
+    one shingle; null ids never name a component unless all its ids are null; repeated rows appear each; an empty table
+    gives an empty result.  Texts are read whole, however long; other columns are not read, whatever their names.
     """
     sigs = stored(signatures(docs, id_col, text_col, lambda t: np.array([fingerprint(t, shingle)], np.uint64), 1), "fingerprints")
-    groups, names = _groups(sigs, 1, lambda nodes: near_links(nodes, 1, [0], max_bits, 8 - max_bits))
+    nodes = stored(sigs.groupBy("w0").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = components(near_links(nodes, 1, [0], max_bits, 8 - max_bits))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("w0", "component_id")
     digits = F.lpad(F.lower(F.hex("w0")), 16, "0")
-    return sigs.select("id", "w0").join(groups, names).select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+    return sigs.join(groups, "w0").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
 CHECKS = 8
@@ -312,8 +316,8 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.nd
     return common[order], (len(common) - order).astype(np.int32)
 
 
-def set_signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, checks: int) -> DataFrame:
-    """id, row (its number in the scan), check words, k0 and k1 that name the shingle set, and its heads."""
+def set_signatures(docs: DataFrame, id_col: str, text_col: str, key: list[str], shingle: int, similarity: float, checks: int) -> DataFrame:
+    """id, key, check words, k0 and k1 that name the shingle set, and its heads."""
     common, rank = common_shingles(docs, text_col, shingle)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -323,9 +327,9 @@ def set_signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, si
             words = {name: sig[:, k] for k, name in enumerate([*(f"w{k}" for k in range(checks)), "k0", "k1"])}
             yield batch.assign(**words, heads=[heads(s, similarity, common, rank).view(np.int64) for s in sets])
 
-    slim = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"key{j}") for j, c in enumerate(key)], F.col(text_col).alias("text"))
     kinds = ", ".join(f"w{k} long" for k in range(checks)) + ", k0 long, k1 long, heads array<long>"
-    return slim.mapInPandas(rows, f"id {slim.schema['id'].dataType.simpleString()}, row long, {kinds}")
+    return slim.mapInPandas(rows, f"id {slim.schema['id'].dataType.simpleString()}, key0 long, key1 long, {kinds}")
 
 
 def linked_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -352,16 +356,16 @@ def linked_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray,
     return np.concatenate(a or [left]).astype(np.int64), np.concatenate(b or [left]).astype(np.int64)
 
 
-def exact_links(docs: DataFrame, nodes: DataFrame, proposed: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def exact_links(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links a, b that join the nodes of each proposed group as all its pairs at the similarity would.
 
     Groups of over TOGETHER heads are compared block by block, each pair of blocks in a task of its own.
     """
     roots = proposed.select(F.col("root").alias("node"), "root").distinct().union(proposed.select("node", "root"))
-    members = nodes.select("node", "row", F.size("heads").alias("heads")).join(roots, "node")
+    members = nodes.select("node", "key0", "key1", F.size("heads").alias("heads")).join(roots, "node")
     sizes = members.groupBy("root").agg(F.ceil(F.sum("heads") / TOGETHER).cast("int").alias("blocks"))
     members = members.join(sizes, "root")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).join(members, "row")
+    texts = texts.join(members, ["key0", "key1"])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -380,21 +384,26 @@ def exact_links(docs: DataFrame, nodes: DataFrame, proposed: DataFrame, text_col
     return made.select("node", "root", "x", "y", "own").groupBy("root", "x", "y").applyInPandas(links, "a long, b long")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, checks: int = CHECKS) -> DataFrame:
-    """The rows of docs but for near copies: of each component the row with the smallest id stays.
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, checks: int = CHECKS, plain_table: bool = False) -> DataFrame:
+    """The rows of docs but for near copies: of each component the row with the smallest id stays, with all its columns.
 
     Sets of `shingle`-word shingles at the similarity or above share one of their heads, so every such pair meets in
     the list of one.  SimHash of 8 * checks bytes over the shingles, with ERRORS standard errors of room, proposes links there; groups
-    of these are then compared shingle by shingle, and only pairs at the similarity link.  Wordless texts are all one group.  docs must be a table that reads
-    alike each time (row numbers tie the result to it).
+    of these are then compared shingle by shingle, and only pairs at the similarity link.
+
+    Null, empty and wordless texts are all one group; shorter texts than a shingle have one of all their words; very long ones are read
+    whole.  Null ids stay only in groups without any other id; of repeated rows one stays; an empty table gives an empty result; no column's name can
+    clash.  plain_table: docs is read from files as it is, which saves a copy of it.
     """
-    sigs = stored(set_signatures(docs, id_col, text_col, shingle, similarity, checks), "signatures")
-    first_row = F.coalesce(F.min_by("row", "id"), F.min("row"))
+    keyed, key = with_row_key(docs, plain_table)
+    sigs = stored(set_signatures(keyed, id_col, text_col, key, shingle, similarity, checks), "signatures")
+    best = F.min_by(F.struct("id", "key0", "key1"), F.struct(F.col("id").isNull(), "id", "key0", "key1")).alias("best")
     alike = [F.first(c).alias(c) for c in (*(f"w{k}" for k in range(checks)), "heads")]
-    nodes = sigs.groupBy("k0", "k1").agg(F.min("id").alias("id"), first_row.alias("row"), *alike)
+    nodes = sigs.groupBy("k0", "k1").agg(best, *alike).select("best.*", *[f"w{k}" for k in range(checks)], "heads")
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     proposed = components(set_links(nodes, checks, bits_at(similarity, 64 * checks, ERRORS)))
-    (row,) = fresh(docs, "nd_row")
-    roots = components(exact_links(docs, nodes, proposed, text_col, shingle, similarity))
-    rooted = nodes.select("id", "row", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(first_row.alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(rooted.select(row), row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    texts = keyed.select(*[F.col(c).alias(f"key{j}") for j, c in enumerate(key)], F.col(text_col).alias("text"))
+    roots = components(exact_links(texts, nodes, proposed, shingle, similarity))
+    kept = nodes.select("id", "key0", "key1", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(best)
+    kept = kept.select(*[F.col(f"best.key{j}").alias(c) for j, c in enumerate(key)])
+    return keyed.join(kept, key, "left_semi").select(*[f"`{c}`" for c in docs.columns])
