@@ -56,6 +56,25 @@ def test_backtest(spark, series):
     np.testing.assert_allclose([(r.mae, r.mae_naive, r.directional_accuracy, r.signal_coverage, r.n) for r in got], [w[1:] for w in want])
 
 
+def test_many_rules_like_one_by_one(spark, series):
+    """What tasks work out for many rules is what the column expressions say."""
+    ind = staged(indicators.with_indicators(series), "i")
+    rules = signals.sampled_candidates(spark, 12, 5)
+    sig = signals.candidate_signals(ind, rules).drop("date", "strategy")
+    for fold_table in (backtest.folds(series, 5), backtest.holdout_fold(series)):
+        want = backtest.evaluate(sig, series, fold_table, 5).toPandas().sort_values(["series_id", "candidate", "fold"])
+        got = backtest.evaluate_rules(ind, rules, fold_table, 5).toPandas().sort_values(["series_id", "candidate", "fold"])[want.columns]
+        assert len(want) >= 24 and (got[["series_id", "candidate", "fold", "n"]].to_numpy() == want[["series_id", "candidate", "fold", "n"]].to_numpy()).all()
+        np.testing.assert_allclose(got.iloc[:, 3:-1].to_numpy(float), want.iloc[:, 3:-1].to_numpy(float), rtol=1e-9)
+
+
+def test_infinite_predictions_are_left_out(spark):
+    rows = [("s", "m", 1.0, p, 0.1, r) for p, r in ((1.0, 0.1), (float("inf"), 0.1), (1.0, float("-inf")), (float("nan"), 0.1), (None, 0.1), (2.0, 0.2))]
+    df = spark.createDataFrame(rows, "series_id string, model string, actual_value double, pred_value double, actual_return double, pred_return double")
+    got = evaluation.metric_block(df, ["series_id"]).first()
+    assert got.n == 2 and got.mae == 0.5
+
+
 def test_unknown_direction_has_no_composite(spark):
     row = spark.createDataFrame([(1.0, None, 0.5)], "mae_ratio_mean double, directional_accuracy_mean double, signal_coverage_mean double")
     assert row.select(backtest.composite().alias("c")).first().c is None
@@ -92,7 +111,7 @@ def test_tests_and_intervals(spark):
     assert boot.lower < ratio < boot.upper and boot.block_length == 10
     assert boot == evaluation.block_bootstrap(df, "m", h).first()
     scores = spark.createDataFrame([(float(k),) for k in rng.permutation(19) + 1], "x double")
-    assert scores.agg(evaluation.conformal_quantile("x", 0.9).alias("q")).first().q == 18.0
+    assert [r.x for r in scores.withColumn("q", evaluation.at_conformal_place("x", [F.lit(1)], 0.9)).where("q").collect()] == [18.0]
     with pytest.raises(ValueError):
         evaluation.half_width("other", F.lit(1.0))
 

@@ -31,6 +31,43 @@ def test_json_shapes(spark, tmp_path, shape):
     assert [(r.date_raw, float(r.value_raw)) for r in got] == [("2024-01-01", 1.5), ("2024-01-02", 2.0)]
 
 
+def test_json_keys(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps({"meta": {"a": 1}, "items": [{"date": "2024-01-01", "value": 3}]}))
+    assert [r.value_raw for r in files.read_json_series(spark, str(path)).collect()] == ["3"]
+    for body in ({"records": [{"date": "2024-01-01", "value": 3}]}, {"a": {"b": 1}}, {}):
+        path.write_text(json.dumps(body))
+        with pytest.raises(ValueError):
+            files.read_json_series(spark, str(path))
+
+
+def test_dates_and_blanks(spark):
+    from tidemark.functions.scalars import audit_number, parsed_date
+
+    texts = {
+        "2024-12-31": ("2024-12-31",) * 2, "2024-12-31 10:30": ("2024-12-31",) * 2, "2024-12-31T10:30:00.5Z": ("2024-12-31",) * 2, "2024/1/2": ("2024-01-02",) * 2, "20240102": ("2024-01-02",) * 2,
+        " 01-02-2024\t": ("2024-01-02", "2024-02-01"), "31.12.2024": (None, "2024-12-31"), "1/2/2024 00:00:00": ("2024-01-02", "2024-02-01"), "2024-13-01": (None, None), "2024-1/2": (None, None), "soon": (None, None), "": (None, None),
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "raw string")
+    got = df.select("raw", parsed_date(F.col("raw")).cast("string").alias("m"), parsed_date(F.col("raw"), True).cast("string").alias("d")).collect()
+    assert {r.raw: (r.m, r.d) for r in got} == texts
+    numbers = spark.createDataFrame([("\t1 215,5\r\n",), ("\u202f7\u00a0",), ("\x0b",)], "raw string")
+    assert [r.n for r in numbers.select(audit_number(F.col("raw")).alias("n")).collect()] == [1215.5, 7.0, None]
+
+
+def test_fetch_tries_again(monkeypatch):
+    asked = []
+
+    def no(request, timeout):
+        asked.append(request.full_url)
+        raise TimeoutError("slow")
+
+    monkeypatch.setattr(quotes, "urlopen", no)
+    answer = quotes.fetch("http://x/1", 1, 2, 0.0)
+    assert answer == quotes.Answer(None, 3, "slow") and asked == ["http://x/1"] * 3
+    assert list(quotes.waits(2, 1.5)) == [0.0, 1.5, 3.0]
+
+
 def test_typed(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text("date,value\n2024-01-02,2\n2024-01-01,1\n2024-01-02,9\nx,3\n2024-01-03,y\n")

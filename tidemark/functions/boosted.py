@@ -36,43 +36,80 @@ class Regressor:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, params: dict | None = None, seed: int = 42) -> Regressor:
+@dataclass(frozen=True)
+class Binned:
+    """Features cut into bins at quantiles; fits on the same rows can share it."""
+
+    edges: list[np.ndarray]
+    bins: np.ndarray  # (rows, features): bin b holds values up to edge b
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Binned:
+        edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
+        return cls(edges, np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1))
+
+
+def fit(x: np.ndarray, y: np.ndarray, params: dict | None = None, seed: int = 42, binned: Binned | None = None) -> Regressor:
     """Fit on rows of features without gaps.  objective: squared or absolute (leaves then take the sign's gradient)."""
     p = DEFAULTS | (params or {})
     model = Regressor(p, float(np.median(y) if p["objective"] == "absolute" else np.mean(y)), [], np.zeros(x.shape[1]))
     rng, (n, m) = np.random.default_rng(seed), x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(m)]
-    bins = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1)
-    f, lam, alpha = np.full(n, model.base), p["reg_lambda"], p["reg_alpha"]
-    soft = lambda g: np.sign(g) * np.maximum(np.abs(g) - alpha, 0.0)
+    binned = binned or Binned.of(x)
+    f = np.full(n, model.base)
     for _ in range(p["n_estimators"]):
         g = np.sign(f - y) if p["objective"] == "absolute" else f - y
         rows = rng.permutation(n)[: max(1, int(n * p["subsample"]))]
         columns = np.sort(rng.permutation(m)[: max(1, int(round(m * p["colsample_bytree"])))])
-        nodes: list[list] = [[0, np.inf, 0, 0.0]]
-        todo = [(0, rows, 0)]
-        while todo:
-            at, own, depth = todo.pop()
-            total, weight = g[own].sum(), float(len(own))
-            nodes[at][3] = -p["learning_rate"] * soft(total) / (weight + lam)
-            if depth == p["max_depth"] or weight < 2 * p["min_child_weight"]:
-                continue
-            key = (bins[np.ix_(own, columns)] + np.arange(len(columns)) * BINS).ravel()
-            gl = np.bincount(key, np.repeat(g[own], len(columns)), len(columns) * BINS).reshape(-1, BINS).cumsum(1)
-            hl = np.bincount(key, minlength=len(columns) * BINS).reshape(-1, BINS).cumsum(1)
-            gr, hr = total - gl, weight - hl
-            score = soft(gl) ** 2 / (hl + lam) + soft(gr) ** 2 / (hr + lam) - soft(total) ** 2 / (weight + lam)
-            score[(hl < p["min_child_weight"]) | (hr < p["min_child_weight"])] = -np.inf
-            j, b = np.unravel_index(score.argmax(), score.shape)
-            column = columns[j]
-            if not score[j, b] > 1e-12 or b >= len(edges[column]):
-                continue
-            model.gain[column] += score[j, b]
-            nodes[at][:3] = [int(column), float(edges[column][b]), len(nodes)]
-            for side in (bins[own, column] <= b, bins[own, column] > b):
-                nodes.append([0, np.inf, 0, 0.0])
-                todo.append((len(nodes) - 1, own[side], depth + 1))
-        model.trees.append([tuple(k) for k in nodes])
-        one = Regressor(p, 0.0, [model.trees[-1]])
-        f += one.predict(x)
+        nodes = _grown(binned, rows, columns, g[rows], p, model.gain)
+        model.trees.append([(j, float(binned.edges[j][b]) if left else np.inf, left, value) for j, b, left, value in nodes])
+        f += _reached(nodes, binned.bins, p["max_depth"])
     return model
+
+
+def _grown(binned: Binned, rows: np.ndarray, columns: np.ndarray, g: np.ndarray, p: dict, gain: np.ndarray) -> list[tuple]:
+    """A tree as nodes (feature, bin, first child or 0, value), grown level by level: one histogram serves all nodes of a level."""
+    lam, alpha, least = p["reg_lambda"], p["reg_alpha"], p["min_child_weight"]
+    soft = lambda v: np.sign(v) * np.maximum(np.abs(v) - alpha, 0.0)
+    value = lambda total, weight: -p["learning_rate"] * soft(total) / (weight + lam)
+    own = binned.bins[rows][:, columns]
+    key, width = own + np.arange(len(columns)) * BINS, len(columns) * BINS
+    last = np.array([len(binned.edges[j]) for j in columns])[:, None] > np.arange(BINS)  # bins that have an edge
+    nodes, level, at = [(0, 0, 0, float(value(g.sum(), len(g))))], np.zeros(1, np.int64), np.zeros(len(rows), np.int64)
+    for _ in range(p["max_depth"]):
+        slot = (at[:, None] * width + key).ravel()
+        shape = (len(level), len(columns), BINS)
+        gl = np.bincount(slot, np.repeat(g, len(columns)), len(level) * width).reshape(shape).cumsum(2)
+        hl = np.bincount(slot, minlength=len(level) * width).reshape(shape).cumsum(2)
+        total, weight = gl[:, :1, -1:], hl[:, :1, -1:]
+        score = soft(gl) ** 2 / (hl + lam) + soft(total - gl) ** 2 / (weight - hl + lam) - soft(total) ** 2 / (weight + lam)
+        score[(hl < least) | (weight - hl < least) | ~last] = -np.inf
+        flat = score.reshape(len(level), -1)
+        best = flat.argmax(1)
+        split = (flat[np.arange(len(level)), best] > 1e-12) & (weight[:, 0, 0] >= 2 * least)
+        if not split.any():
+            break
+        column, b = np.divmod(best, BINS)
+        fresh, following = np.zeros(len(level), np.int64), []
+        for k in np.flatnonzero(split):
+            j, left = columns[column[k]], len(nodes)
+            gain[j] += flat[k, best[k]]
+            nodes[level[k]] = (int(j), int(b[k]), left, nodes[level[k]][3])
+            gk, hk = gl[k, column[k], b[k]], hl[k, column[k], b[k]]
+            nodes += [(0, 0, 0, float(value(gk, hk))), (0, 0, 0, float(value(total[k, 0, 0] - gk, weight[k, 0, 0] - hk)))]
+            fresh[k] = len(following)
+            following += [left, left + 1]
+        go = split[at]
+        right = own[np.arange(len(at)), column[at]] > b[at]
+        at, own, key, g = (fresh[at] + right)[go], own[go], key[go], g[go]
+        level = np.array(following)
+    return nodes
+
+
+def _reached(nodes: list[tuple], bins: np.ndarray, depth: int) -> np.ndarray:
+    """The value of the leaf that each row ends in."""
+    feature, threshold, left, value = (np.array(c) for c in zip(*nodes, strict=True))
+    at, row = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    for _ in range(depth):
+        right = bins[row, feature[at]] > threshold[at]
+        at = np.where(left[at] > 0, left[at] + right, at)
+    return value[at]

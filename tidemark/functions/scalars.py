@@ -6,15 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NBSP, NARROW_NBSP = "\u00a0", "\u202f"
-#: Texts that stand for a missing value.
+#: White space that is cut off both ends of a text.
+BLANKS = f" \t\n\r\f\v{NBSP}{NARROW_NBSP}"
+#: A time of day that may follow a date, with or without a zone.
+TIME = r"([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)? ?(Z|UTC|[+-]\d{2}:?\d{2})?)?"
+#: Texts that stand for a missing value.
 MISSING = ("", "nan", "None", "null")
-#: Rates outside of this range are not believed.
+#: Rates outside of this range are not believed.
 PLAUSIBLE = (500.0, 10_000.0)
 
 
 def audit_text(raw: Column) -> Column:
     """A number's text for the audit: trimmed, without spaces; a comma becomes the point only where there is no point."""
-    text = F.translate(F.trim(raw), f"{NBSP} ", "")
+    text = F.translate(F.btrim(raw, F.lit(BLANKS)), f"{NBSP} ", "")
     return F.when(text.contains(",") & ~text.contains("."), F.replace(text, F.lit(","), F.lit("."))).otherwise(text)
 
 
@@ -35,7 +39,7 @@ def number_of(text: Column) -> Column:
 
 def quoted_number(raw: Column) -> Column:
     """Value of a scraped number: of comma and point the last one is the decimal sign, a lone comma too."""
-    text = F.translate(F.trim(raw), f"{NARROW_NBSP}{NBSP} ", "")
+    text = F.translate(F.btrim(raw, F.lit(BLANKS)), f"{NARROW_NBSP}{NBSP} ", "")
     last = lambda sign: F.length(text) - F.instr(F.reverse(text), sign)
     both = text.contains(",") & text.contains(".")
     comma_last = both & (last(",") > last("."))
@@ -49,7 +53,10 @@ def plain_text(html: Column) -> Column:
 
 
 def quote_text(html: Column) -> Column:
-    """The first number after the quote's label, within a bounded gap without digits; the bare currency is the fallback."""
+    """The first number after the quote's label, within a bounded gap without digits; the bare currency is the fallback.
+
+    Fixed values: the two patterns.
+    """
     text = plain_text(html)
     labelled = F.regexp_extract(text, r"(?i)USD\s*\(cours\s+moyen\)\s*[^0-9]{0,80}([0-9][0-9\s.,]*)", 1)
     bare = F.regexp_extract(text, r"(?i)\bUSD\b\s*[^0-9]{0,120}([0-9][0-9\s.,]*)", 1)
@@ -71,19 +78,23 @@ def latest_quote(html: Column) -> Column:
     """date and value of the newest quote on the market page; null unless both are there.
 
     The value stands as "1 USD = X CDF", the day as DD/MM/YYYY after the market's name.  No range is asked for, and a value without
-    a point has only its first comma replaced, so that a second one makes it no number.
+    a point has only its first comma replaced, so that a second one makes it no number.  Fixed values: the two patterns.
     """
     text = plain_text(html)
-    day = F.regexp_extract(text, r"(?iu)March\u00e9 officiel des changes\s+(\d{2}/\d{2}/\d{4})", 1)
+    day = F.regexp_extract(text, r"(?iu)Marché officiel des changes\s+(\d{2}/\d{2}/\d{4})", 1)
     value = quoted_number(F.regexp_replace(F.regexp_extract(text, r"(?i)1\s*USD\s*=\s*([0-9\s.,]+)\s*CDF", 1), r"[\s\u202f]", ""))
     return F.when((day != "") & value.isNotNull(), F.struct(F.try_to_timestamp(day, F.lit("dd/MM/yyyy")).cast("date").alias("date"), value.alias("value")))
 
 
 def parsed_date(raw: Column, day_first: bool = False) -> Column:
-    """Date of a text, null where it is none.  ISO dates always count; other orders by day_first."""
-    iso = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), raw.try_cast("date"))
-    other = F.when(raw.contains("/"), F.try_to_timestamp(raw, F.lit("d/M/yyyy" if day_first else "M/d/yyyy")).cast("date"))
-    return F.coalesce(iso, other)
+    """Date of a text, null where it is none.
+
+    The year may come first, with dashes, slashes, dots or nothing between, or last, with day and month by day_first.  A time of day may follow.
+    """
+    day = F.regexp_extract(F.btrim(raw, F.lit(BLANKS)), rf"^(\d{{4}}([-/.])\d{{1,2}}\2\d{{1,2}}|\d{{1,2}}([-/.])\d{{1,2}}\3\d{{4}}|\d{{8}}){TIME}$", 1)
+    text = F.translate(day, "/.", "--")
+    iso, plain, last = (F.try_to_date(text, f) for f in ("y-M-d", "yyyyMMdd", "d-M-y" if day_first else "M-d-y"))
+    return F.when(text.rlike(r"^\d{4}-"), iso).when(text.rlike(r"^\d{8}$"), plain).when(text != "", last)
 
 
 def rounded(value: Column, digits: int) -> Column:

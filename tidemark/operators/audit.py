@@ -27,7 +27,9 @@ def with_flags(raw: DataFrame, day_first: bool = False) -> DataFrame:
     """raw (series_id, row_in_file, date_raw, value_raw) with date, value, five flags and the first reason that holds."""
     text, value = F.col("value_text"), F.col("value")
     infinite = F.abs(value) == float("inf")
-    checked = raw.withColumn("value_text", audit_text(F.col("value_raw"))).withColumns({"date": parsed_date(F.col("date_raw"), day_first), "value": number_of(text)})
+    # Each inline is a barrier: without it every flag would work out the date and the number for itself.
+    trimmed = raw.select("*", F.inline(F.array(F.struct(audit_text(F.col("value_raw")).alias("value_text"), parsed_date(F.col("date_raw"), day_first).alias("date")))))
+    checked = trimmed.select("*", F.inline(F.array(F.struct(number_of(text).alias("value")))))
     flagged = checked.withColumns(
         {
             "bad_date": F.col("date").isNull(),

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.signals import INPUTS, with_signals
+from tidemark.sources.staging import spread
+
 HORIZONS = [5, 10, 20]
 TEST_SHARE, FOLDS, FOLD_SIZE = 0.20, 5, 120
 LEAST_TRAIN = 100
@@ -39,9 +44,8 @@ def with_roles(signals: DataFrame, series: DataFrame, fold_table: DataFrame, h:
     """
     ahead = series.select("series_id", "row", (F.lead("value", h).over(Window.partitionBy("series_id").orderBy("row")) / F.col("value") - 1).alias("y"))
     labelled = signals.join(ahead, ["series_id", "row"])
-    slices = F.broadcast(fold_table)
     train, valid = F.col("row") + h < F.col("train_end"), (F.col("row") >= F.col("valid_from")) & (F.col("row") + h < F.col("valid_to"))
-    return labelled.join(slices, "series_id").where(train | valid).withColumn("role", F.when(train, "train").otherwise("valid"))
+    return labelled.join(fold_table, "series_id").where(train | valid).withColumn("role", F.when(train, "train").otherwise("valid"))
 
 
 def expectations(rows: DataFrame) -> DataFrame:
@@ -90,6 +94,58 @@ def evaluate(signals: DataFrame, series: DataFrame, fold_table: DataFrame, h: in
     return predictions(rows, expectations(rows)).groupBy("series_id", "candidate", "fold").agg(*signal_metrics())
 
 
+#: Rules that a task judges at a time.
+TOGETHER = 40
+
+
+def evaluate_rules(indicators: DataFrame, rules: DataFrame, fold_table: DataFrame, h: int) -> DataFrame:
+    """The metrics of evaluate for many rules (a grid of at most 945): series_id, candidate, fold and signal_metrics.
+
+    A series crosses the network once for each chunk of TOGETHER rules and becomes rows by rule only where it is judged: signals are
+    column expressions there, exact medians of many small groups are numpy.  A task holds one series, whose rows are days.
+    """
+    dealt = rules.withColumn("task", F.expr(f"candidate div {TOGETHER}").cast("int"))
+    tasks = F.broadcast(dealt.select("task").distinct())
+    rows = spread(indicators.select("series_id", "row", "value", *INPUTS).crossJoin(tasks), "series_id", "task")
+    judged = with_signals(rows.join(F.broadcast(dealt), "task")).select("series_id", "task", "candidate", "row", "value", "signal")
+    jobs = spread(fold_table.crossJoin(tasks), "series_id", "task")
+    jobs = jobs.toDF(*jobs.columns)  # columns of its own, as both sides come from the same tables
+    names = ["mae", "mae_naive", "mae_ratio", "rmse", "rmse_naive", "rmse_ratio", "directional_accuracy", "signal_coverage"]
+    kinds = "series_id string, candidate int, fold int, " + ", ".join(f"{c} double" for c in names) + ", n long"
+
+    def run(part: pd.DataFrame, folds: pd.DataFrame) -> pd.DataFrame:
+        out, part = [], part.sort_values(["candidate", "row"], kind="stable")
+        for fold in folds.itertuples():
+            for candidate, own in part.groupby("candidate"):
+                value, signal = own["value"].to_numpy(), own["signal"].to_numpy()
+                out.append((fold.series_id, candidate, fold.fold, *_judged(value, signal, fold, h)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in kinds.split(", ")])
+
+    return judged.groupBy("series_id", "task").cogroup(jobs.groupBy("series_id", "task")).applyInPandas(run, kinds)
+
+
+def _judged(value: np.ndarray, signal: np.ndarray, fold, h: int) -> tuple:
+    """What expectations, predictions and signal_metrics say of one rule in one fold."""
+    move = value[h:] / value[:-h] - 1
+    past, now = slice(0, max(0, fold.train_end - h)), slice(fold.valid_from, max(fold.valid_from, fold.valid_to - h))
+    train, seen = move[past], signal[: len(move)][past]
+    cap, expected = max(float(np.quantile(np.abs(train), 0.9)), 1e-6), {}
+    for s in (-1, 0, 1):
+        own = train[seen == s]
+        raw = np.median(own) if len(own) >= 20 else own.mean() if len(own) else 0.0
+        expected[s] = min(cap, max(-cap, float(raw)))
+    actual, said, base = move[now], signal[: len(move)][now], value[: len(move)][now]
+    n = len(actual)
+    if not n:
+        return (None,) * 8 + (0,)
+    told = np.where(said > 0, expected[1], np.where(said < 0, expected[-1], expected[0]))
+    error, naive, moving = base * (told - actual), base * actual, told != 0
+    mae, mae_naive, rmse, rmse_naive = np.abs(error).mean(), np.abs(naive).mean(), np.sqrt((error**2).mean()), np.sqrt((naive**2).mean())
+    right = (np.sign(told[moving]) == np.sign(actual[moving])).mean() if moving.any() else None
+    over = lambda a, b: a / b if b > 0 else np.inf
+    return mae, mae_naive, over(mae, mae_naive), rmse, rmse_naive, over(rmse, rmse_naive), right, (said != 0).mean(), n
+
+
 def fold_summary(metrics: DataFrame) -> DataFrame:
     """Mean and median ratio, mean direction and coverage over the folds, and the composite score (lower is better)."""
     s = metrics.groupBy("series_id", "candidate").agg(

@@ -59,7 +59,7 @@ def split_checks(features: DataFrame, h: int) -> DataFrame:
     d = horizon_dataset(features, h)
     ends = d.groupBy("series_id").agg(F.max(F.when(F.col("split") == "dev", F.col("row") + h)).alias("dev_to"), F.min(F.when(F.col("split") == "test", F.col("row"))).alias("test_from"), F.count(F.lit(1)).alias("n"))
     holdout = ends.select("series_id", F.lit(f"holdout purged h={h}").alias("check"), (F.col("dev_to") < F.col("test_from")).alias("ok"), "n")
-    inside = d.where("split = 'dev'").join(F.broadcast(walk_forward_folds(d, h)), "series_id")
+    inside = d.where("split = 'dev'").join(walk_forward_folds(d, h), "series_id")
     fold = inside.groupBy("series_id", "fold").agg(F.max(F.when(F.col("dev_row") < F.col("train_end"), F.col("row") + h)).alias("train_to"), F.min(F.when(F.col("dev_row") >= F.col("valid_from"), F.col("row"))).alias("first"), F.count(F.lit(1)).alias("n"))
     folds = fold.groupBy("series_id").agg(F.bool_and(F.col("train_to") < F.col("first")).alias("ok"), F.sum("n").alias("n"))
     return holdout.unionByName(folds.select("series_id", F.lit(f"folds purged h={h}").alias("check"), "ok", "n"))

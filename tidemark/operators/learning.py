@@ -39,26 +39,33 @@ def _matrix(part: pd.DataFrame, kind: str) -> np.ndarray:
     return part[feature_names(kind)].to_numpy(float)
 
 
-def fold_predictions(dataset: DataFrame, h: int, sets: DataFrame, kind: str = "scale_free") -> DataFrame:
+def fold_predictions(dataset: DataFrame, h: int, sets: DataFrame, kind: str = "scale_free", together: int = 4) -> DataFrame:
     """Out-of-fold predictions of every parameter set: series_id, candidate, fold, row, value, actual and predicted return.
 
-    sets is a bounded list of parameters.  The rows of a series are multiplied by its folds and sets, then each
-    group fits on its training rows and predicts its validation rows.
+    A series goes once to each task of about `together` parameter sets, whose candidates are numbered from 0 on; the task fits them on the
+    training rows of each fold, which are cut into bins once, and predicts the fold's validation rows.
     """
-    folds = F.broadcast(walk_forward_folds(dataset, h))
     names = feature_names(kind)
-    dev = dataset.where("split = 'dev'").select("series_id", "row", "dev_row", "value", "return_h", *names)
-    rows = dev.join(folds, "series_id").where(F.col("dev_row") < F.col("valid_to")).where((F.col("dev_row") < F.col("train_end")) | (F.col("dev_row") >= F.col("valid_from")))
-    tasks = rows.crossJoin(F.broadcast(sets.select("candidate", "params")))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("dev_row")
-        train = part["dev_row"] < part["train_end"]
-        model = boosted.fit(_matrix(part[train], kind), SCALE * part.loc[train, "return_h"].to_numpy(), json.loads(part["params"].iloc[0]), SEED)
-        out = part.loc[~train, ["series_id", "candidate", "fold", "row", "value", "return_h"]].rename(columns={"return_h": "actual_return"})
-        return out.assign(pred_return=model.predict(_matrix(part[~train], kind)) / SCALE)
-
-    return spread(tasks, "series_id", "candidate", "fold").groupBy("series_id", "candidate", "fold").applyInPandas(run, "series_id string, candidate int, fold int, row int, value double, actual_return double, pred_return double")
+    dealt = sets.select("candidate", "params", F.expr(f"candidate div {together}").alias("task"))
+    tasks = dealt.select("task").distinct()
+    dev = dataset.where("split = 'dev'").select("series_id", "row", "dev_row", "value", "return_h", *names).crossJoin(F.broadcast(tasks))
+    jobs = walk_forward_folds(dataset, h).crossJoin(F.broadcast(dealt))
+    jobs = jobs.toDF(*jobs.columns)  # columns of its own, as both sides come from the same tables
+    kinds = "series_id string, candidate int, fold int, row int, value double, actual_return double, pred_return double"
+
+    def run(part: pd.DataFrame, jobs: pd.DataFrame) -> pd.DataFrame:
+        part, out = part.sort_values("dev_row"), []
+        x, y, at = _matrix(part, kind), SCALE * part["return_h"].to_numpy(), part["dev_row"].to_numpy()
+        for (train_end, valid_from, valid_to), own in jobs.groupby(["train_end", "valid_from", "valid_to"]):
+            train, valid = at < train_end, (at >= valid_from) & (at < valid_to)
+            binned = boosted.Binned.of(x[train])
+            rows = part.loc[valid, ["series_id", "row", "value", "return_h"]].rename(columns={"return_h": "actual_return"})
+            for job in own.itertuples():
+                model = boosted.fit(x[train], y[train], json.loads(job.params), SEED, binned)
+                out.append(rows.assign(candidate=job.candidate, fold=job.fold, pred_return=model.predict(x[valid]) / SCALE))
+        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in kinds.split(", ")])
+
+    return spread(dev, "series_id", "task").groupBy("series_id", "task").cogroup(spread(jobs, "series_id", "task").groupBy("series_id", "task")).applyInPandas(run, kinds)
 
 
 def search(predictions: DataFrame) -> DataFrame:

@@ -104,16 +104,23 @@ def candidate_signals(indicators: DataFrame, rules: DataFrame) -> DataFrame:
     """The signal of every rule on every row: series_id, row, date, value, candidate, strategy, signal.
 
     rules is a grid of at most 945 rows, so it is broadcast.  Rows are dealt over all tasks first, as each becomes as many rows
-    as there are rules; the inputs that a rule names are columns of their own, so that none is worked out twice.
+    as there are rules.
     """
+    rows = spread(indicators.select("series_id", "row", "date", "value", *INPUTS), "series_id", "row")
+    return with_signals(rows.crossJoin(F.broadcast(rules))).select("series_id", "row", "date", "value", "candidate", "strategy", "signal")
+
+
+#: Indicators that rules name.
+INPUTS = [*[f"ema_{k}" for k in (*FAST, *SLOW)], *[f"rsi_{k}" for k in RSI], *[f"ret_{k}" for k in MOMENTUM], "macd_hist"]
+
+
+def with_signals(crossed: DataFrame) -> DataFrame:
+    """Rows of indicators, each beside a rule, with the rule's signal.  The inputs that a rule names become columns, so that none is worked out twice."""
     inputs = {
         "gap": _chosen("ema", "fast", FAST) / F.nullif(_chosen("ema", "slow", SLOW), F.lit(0.0)) - 1,
         "rsi": _chosen("rsi", "rsi_period", RSI),
         "momentum": _chosen("ret", "mom_window", MOMENTUM),
     }
-    names = [*[f"ema_{k}" for k in (*FAST, *SLOW)], *[f"rsi_{k}" for k in RSI], *[f"ret_{k}" for k in MOMENTUM], "macd_hist"]
-    rows = spread(indicators.select("series_id", "row", "date", "value", *names), "series_id", "row")
-    crossed = rows.crossJoin(F.broadcast(rules)).withColumns(inputs)
     g, rsi, momentum, band, bull, bear, threshold = (F.col(c) for c in (*inputs, "neutral_band", "rsi_bull", "rsi_bear", "score_threshold"))
     by_rule = (
         F.when(F.col("strategy") == "ma", ma(g, band))
@@ -122,4 +129,4 @@ def candidate_signals(indicators: DataFrame, rules: DataFrame) -> DataFrame:
         .when(F.col("strategy") == "combo", combo(g, momentum, rsi, F.col("macd_hist"), bull, bear, threshold))
         .otherwise(F.raise_error(F.concat(F.lit("no strategy is named "), F.col("strategy"))))
     )
-    return crossed.select("series_id", "row", "date", "value", "candidate", "strategy", by_rule.cast("int").alias("signal"))
+    return crossed.withColumns(inputs).withColumn("signal", by_rule.cast("int")).drop(*inputs)

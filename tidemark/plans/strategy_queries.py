@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import backtest, signals
 from tidemark.plans.series_queries import positioned, six, with_indicators
+from tidemark.sources.staging import staged_once
 
 #: The rule that single-rule queries use, and the horizon.
 FAST, SLOW, BAND, H = 20, 50, 0.003, 5
@@ -117,12 +118,11 @@ def candidate_signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strategy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best rule of each series and horizon by walk-forward over a seeded sample of the grid."""
-    s, ind = positioned(spark, sf_dir), with_indicators(spark, sf_dir)
+    s, ind = positioned(spark, sf_dir), staged_once(spark, sf_dir, "indicators", lambda: with_indicators(spark, sf_dir))
 
     def best(h: int) -> DataFrame:
         rules = signals.sampled_candidates(spark, SEARCH_LIMIT, h)
-        sig = signals.candidate_signals(ind, rules)
-        found = backtest.best(backtest.fold_summary(backtest.evaluate(sig.drop("date", "strategy"), s, backtest.folds(s, h), h)))
+        found = backtest.best(backtest.fold_summary(backtest.evaluate_rules(ind, rules, backtest.folds(s, h), h)))
         return found.join(rules, "candidate").withColumn("horizon", F.lit(h))
 
     return reduce(DataFrame.unionByName, [best(h) for h in HORIZONS])

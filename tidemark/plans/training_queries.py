@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluation, forecast, learning
 from tidemark.operators.features import with_features
 from tidemark.plans.series_queries import positioned, six
-from tidemark.sources.staging import staged
+from tidemark.sources.staging import staged_once
 
 H, HORIZONS = 5, [5, 10, 20]
 #: Parameter sets that the search draws beside the default, as workflows.train does.
@@ -20,8 +20,13 @@ METRICS = ["mae", "rmse", "mape_pct", "smape_pct", "bias", "r2_level", "r2_retur
 
 
 def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 31 features are made once and staged: splits, folds and models all read them."""
-    return evaluation.horizon_dataset(staged(with_features(positioned(spark, sf_dir)), "features"), H)
+    return _data(spark, sf_dir, H)
+
+
+def _data(spark: SparkSession, sf_dir: str, h: int) -> DataFrame:
+    """The 31 features are made once for all queries: splits, folds and models read them."""
+    feats = staged_once(spark, sf_dir, "features", lambda: with_features(positioned(spark, sf_dir)))
+    return evaluation.horizon_dataset(feats, h)
 
 
 def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,14 +79,21 @@ def interval_coverage_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_horizon(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
     """What make gives of the dataset, the ranked parameter sets and each horizon."""
-    feats, out = staged(with_features(positioned(spark, sf_dir)), "features"), []
-    for h in HORIZONS:
-        data, sets = evaluation.horizon_dataset(feats, h), learning.parameter_sets(spark, DRAWS, h)
-        ranked = learning.search(learning.fold_predictions(data, h, sets)).join(sets, "candidate")
-        out.append(make(data, ranked, h).withColumn("horizon", F.lit(h)))
+    ranked = staged_once(spark, sf_dir, "ranked", lambda: _ranked(spark, sf_dir))
+    out = [make(_data(spark, sf_dir, h), ranked.where(F.col("horizon") == h).drop("horizon"), h).withColumn("horizon", F.lit(h)) for h in HORIZONS]
     return reduce(DataFrame.unionByName, out)
 
 
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search, once for all queries that build on it."""
+
+    def one(h: int) -> DataFrame:
+        sets = learning.parameter_sets(spark, DRAWS, h)
+        return learning.search(learning.fold_predictions(_data(spark, sf_dir, h), h, sets)).join(sets, "candidate").withColumn("horizon", F.lit(h))
+
+    return reduce(DataFrame.unionByName, [one(h) for h in HORIZONS])
+
+
 def learned_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameter sets of the boosted trees by their walk-forward ratio, by horizon."""
     return _by_horizon(spark, sf_dir, lambda data, ranked, h: ranked)

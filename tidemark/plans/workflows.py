@@ -82,10 +82,10 @@ def search_strategies(spark: SparkSession, series: DataFrame, out: str, limit: i
     slim, summaries = ind.select("series_id", "date", "row", "value"), []
     for h in horizons:
         rules = signals.sampled_candidates(spark, limit, h)
-        sig = staged(signals.candidate_signals(ind, rules), "signals")
-        ranked = staged(backtest.ranked(backtest.fold_summary(backtest.evaluate(sig.drop("date", "strategy"), slim, backtest.folds(slim, h), h))), "ranked")
-        best = ranked.where("place = 1").join(F.broadcast(rules), "candidate")
-        own = staged(sig.join(best.select("series_id", "candidate"), ["series_id", "candidate"], "left_semi").drop("strategy"), "own")
+        ranked = staged(backtest.ranked(backtest.fold_summary(backtest.evaluate_rules(ind, rules, backtest.folds(slim, h), h))), "ranked")
+        best = staged(ranked.where("place = 1").join(F.broadcast(rules), "candidate"), "best")
+        chosen = ind.select("series_id", "row", "date", "value", *signals.INPUTS).join(best.select("series_id", *rules.columns), "series_id")
+        own = staged(signals.with_signals(chosen).select("series_id", "row", "date", "value", "candidate", "signal"), "own")
         hold = backtest.evaluate(own.drop("date"), slim, backtest.holdout_fold(slim), h).select("series_id", *[F.col(c).alias(f"holdout_{c}") for c in ("mae_ratio", "directional_accuracy", "signal_coverage")])
         params = F.to_json(F.struct("fast", "slow", "rsi_period", "mom_window", "rsi_bull", "rsi_bear", "neutral_band", "score_threshold"))
         summary = best.join(hold, "series_id").select(

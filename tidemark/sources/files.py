@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,11 +10,11 @@ from pyspark.sql import types as T
 from tidemark.functions.scalars import parsed_date
 
 BOM = "\ufeff"
-#: Names that a date or value column may have, in order of preference.
+#: Names that a date or value column may have, in order of preference.
 DATE_NAMES = ["date", "Date", "DATE", "jour", "Jour"]
 VALUE_NAMES = ["USD/CDF", "usd_cdf", "USDCDF", "value", "Value", "X", "taux", "cours"]
-#: Keys under which an object may hold its list of observations, in order of preference.
-LIST_KEYS = ["data", "observations", "series", "values", "rates", "records"]
+#: Keys under which an object may hold its list of observations, in order of preference.
+LIST_KEYS = ["data", "observations", "series", "values", "rates", "items"]
 
 
 def resolve(columns: list[str], names: list[str], wanted: str | None = None) -> str:
@@ -48,7 +49,7 @@ def read_delimited(spark: SparkSession, path: str, date_column: str | None = Non
 
 
 def read_json_series(spark: SparkSession, path: str, date_column: str | None = None, value_column: str | None = None, series_id: str = "series") -> DataFrame:
-    """Raw observations of a JSON file: a list of objects, an object that holds one, or a map from date to value."""
+    """Raw observations of a JSON file: a list of objects, an object that holds one, or a map from date to value; any other raises ValueError."""
     text = spark.read.text(path, wholetext=True)
     if text.where(F.ltrim(F.regexp_replace("value", BOM, "")).startswith("[")).limit(1).count():
         rows = _objects(text.select(F.from_json("value", "array<map<string,string>>").alias("rows")))
@@ -60,6 +61,9 @@ def read_json_series(spark: SparkSession, path: str, date_column: str | None = N
             rows = _objects(held.select(F.from_json(found, "array<map<string,string>>").alias("rows")))
         else:
             pairs = text.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("row_in_file", "e"))
+            nested = pairs.where(F.ltrim("e.value").rlike(r"^[\[{]")).select("e.key").limit(10).collect()
+            if nested or pairs.isEmpty():
+                raise ValueError(f"{path} holds no observations that can be told; keys with other contents: {[r.key for r in nested]}")
             return pairs.select(F.lit(series_id).alias("series_id"), F.col("row_in_file").cast("long"), F.col("e.key").alias("date_raw"), F.col("e.value").alias("value_raw"))
     pick = lambda names, own: F.coalesce(*[F.try_element_at("o", F.lit(n)) for n in ([own] if own else names)])
     return rows.select(F.lit(series_id).alias("series_id"), F.col("row_in_file").cast("long"), pick(DATE_NAMES, date_column).alias("date_raw"), pick(VALUE_NAMES, value_column).alias("value_raw"))
@@ -81,7 +85,9 @@ def read_typed(spark: SparkSession, path: str, series_id: str = "series") -> Dat
 
 def read_report(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame | None:
     """A small report, or None where the file is not there."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    return spark.read.csv(path, header=True, inferSchema=True) if kind == "csv" else spark.read.json(path, multiLine=True)
+    try:
+        return spark.read.csv(path, header=True, inferSchema=True) if kind == "csv" else spark.read.json(path, multiLine=True)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise

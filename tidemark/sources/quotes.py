@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import date, timedelta
+from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,19 +24,31 @@ class Days(InputPartition):
         self.first, self.n = first, n
 
 
-def fetch(url: str, timeout: float, retries: int, pause: float) -> str | None:
-    """Text of a page; None after the last failed attempt.  The pause grows with each attempt."""
-    from urllib.error import URLError
-    from urllib.request import Request, urlopen
+@dataclass(frozen=True)
+class Answer:
+    """What asking for a page came to: its text, or the last error after so many attempts."""
 
-    for attempt in range(retries + 1):
+    text: str | None
+    attempts: int
+    error: str | None = None
+
+
+def waits(retries: int, pause: float) -> Iterator[float]:
+    """Seconds to wait before each attempt: none before the first, then ever longer."""
+    return (k * pause for k in range(retries + 1))
+
+
+def fetch(url: str, timeout: float, retries: int, pause: float) -> Answer:
+    """Ask for a page until it comes or the attempts are used up; network errors end an attempt, not the job."""
+    request, answer = Request(url, headers={"User-Agent": "tidemark", "Accept": "text/html"}), Answer(None, 0)
+    for seconds in waits(retries, pause):
+        time.sleep(seconds)
         try:
-            with urlopen(Request(url, headers={"User-Agent": "tidemark", "Accept": "text/html"}), timeout=timeout) as answer:
-                return answer.read().decode("utf-8", "ignore")
-        except (URLError, TimeoutError, OSError):
-            if attempt < retries:
-                time.sleep(pause * (attempt + 1))
-    return None
+            with urlopen(request, timeout=timeout) as page:
+                return Answer(page.read().decode("utf-8", "ignore"), answer.attempts + 1)
+        except OSError as e:  # of which URLError and TimeoutError are kinds
+            answer = Answer(None, answer.attempts + 1, str(e))
+    return answer
 
 
 class QuoteReader(DataSourceReader):
@@ -51,7 +65,7 @@ class QuoteReader(DataSourceReader):
     def read(self, partition: Days) -> Iterator[tuple]:
         for k in range(partition.n):
             day = partition.first + timedelta(k)
-            yield day, fetch(f"{self.base}/{day.isoformat()}", self.timeout, self.retries, self.pause)
+            yield day, fetch(f"{self.base}/{day.isoformat()}", self.timeout, self.retries, self.pause).text
 
 
 class QuotePages(DataSource):

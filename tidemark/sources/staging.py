@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under spark.checkpoint.dir (a temporary folder only where that is unset) and read it back.
 
-    The plan of what follows starts from a scan: it stays small, and a lost executor costs no recomputation.
+    The plan of what follows starts from a scan: it stays small, and a lost executor costs no recomputation.  The application's tables lie
+    in a folder of their own, which can go as a whole when it has ended.
     """
+    path = _write(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Path and schema of what staged_once has written, by application, source and name.
+_KEPT: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def staged_once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Like staged, but made once for an application: later calls for the same source and name read the table that is there.
+
+    For inputs that do not change while the application runs.
+    """
+    key = spark.sparkContext.applicationId, source, name
+    if key not in _KEPT:
+        df = make()
+        _KEPT[key] = _write(df, name), df.schema
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def _write(df: DataFrame, name: str) -> str:
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

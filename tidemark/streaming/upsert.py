@@ -5,6 +5,7 @@ The table is Parquet, partitioned by year; a batch rewrites only the years that
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,9 +26,14 @@ def latest(observations: DataFrame, delay: str = "14 days") -> DataFrame:
     return timed.groupBy("series_id", F.window("event", "1 day")).agg(F.max_by("value", "seen").alias("value")).select("series_id", F.to_date("window.start").alias("date"), "value")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path, None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def upsert_batch(batch: DataFrame, table: str) -> None:
@@ -37,9 +43,8 @@ def upsert_batch(batch: DataFrame, table: str) -> None:
     years = [r.year for r in new.select("year").distinct().collect()]
     if not years:
         return
-    if _exists(spark, table):
-        old = spark.read.parquet(table).where(F.col("year").isin(years))
-        new = merged(old, new).drop("status").withColumn("year", F.year("date"))
+    if (known := _existing(spark, table)) is not None:
+        new = merged(known.where(F.col("year").isin(years)), new).drop("status").withColumn("year", F.year("date"))
     staged = f"{table.rstrip('/')}.staged"
     new.write.mode("overwrite").parquet(staged)  # the old files stay readable until the result is whole
     spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(table)
