@@ -13,7 +13,7 @@ DEFAULTS = {
     "n_estimators": 200, "max_depth": 3, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.9,
     "min_child_weight": 10.0, "reg_alpha": 0.0, "reg_lambda": 5.0, "objective": "squared",
 }
-BINS = 64
+BINS = 32
 
 
 @dataclass
@@ -67,41 +67,58 @@ def fit(x: np.ndarray, y: np.ndarray, params: dict | None = None, seed: int = 42
 
 
 def _grown(binned: Binned, rows: np.ndarray, columns: np.ndarray, g: np.ndarray, p: dict, gain: np.ndarray) -> list[tuple]:
-    """A tree as nodes (feature, bin, first child or 0, value), grown level by level: one histogram serves all nodes of a level."""
-    lam, alpha, least = p["reg_lambda"], p["reg_alpha"], p["min_child_weight"]
-    soft = lambda v: np.sign(v) * np.maximum(np.abs(v) - alpha, 0.0)
-    value = lambda total, weight: -p["learning_rate"] * soft(total) / (weight + lam)
-    own = binned.bins[rows][:, columns]
-    key, width = own + np.arange(len(columns)) * BINS, len(columns) * BINS
-    last = np.array([len(binned.edges[j]) for j in columns])[:, None] > np.arange(BINS)  # bins that have an edge
-    nodes, level, at = [(0, 0, 0, float(value(g.sum(), len(g))))], np.zeros(1, np.int64), np.zeros(len(rows), np.int64)
-    for _ in range(p["max_depth"]):
-        slot = (at[:, None] * width + key).ravel()
-        shape = (len(level), len(columns), BINS)
-        gl = np.bincount(slot, np.repeat(g, len(columns)), len(level) * width).reshape(shape).cumsum(2)
-        hl = np.bincount(slot, minlength=len(level) * width).reshape(shape).cumsum(2)
+    """A tree as nodes (feature, bin, first child or 0, value), grown level by level.
+
+    Of two siblings only the smaller one's histogram is counted; the other's is what is left of the parent's.
+    """
+    lam, alpha, least, c = p["reg_lambda"], p["reg_alpha"], p["min_child_weight"], len(columns)
+    soft = (lambda v: np.sign(v) * np.maximum(np.abs(v) - alpha, 0.0)) if alpha else (lambda v: v)
+    value = lambda total, weight: float(-p["learning_rate"] * soft(total) / (weight + lam))
+    own = binned.bins[rows[:, None], columns]
+    key = own + np.arange(c) * BINS
+
+    def histograms(among: np.ndarray, node: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        slot = (key[among] + (node * (c * BINS))[:, None]).ravel()
+        sums = np.bincount(slot, np.repeat(g[among], c), n * c * BINS).reshape(n, c, BINS)
+        return sums, np.bincount(slot, minlength=n * c * BINS).reshape(n, c, BINS)
+
+    unusable = np.array([len(binned.edges[j]) for j in columns])[:, None] <= np.arange(BINS)  # bins without an edge
+    nodes, level, at = [(0, 0, 0, value(g.sum(), len(g)))], [0], np.zeros(len(rows), np.int64)
+    sums, counts = histograms(np.arange(len(rows)), at, 1)
+    for depth in range(p["max_depth"]):
+        gl, hl = sums.cumsum(2), counts.cumsum(2)
         total, weight = gl[:, :1, -1:], hl[:, :1, -1:]
-        score = soft(gl) ** 2 / (hl + lam) + soft(total - gl) ** 2 / (weight - hl + lam) - soft(total) ** 2 / (weight + lam)
-        score[(hl < least) | (weight - hl < least) | ~last] = -np.inf
-        flat = score.reshape(len(level), -1)
+        score = soft(gl) ** 2 / (hl + lam) + soft(total - gl) ** 2 / (weight - hl + lam)
+        score[(hl < least) | (weight - hl < least) | unusable] = -np.inf
+        flat, n = score.reshape(len(level), -1), np.arange(len(level))
         best = flat.argmax(1)
-        split = (flat[np.arange(len(level)), best] > 1e-12) & (weight[:, 0, 0] >= 2 * least)
-        if not split.any():
-            break
+        rise = flat[n, best] - (soft(total) ** 2 / (weight + lam))[:, 0, 0]
         column, b = np.divmod(best, BINS)
-        fresh, following = np.zeros(len(level), np.int64), []
-        for k in np.flatnonzero(split):
-            j, left = columns[column[k]], len(nodes)
-            gain[j] += flat[k, best[k]]
-            nodes[level[k]] = (int(j), int(b[k]), left, nodes[level[k]][3])
-            gk, hk = gl[k, column[k], b[k]], hl[k, column[k], b[k]]
-            nodes += [(0, 0, 0, float(value(gk, hk))), (0, 0, 0, float(value(total[k, 0, 0] - gk, weight[k, 0, 0] - hk)))]
-            fresh[k] = len(following)
-            following += [left, left + 1]
-        go = split[at]
+        split = np.flatnonzero((rise > 1e-12) & (weight[:, 0, 0] >= 2 * least))
+        if not len(split):
+            break
+        left_g, left_h = gl[n, column, b], hl[n, column, b]
+        fresh, following = np.full(len(level), -1), []
+        for i, k in enumerate(split.tolist()):
+            j, first = int(columns[column[k]]), len(nodes)
+            gain[j] += rise[k]
+            nodes[level[k]] = (j, int(b[k]), first, nodes[level[k]][3])
+            nodes += [(0, 0, 0, value(left_g[k], left_h[k])), (0, 0, 0, value(total[k, 0, 0] - left_g[k], weight[k, 0, 0] - left_h[k]))]
+            fresh[k] = 2 * i
+            following += [first, first + 1]
+        went = fresh[at]
         right = own[np.arange(len(at)), column[at]] > b[at]
-        at, own, key, g = (fresh[at] + right)[go], own[go], key[go], g[go]
-        level = np.array(following)
+        at = np.where(went < 0, -1, went + right)
+        level = following
+        if depth + 1 < p["max_depth"]:
+            smaller = 2 * left_h[split] > weight[split, 0, 0]  # whether the right child is
+            live = np.flatnonzero(at >= 0)
+            counted = live[(at[live] & 1) == smaller[at[live] >> 1]]
+            few = histograms(counted, at[counted] >> 1, len(split))
+            rest = sums[split] - few[0], counts[split] - few[1]
+            pick = smaller[:, None, None]
+            sums, counts = (np.stack([np.where(pick, r, f), np.where(pick, f, r)], 1).reshape(-1, c, BINS) for f, r in zip(few, rest, strict=True))
+            key, own, g, at = key[live], own[live], g[live], at[live]
     return nodes
 
 

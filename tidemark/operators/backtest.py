@@ -114,36 +114,44 @@ def evaluate_rules(indicators: DataFrame, rules: DataFrame, fold_table: DataFram
     kinds = "series_id string, candidate int, fold int, " + ", ".join(f"{c} double" for c in names) + ", n long"
 
     def run(part: pd.DataFrame, folds: pd.DataFrame) -> pd.DataFrame:
-        out, part = [], part.sort_values(["candidate", "row"], kind="stable")
+        part = part.sort_values(["candidate", "row"], kind="stable")
+        candidates = part["candidate"].unique()
+        value, said = part["value"].to_numpy().reshape(len(candidates), -1)[0], part["signal"].to_numpy().reshape(len(candidates), -1)
+        move = value[h:] / value[:-h] - 1
+        out = []
         for fold in folds.itertuples():
-            for candidate, own in part.groupby("candidate"):
-                value, signal = own["value"].to_numpy(), own["signal"].to_numpy()
-                out.append((fold.series_id, candidate, fold.fold, *_judged(value, signal, fold, h)))
+            past, now = slice(0, max(0, fold.train_end - h)), slice(fold.valid_from, max(fold.valid_from, fold.valid_to - h))
+            train, actual, base = move[past], move[now], value[now]
+            cap = max(float(np.quantile(np.abs(train), 0.9)), 1e-6)
+            naive = base * actual
+            for candidate, signal in zip(candidates.tolist(), said, strict=True):
+                expected = [_expected(train[signal[past] == s], cap) for s in (-1, 0, 1)]
+                out.append((fold.series_id, candidate, fold.fold, *_judged(np.take(expected, signal[now] + 1), actual, base, naive, signal[now])))
         return pd.DataFrame(out, columns=[c.split()[0] for c in kinds.split(", ")])
 
     return judged.groupBy("series_id", "task").cogroup(jobs.groupBy("series_id", "task")).applyInPandas(run, kinds)
 
 
-def _judged(value: np.ndarray, signal: np.ndarray, fold, h: int) -> tuple:
-    """What expectations, predictions and signal_metrics say of one rule in one fold."""
-    move = value[h:] / value[:-h] - 1
-    past, now = slice(0, max(0, fold.train_end - h)), slice(fold.valid_from, max(fold.valid_from, fold.valid_to - h))
-    train, seen = move[past], signal[: len(move)][past]
-    cap, expected = max(float(np.quantile(np.abs(train), 0.9)), 1e-6), {}
-    for s in (-1, 0, 1):
-        own = train[seen == s]
-        raw = np.median(own) if len(own) >= 20 else own.mean() if len(own) else 0.0
-        expected[s] = min(cap, max(-cap, float(raw)))
-    actual, said, base = move[now], signal[: len(move)][now], value[: len(move)][now]
+def _expected(moves: np.ndarray, cap: float) -> float:
+    """What expectations says of a signal that was followed by these returns."""
+    n = len(moves)
+    if n >= 20:
+        low, high = (n - 1) // 2, n // 2
+        middle = np.partition(moves, (low, high))
+        return min(cap, max(-cap, (middle[low] + middle[high]) / 2))
+    return min(cap, max(-cap, moves.mean())) if n else 0.0
+
+
+def _judged(told: np.ndarray, actual: np.ndarray, base: np.ndarray, naive: np.ndarray, signal: np.ndarray) -> tuple:
+    """signal_metrics of one rule in one fold."""
     n = len(actual)
     if not n:
         return (None,) * 8 + (0,)
-    told = np.where(said > 0, expected[1], np.where(said < 0, expected[-1], expected[0]))
-    error, naive, moving = base * (told - actual), base * actual, told != 0
+    error, moving = base * (told - actual), told != 0
     mae, mae_naive, rmse, rmse_naive = np.abs(error).mean(), np.abs(naive).mean(), np.sqrt((error**2).mean()), np.sqrt((naive**2).mean())
     right = (np.sign(told[moving]) == np.sign(actual[moving])).mean() if moving.any() else None
     over = lambda a, b: a / b if b > 0 else np.inf
-    return mae, mae_naive, over(mae, mae_naive), rmse, rmse_naive, over(rmse, rmse_naive), right, (said != 0).mean(), n
+    return mae, mae_naive, over(mae, mae_naive), rmse, rmse_naive, over(rmse, rmse_naive), right, (signal != 0).mean(), n
 
 
 def fold_summary(metrics: DataFrame) -> DataFrame:
