@@ -77,10 +77,9 @@ class _Reset:
         share = shares[:, :-1].astype(U32)
         begin = np.concatenate([np.zeros((self.k, 1), U32), shares.cumsum(1, dtype=U32)[:, :-1]], 1)
         lost = begin[:, -1:] << U32(16) | shares[:, -1:].astype(U32) | U32(1 << 31)
-        #: By distribution and rank: where the share begins (15 bits), its size (16 bits), and whether the id only has the rest's share.
-        self.place = np.where(share > 0, begin[:, :-1] << U32(16) | share, lost).ravel()
-        self.slots = np.concatenate([np.repeat(np.arange(self.v + 1, dtype=U32), s) for s in shares])
-        self.rest = (begin[:, -1].astype(np.int64), shares[:, -1].astype(np.int64))
+        #: By distribution and rank (the last: the rest): where the share begins (15 bits), its size (16 bits), and whether it is the rest's.
+        self.place = np.concatenate([np.where(share > 0, begin[:, :-1] << U32(16) | share, lost), lost], 1).ravel()
+        self.slots = np.concatenate([np.repeat(np.arange(self.v + 1, dtype=np.uint16 if self.v < 1 << 16 else U32), s) for s in shares])
         bits = self.bits - np.log2(np.where(share > 0, share, shares[:, -1:]))
         cost = np.full((self.v, MOST), DEAREST, np.int16)
         cost[:, : self.k] = np.minimum(DEAREST, np.rint(UNIT * np.where(share > 0, bits, bits + self.raw))).T
@@ -159,12 +158,12 @@ class _Model:
         self.score = np.zeros((n, MOST), np.int16)
         self.recent = np.zeros((n, MOST), np.int16)
         self.table = np.zeros(n, np.int64)
-        self.base = np.zeros(n, np.int64)
+        self.base, self.first_slot = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def shrink(self, n: int) -> None:
         """Only the first n lanes go on."""
         self.n = n
-        for name in ("lane8", "row", "slot2", "before", "id1", "at1", "score", "recent", "table", "base"):
+        for name in ("lane8", "row", "slot2", "before", "id1", "at1", "score", "recent", "table", "base", "first_slot"):
             setattr(self, name, getattr(self, name)[:n])
 
     def predict(self) -> None:
@@ -194,7 +193,7 @@ class _Model:
             self.score = (self.score >> 1) + self.recent
             self.recent[:] = 0
             self.table = self.score.argmin(1)
-            self.base = self.table * self.reset.v
+            self.base, self.first_slot = self.table * (self.reset.v + 1), self.table << self.reset.bits
 
 
 def _cut(low: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -276,23 +275,18 @@ class _Decoder:
         self.low[:n] += self.width[:n] * cum
         self.width[:n] *= part
 
-    def slot(self, lanes: np.ndarray, bits: int) -> np.ndarray:
-        """Which of 2**bits follows in some lanes."""
-        width = self.width.take(lanes) >> U64(bits)
-        self.width[lanes] = width
-        width = np.maximum(width, U64(1))  # damaged data may leave nothing
-        return np.minimum((self.code.take(lanes) - self.low.take(lanes)) // width, U64((1 << bits) - 1)).astype(np.int64)
-
-    def narrow(self, lanes: np.ndarray, begin: np.ndarray, share: np.ndarray) -> None:
-        width = self.width.take(lanes)
-        self.low[lanes] += width * begin.astype(U64)
-        self.width[lanes] = width * share.astype(U64)
+    def slot(self, shift: np.ndarray, bits: int) -> np.ndarray:
+        """Which of 2**bits follows; only where shift is bits and not 0 it is narrowed down to later."""
+        n = len(shift)
+        self.width[:n] >>= shift
+        width = np.maximum(self.width[:n], U64(1))  # damaged data may leave nothing
+        return np.minimum((self.code[:n] - self.low[:n]) // width, U64((1 << bits) - 1)).view(np.int64)
 
     def take_raw(self, lanes: np.ndarray, bits: int) -> np.ndarray:
         """Read a number below 2**bits in some lanes."""
-        raw = self.slot(lanes, bits)
-        width, code, at = self.width.take(lanes), self.code.take(lanes), self.at.take(lanes)
-        low, go = self.low.take(lanes) + width * raw.astype(U64), width < SETTLED
+        width, code, at, low = self.width.take(lanes) >> U64(bits), self.code.take(lanes), self.at.take(lanes), self.low.take(lanes)
+        raw = np.minimum((code - low) // np.maximum(width, U64(1)), U64((1 << bits) - 1))
+        low, go = low + width * raw, width < SETTLED
         self.code[lanes] = np.where(go, code << U64(32) | self.words.take(np.minimum(at, self.last)), code)
         self.at[lanes] = at + go
         self.width[lanes] = np.where(go, np.maximum(_cut(low, width), SETTLED), width)
@@ -372,7 +366,6 @@ def decode(data: bytes) -> np.ndarray:
     rest = total - whole * BLOCK
     model, coder = _Model(n, reset), _Decoder([data[e - s : e] for e, s in zip(ends, sizes[:, 0].tolist(), strict=True)])
     grid, last = np.zeros((steps, n), model.kind), model.kind(reset.v - 1)
-    begin, share = reset.rest
     for step in range(steps):
         if rest and step == rest:
             model.shrink(whole)
@@ -383,23 +376,14 @@ def decode(data: bytes) -> np.ndarray:
         cum = both * missed + part2 * hit1
         part = (WHOLE - both) * missed + part2 * hit2 + model.part1.view(np.int32) * hit1
         coder.take(cum.astype(U64), part.astype(U64))
-        got = model.id2 * hit2 + model.id1 * hit1
-        lanes = np.flatnonzero(missed)
-        if len(lanes):
-            table = model.table.take(lanes)
-            rank = reset.slots.take((table << reset.bits) + coder.slot(lanes, reset.bits))
-            lost = rank == reset.v
-            place = reset.place.take(table * reset.v + np.minimum(rank, U32(reset.v - 1)))
-            at, size = place >> U32(16) & U32(0x7FFF), place & U32(0xFFFF)
-            if lost.any():
-                at, size = np.where(lost, begin.take(table), at), np.where(lost, share.take(table), size)
-            coder.narrow(lanes, at, size)
-            coder.settle(model.n)
-            if lost.any():
-                rank[lost] = np.minimum(coder.take_raw(lanes[lost], reset.raw), reset.v - 1)
-            got[lanes] = rank
-        else:
-            coder.settle(model.n)
+        rank = reset.slots.take(model.first_slot + coder.slot(missed * U64(reset.bits), reset.bits))
+        place = reset.place.take(model.base + rank) * missed
+        coder.take((place >> U32(16) & U32(0x7FFF)).astype(U64), ((place & U32(0xFFFF)) + ~missed).astype(U64))
+        coder.settle(model.n)
+        lost = np.flatnonzero(place.view(np.int32) < 0)
+        if len(lost):
+            rank[lost] = np.minimum(coder.take_raw(lost, reset.raw), U64(reset.v - 1))
+        got = model.id2 * hit2 + model.id1 * hit1 + rank.astype(model.kind) * missed
         got = np.minimum(got, last)
         grid[step, : model.n] = got
         model.update(got, got == model.id2, got == model.id1)

@@ -17,7 +17,7 @@ MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words whose ids are gathered at a time.
 GATHER = 1 << 17
 #: Bytes of text that are split into words at a time; a longer text goes alone.
-SLICE = 1 << 24
+SLICE = 1 << 25
 
 
 def _byte_letters() -> dict[int, str]:
