@@ -286,7 +286,7 @@ CHECKS = 8
 SAMPLE, COMMON, OFTEN = 20_000, 50_000, 8
 #: Standard errors of room for proposed links (sets of five shingles lose ties, which takes two or three of them), and the
 #: heads (a fifth of the shingles) of the texts in a block that one task compares.
-ERRORS, TOGETHER = 6.5, 400_000
+ERRORS, TOGETHER = 6.5, 100_000
 
 
 def bits_at(similarity: float, bits: int, errors: float) -> int:
@@ -336,7 +336,8 @@ def linked_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray,
     """Links of a spanning forest of the sets whose Jaccard similarity is at least the limit, by breadth-first search."""
     size = np.array([len(s) for s in sets])
     values, code = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(code, kind="stable")]
+    code = code.astype(np.int32)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)[np.argsort(code, kind="stable")]
     ends = np.append(0, np.cumsum(np.bincount(code, minlength=len(values))))
     begin = np.append(0, np.cumsum(size))
     left, queue, a, b = np.arange(1, len(sets)), [0], [], []

@@ -11,13 +11,13 @@ import pyarrow.compute as pc
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words that a Python worker remembers from before and since it last made room, each; the longest of them.
-WORDS, LONGEST = 500_000, 32
+WORDS, LONGEST = 400_000, 32
 #: Marks that are cut off the end of a word; an apostrophe can belong to letters.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words whose ids are gathered at a time.
 GATHER = 1 << 17
 #: Bytes of text that are split into words at a time; a longer text goes alone.
-SLICE = 1 << 25
+SLICE = 1 << 24
 
 
 def _byte_letters() -> dict[int, str]:
@@ -99,6 +99,7 @@ class WordCoder:
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
             yield at, *self._run(texts[at:stop], end_id)
             at = stop
+        pa.default_memory_pool().release_unused()  # workers are kept, and share an executor's memory with others
 
     def _run(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
@@ -106,15 +107,17 @@ class WordCoder:
         if whole:
             texts = pc.if_else(pc.match_substring(texts, "<|"), pa.scalar("", pa.large_string()), texts)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        last = np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()  # a slice's offsets need not begin with 0
         words = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+        del lists, texts
         found = [self.memory[w] for w in words.dictionary.to_pylist()]
         found.append(np.array([end_id], "<u4").tobytes())
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
-        last = np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()  # a slice's offsets need not begin with 0
         code = np.insert(words.indices.to_numpy(), last, len(found) - 1)
-        n = size.take(code)
-        done = np.concatenate(([0], np.cumsum(n)))
+        del words, found
+        n = size.astype(np.int32).take(code)
+        done = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
         ids = np.zeros(done[-1], "<u4")
         for k in range(0, len(code), GATHER):
             own, begin = n[k : k + GATHER], done[k]
