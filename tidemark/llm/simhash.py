@@ -112,6 +112,13 @@ def _majority_of_many(x: np.ndarray, turns: range, size: int) -> np.ndarray:
     return np.packbits(2 * count > len(x), bitorder="little").view("<u8")
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Smaller batches, so that what is made of each takes little of the memory that workers of an executor share."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows].reset_index(drop=True)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, make: Callable[[str | None], np.ndarray], width: int) -> DataFrame:
     """id and words w0.. of the signature of every row."""
 
@@ -305,7 +312,7 @@ def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.nd
     texts = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(modulus)) == 0)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, shingle) for t in batch["text"]]
             yield pd.DataFrame({"s": np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)})
 
@@ -321,7 +328,7 @@ def set_signatures(docs: DataFrame, id_col: str, text_col: str, key: list[str],
     common, rank = common_shingles(docs, text_col, shingle)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, shingle) for t in batch.pop("text")]
             sig = np.array([set_words(s, checks) for s in sets], np.uint64).reshape(len(batch), checks + 2).view(np.int64)
             words = {name: sig[:, k] for k, name in enumerate([*(f"w{k}" for k in range(checks)), "k0", "k1"])}
@@ -369,7 +376,7 @@ def exact_links(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, shingle
     texts = texts.join(members, ["key0", "key1"])
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.assign(own=[shingle_set(t, shingle).tobytes() for t in batch.pop("text")])
 
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
