@@ -38,3 +38,13 @@ def test_against_loops(spark):
     assert Counter(map(tuple, got.collect())) == want
     assert url_filters.filter_urls(df, listed.limit(0)).where("blocked").count() == 0
     assert url_filters.filter_urls(df.limit(0), listed).count() == 0
+
+
+def test_hosts(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.url_filters import host_of
+
+    urls = {"http://[::1]:8080/x": "[::1]", "https://u@[2001:DB8::2]/": "[2001:db8::2]", "http://A.b.:80?q": "a.b", "http://[oops/": None, "mailto:x": None, "": None}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.url: r.host for r in df.select("url", host_of(F.col("url")).alias("host")).collect()} == urls

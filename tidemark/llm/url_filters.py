@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of a URL without user, port and a last dot; null where there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    """Lower-case host of a URL without user, port and a last dot, an IPv6 address with its brackets; null where there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:\[\]]+)", 1))
     host = F.regexp_replace(host, r"\.$", "")
     return F.when(host != "", host)
 
