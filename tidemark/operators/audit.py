@@ -141,6 +141,40 @@ def last_observation(series: DataFrame, alert: float = LAST_ALERT) -> DataFrame:
     return newest.withColumn("alert", F.abs("change") > alert)
 
 
+def quality_report(raw: DataFrame, day_first: bool = False, keep_excursions: bool = False) -> DataFrame:
+    """One row per series on what the audit found: flags, duplicates, order, spacing, excursions, extremes, the last observation and what stays.
+
+    Spacing, repeats and excursions are those of the dated series before excursions go, extremes and the last observation those of the clean
+    one.  gaps, weekdays, distant and extreme_years are arrays for the written document, bounded by the days of a series.  A series without a
+    valid row has its flags, n_rows_clean 0 and nulls.  Raises DataQualityError as clean does.
+    """
+    from tidemark.operators.features import with_position
+
+    flagged = with_flags(raw, day_first)
+    valid, _ = split(flagged)
+    single = without_duplicates(valid)
+    judged = with_excursions(with_position(single))
+    n = F.count(F.lit(1))
+    rejected = flagged.groupBy("series_id").agg(F.count_if(F.col("reason").isNotNull()).alias("n_invalid"), (F.count_if(F.col("reason").isNull()) - F.count_distinct(F.when(F.col("reason").isNull(), F.col("date")))).alias("n_duplicate_dates"))
+    spaced = with_gap(judged).withColumn("same", F.col("value") == F.lag("value").over(by_row()))
+    far = F.when(F.col("gap_days") > GAP_DAYS, F.struct(F.col("date_before").alias("from_date"), F.col("date").alias("to_date"), "gap_days"))
+    spacing = spaced.groupBy("series_id").agg(
+        F.median("gap_days").alias("median_gap"), F.max("gap_days").alias("max_gap"), F.bool_or(F.weekday("date") >= 5).alias("has_weekend"), F.count_if(F.col("gap_days") > GAP_DAYS).alias("n_long_gaps"),
+        F.count_if("same").alias("n_repeated"), F.count_if("excursion").alias("n_excursions"), F.sort_array(F.collect_list(far)).alias("distant"),
+    )
+    kept = with_position((judged if keep_excursions else judged.where("not excursion")).select("series_id", "date", "value"))
+    stay = kept.groupBy("series_id").agg(n.alias("n_rows_clean"), F.min("date").alias("date_min"), F.max("date").alias("date_max"), F.min("value").alias("value_min"), F.max("value").alias("value_max"))
+    newest = last_observation(kept).select("series_id", F.col("value").alias("last_value"), F.col("change").alias("last_change"), F.col("alert").alias("last_alert"))
+    odd = robust_extremes(kept).groupBy("series_id", F.year("date").alias("year")).agg(n.alias("n"))
+    extremes = odd.groupBy("series_id").agg(F.sum("n").alias("n_extremes"), F.sort_array(F.collect_list(F.struct("year", "n"))).alias("extreme_years"))
+    listed = lambda df, key, name: df.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct(key, "n"))).alias(name))
+    parts = [rejected, out_of_order(single), spacing, stay, newest, extremes, listed(gap_histogram(judged), "gap_days", "gaps"), listed(weekday_histogram(judged), "day_of_week", "weekdays")]
+    report = reduce(lambda a, b: a.join(b, "series_id", "left"), parts, flag_counts(flagged))
+    none = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("n_long_gaps", "n_repeated", "n_excursions", "n_extremes", "n_rows_clean")}
+    gone = F.col("n_invalid") + (F.lit(0) if keep_excursions else F.col("n_excursions"))
+    return report.withColumns(none).withColumn("n_rows_excluded", gone).withColumns({"modified_values": F.lit(0), "interpolated_values": F.lit(0)}).drop("n_invalid")
+
+
 def clean(raw: DataFrame, day_first: bool = False, keep_excursions: bool = False) -> tuple[DataFrame, DataFrame]:
     """The clean series (series_id, date, row, value) and all rows set aside with their reason."""
     from tidemark.operators.features import with_position

@@ -48,6 +48,30 @@ def series_overview(series: DataFrame) -> DataFrame:
     )
 
 
+def since_training(series: DataFrame, trained: DataFrame) -> DataFrame:
+    """trained (series_id, trained_through and more) with how many observations came after it; null where the series has no such day."""
+    days = series.join(trained.select("series_id", "trained_through").distinct(), "series_id")
+    age = days.groupBy("series_id", "trained_through").agg(F.bool_or(F.col("date") == F.col("trained_through")).alias("known"), F.count_if(F.col("date") > F.col("trained_through")).alias("later"))
+    counted = age.select("series_id", "trained_through", F.when(F.col("known"), F.col("later")).alias("new_observations_since_training"))
+    return trained.join(counted, ["series_id", "trained_through"], "left")
+
+
+def site_snapshot(series: DataFrame, indicators: DataFrame, **reports: DataFrame) -> DataFrame:
+    """One row per series for the site: overview, indicators, and a field for each report.
+
+    A report has series_id, horizon, trained_through and its own figures; it becomes an array of structs by horizon, with the
+    observations since training, and is null for a series that it does not name.
+    """
+    tech = technical_snapshot(indicators)
+    sign = F.when(F.col("ema_gap_20_50") > 0, 1).when(F.col("ema_gap_20_50") < 0, -1).otherwise(0)
+    out = series_overview(series).join(tech.withColumn("ema_signal", sign).drop("date", "value"), "series_id", "left")
+    for name, report in reports.items():
+        aged = since_training(series, report)
+        fields = ["horizon", *[c for c in aged.columns if c not in ("series_id", "horizon")]]
+        out = out.join(aged.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name)), "series_id", "left")
+    return out
+
+
 def with_report(horizons: DataFrame, report: DataFrame, default: str = "naive") -> DataFrame:
     """Every horizon with its row of a report, where it has one; selected_model defaults to naive."""
     joined = horizons.join(report, "horizon", "left")

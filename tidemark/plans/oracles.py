@@ -109,6 +109,24 @@ SUMMARY = """
     s AS (SELECT series_id, avg(mae / mae_naive) AS ratio, quantile_cont(mae / mae_naive, 0.5) AS middle, avg(da) AS da, avg(coverage) AS cov FROM scored WHERE fold > 0 GROUP BY 1)
 """
 
+#: Daily means with the defects that the quality report is to find, by position.
+SPOILT = f"""
+    spoilt AS (SELECT series_id, date, rn, rn % 71 = 5 AS bad_date, rn % 53 = 1 AS missing, rn % 53 <> 1 AND rn % 59 = 2 AS non_numeric, rn % 53 <> 1 AND rn % 59 <> 2 AND rn % 61 = 3 AS non_positive,
+                      floor(value * 100 + 0.5) * (CASE WHEN rn % 67 = 4 THEN 2 ELSE 1 END) / 100 AS value, CASE WHEN series_id = 'P' THEN -rn ELSE rn END AS place, CASE WHEN rn % 73 = 6 THEN 2 ELSE 1 END AS copies FROM pos),
+    flags AS (SELECT series_id, CAST(sum(copies) AS BIGINT) AS n_rows, {", ".join(f"CAST(coalesce(sum(copies) FILTER ({c}), 0) AS BIGINT) AS {c}" for c in ("bad_date", "missing", "non_numeric", "non_positive"))}, CAST(0 AS BIGINT) AS non_finite,
+                     CAST(coalesce(sum(copies) FILTER (bad_date OR missing OR non_numeric OR non_positive), 0) AS BIGINT) AS invalid,
+                     CAST(coalesce(sum(copies - 1) FILTER (NOT (bad_date OR missing OR non_numeric OR non_positive)), 0) AS BIGINT) AS n_duplicate_dates FROM spoilt GROUP BY 1),
+    dated AS (SELECT series_id, date, value, place, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS rn FROM spoilt WHERE NOT (bad_date OR missing OR non_numeric OR non_positive)),
+    filed AS (SELECT series_id, NOT coalesce(bool_or(falls), false) AS chronological FROM (SELECT series_id, date < lag(date) OVER (PARTITION BY series_id ORDER BY place) AS falls FROM dated) GROUP BY 1),
+    judged AS (SELECT *, CAST(date - {lag(1, "date")} AS INTEGER) AS g, value = {lag(1)} AS same, {excursion()} AS excursion FROM dated),
+    spacing AS (SELECT series_id, quantile_cont(g, 0.5) AS median_gap, max(g) AS max_gap, bool_or(isodow(date) >= 6) AS has_weekend, count(*) FILTER (g > 7) AS n_long_gaps, count(*) FILTER (same) AS n_repeated, count(*) FILTER (excursion) AS n_excursions FROM judged GROUP BY 1),
+    moved AS (SELECT series_id, date, value, value / lag(value) OVER (PARTITION BY series_id ORDER BY date) - 1 AS r FROM judged WHERE NOT excursion),
+    middles AS (SELECT series_id, quantile_cont(r, 0.5) AS m FROM moved GROUP BY 1),
+    widths AS (SELECT series_id, any_value(m) AS m, 1.4826 * quantile_cont(abs(r - m), 0.5) AS mad FROM moved JOIN middles USING (series_id) GROUP BY 1),
+    stay AS (SELECT series_id, count(*) AS n_rows_clean, min(date) AS date_min, max(date) AS date_max, min(value) AS value_min, max(value) AS value_max, max_by(value, date) AS last_value, max_by(r, date) AS last_change,
+                    count(*) FILTER (mad > 0 AND abs(r - m) / mad > 8.0) AS n_extremes FROM moved JOIN widths USING (series_id) GROUP BY 1)
+"""
+
 #: Usable rows, the last 15 % as test, development rows with targets before it, five folds of 150.
 DATASET = f"""
     f AS (SELECT *, lag(value, 60) {BY} AS v60, CASE WHEN rn >= 20 THEN stddev_samp(r) {over(20)} END AS vol, lead(value, 5) {BY} AS tv, lead(date, 5) {BY} AS td FROM ret),
@@ -249,6 +267,18 @@ SQL = {
         f"SELECT series_id, date, value, {six('ema_20')} AS ema_20, {six('ema_50')} AS ema_50, {six('gap')} AS ema_gap_20_50, {six('rsi_14')} AS rsi_14, {six('macd')} AS macd, {six('macd_hist')} AS macd_hist, {six('ret_10 * 100')} AS momentum_10_pct, {six('ret_20 * 100')} AS momentum_20_pct, {six('vol_20 * 100')} AS volatility_20_pct, {six('range_pos_20')} AS range_position_20 FROM ind QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY rn DESC) = 1",
         INDICATORS,
     ),
+    "data_quality_report": q(
+        f"""SELECT series_id, n_rows, bad_date, missing, non_numeric, non_positive, non_finite, n_duplicate_dates, chronological, median_gap, max_gap, has_weekend, n_long_gaps, n_repeated, n_excursions, n_rows_clean, date_min, date_max, value_min, value_max,
+            last_value, {six("last_change")} AS last_change, abs(last_change) > 0.05 AS last_alert, n_extremes, invalid + n_excursions AS n_rows_excluded, 0 AS modified_values, 0 AS interpolated_values
+            FROM flags JOIN filed USING (series_id) JOIN spacing USING (series_id) JOIN stay USING (series_id)""",
+        SPOILT,
+    ),
+    "site_snapshot": q(
+        f"""SELECT series_id, count(*) AS observations, min(date) AS start, max(date) AS last_date, max_by(value, date) AS last_value, {six("arg_max(rsi_14, date)")} AS rsi_14, CAST(sign(arg_max(gap, date)) AS INTEGER) AS ema_signal,
+            CAST(horizon AS INTEGER) AS horizon, max(date) FILTER (date < '{SPLIT_DAY}') AS trained_through, count(*) FILTER (date >= '{SPLIT_DAY}') AS new_observations_since_training
+            FROM ind, (VALUES (5), (10), (20)) t(horizon) GROUP BY series_id, horizon""",
+        INDICATORS,
+    ),
     "published_envelope": q("SELECT series_id, date, value FROM pos"),
     "naive_paths": paths("0.0", "naive"),
     "drift_paths": paths("((z - a) / (n - 1))", "drift"),

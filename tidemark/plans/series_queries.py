@@ -191,6 +191,34 @@ def chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.out_of_order(audit.split(audit.with_flags(raw_orders(spark, sf_dir)))[0])
 
 
+def raw_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily means as raw observations that can be cleaned, spoilt by rules on the position; one series stands backwards in its file."""
+    row = F.col("row")
+    price = (F.floor(F.col("value") * 100 + 0.5) * F.when(row % 67 == 4, 2).otherwise(1) / 100).cast("decimal(18,2)").cast("string")
+    value = F.when(row % 53 == 1, "").when(row % 59 == 2, "n/a").when(row % 61 == 3, F.concat(F.lit("-"), price)).otherwise(price)
+    day = F.when(row % 71 == 5, "soon").otherwise(F.date_format("date", "yyyy-MM-dd"))
+    place = F.when(F.col("series_id") == "P", -2 * row).otherwise(2 * row)
+    again = F.explode(F.when(row % 73 == 6, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = positioned(spark, sf_dir).select("series_id", place.alias("place"), day.alias("date_raw"), value.alias("value_raw"), again.alias("again"))
+    return rows.select("series_id", (F.col("place") + F.col("again")).alias("row_in_file"), "date_raw", "value_raw")
+
+
+def data_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's figures; its arrays are what gap_histogram, weekday_histogram and long_gaps return."""
+    report = audit.quality_report(raw_days(spark, sf_dir)).drop("gaps", "weekdays", "distant", "extreme_years")
+    return six(report, "last_change").withColumn("median_gap", F.col("median_gap").cast("double"))
+
+
+def site_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot beside a report of three horizons that was trained through the last day before SPLIT_DAY."""
+    s = positioned(spark, sf_dir)
+    trained = s.where(F.col("date") < SPLIT_DAY).groupBy("series_id").agg(F.max("date").alias("trained_through"))
+    report = trained.withColumn("horizon", F.explode(F.array(*map(F.lit, (5, 10, 20)))))
+    snapshot = site.site_snapshot(s, with_indicators(spark, sf_dir), strategy=report)
+    flat = snapshot.select("series_id", "observations", "start", "last_date", "last_value", "rsi_14", "ema_signal", F.inline("strategy"))
+    return six(flat, "rsi_14")
+
+
 NUMBERS = ["1 215,59", "1\u00a0215,59", "1.234,5", "1,234.5", "2260.96", "", "nan", "-3", "499", "10001"]
 DATES = ["2024-12-31", "12/31/2024", "31/12/2024", "junk", ""]
 PAGES = [
@@ -306,7 +334,7 @@ QUERIES = [
     series_position, ship_series_position, event_series_position, pct_change, lag_features, rolling_mean, moving_averages, rolling_std, rolling_slope,
     rolling_minmax, range_position, ema_20_50, ema_in_sql, macd, rsi_14, gap_features, feature_vector, calendar_features, lead_targets, drift_baseline,
     usable_counts, excursion_flags, robust_z_extremes, gap_histogram, gap_summary, long_gaps, weekday_histogram, year_histogram, repeated_values,
-    last_observation, audit_flag_counts, quarantine, duplicate_dates, chronological, number_normalisers, date_normalisers, page_quotes, page_text,
+    last_observation, data_quality_report, site_snapshot, audit_flag_counts, quarantine, duplicate_dates, chronological, number_normalisers, date_normalisers, page_quotes, page_text,
     business_days, collection_calendar, date_range_filter, date_search_top80, quartile_picks, new_observations, upsert_by_date, upsert_counts,
     series_overview, pct_summary, recent_stats, technical_snapshot, published_envelope, naive_paths, drift_paths, recent_drift_paths, variation_since_last,
 ]

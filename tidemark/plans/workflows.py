@@ -24,6 +24,7 @@ def train(spark: SparkSession, raw: DataFrame, out: str, draws: int = 30, horizo
     series, excluded = audit.clean(raw)
     sinks.write_table(series, f"{out}/clean", "series_id")
     sinks.write_json(excluded, f"{out}/excluded")
+    sinks.write_json(audit.quality_report(raw), f"{out}/quality")
     feats = staged(features.with_features(spark.read.parquet(f"{out}/clean")), "features")
     forecasts = {}
     for h in horizons:
@@ -102,8 +103,11 @@ def search_strategies(spark: SparkSession, series: DataFrame, out: str, limit: i
     return total
 
 
-def refresh(spark: SparkSession, known: DataFrame, observed: DataFrame, out: str) -> DataFrame:
-    """Upsert new observations, select and refit path models, and write series, counts, snapshot and forecast under out."""
+def refresh(spark: SparkSession, known: DataFrame, observed: DataFrame, out: str, **reports: DataFrame) -> DataFrame:
+    """Upsert new observations, select and refit path models, and write series, counts, snapshot and forecast under out.
+
+    reports (series_id, horizon, trained_through, ...) go into the snapshot under their names.
+    """
     merge_ = staged(merge.merged(known, observed), "merge")
     series = features.with_position(merge_.select("series_id", "date", "value"))
     series = staged(series, "series")
@@ -111,7 +115,7 @@ def refresh(spark: SparkSession, known: DataFrame, observed: DataFrame, out: str
     paths = forecast.forecast_paths(series, chosen)
     sinks.write_json(sinks.envelope(series), f"{out}/series")
     sinks.write_json(merge.merge_counts(merge_), f"{out}/status")
-    sinks.write_json(site.technical_snapshot(indicators.with_indicators(series)), f"{out}/snapshot")
+    sinks.write_json(site.site_snapshot(series, indicators.with_indicators(series), **reports), f"{out}/snapshot")
     sinks.write_json(paths, f"{out}/forecast")
     return paths
 
