@@ -69,6 +69,31 @@ def rule(up: str, down: str) -> str:
     return q(f'SELECT series_id, rn AS "row", CASE WHEN {up} THEN 1 WHEN {down} THEN -1 ELSE 0 END AS signal FROM ind', INDICATORS)
 
 
+def _rsi(p: int) -> str:
+    return f"CASE WHEN l{p} = 0 AND g{p} > 0 THEN 100.0 WHEN g{p} = 0 AND l{p} > 0 THEN 0.0 ELSE 100 - 100 / (1 + g{p} / nullif(l{p}, 0)) END"
+
+
+def _vote(up: str, down: str) -> str:
+    return f"CASE WHEN {up} THEN 1 WHEN {down} THEN -1 ELSE 0 END"
+
+
+#: All 945 rules on every row: pairs of averages, RSI periods, momentum windows and limits as tables.
+GRID = f"""
+    folded AS (SELECT *, {", ".join(f"{span('value', n)} AS e{n}" for n in (5, 10, 30, 100))}, {", ".join(f"{ema(side, 1 / p, p)} AS {side[0]}{p}" for p in (7, 21) for side in ("gain", "loss"))} FROM ind),
+    gaps AS (SELECT *, f.e / nullif(s.e, 0) - 1 AS g FROM folded, LATERAL (VALUES (e5), (e10), (ema_20)) f(e), LATERAL (VALUES (e30), (ema_50), (e100)) s(e)),
+    strengths(rsi_period) AS (VALUES (7), (14), (21)), windows(w) AS (VALUES (5), (10), (20)), bulls(bull) AS (VALUES (55.0), (60.0)), bears(bear) AS (VALUES (45.0), (40.0)),
+    bands(band) AS (VALUES (0.001), (0.003)), thresholds(t) AS (VALUES (2), (3)),
+    rated AS (SELECT *, CASE rsi_period WHEN 7 THEN {_rsi(7)} WHEN 14 THEN rsi_14 ELSE {_rsi(21)} END AS rsi FROM gaps, strengths),
+    said AS (
+        SELECT series_id, 'ma' AS strategy, {_vote("g > b", "g < -b")} AS signal FROM gaps, (VALUES (0.001), (0.003), (0.005)) m(b)
+        UNION ALL SELECT series_id, 'ma_rsi', {_vote("g > band AND rsi >= bull", "g < -band AND rsi <= bear")} FROM rated, bulls, bears, bands
+        UNION ALL SELECT series_id, 'trend_momentum', {_vote("g > band AND m > 0", "g < -band AND m < 0")} FROM (SELECT *, CASE w WHEN 5 THEN ret_5 WHEN 10 THEN ret_10 ELSE ret_20 END AS m FROM gaps, windows), bands
+        UNION ALL SELECT series_id, 'combo', CASE WHEN g IS NULL THEN 0 ELSE {_vote("votes >= t", "votes <= -t")} END FROM (
+            SELECT *, {_vote("g > 0", "g < 0")} + {_vote("m > 0", "m < 0")} + {_vote("rsi >= bull", "rsi <= bear")} + {_vote("macd_hist > 0", "macd_hist < 0")} AS votes
+            FROM (SELECT *, CASE w WHEN 5 THEN ret_5 WHEN 10 THEN ret_10 ELSE ret_20 END AS m FROM rated, windows), bulls, bears), thresholds)
+"""
+
+
 def excursion() -> str:
     at = lambda k: f"lead(value, {k}) {BY}" if k > 0 else f"lag(value, {-k}) {BY}" if k < 0 else "value"
     terms = []
@@ -320,6 +345,14 @@ SQL = {
                 quantile_cont(y, 0.1) FILTER (s.signal = l.signal) AS lo_same, quantile_cont(y, 0.9) FILTER (s.signal = l.signal) AS hi_same, quantile_cont(y, 0.1) AS lo_all, quantile_cont(y, 0.9) AS hi_all
                 FROM sig s JOIN latest l ON s.series_id = l.series_id WHERE y IS NOT NULL GROUP BY 1)""",
     ),
+    "candidate_signal_counts": q("SELECT series_id, strategy, CAST(signal AS INTEGER) AS signal, count(*) AS n FROM said GROUP BY ALL", f"{INDICATORS}, {GRID}"),
+    "diebold_mariano_statistic": dataset(
+        f"""SELECT series_id, 5 AS horizon, 'holdout' AS split, {six("mean / sqrt(greatest(variance, 1e-18) / n) * sqrt(greatest((n - 9 + 20 / n) / n, 1e-12))")} AS statistic, {six("mean")} AS mean_loss_diff, n FROM sums""",
+        f"""losses AS (SELECT series_id, rn, abs(v * (1 + dr) - a) - abs(v - a) AS d FROM base WHERE split = 'holdout' AND dr IS NOT NULL),
+            centred AS (SELECT series_id, rn, d, d - avg(d) OVER (PARTITION BY series_id) AS c FROM losses),
+            lagged AS (SELECT *, {", ".join(f"{lag(k, 'c')} AS c{k}" for k in range(1, 5))} FROM centred),
+            sums AS (SELECT series_id, count(*) AS n, avg(d) AS mean, (sum(c * c) + {" + ".join(f"2.0 * (1 - {k} / 5.0) * sum(c * c{k})" for k in range(1, 5))}) / count(*) AS variance FROM lagged GROUP BY 1)""",
+    ),
     "horizon_split": dataset("SELECT series_id, split, count(*) AS n, min(rn) AS first_row, max(rn) AS last_row FROM ds GROUP BY ALL"),
     "training_folds": dataset("SELECT series_id, CAST(fold AS INTEGER) AS fold, CAST(valid_from - 5 AS INTEGER) AS train_end, CAST(valid_from AS INTEGER) AS valid_from, CAST(valid_from + 150 AS INTEGER) AS valid_to FROM wf"),
     "metric_block_naive_drift": dataset(

@@ -62,6 +62,12 @@ def diebold_mariano_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return six(d, "statistic", "p_two_sided", "p_better", "mean_loss_diff")
 
 
+def diebold_mariano_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test without its probabilities, which SQL has no distribution for."""
+    d = evaluation.diebold_mariano(_baselines(spark, sf_dir).where("split = 'holdout'"), "drift", H)
+    return six(d.drop("p_two_sided", "p_better"), "statistic", "mean_loss_diff")
+
+
 def bootstrap_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.block_bootstrap(_baselines(spark, sf_dir).where("split = 'holdout'"), "drift", H)
 
@@ -121,6 +127,6 @@ def selected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    horizon_split, training_folds, metric_block_naive_drift, fold_metrics, cumulative_gain, diebold_mariano_drift, bootstrap_drift,
+    horizon_split, training_folds, metric_block_naive_drift, fold_metrics, cumulative_gain, diebold_mariano_drift, diebold_mariano_statistic, bootstrap_drift,
     conformal_interval_naive, interval_coverage_naive, learned_search, learned_holdout, learned_importances, path_model_scores, selected_paths,
 ]
