@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import MISSING, audit_text, number_of, parsed_date
 from tidemark.operators.features import by_date, by_row, change
+from tidemark.sources.staging import staged
 
 MAX_BLOCK, EXCURSION, REVERT = 5, 0.10, 0.02
 GAP_DAYS, EXTREME_Z, LAST_ALERT = 7, 8.0, 0.05
@@ -146,14 +147,14 @@ def quality_report(raw: DataFrame, day_first: bool = False, keep_excursions: boo
 
     Spacing, repeats and excursions are those of the dated series before excursions go, extremes and the last observation those of the clean
     one.  gaps, weekdays, distant and extreme_years are arrays for the written document, bounded by the days of a series.  A series without a
-    valid row has its flags, n_rows_clean 0 and nulls.  Raises DataQualityError as clean does.
+    valid row has its flags, n_rows_clean 0 and nulls.  The dated rows are staged, as most figures read them.  Raises DataQualityError as clean does.
     """
     from tidemark.operators.features import with_position
 
     flagged = with_flags(raw, day_first)
     valid, _ = split(flagged)
-    single = without_duplicates(valid)
-    judged = with_excursions(with_position(single))
+    single = staged(without_duplicates(valid), "single")
+    judged = staged(with_excursions(with_position(single)), "judged")
     n = F.count(F.lit(1))
     rejected = flagged.groupBy("series_id").agg(F.count_if(F.col("reason").isNotNull()).alias("n_invalid"), (F.count_if(F.col("reason").isNull()) - F.count_distinct(F.when(F.col("reason").isNull(), F.col("date")))).alias("n_duplicate_dates"))
     spaced = with_gap(judged).withColumn("same", F.col("value") == F.lag("value").over(by_row()))
