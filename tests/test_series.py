@@ -178,3 +178,29 @@ def test_small_site_figures(spark):
     picks = merge.quartile_picks(frame(spark, range(1, 11))).orderBy("row").collect()
     assert [r.row for r in picks] == [0, 2, 5, 7, 9]
     assert merge.quartile_picks(frame(spark, [1])).count() == 1
+
+
+def test_quality_report_of_a_series_without_valid_rows_and_with_excursions(spark):
+    from tidemark.operators import audit
+
+    days = [("ok", k, f"2024-01-{k + 1:02d}", "200" if k == 4 else str(100 + k % 2)) for k in range(9)]
+    raw = spark.createDataFrame([*days, ("ok", 9, "2024-01-09", "100"), ("none", 0, "soon", "1"), ("none", 1, "2024-01-01", None)], "series_id string, row_in_file int, date_raw string, value_raw string")
+    got = {r.series_id: r for r in audit.quality_report(raw).collect()}
+    ok, none = got["ok"], got["none"]
+    assert (ok.n_rows, ok.n_duplicate_dates, ok.n_excursions, ok.n_rows_clean, ok.n_rows_excluded, ok.chronological) == (10, 1, 1, 8, 1, True)
+    assert [tuple(g) for g in ok.gaps] == [(1, 8)] and ok.distant == [] and sum(w.n for w in ok.weekdays) == 9
+    assert (none.n_rows, none.bad_date, none.missing, none.n_rows_clean, none.n_rows_excluded, none.last_value, none.gaps) == (2, 1, 1, 0, 2, None, None)
+    kept = {r.series_id: r for r in audit.quality_report(raw, keep_excursions=True).collect()}["ok"]
+    assert (kept.n_rows_clean, kept.n_rows_excluded, kept.value_max) == (9, 0, 200.0)
+    assert audit.quality_report(raw.limit(0)).collect() == []
+
+
+def test_site_snapshot_counts_observations_since_training(spark):
+    from tidemark.operators import features, indicators, site
+
+    rows = [(s, f"2024-01-{k:02d}", float(k)) for s in ("a", "b") for k in range(1, 8)]
+    series = features.with_position(spark.createDataFrame(rows, "series_id string, day string, value double").selectExpr("series_id", "to_date(day) as date", "value"))
+    report = spark.createDataFrame([("a", 10, "2024-01-05"), ("a", 5, "2023-01-01")], "series_id string, horizon int, day string").selectExpr("series_id", "horizon", "to_date(day) as trained_through")
+    got = {r.series_id: r for r in site.site_snapshot(series, indicators.with_indicators(series), learned=report).collect()}
+    assert [(f.horizon, f.new_observations_since_training) for f in got["a"].learned] == [(5, None), (10, 2)]
+    assert got["b"].learned is None and got["b"].observations == 7 and got["b"].ema_signal == 0
