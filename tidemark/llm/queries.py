@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
+TOKEN_LIMIT = 512
 WEIGHTS = [5.0, 2.0, 1.0]
 #: Dated entries of a block list: domain, day, category from that day on (None: off the list).
 URL_LIST = [
@@ -102,8 +103,44 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document or so claims a leaf of its text in lower case."""
+    from tidemark.llm.merkle import leaf_digest, merkle_manifest, verified
+
+    fields = lambda text: leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    text = F.col("text")
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", fields(text).alias("leaf"), F.when(tampered, fields(lowered)).alias("claimed"))
+    proofs = verified(merkle_manifest(rows, "leaf", "lang", "doc_id", carry=["claimed"]), F.coalesce("claimed", "leaf"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def damaged_conversations(conversations: DataFrame) -> DataFrame:
+    """conversations with faults by the checksum of conversation and turn: rows dropped (column absent), emptied, without `.!?`, twice, or of the user."""
+    n = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    rows = conversations.select("conv_id", "turn", F.when(n == 4, "user").otherwise(role).alias("role"), F.when(n == 1, "").when(n == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"), n.alias("n"))
+    twice = F.when(F.col("n") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select("conv_id", "turn", "role", "text", (F.col("n") == 0).alias("absent"), F.explode(twice).alias("copy"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.conversations import repair_reports
+
+    return repair_reports(damaged_conversations(_table(spark, sf_dir, "conversations")), absent=F.col("absent"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_url_filters, op4_source_mixing, op5_simhash, op6_sharding, op7_exact_dedup, op8_token_files, op9_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_url_filters, op4_source_mixing, op5_simhash, op6_sharding, op7_exact_dedup, op8_token_files, op9_language_id, op10_quality_rules, op11_merkle_manifest, op12_conversation_repair, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
