@@ -65,7 +65,7 @@ class LanguageModel:
 def train(x: Sample, langs: list[str], dim: int = 16, epochs: int = 25, rate: float = 40.0, keep: float = 0.995, seed: int = 5) -> LanguageModel:
     """Fit by SGD on rows of subword shares.
 
-    Every tenth row only sets the rejection, at the order statistic that leaves a share of keep or more of rightly named rows accepted, in
+    Every tenth row of a language only sets the rejection, so that each language is fitted, at the order statistic that leaves a share of keep or more of rightly named rows accepted, in
     expectation; where these rows are too few for that, none is rejected.
     """
     names = sorted(set(langs))
@@ -75,7 +75,10 @@ def train(x: Sample, langs: list[str], dim: int = 16, epochs: int = 25, rate: fl
     rng = np.random.default_rng(seed)
     inner = rng.normal(0, 0.3, (BUCKETS, dim)).astype(np.float32)
     outer, bias = rng.normal(0, 0.3, (dim, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
-    check = np.arange(len(y)) % 10 == 9
+    order = np.argsort(y, kind="stable")
+    place = np.empty(len(y), np.int64)
+    place[order] = np.arange(len(y)) - np.searchsorted(y[order], y[order])
+    check = place % 10 == 9
     rows = np.flatnonzero(~check)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -127,7 +130,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per
     """Subword shares and languages of about rows_per_lang rows of each language, fewer where all of them would pass max_rows.
 
     A row is in if the hash of its id is under its language's cut-off, or the least of the language; so no task sees a
-    whole language.  The cut-offs (a number for each language) go to every task, as the model does, which is larger.
+    whole language.  The cut-offs are a number for each language; Spark broadcasts them where their measured size allows.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null")
     h = F.shiftrightunsigned(F.xxhash64("id"), 1)
@@ -135,7 +138,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per
     each = max(1, min(rows_per_lang, max_rows // max(1, len(found))))
     cuts = [(r.lang, 2**63 - 1 if r.n <= each else max(r.least, int(each / r.n * 2**63))) for r in found]
     limits = slim.sparkSession.createDataFrame(cuts, "lang string, cut long")
-    texts = slim.withColumn("h", h).join(F.broadcast(limits), "lang").where("h <= cut").select("lang", "h", "text")
+    texts = slim.withColumn("h", h).join(limits, "lang").where("h <= cut").select("lang", "h", "text")
 
     def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,6 +28,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Whether the word still ends in a letter when the tokenizer has normalised it: some letters become a letter and a combining mark."""
+    return word[-1].isalpha() and (word[-1].isascii() or unicodedata.normalize("NFC", word[-1]).lower()[-1].isalpha())
+
+
 class _Memory(dict):
     """Word (bytes) -> its ids as little-endian 32-bit integers."""
 
@@ -55,7 +61,7 @@ class _Memory(dict):
             return b""
         if (ids := self.old.get(word)) is not None:
             pass
-        elif len(letters := word.rstrip(MARKS)) < len(word) and letters and letters.decode("utf-8")[-1].isalpha():
+        elif len(letters := word.rstrip(MARKS)) < len(word) and letters and _ends_in_letter(letters.decode("utf-8")):
             return self[letters] + self[word[len(letters) :]]  # a letter and a mark never share a token
         else:
             ids = self.ids(word.decode("utf-8"))
