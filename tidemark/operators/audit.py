@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import MISSING, audit_text, number_of, parsed_date
+from tidemark.operators.chunks import ROWS, rises
 from tidemark.operators.features import by_date, by_row, change
 from tidemark.sources.staging import staged
 
@@ -69,10 +70,9 @@ def without_duplicates(valid: DataFrame) -> DataFrame:
     return valid.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
 
 
-def out_of_order(valid: DataFrame) -> DataFrame:
-    """Whether each series' dates never fall in the order of the file."""
-    before = F.lag("date").over(Window.partitionBy("series_id").orderBy("row_in_file"))
-    return valid.withColumn("falls", F.col("date") < before).groupBy("series_id").agg((~F.coalesce(F.bool_or("falls"), F.lit(False))).alias("chronological"))
+def out_of_order(valid: DataFrame, rows: int = ROWS) -> DataFrame:
+    """Whether each series' dates never fall in the order of the file, by ranges of so many rows of the file."""
+    return rises(valid, "date", "row_in_file", F.expr(f"row_in_file div {rows}")).withColumnRenamed("rises", "chronological")
 
 
 def with_gap(series: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.recursive import Difference, averaged, span, wilder
+from tidemark.functions.recursive import Difference, averaged, averaged_in_chunks, span, wilder
+from tidemark.operators.chunks import ROWS, in_chunks
 from tidemark.operators.features import by_row, change, last, rolling
 
 WINDOWS = [5, 10, 20, 30, 50, 100]
@@ -24,24 +25,42 @@ def relative_strength(gain: Column, loss: Column) -> Column:
     return F.when((loss == 0) & (gain > 0), 100.0).when((gain == 0) & (loss > 0), 0.0).otherwise(some)
 
 
-def with_averages(series: DataFrame) -> DataFrame:
-    """Add ema_*, macd, macd_signal, macd_hist and rsi_*.  One grouped call to Python makes all recursive columns."""
+def with_moves(series: DataFrame) -> DataFrame:
+    """Add delta to the row before, and its gain and loss."""
     delta = F.col("value") - F.lag("value").over(by_row())
-    moved = series.withColumn("delta", delta).withColumns(
+    return series.withColumn("delta", delta).withColumns(
         {"gain": F.when(F.col("delta").isNotNull(), F.greatest("delta", F.lit(0.0))), "loss": F.when(F.col("delta").isNotNull(), F.greatest(-F.col("delta"), F.lit(0.0)))}
     )
+
+
+def with_averages(series: DataFrame, rows: int | None = None) -> DataFrame:
+    """Add ema_*, macd, macd_signal, macd_hist and rsi_*.
+
+    One grouped call to Python makes all recursive columns of a series; where rows is given, a series goes by chunks of so many rows instead.
+    """
+    moved = in_chunks(series, with_moves, 1, rows=rows) if rows else with_moves(series)
     first = [span(f"ema_{k}", "value", k) for k in sorted({*WINDOWS, 12, 26})]
     first += [wilder(f"{kind}_{p}", kind, p) for p in RSI_PERIODS for kind in ("gain", "loss")]
     # The signal line averages a difference of averages, so the grouped call makes that column on its way.
-    smooth = averaged(moved, [*first, Difference("macd", "ema_12", "ema_26"), span("macd_signal", "macd", 9)])
+    columns = [*first, Difference("macd", "ema_12", "ema_26"), span("macd_signal", "macd", 9)]
+    smooth = averaged_in_chunks(moved, columns, rows) if rows else averaged(moved, columns)
     rsi = {f"rsi_{p}": relative_strength(F.col(f"gain_{p}"), F.col(f"loss_{p}")) for p in RSI_PERIODS}
     drop = ["delta", "gain", "loss", "ema_12", "ema_26", *[f"{kind}_{p}" for p in RSI_PERIODS for kind in ("gain", "loss")]]
     return smooth.withColumns({**rsi, "macd_hist": F.col("macd") - F.col("macd_signal")}).drop(*drop)
 
 
 def with_indicators(series: DataFrame) -> DataFrame:
-    """series (series_id, date, row, value) with every indicator; each looks back only."""
-    out = with_averages(series.withColumns({f"ret_{k}": change(k) for k in RETURNS}))
+    """series (series_id, date, row, value) with every indicator; each looks back only.  For series of days; see with_long_indicators."""
+    return _with_windows(with_averages(series.withColumns({f"ret_{k}": change(k) for k in RETURNS})))
+
+
+def with_long_indicators(series: DataFrame, rows: int = ROWS) -> DataFrame:
+    """The same of series of any length (row from with_long_position), by chunks of rows."""
+    moved = in_chunks(series, lambda s: s.withColumns({f"ret_{k}": change(k) for k in RETURNS}), max(RETURNS), rows=rows)
+    return in_chunks(with_averages(moved, rows), _with_windows, max(WINDOWS), rows=rows)
+
+
+def _with_windows(out: DataFrame) -> DataFrame:
     out = out.withColumns(
         {
             **{f"ma_{k}": rolling(F.avg("value").over(last(k)), k) for k in WINDOWS},

@@ -17,6 +17,9 @@ POSITIONS = """
     pos AS (SELECT series_id, date, value, CAST(row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS INTEGER) AS rn FROM series)
 """
 
+#: Events by type in the order of time, with positions.
+EVENTS = "pos AS (SELECT event_type AS series_id, ts AS date, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS rn FROM events)"
+
 
 def six(expression: str) -> str:
     return f"(floor(({expression}) * 1e6 + 0.5) / 1e6)"
@@ -47,6 +50,11 @@ def q(body: str, extra: str = "") -> str:
     return f"WITH {POSITIONS}{',' + extra if extra else ''} {body}"
 
 
+def qe(body: str, extra: str = "") -> str:
+    """The same over events by type."""
+    return f"WITH {EVENTS}{',' + extra if extra else ''} {body}"
+
+
 RET = f"ret AS (SELECT *, value / {lag(1)} - 1 AS r FROM pos)"
 INDICATORS = f"""
     moves AS (SELECT *, value - {lag(1)} AS d, value / {lag(1)} - 1 AS ret_1, value / {lag(3)} - 1 AS ret_3, value / {lag(5)} - 1 AS ret_5,
@@ -226,7 +234,23 @@ SQL = {
     "series_position": q('SELECT series_id, date, value, rn AS "row" FROM pos'),
     "ship_series_position": """SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS value,
         CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY CAST(l_shipdate AS DATE)) - 1 AS INTEGER) AS "row" FROM lineitem GROUP BY l_returnflag, CAST(l_shipdate AS DATE)""",
-    "event_series_position": 'SELECT event_type AS series_id, ts, value, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS INTEGER) AS "row" FROM events',
+    "event_series_position": qe('SELECT series_id, date AS ts, value, rn AS "row" FROM pos'),
+    "event_lag_features": qe(
+        f"SELECT {ROW}, {', '.join(f'{lag(k)} AS lag_{k}' for k in LAGS)}, {', '.join(f'{six(f"value / nullif({lag(k)}, 0) - 1")} AS variation_{k}' for k in VARIATIONS)}, "
+        f"{', '.join(f'CASE WHEN rn >= {k - 1} THEN {six(f"sum(value) {over(k)}")} END AS rolling_sum_{k}' for k in MEANS)}, lead(value, 5) {BY} AS target_value FROM pos"
+    ),
+    "event_rolling_std": qe(f"SELECT {ROW}, {', '.join(f'CASE WHEN rn >= {k - 1} THEN {six(f"stddev_samp(value) {over(k)}")} END AS rolling_std_{k}_level' for k in STDS)} FROM pos"),
+    "event_excursions": qe(f"SELECT {ROW}, {excursion()} AS excursion FROM pos"),
+    "event_gaps": qe(f"SELECT {ROW}, CAST(floor(epoch(date)) - floor(epoch({lag(1, 'date')})) AS BIGINT) AS gap_seconds FROM pos"),
+    "event_averages": qe(
+        f"SELECT {ROW}, {', '.join(f'{six(c)} AS {c}' for c in ('ema_20', 'ema_50', 'macd', 'macd_signal', 'macd_hist', 'rsi_14'))}, {six(_rsi(7))} AS rsi_7, {six(_rsi(21))} AS rsi_21 FROM others",
+        f"{INDICATORS}, others AS (SELECT *, {', '.join(f'{ema(side, 1 / p, p)} AS {side[0]}{p}' for p in (7, 21) for side in ('gain', 'loss'))} FROM ind)",
+    ),
+    "event_indicators": qe(
+        f"SELECT {ROW}, {six('range_pos_20')} AS range_pos_20, {six('vol_10 / nullif(vol_30, 0)')} AS vol_ratio_10_30, {six('ma_5 / nullif(ma_20, 0) - 1')} AS ma_gap_5_20, "
+        f"CASE WHEN rn >= 29 THEN max(value) {over(30)} END AS high_30, CASE WHEN rn >= 29 THEN min(value) {over(30)} END AS low_30 FROM ind",
+        INDICATORS,
+    ),
     "pct_change": q(f"SELECT {ROW}, {', '.join(f'value / {lag(k)} - 1 AS ret_{k}' for k in (1, 3, 5, 10, 20))} FROM pos"),
     "lag_features": q(f"SELECT {ROW}, {', '.join(f'{lag(k)} AS lag_{k}, {lag(k)} / value - 1 AS lag_{k}_rel' for k in LAGS)}, {', '.join(f'value / {lag(k)} - 1 AS variation_{k}' for k in VARIATIONS)} FROM pos"),
     "rolling_mean": q(f"SELECT {ROW}, {', '.join(f'CASE WHEN rn >= {k - 1} THEN {six(f"avg(value) {over(k)}")} END AS rolling_mean_{k}, CASE WHEN rn >= {k - 1} THEN {six(f"avg(value) {over(k)} / value - 1")} END AS rolling_mean_{k}_rel' for k in MEANS)} FROM pos"),

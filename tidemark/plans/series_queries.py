@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.recursive import averaged, averaged_in_sql, span
 from tidemark.functions.scalars import audit_number, business_days_later, parsed_date, plausible, quote_rate, quoted_number, rounded
 from tidemark.operators import audit, features, forecast, indicators, merge, site
+from tidemark.operators.chunks import in_chunks, with_long_position
 from tidemark.operators.features import by_row, change, last, rolling
 from tidemark.sources import sinks, tables
 
 SPLIT_DAY = "1996-01-01"
+#: Rows of a chunk of events: few, so that small tables have several.
+EVENT_ROWS = 1_024
 
 
 def positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +42,54 @@ def ship_series_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_series_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.with_position(tables.events_series(spark, sf_dir), "ts")
+    return events_positioned(spark, sf_dir).drop("event_id")
+
+
+def events_positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type, series that grow without bound, with positions."""
+    return with_long_position(tables.events_series(spark, sf_dir), "ts", "event_id")
+
+
+def _dated(series: DataFrame) -> DataFrame:
+    return series.withColumnRenamed("ts", "date")
+
+
+def event_lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags, changes, means and targets of series that no task sees whole."""
+    make = lambda s: features.with_targets(features.with_features(s), 5)
+    f = in_chunks(_dated(events_positioned(spark, sf_dir)), make, features.DRIFT, 5, rows=EVENT_ROWS)
+    f = f.withColumns({f"rolling_sum_{k}": F.col(f"rolling_mean_{k}") * k for k in features.MEANS})
+    names = [*[f"variation_{k}" for k in features.VARIATIONS], *[f"rolling_sum_{k}" for k in features.MEANS]]
+    return six(f, *names).select("series_id", "row", *[f"lag_{k}" for k in features.LAGS], *names, "target_value")
+
+
+def event_rolling_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = in_chunks(_dated(events_positioned(spark, sf_dir)), features.with_features, features.DRIFT, rows=EVENT_ROWS)
+    names = [f"rolling_std_{k}_level" for k in features.STDS]
+    return six(f, *names).select("series_id", "row", *names)
+
+
+def event_excursions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = audit.MAX_BLOCK
+    return in_chunks(events_positioned(spark, sf_dir), audit.with_excursions, k, k, rows=EVENT_ROWS).select("series_id", "row", "excursion")
+
+
+def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds since the event before of the same type."""
+    make = lambda s: s.withColumn("gap_seconds", F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(by_row())))
+    return in_chunks(events_positioned(spark, sf_dir), make, 1, rows=EVENT_ROWS).select("series_id", "row", "gap_seconds")
+
+
+def event_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EMA, MACD and RSI of series that no task sees whole."""
+    names = ["ema_20", "ema_50", "macd", "macd_signal", "macd_hist", "rsi_7", "rsi_14", "rsi_21"]
+    return six(indicators.with_averages(events_positioned(spark, sf_dir), EVENT_ROWS), *names).select("series_id", "row", *names)
+
+
+def event_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every indicator of long series; those that the other queries do not show."""
+    names = ["range_pos_20", "vol_ratio_10_30", "ma_gap_5_20"]
+    return six(indicators.with_long_indicators(_dated(events_positioned(spark, sf_dir)), EVENT_ROWS), *names).select("series_id", "row", *names, "high_30", "low_30")
 
 
 def pct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,7 +381,7 @@ def variation_since_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    series_position, ship_series_position, event_series_position, pct_change, lag_features, rolling_mean, moving_averages, rolling_std, rolling_slope,
+    series_position, ship_series_position, event_series_position, event_lag_features, event_rolling_std, event_excursions, event_gaps, event_averages, event_indicators, pct_change, lag_features, rolling_mean, moving_averages, rolling_std, rolling_slope,
     rolling_minmax, range_position, ema_20_50, ema_in_sql, macd, rsi_14, gap_features, feature_vector, calendar_features, lead_targets, drift_baseline,
     usable_counts, excursion_flags, robust_z_extremes, gap_histogram, gap_summary, long_gaps, weekday_histogram, year_histogram, repeated_values,
     last_observation, data_quality_report, site_snapshot, audit_flag_counts, quarantine, duplicate_dates, chronological, number_normalisers, date_normalisers, page_quotes, page_text,

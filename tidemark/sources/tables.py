@@ -29,4 +29,4 @@ def ship_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "ts", "value")
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "ts", "event_id", "value")
