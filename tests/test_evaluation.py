@@ -1,4 +1,5 @@
 import json
+import hashlib
 import math
 from datetime import date, timedelta
 
@@ -90,9 +91,42 @@ def test_splits_do_not_overlap(series):
         assert t0 == usable[round(len(usable) * 0.85)]
 
 
-def test_student_t():
-    for t, df, want in ((0.0, 5, 0.5), (2.015048, 5, 0.95), (-2.015048, 5, 0.05), (1.644854, 1e7, 0.95), (12.706205, 1, 0.975), (3.0, 242, 0.998508)):
-        assert abs(evaluation.student_cdf(t, df) - want) < 2e-5
+def test_student_t(spark):
+    known = [(0.0, 5.0, 0.5), (2.015048, 5.0, 0.95), (-2.015048, 5.0, 0.05), (1.644854, 1e7, 0.95), (12.706205, 1.0, 0.975), (3.0, 242.0, 0.998508)]
+    for t in (-40.0, -3.3, -0.7, -1e-4, 0.2, 1.0, 6.5, 300.0):
+        known += [(t, 1.0, 0.5 + math.atan(t) / math.pi), (t, 2.0, 0.5 + t / 2 / math.sqrt(2 + t * t))]
+    df = spark.createDataFrame([*known, (1.0, 0.0, None), (None, 5.0, None)], "t double, df double, want double")
+    for r in df.withColumn("p", evaluation.student_cdf(F.col("t"), F.col("df"))).collect():
+        assert r.p is r.want is None or abs(r.p - r.want) < 2e-5
+        assert r.df not in (1.0, 2.0) or abs(r.t) == 12.706205 or abs(r.p - r.want) < 1e-12
+
+
+def test_bootstrap_draws(spark):
+    """Every resample by hand: blocks of consecutive rows, the last one cut."""
+    rng = np.random.default_rng(2)
+    n, h, reps = 37, 5, 60
+    own, naive = rng.uniform(1, 2, n), rng.uniform(1, 2, n)
+    rows = [("s", h, "holdout", k * 3, 0.0, float(naive[k]), float(own[k])) for k in range(n)] + [("one", h, "holdout", 0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "series_id string, horizon int, split string, row int, actual_value double, pred_value_naive double, pred_value_m double")
+    ratios = []
+    for r in range(reps):
+        at = []
+        for b in range(4):
+            begin = int(hashlib.md5(f"47:{r}:{b}".encode()).hexdigest()[:15], 16) % (n - 9)
+            at += range(begin, begin + min(10, n - 10 * b))
+        assert len(at) == n
+        ratios.append(own[at].sum() / naive[at].sum())
+    (got,) = evaluation.block_bootstrap(df, "m", h, reps).collect()
+    lower, upper = np.quantile(ratios, (0.05, 0.95))
+    assert abs(got.lower - lower) < 1e-12 and abs(got.upper - upper) < 1e-12 and got.n_boot == reps and got.prob_below_1 == np.mean(np.array(ratios) < 1)
+
+
+def test_long_calibration(spark):
+    rng = np.random.default_rng(7)
+    rows = [(s, 5, float(rng.normal()), float(rng.normal()), float(rng.uniform(0.1, 2))) for s in "abc" for _ in range(211)]
+    df = spark.createDataFrame(rows, "series_id string, horizon int, actual_return double, pred_return_m double, sigma_h double").repartition(5)
+    got, want = ({r.series_id: r.asDict() for r in f(df, "m").collect()} for f in (evaluation.long_calibration, evaluation.calibration))
+    assert got == want
 
 
 def test_tests_and_intervals(spark):

@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, con, tiny, name):
 
 def test_every_query_has_an_oracle_or_a_reason():
     fitted_or_random = {
-        "strategy_search", "diebold_mariano_drift", "bootstrap_drift", "learned_search", "learned_holdout", "learned_importances", "path_model_scores", "selected_paths",
+        "strategy_search", "learned_search", "learned_holdout", "learned_importances", "path_model_scores", "selected_paths",
     }
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == fitted_or_random
 

@@ -230,6 +230,30 @@ PCT = f"p AS (SELECT *, (value - {lag(1)}) / {lag(1)} * 100 AS pct FROM pos)"
 LAST20 = "recent AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY rn DESC) AS age FROM p)"
 LATER = ", ".join(f"CAST(f + CAST({n} + 2 * floor((wd + {n}) / 5) AS INTEGER) AS DATE) AS later_{n}" for n in (1, 5, 8, 20))
 
+#: The test of equal accuracy over 5 steps.
+DIEBOLD = f"""
+    losses AS (SELECT series_id, rn, abs(v * (1 + dr) - a) - abs(v - a) AS d FROM base WHERE split = 'holdout' AND dr IS NOT NULL),
+    centred AS (SELECT series_id, rn, d, d - avg(d) OVER (PARTITION BY series_id) AS c FROM losses),
+    lagged AS (SELECT *, {", ".join(f"{lag(k, 'c')} AS c{k}" for k in range(1, 5))} FROM centred),
+    sums AS (SELECT series_id, count(*) AS n, avg(d) AS mean, (sum(c * c) + {" + ".join(f"2.0 * (1 - {k} / 5.0) * sum(c * c{k})" for k in range(1, 5))}) / count(*) AS variance FROM lagged GROUP BY 1),
+    tested AS (SELECT *, mean / sqrt(greatest(variance, 1e-18) / n) * sqrt(greatest((n - 9 + 20 / n) / n, 1e-12)) AS t FROM sums)
+"""
+#: Student's t of whole degrees of freedom, by its finite sums of powers of a cosine: middle is the probability of [-t, t], signed.
+STUDENT = """
+    angles AS (SELECT *, n - 1 AS f, atan(t / sqrt(n - 1)) AS angle FROM tested),
+    student AS (SELECT *, CASE WHEN f % 2 = 0
+        THEN sin(angle) * list_sum(list_transform(range(0, CAST(f // 2 AS BIGINT)), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1.0)) * pow(cos(angle), 2 * j)))
+        ELSE 2 / pi() * (angle + sin(angle) * coalesce(list_sum(list_transform(range(0, CAST((f - 1) // 2 AS BIGINT)), lambda j: exp(lgamma(j + 1.0) - lgamma(j + 1.5) + lgamma(1.5)) * pow(cos(angle), 2 * j + 1))), 0))
+        END AS middle FROM angles)
+"""
+#: 2,000 resamples of blocks of 10 rows, row by row.
+BOOTSTRAP = """
+    errors AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY rn) - 1 AS k, count(*) OVER (PARTITION BY series_id) AS n, abs(v * (1 + dr) - a) AS own, abs(v - a) AS naive
+               FROM base WHERE split = 'holdout' AND dr IS NOT NULL),
+    places AS (SELECT series_id, n, r, k, CAST('0x' || substr(md5('47:' || r || ':' || (k // 10)), 1, 15) AS BIGINT) % (n - 9) + k % 10 AS taken FROM errors, range(0, 2000) t(r)),
+    ratios AS (SELECT p.series_id, p.r, sum(own) / sum(naive) AS ratio FROM places p JOIN errors e ON e.series_id = p.series_id AND e.k = p.taken GROUP BY ALL)
+"""
+
 SQL = {
     "series_position": q('SELECT series_id, date, value, rn AS "row" FROM pos'),
     "ship_series_position": """SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS value,
@@ -251,6 +275,13 @@ SQL = {
         f"CASE WHEN rn >= 29 THEN max(value) {over(30)} END AS high_30, CASE WHEN rn >= 29 THEN min(value) {over(30)} END AS low_30 FROM ind",
         INDICATORS,
     ),
+    "event_quantiles": f"""SELECT series_id, s AS share, n, {six('v')} AS value FROM (
+        SELECT event_type AS series_id, count(*) AS n, unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.999]::DOUBLE[]) AS s, unnest(quantile_cont(value, [0.05, 0.25, 0.5, 0.75, 0.95, 0.999])) AS v FROM events GROUP BY 1)""",
+    "event_gap_summary": qe(f"SELECT series_id, quantile_cont(g, 0.5) AS median_gap, max(g) AS max_gap FROM (SELECT series_id, CAST(floor(epoch(date)) - floor(epoch({lag(1, 'date')})) AS DOUBLE) AS g FROM pos) GROUP BY 1"),
+    "event_robust_extremes": qe(
+        f"SELECT {ROW}, {six('r')} AS ret, {six('abs(r - m) / (1.4826 * mad)')} AS robust_z FROM ret JOIN mads USING (series_id) WHERE abs(r - m) / (1.4826 * mad) > 8.0",
+        f"{RET}, meds AS (SELECT series_id, quantile_cont(r, 0.5) AS m FROM ret GROUP BY 1), mads AS (SELECT series_id, any_value(m) AS m, quantile_cont(abs(r - m), 0.5) AS mad FROM ret JOIN meds USING (series_id) GROUP BY 1)",
+    ),
     "pct_change": q(f"SELECT {ROW}, {', '.join(f'value / {lag(k)} - 1 AS ret_{k}' for k in (1, 3, 5, 10, 20))} FROM pos"),
     "lag_features": q(f"SELECT {ROW}, {', '.join(f'{lag(k)} AS lag_{k}, {lag(k)} / value - 1 AS lag_{k}_rel' for k in LAGS)}, {', '.join(f'value / {lag(k)} - 1 AS variation_{k}' for k in VARIATIONS)} FROM pos"),
     "rolling_mean": q(f"SELECT {ROW}, {', '.join(f'CASE WHEN rn >= {k - 1} THEN {six(f"avg(value) {over(k)}")} END AS rolling_mean_{k}, CASE WHEN rn >= {k - 1} THEN {six(f"avg(value) {over(k)} / value - 1")} END AS rolling_mean_{k}_rel' for k in MEANS)} FROM pos"),
@@ -370,12 +401,14 @@ SQL = {
                 FROM sig s JOIN latest l ON s.series_id = l.series_id WHERE y IS NOT NULL GROUP BY 1)""",
     ),
     "candidate_signal_counts": q("SELECT series_id, strategy, CAST(signal AS INTEGER) AS signal, count(*) AS n FROM said GROUP BY ALL", f"{INDICATORS}, {GRID}"),
-    "diebold_mariano_statistic": dataset(
-        f"""SELECT series_id, 5 AS horizon, 'holdout' AS split, {six("mean / sqrt(greatest(variance, 1e-18) / n) * sqrt(greatest((n - 9 + 20 / n) / n, 1e-12))")} AS statistic, {six("mean")} AS mean_loss_diff, n FROM sums""",
-        f"""losses AS (SELECT series_id, rn, abs(v * (1 + dr) - a) - abs(v - a) AS d FROM base WHERE split = 'holdout' AND dr IS NOT NULL),
-            centred AS (SELECT series_id, rn, d, d - avg(d) OVER (PARTITION BY series_id) AS c FROM losses),
-            lagged AS (SELECT *, {", ".join(f"{lag(k, 'c')} AS c{k}" for k in range(1, 5))} FROM centred),
-            sums AS (SELECT series_id, count(*) AS n, avg(d) AS mean, (sum(c * c) + {" + ".join(f"2.0 * (1 - {k} / 5.0) * sum(c * c{k})" for k in range(1, 5))}) / count(*) AS variance FROM lagged GROUP BY 1)""",
+    "diebold_mariano_statistic": dataset(f"SELECT series_id, 5 AS horizon, 'holdout' AS split, {six('t')} AS statistic, {six('mean')} AS mean_loss_diff, n FROM tested", DIEBOLD),
+    "diebold_mariano_drift": dataset(
+        f"SELECT series_id, 5 AS horizon, 'holdout' AS split, {six('t')} AS statistic, {six('1 - abs(middle)')} AS p_two_sided, {six('0.5 + middle / 2')} AS p_better, {six('mean')} AS mean_loss_diff, n FROM student",
+        f"{DIEBOLD}, {STUDENT}",
+    ),
+    "bootstrap_drift": dataset(
+        f"SELECT series_id, 5 AS horizon, 'holdout' AS split, {six('quantile_cont(ratio, 0.05)')} AS lower, {six('quantile_cont(ratio, 0.95)')} AS upper, CAST(10 AS INTEGER) AS block_length, CAST(count(*) AS INTEGER) AS n_boot, {six('avg(CASE WHEN ratio < 1 THEN 1.0 ELSE 0.0 END)')} AS prob_below_1 FROM ratios GROUP BY 1",
+        BOOTSTRAP,
     ),
     "horizon_split": dataset("SELECT series_id, split, count(*) AS n, min(rn) AS first_row, max(rn) AS last_row FROM ds GROUP BY ALL"),
     "training_folds": dataset("SELECT series_id, CAST(fold AS INTEGER) AS fold, CAST(valid_from - 5 AS INTEGER) AS train_end, CAST(valid_from AS INTEGER) AS valid_from, CAST(valid_from + 150 AS INTEGER) AS valid_to FROM wf"),
@@ -385,6 +418,7 @@ SQL = {
     ),
     "fold_metrics": dataset(f"SELECT series_id, CAST(fold AS INTEGER) AS fold, model, count(*) AS n, {six('avg(abs(pv - a))')} AS mae, {six('sqrt(avg((pv - a) * (pv - a)))')} AS rmse FROM long WHERE split = 'wf' GROUP BY ALL"),
     "cumulative_gain": dataset(f"SELECT {ROW}, {six(f'sum(abs(v - a) - abs(v * (1 + dr) - a)) OVER (PARTITION BY series_id ORDER BY rn)')} AS cumulative_gain FROM base WHERE split = 'holdout'"),
+    "conformal_interval_long": dataset(f"SELECT series_id, 5 AS horizon, n AS n_calibration, {six('q_abs')} AS q_abs, {six('fl')} AS sigma_floor, {six('q_norm')} AS q_norm FROM cal", CALIBRATION),
     "conformal_interval_naive": dataset(f"SELECT series_id, 5 AS horizon, n AS n_calibration, {six('q_abs')} AS q_abs, {six('fl')} AS sigma_floor, {six('q_norm')} AS q_norm FROM cal", CALIBRATION),
     "interval_coverage_naive": dataset(
         f"SELECT b.series_id, 5 AS horizon, split, {six('avg(CASE WHEN abs(y) <= q_norm * greatest(sigma, fl) THEN 1.0 ELSE 0.0 END)')} AS empirical_coverage, {six('avg(v * 2 * q_norm * greatest(sigma, fl))')} AS mean_width, count(*) AS n FROM base b JOIN cal c ON b.series_id = c.series_id WHERE split = 'holdout' GROUP BY b.series_id, split",

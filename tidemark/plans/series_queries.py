@@ -12,6 +12,7 @@ from tidemark.functions.scalars import audit_number, business_days_later, parsed
 from tidemark.operators import audit, features, forecast, indicators, merge, site
 from tidemark.operators.chunks import in_chunks, with_long_position
 from tidemark.operators.features import by_row, change, last, rolling
+from tidemark.operators.selection import exact_quantiles
 from tidemark.sources import sinks, tables
 
 SPLIT_DAY = "1996-01-01"
@@ -92,6 +93,22 @@ def event_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return six(indicators.with_long_indicators(_dated(events_positioned(spark, sf_dir)), EVENT_ROWS), *names).select("series_id", "row", *names, "high_30", "low_30")
 
 
+def event_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of groups that no task holds."""
+    return six(exact_quantiles(tables.events_series(spark, sf_dir), ["series_id"], "value", [0.05, 0.25, 0.5, 0.75, 0.95, 0.999]), "value")
+
+
+def event_gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = event_gaps(spark, sf_dir).withColumn("gap_seconds", F.col("gap_seconds").cast("double"))
+    found = exact_quantiles(gaps, ["series_id"], "gap_seconds", [0.5, 1.0])
+    return found.groupBy("series_id").agg(F.max(F.when(F.col("share") == 0.5, F.col("value"))).alias("median_gap"), F.max("value").alias("max_gap"))
+
+
+def event_robust_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.long_robust_extremes(events_positioned(spark, sf_dir), rows=EVENT_ROWS)
+    return six(found, "ret", "robust_z").select("series_id", "row", "ret", "robust_z")
+
+
 def pct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positioned(spark, sf_dir).select("series_id", "row", *[change(k).alias(f"ret_{k}") for k in indicators.RETURNS])
 
@@ -381,7 +398,7 @@ def variation_since_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    series_position, ship_series_position, event_series_position, event_lag_features, event_rolling_std, event_excursions, event_gaps, event_averages, event_indicators, pct_change, lag_features, rolling_mean, moving_averages, rolling_std, rolling_slope,
+    series_position, ship_series_position, event_series_position, event_lag_features, event_rolling_std, event_excursions, event_gaps, event_averages, event_indicators, event_quantiles, event_gap_summary, event_robust_extremes, pct_change, lag_features, rolling_mean, moving_averages, rolling_std, rolling_slope,
     rolling_minmax, range_position, ema_20_50, ema_in_sql, macd, rsi_14, gap_features, feature_vector, calendar_features, lead_targets, drift_baseline,
     usable_counts, excursion_flags, robust_z_extremes, gap_histogram, gap_summary, long_gaps, weekday_histogram, year_histogram, repeated_values,
     last_observation, data_quality_report, site_snapshot, audit_flag_counts, quarantine, duplicate_dates, chronological, number_normalisers, date_normalisers, page_quotes, page_text,

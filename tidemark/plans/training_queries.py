@@ -69,7 +69,13 @@ def diebold_mariano_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.block_bootstrap(_baselines(spark, sf_dir).where("split = 'holdout'"), "drift", H)
+    b = evaluation.block_bootstrap(_baselines(spark, sf_dir).where("split = 'holdout'"), "drift", H)
+    return six(b, "lower", "upper", "prob_below_1")
+
+
+def conformal_interval_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = evaluation.long_calibration(_baselines(spark, sf_dir).where("split = 'wf'"), "naive")
+    return six(c, "q_abs", "sigma_floor", "q_norm")
 
 
 def conformal_interval_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,5 +134,5 @@ def selected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     horizon_split, training_folds, metric_block_naive_drift, fold_metrics, cumulative_gain, diebold_mariano_drift, diebold_mariano_statistic, bootstrap_drift,
-    conformal_interval_naive, interval_coverage_naive, learned_search, learned_holdout, learned_importances, path_model_scores, selected_paths,
+    conformal_interval_naive, conformal_interval_long, interval_coverage_naive, learned_search, learned_holdout, learned_importances, path_model_scores, selected_paths,
 ]
