@@ -21,6 +21,25 @@ def test_delimited(spark, tmp_path, sep):
         files.read_delimited(spark, str(path), value_column="nothing")
 
 
+@pytest.mark.parametrize("split", [900, 4_000, 1 << 20])
+def test_true_line_numbers(spark, tmp_path, split):
+    """Numbers are those of enumerate, over many splits and two files, with blank lines and a quoted delimiter."""
+    bodies = {}
+    for name, n in (("a.csv", 500), ("b.csv", 137)):
+        rows = [f'2024-01-{k % 28 + 1:02d},"x,{k}",{name}{k}' for k in range(n)]
+        bodies[name] = rows
+        (tmp_path / name).write_text("\n".join(["date,other,value", *(r + ("\n" if k % 9 == 4 else "") for k, r in enumerate(rows))]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for path, want in ((tmp_path / "a.csv", [f"a.csv{k}" for k in range(500)]), (tmp_path, [f"{n}{k}" for n in bodies for k in range(len(bodies[n]))])):
+            got = files.read_delimited(spark, str(path)).orderBy("row_in_file").collect()
+            assert [(r.row_in_file, r.value_raw) for r in got] == list(enumerate(want))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 @pytest.mark.parametrize("shape", ["list", "envelope", "map"])
 def test_json_shapes(spark, tmp_path, shape):
     rows = [{"date": "2024-01-01", "value": 1.5}, {"date": "2024-01-02", "value": 2}]

@@ -33,6 +33,38 @@ def calendar(spark: SparkSession, today: str, days_back: int = 14, first: str =
     return spark.range(1).select(F.explode(F.sequence(begin, F.lit(today).cast("date"))).alias("date"))
 
 
+def calendars(series: DataFrame, days_back: int = 14, first: str = FIRST_DAY) -> DataFrame:
+    """The days to collect again for each series: from days_back (1 at least) before its newest one, but not before first, through the newest."""
+    newest = series.groupBy("series_id").agg(F.max("date").alias("newest"))
+    begin = F.greatest(F.lit(first).cast("date"), F.date_sub("newest", max(1, days_back)))
+    return newest.where(F.col("newest") >= F.lit(first).cast("date")).select("series_id", F.explode(F.sequence(begin, "newest")).alias("date"))
+
+
+def drawn(key: str, seed: int) -> Column:
+    """A row's place in a draw: the md5 of seed and key, alike in every run and engine."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+
+
+def stratified_sample(df: DataFrame, by: str, key: str, each: int, total: int, seed: int) -> DataFrame:
+    """Rows of a seeded sample: `each` of every stratum, fewer where it has no more, then rows of any until there are total.
+
+    key must be unique.  Places are limited before rows are shuffled, so a large stratum sends only its first of each task.
+    """
+    placed = df.withColumn("place_", drawn(key, seed))
+    own = Window.partitionBy(by).orderBy("place_")
+    strata = placed.withColumn("rank_", F.row_number().over(own)).where(F.col("rank_") <= each).drop("rank_")
+    n = strata.agg(F.count(F.lit(1)).alias("have_"))
+    others = placed.join(strata.select(F.col(key).alias("taken_")), F.col(key) == F.col("taken_"), "left_anti").orderBy("place_").limit(total)
+    # Only as many others as are missing, which is known when the strata are counted.
+    missing = others.withColumn("rank_", F.row_number().over(Window.orderBy("place_"))).crossJoin(n).where(F.col("rank_") <= total - F.col("have_"))
+    return strata.select(*df.columns).unionByName(missing.select(*df.columns))
+
+
+def without(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in the sample."""
+    return df.join(sample.select(F.col(key).alias("taken_")), F.col(key) == F.col("taken_"), "left_anti")
+
+
 def in_period(series: DataFrame, period: str) -> DataFrame:
     """Observations of the last days before each series' last date; any other name gives all."""
     if period not in PERIODS:

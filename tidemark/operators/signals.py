@@ -77,22 +77,30 @@ def candidates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_grid(), PARAMETERS)
 
 
+#: Fixed value: the sample's seed, before the horizon is added.  Draws go family by family in the order of names, then to all that are left.
+SAMPLE_SEED = 20261004
+
+
 def sampled_candidates(spark: SparkSession, limit: int, horizon: int) -> DataFrame:
-    """A stratified, seeded sample of the rules: limit // 4 of each family, then others until there are limit.
+    """A stratified, seeded sample of the rules: a quarter of limit from each family, the rest from the rules that are then left.
 
-    The grid is 945 rows by construction, so the draw is made on the driver.
+    Numbers are drawn on the driver, as the grid is 945 rows by construction; the rules are looked up by number.
     """
-    rows, rng = _grid(), np.random.default_rng(20261004 + horizon)
-    if limit >= len(rows):
-        return candidates(spark)
-    chosen: list[tuple] = []
-    for name in sorted(STRATEGIES):
-        family = [r for r in rows if r[1] == name]
-        chosen += [family[i] for i in rng.choice(len(family), size=min(max(1, limit // 4), len(family)), replace=False)]
-    if len(chosen) < limit:
-        rest = [r for r in rows if r not in chosen]
-        chosen += [rest[i] for i in rng.choice(len(rest), size=limit - len(chosen), replace=False)]
-    return spark.createDataFrame([tuple(int(v) if isinstance(v, np.integer) else v for v in r) for r in chosen], PARAMETERS)
+    family = np.array([rule[1] for rule in _grid()])
+    free, rng = np.ones(len(family), bool), np.random.default_rng(SAMPLE_SEED + horizon)
+
+    def draw(pool: np.ndarray, size: int) -> None:
+        free[pool[rng.choice(len(pool), size=size, replace=False)]] = False
+
+    if limit < len(family):
+        for name in sorted(STRATEGIES):
+            own = np.flatnonzero(family == name)
+            draw(own, min(len(own), max(limit // 4, 1)))
+        if (missing := limit - np.count_nonzero(~free)) > 0:
+            draw(np.flatnonzero(free), missing)
+    else:
+        free[:] = False
+    return candidates(spark).where(F.col("candidate").isin((np.flatnonzero(~free) + 1).tolist()))
 
 
 def _chosen(prefix: str, by: str, windows: list[int]) -> Column:

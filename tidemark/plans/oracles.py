@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from tidemark.operators.features import LAGS, MEANS, STDS, TRENDS, VARIATIONS
 from tidemark.operators.indicators import RANGES, WINDOWS
-from tidemark.plans.series_queries import DATES, NUMBERS, PAGES, SPLIT_DAY
+from tidemark.plans.series_queries import SPLIT_DAY
 
 #: Mean order value by status and day, with positions.
 POSITIONS = """
@@ -202,10 +202,6 @@ def paths(slope: str, name: str) -> str:
     return q(f"SELECT series_id, '{name}' AS model, CAST(h AS INTEGER) AS horizon, {six(v)} AS value, {six('s')} AS spread, {bands} FROM e, range(1, 21) t(h)", extra)
 
 
-def literals(rows: list[str]) -> str:
-    return ", ".join(f"({k}, '{v}')" for k, v in enumerate(rows))
-
-
 RAW = """
     priced AS (SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS price, o_orderkey % 97 AS m FROM orders),
     raw AS (
@@ -230,6 +226,10 @@ PCT = f"p AS (SELECT *, (value - {lag(1)}) / {lag(1)} * 100 AS pct FROM pos)"
 LAST20 = "recent AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY rn DESC) AS age FROM p)"
 LATER = ", ".join(f"CAST(f + CAST({n} + 2 * floor((wd + {n}) / 5) AS INTEGER) AS DATE) AS later_{n}" for n in (1, 5, 8, 20))
 
+#: 40 orders of each status by md5, others until there are 360.
+SAMPLE = """WITH placed AS (SELECT o_orderkey, o_orderstatus, md5('7:' || o_orderkey) AS p FROM orders),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY p) <= 40 AS own FROM placed),
+    chosen AS (SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (ORDER BY own DESC, p) AS k FROM ranked) WHERE k <= 360)"""
 #: The test of equal accuracy over 5 steps.
 DIEBOLD = f"""
     losses AS (SELECT series_id, rn, abs(v * (1 + dr) - a) - abs(v - a) AS d FROM base WHERE split = 'holdout' AND dr IS NOT NULL),
@@ -320,20 +320,31 @@ SQL = {
     "quarantine": f"WITH {RAW} SELECT series_id, row_in_file, date_raw, value_raw, reason FROM flagged WHERE reason IS NOT NULL",
     "duplicate_dates": f"WITH {RAW} SELECT series_id, date, count(*) AS n_rows, count(DISTINCT value) AS n_values FROM flagged WHERE reason IS NULL GROUP BY ALL HAVING count(*) > 1",
     "chronological": f"WITH {RAW} SELECT series_id, NOT coalesce(bool_or(falls), false) AS chronological FROM (SELECT series_id, date < lag(date) OVER (PARTITION BY series_id ORDER BY row_in_file) AS falls FROM flagged WHERE reason IS NULL) GROUP BY 1",
-    "number_normalisers": f"""WITH raw(id, raw) AS (VALUES {literals(NUMBERS)}), s AS (SELECT id, replace(replace(trim(raw), ' ', ''), chr(160), '') AS t FROM raw),
-        n AS (SELECT id, CASE WHEN t IN ('', 'nan') THEN NULL ELSE TRY_CAST(CASE WHEN contains(t, ',') AND NOT contains(t, '.') THEN replace(t, ',', '.') ELSE t END AS DOUBLE) END AS audited,
+    "number_normalisers": f"""WITH priced AS (SELECT o_orderkey AS id, o_orderkey % 10 AS form, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS p, format('{{:,.2f}}', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)) AS g FROM orders),
+        raw AS (SELECT id, form, CASE form WHEN 0 THEN p WHEN 1 THEN replace(p, '.', ',') WHEN 2 THEN translate(g, ',.', ' ,') WHEN 3 THEN translate(g, ',.', chr(160) || ',') WHEN 4 THEN translate(g, ',.', '.,')
+                       WHEN 5 THEN g WHEN 6 THEN '' WHEN 7 THEN 'nan' WHEN 8 THEN '-' || p ELSE ' ' || left(p, 4) END AS raw FROM priced),
+        s AS (SELECT id, form, replace(replace(trim(raw), ' ', ''), chr(160), '') AS t FROM raw),
+        n AS (SELECT id, form, CASE WHEN t IN ('', 'nan') THEN NULL ELSE TRY_CAST(CASE WHEN contains(t, ',') AND NOT contains(t, '.') THEN replace(t, ',', '.') ELSE t END AS DOUBLE) END AS audited,
             TRY_CAST(nullif(nullif({QUOTED}, 'nan'), '') AS DOUBLE) AS quoted FROM s)
-        SELECT CAST(id AS INTEGER) AS id, audited, CASE WHEN id = 6 THEN CAST('nan' AS DOUBLE) ELSE quoted END AS quoted, CASE WHEN quoted BETWEEN 500 AND 10000 THEN quoted END AS believed FROM n""",
-    "date_normalisers": f"""WITH raw(id, d) AS (VALUES {literals(DATES)}), p AS (SELECT id, TRY_CAST(d AS DATE) AS iso, CAST(try_strptime(d, '%m/%d/%Y') AS DATE) AS md, CAST(try_strptime(d, '%d/%m/%Y') AS DATE) AS dm FROM raw)
-        SELECT CAST(id AS INTEGER) AS id, coalesce(iso, md) AS month_first, coalesce(iso, dm) AS day_first FROM p""",
-    "page_quotes": rf"""WITH raw(id, html) AS (VALUES {literals(PAGES)}), x AS (SELECT id, regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g') AS x FROM raw),
-        f AS (SELECT id, replace(coalesce(nullif(regexp_extract(x, '(?i)USD\s*\(cours\s+moyen\)\s*[^0-9]{{0,80}}([0-9][0-9\s.,]*)', 1), ''),
-                                          nullif(regexp_extract(x, '(?i)\bUSD\b\s*[^0-9]{{0,120}}([0-9][0-9\s.,]*)', 1), '')), ' ', '') AS t FROM x),
-        n AS (SELECT id, TRY_CAST({QUOTED} AS DOUBLE) AS v FROM f)
-        SELECT CAST(id AS INTEGER) AS id, CASE WHEN v BETWEEN 500 AND 10000 THEN v END AS rate FROM n""",
+        SELECT id, audited, CASE WHEN form = 7 THEN CAST('nan' AS DOUBLE) ELSE quoted END AS quoted, CASE WHEN quoted BETWEEN 500 AND 10000 THEN quoted END AS believed FROM n""",
+    "date_normalisers": """WITH raw AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y')
+               WHEN 3 THEN strftime(o_orderdate, '%Y%m%d') WHEN 4 THEN 'junk' ELSE '' END AS d FROM orders),
+        p AS (SELECT id, coalesce(CAST(try_strptime(d, '%Y-%m-%d') AS DATE), CASE WHEN length(d) = 8 THEN CAST(try_strptime(d, '%Y%m%d') AS DATE) END) AS iso,
+                     CAST(try_strptime(d, '%m/%d/%Y') AS DATE) AS md, CAST(try_strptime(d, '%d/%m/%Y') AS DATE) AS dm FROM raw)
+        SELECT id, coalesce(iso, md) AS month_first, coalesce(iso, dm) AS day_first FROM p""",
+    "page_quotes": r"""WITH keyed AS (SELECT page_id AS id, html, page_id % 7 AS form, CAST(400 + page_id * 37 % 9900 AS VARCHAR) AS w, lpad(CAST(page_id % 100 AS VARCHAR), 2, '0') AS c FROM pages),
+        raw AS (SELECT id, CASE form WHEN 0 THEN '<td>USD (cours moyen)</td><td>' || w || ',' || c || '</td>' WHEN 1 THEN '<b>usd</b> : ' || w || '.' || c || '<br>' WHEN 2 THEN '<p>USD(cours moyen)<i></i>: 1.2' || right(w, 2) || ',5 x 99</p>'
+                       WHEN 3 THEN '<p>EUR ' || w || '</p>' WHEN 4 THEN '' WHEN 5 THEN 'USD' || chr(10) || chr(10) || '=' || chr(9) || ' ' || w || ' ' ELSE '<td>usd (Cours  moyen)</td><td>2 ' || right(w, 3) || ',' || c || '</td>' END || html AS html FROM keyed),
+        x AS (SELECT id, regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g') AS x FROM raw),
+        f AS (SELECT id, replace(coalesce(nullif(regexp_extract(x, '(?i)USD\s*\(cours\s+moyen\)\s*[^0-9]{0,80}([0-9][0-9\s.,]*)', 1), ''),
+                                          nullif(regexp_extract(x, '(?i)\bUSD\b\s*[^0-9]{0,120}([0-9][0-9\s.,]*)', 1), '')), ' ', '') AS t FROM x),
+        n AS (SELECT id, TRY_CAST(""" + QUOTED + r""" AS DOUBLE) AS v FROM f)
+        SELECT id, CASE WHEN v BETWEEN 500 AND 10000 THEN v END AS rate FROM n""",
     "page_text": r"SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g') AS text FROM pages",
     "business_days": q(f"SELECT date, {LATER} FROM (SELECT DISTINCT date, date - CAST(greatest(isodow(date) - 5, 0) AS INTEGER) AS f, least(isodow(date) - 1, 4) AS wd FROM pos)"),
-    "collection_calendar": "SELECT CAST(d AS DATE) AS date FROM range(DATE '2024-03-05' - 40, DATE '2024-03-06', INTERVAL 1 DAY) t(d)",
+    "collection_calendar": q("SELECT series_id, CAST(d AS DATE) AS date FROM (SELECT series_id, max(date) AS m FROM pos GROUP BY 1), LATERAL (SELECT unnest(range(greatest(DATE '1998-07-01', m - 40), m + 1, INTERVAL 1 DAY)) AS d)"),
+    "stratified_orders": f"{SAMPLE} SELECT o_orderkey, o_orderstatus FROM chosen",
+    "unsampled_orders": f"{SAMPLE} SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM chosen) GROUP BY 1",
     "date_range_filter": q("SELECT series_id, date, value FROM pos QUALIFY date >= max(date) OVER (PARTITION BY series_id) - 183"),
     "date_search_top80": q(f"SELECT series_id, date, value, {six('pct')} AS pct FROM (SELECT *, coalesce((value - {lag(1)}) / {lag(1)} * 100, 0.0) AS pct FROM pos) WHERE contains(CAST(date AS VARCHAR), '-03-') QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY date DESC) <= 80"),
     "quartile_picks": q('SELECT series_id, date, value, rn AS "row" FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM pos) WHERE rn IN (0, floor(n * 0.25), floor(n * 0.5), floor(n * 0.75), n - 1)'),
@@ -372,8 +383,10 @@ SQL = {
     "signal_trend_momentum": rule("gap > 0.003 AND ret_10 > 0", "gap < -0.003 AND ret_10 < 0"),
     "signal_combo": rule(f"gap IS NOT NULL AND {VOTES} >= 2", f"gap IS NOT NULL AND {VOTES} <= -2"),
     "signal_combo_strict": rule(f"gap + ret_10 + rsi_14 + macd_hist IS NOT NULL AND {VOTES} >= 2", f"gap + ret_10 + rsi_14 + macd_hist IS NOT NULL AND {VOTES} <= -2"),
-    "candidate_grid": """SELECT strategy, CAST(fast AS INTEGER) AS fast, CAST(slow AS INTEGER) AS slow, CAST(n AS BIGINT) AS n
-        FROM (VALUES ('ma', 3), ('ma_rsi', 24), ('trend_momentum', 6), ('combo', 72)) s(strategy, n), (VALUES (5), (10), (20)) f(fast), (VALUES (30), (50), (100)) g(slow)""",
+    "candidate_grid": q(
+        """SELECT series_id, strategy, CAST(fast AS INTEGER) AS fast, CAST(slow AS INTEGER) AS slow, CAST(n AS BIGINT) AS n, CAST(greatest(rows - slow + 1, 0) AS BIGINT) AS n_rows
+           FROM (SELECT series_id, count(*) AS rows FROM pos GROUP BY 1), (VALUES ('ma', 3), ('ma_rsi', 24), ('trend_momentum', 6), ('combo', 72)) s(strategy, n), (VALUES (5), (10), (20)) f(fast), (VALUES (30), (50), (100)) g(slow)"""
+    ),
     "unchosen_candidates": "SELECT CAST(945 - 360 AS BIGINT) AS n",
     "fold_range_join": q(
         """SELECT f.series_id, fold, role, count(*) AS n, min(rn) AS first_row, max(rn) AS last_row

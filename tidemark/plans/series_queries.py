@@ -286,25 +286,37 @@ def site_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return six(flat, "rsi_14")
 
 
-NUMBERS = ["1 215,59", "1\u00a0215,59", "1.234,5", "1,234.5", "2260.96", "", "nan", "-3", "499", "10001"]
-DATES = ["2024-12-31", "12/31/2024", "31/12/2024", "junk", ""]
-PAGES = [
-    "<td>USD (cours moyen)</td><td>2 260,96</td>", "<b>usd</b> : 2,260.96", "<p>USD(cours moyen)<i></i>: 1.234,5 x 99</p>", "<p>EUR 12</p>", "USD (cours moyen) 12", "", "USD\n\n=\t 600",
-]
-
-
 def number_normalisers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(k, v) for k, v in enumerate(NUMBERS)], "id int, raw string")
+    """Prices of orders, written in ten ways by their key."""
+    key, text = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    grouped = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
+    forms = [
+        text, F.translate(text, ".", ","), F.translate(grouped, ",.", " ,"), F.translate(grouped, ",.", "\u00a0,"), F.translate(grouped, ",.", ".,"), grouped,
+        F.lit(""), F.lit("nan"), F.concat(F.lit("-"), text), F.concat(F.lit(" "), F.left(text, F.lit(4))),
+    ]
+    raw = tables.table(spark, sf_dir, "orders").select(key.alias("id"), F.element_at(F.array(*forms), (key % 10 + 1).cast("int")).alias("raw"))
     return raw.select("id", audit_number(F.col("raw")).alias("audited"), quoted_number(F.col("raw")).alias("quoted"), plausible(quoted_number(F.col("raw"))).alias("believed"))
 
 
 def date_normalisers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(k, v) for k, v in enumerate(DATES)], "id int, raw string")
+    """Days of orders, written in six ways by their key."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    forms = [F.date_format(day, f) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyyMMdd")] + [F.lit("junk"), F.lit("")]
+    raw = tables.table(spark, sf_dir, "orders").select(key.alias("id"), F.element_at(F.array(*forms), (key % 6 + 1).cast("int")).alias("raw"))
     return raw.select("id", parsed_date(F.col("raw")).alias("month_first"), parsed_date(F.col("raw"), True).alias("day_first"))
 
 
 def page_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in enumerate(PAGES)], "id int, html string").select("id", quote_rate(F.col("html")).alias("rate"))
+    """Pages with a quote before their own text, written in seven ways by their number."""
+    key = F.col("page_id")
+    whole, part = (400 + key * 37 % 9900).cast("string"), F.lpad((key % 100).cast("string"), 2, "0")
+    forms = [
+        F.concat(F.lit("<td>USD (cours moyen)</td><td>"), whole, F.lit(","), part, F.lit("</td>")), F.concat(F.lit("<b>usd</b> : "), whole, F.lit("."), part, F.lit("<br>")),
+        F.concat(F.lit("<p>USD(cours moyen)<i></i>: 1.2"), F.right(whole, F.lit(2)), F.lit(",5 x 99</p>")), F.concat(F.lit("<p>EUR "), whole, F.lit("</p>")), F.lit(""),
+        F.concat(F.lit("USD\n\n=\t "), whole, F.lit(" ")), F.concat(F.lit("<td>usd (Cours  moyen)</td><td>2 "), F.right(whole, F.lit(3)), F.lit(","), part, F.lit("</td>")),
+    ]
+    html = F.concat(F.element_at(F.array(*forms), (key % 7 + 1).cast("int")), F.col("html"))
+    return tables.table(spark, sf_dir, "pages").select(key.alias("id"), quote_rate(html).alias("rate"))
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +331,22 @@ def business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collection_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.calendar(spark, "2024-03-05", 40)
+    return merge.calendars(tables.orders_by_status(spark, sf_dir), 40, "1998-07-01")
+
+
+def stratified_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded sample of orders: 40 of each status, others until there are 360."""
+    return _order_sample(spark, sf_dir).select("o_orderkey", "o_orderstatus")
+
+
+def unsampled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sample left out, by status."""
+    rest = merge.without(tables.table(spark, sf_dir, "orders"), _order_sample(spark, sf_dir), "o_orderkey")
+    return rest.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.sum("o_orderkey").alias("key_sum"))
+
+
+def _order_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.stratified_sample(tables.table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey", 40, 360, 7)
 
 
 def date_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,6 +429,6 @@ QUERIES = [
     rolling_minmax, range_position, ema_20_50, ema_in_sql, macd, rsi_14, gap_features, feature_vector, calendar_features, lead_targets, drift_baseline,
     usable_counts, excursion_flags, robust_z_extremes, gap_histogram, gap_summary, long_gaps, weekday_histogram, year_histogram, repeated_values,
     last_observation, data_quality_report, site_snapshot, audit_flag_counts, quarantine, duplicate_dates, chronological, number_normalisers, date_normalisers, page_quotes, page_text,
-    business_days, collection_calendar, date_range_filter, date_search_top80, quartile_picks, new_observations, upsert_by_date, upsert_counts,
+    business_days, collection_calendar, stratified_orders, unsampled_orders, date_range_filter, date_search_top80, quartile_picks, new_observations, upsert_by_date, upsert_counts,
     series_overview, pct_summary, recent_stats, technical_snapshot, published_envelope, naive_paths, drift_paths, recent_drift_paths, variation_since_last,
 ]

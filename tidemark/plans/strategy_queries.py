@@ -43,8 +43,10 @@ def signal_combo_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of each family and pair of averages."""
-    return signals.candidates(spark).groupBy("strategy", "fast", "slow").agg(F.count(F.lit(1)).alias("n"))
+    """Rules of each family and pair of averages, and the rows of each series on which that pair is there."""
+    pairs = signals.candidates(spark).groupBy("strategy", "fast", "slow").agg(F.count(F.lit(1)).alias("n"))
+    length = positioned(spark, sf_dir).groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"))
+    return length.crossJoin(F.broadcast(pairs)).select("series_id", "strategy", "fast", "slow", "n", F.greatest(F.col("rows") - F.col("slow") + 1, F.lit(0)).alias("n_rows"))
 
 
 def unchosen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

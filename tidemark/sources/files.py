@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import parsed_date
+from tidemark.sources.staging import staged
 
 BOM = "\ufeff"
 #: Names that a date or value column may have, in order of preference.
@@ -30,22 +33,42 @@ def delimiter_of(header: str) -> str:
     return max(",;\t", key=header.count)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn("row_in_file", F.monotonically_increasing_id())
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are not blank of one or many text files, with their place: file, line (from 0 in the file), text.
+
+    A file is read in as many splits as Spark likes.  Lines are numbered as they are written out, with the split that they come from; what stands
+    in earlier splits of the file is summed over splits.  So numbers are those of the file, whatever the parallelism.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text"))
+    held = staged(text.where(F.trim("text") != "").withColumn("number", F.monotonically_increasing_id()), "lines")
+    splits = held.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return held.join(splits, ["file", "start"]).select("file", (F.col("number") + F.col("shift")).alias("line"), "text")
 
 
 def read_delimited(spark: SparkSession, path: str, date_column: str | None = None, value_column: str | None = None, series_id: str = "series") -> DataFrame:
     """Raw observations (series_id, row_in_file, date_raw, value_raw) of a delimited file; every field stays text.
 
-    Only the header line is looked at beforehand.
+    row_in_file counts the rows after the header from 0, blank lines left out; the rows of several files follow each other in the order of the files' names.
+    A field does not span lines.  Only the first file's header line is looked at beforehand; every file has one.
     """
-    header = spark.read.text(path).limit(1).collect()
+    first = spark.read.text(path).limit(1).collect()
+    if not first:
+        raise ValueError(f"{path} is empty")
+    lines = numbered_lines(spark, path)
+    header = lines.where("line = 0").orderBy("file").limit(1).collect()
     if not header:
         raise ValueError(f"{path} is empty")
-    df = spark.read.csv(path, sep=delimiter_of(header[0][0]), header=True, inferSchema=False)
-    df = df.toDF(*[c.lstrip(BOM).strip() for c in df.columns])
-    day, value = resolve(df.columns, DATE_NAMES, date_column), resolve(df.columns, VALUE_NAMES, value_column)
-    return _numbered(df).select(F.lit(series_id).alias("series_id"), "row_in_file", F.col(f"`{day}`").alias("date_raw"), F.col(f"`{value}`").alias("value_raw"))
+    text = header[0].text.lstrip(BOM)
+    sep = delimiter_of(text)
+    columns = [c.strip() for c in next(csv.reader([text], delimiter=sep))]
+    day, value = (columns.index(resolve(columns, names, wanted)) for names, wanted in ((DATE_NAMES, date_column), (VALUE_NAMES, value_column)))
+    sizes = lines.groupBy("file").agg((F.max("line")).alias("rows"))
+    sizes = sizes.select("file", (F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - 1).alias("base"))
+    parsed = F.from_csv("text", ", ".join(f"c{k} string" for k in range(len(columns))), {"sep": sep})
+    rows = lines.where("line > 0").join(sizes, "file").select((F.col("base") + F.col("line")).alias("row_in_file"), parsed.alias("c"))
+    return rows.select(F.lit(series_id).alias("series_id"), "row_in_file", F.col(f"c.c{day}").alias("date_raw"), F.col(f"c.c{value}").alias("value_raw"))
 
 
 def read_json_series(spark: SparkSession, path: str, date_column: str | None = None, value_column: str | None = None, series_id: str = "series") -> DataFrame:
