@@ -146,7 +146,7 @@ def test_stream_upsert(spark, tmp_path):
 
     send("1.json", [("2023-12-31", 1.0, "2024-01-01T00:00:00"), ("2024-01-01", 2.0, "2024-01-01T00:00:00"), ("2024-01-01", 2.5, "2024-01-02T00:00:00")])
     send("2.json", [("2024-01-01", 3.0, "2024-01-03T00:00:00"), ("2024-01-02", 4.0, "2024-01-03T00:00:00")])
-    got = {str(r.date): r.value for r in spark.read.parquet(table).collect()}
+    got = {str(r.date): r.value for r in upsert.read_table(spark, table).collect()}
     assert got == {"2023-12-31": 1.0, "2024-01-01": 3.0, "2024-01-02": 4.0}
 
 

@@ -1,18 +1,20 @@
 """An extension for streams: late and corrected observations, upserted batch by batch with checks of the last days.
 
-The table is Parquet, partitioned by year; a batch rewrites only the years that it touches.
+The table is Parquet by year, in versions: a batch writes only the years that it touches, and changes all of them in one step.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.merge import merged
+from tidemark.streaming import versions
 
 SCHEMA = "series_id string, date date, value double, seen timestamp"
+#: Columns of the table.
+ROWS = "series_id string, date date, value double"
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -26,31 +28,29 @@ def latest(observations: DataFrame, delay: str = "14 days") -> DataFrame:
     return timed.groupBy("series_id", F.window("event", "1 day")).agg(F.max_by("value", "seen").alias("value")).select("series_id", F.to_date("window.start").alias("date"), "value")
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at path, None where there is none yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def read_table(spark: SparkSession, table: str) -> DataFrame:
+    """The observations of the table as its last whole batch left it: series_id, date, value."""
+    return versions.read(spark, table, ROWS)
 
 
-def upsert_batch(batch: DataFrame, table: str) -> None:
-    """Merge one micro-batch into the table; the same batch twice changes nothing."""
+def upsert_batch(batch: DataFrame, table: str, stream: str = "", number: int | None = None) -> None:
+    """Merge one micro-batch into the table in one step; the same batch twice changes nothing.
+
+    Readers see all years of a batch or none.  Two streams can write one table: the slower one merges again into what the faster one left.
+    """
     spark = batch.sparkSession
-    new = batch.dropna(subset=["series_id", "date"]).groupBy("series_id", "date").agg(F.max_by("value", "seen").alias("value")).withColumn("year", F.year("date"))
-    years = [r.year for r in new.select("year").distinct().collect()]
-    if not years:
-        return
-    if (known := _existing(spark, table)) is not None:
-        new = merged(known.where(F.col("year").isin(years)), new).drop("status").withColumn("year", F.year("date"))
-    staged = f"{table.rstrip('/')}.staged"
-    new.write.mode("overwrite").parquet(staged)  # the old files stay readable until the result is whole
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(table)
+    new = batch.dropna(subset=["series_id", "date"]).groupBy("series_id", "date").agg(F.max_by("value", "seen").alias("value"))
+    years = [r.year for r in new.select(F.year("date").alias("year")).distinct().collect()]
+
+    def make(version: versions.Version) -> DataFrame:
+        known = versions.read(spark, table, ROWS, years, version)
+        return merged(known, new).select("series_id", "date", "value", F.year("date").alias("year"))
+
+    if years:
+        versions.publish(spark, table, years, make, stream, number)
 
 
 def start(spark: SparkSession, source: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Upsert everything that is there, then stop."""
-    stream = read_stream(spark, source).writeStream.foreachBatch(lambda batch, _: upsert_batch(batch, table))
+    """Upsert everything that is there, then stop.  The checkpoint names the stream, as it numbers the batches."""
+    stream = read_stream(spark, source).writeStream.foreachBatch(lambda batch, number: upsert_batch(batch, table, checkpoint, number))
     return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
