@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import files, quotes, sinks
-from tidemark.streaming import averages, upsert
+from tidemark.streaming import upsert
 
 
 @pytest.mark.parametrize("sep", [",", ";", "\t"])
@@ -148,23 +148,3 @@ def test_stream_upsert(spark, tmp_path):
     send("2.json", [("2024-01-01", 3.0, "2024-01-03T00:00:00"), ("2024-01-02", 4.0, "2024-01-03T00:00:00")])
     got = {str(r.date): r.value for r in upsert.read_table(spark, table).collect()}
     assert got == {"2023-12-31": 1.0, "2024-01-01": 3.0, "2024-01-02": 4.0}
-
-
-def test_stream_average(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    values = [1.0, 2.0, 4.0, 8.0, 3.0]
-
-    def run():
-        stream = averages.running_average(spark.readStream.schema(upsert.SCHEMA).json(str(tmp_path / "in")), 3)
-        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        query.awaitTermination()
-
-    for part, (lo, hi) in enumerate(((0, 2), (2, 5))):
-        (tmp_path / "in" / f"{part}.json").write_text("\n".join(json.dumps({"series_id": "s", "date": f"2024-01-0{k + 1}", "value": values[k]}) for k in range(lo, hi)))
-        run()
-    got = {r.date.day: r.ema for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want, average = {}, None
-    for k, v in enumerate(values):
-        average = v if average is None else 0.5 * average + 0.5 * v
-        want[k + 1] = average if k >= 2 else None
-    assert got == want
