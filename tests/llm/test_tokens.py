@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -25,6 +26,40 @@ def test_words_encode_like_the_library(text):
     assert CODER.encode(text) == library(text)
 
 
+def encoded(texts):
+    """Ids of each text by encode_many, without the end id."""
+    got = []
+    for _, ids, ends in CODER.encode_many(pa.array(texts, pa.string()), 7):
+        got += [p[:-1].tobytes() for p in np.split(ids, ends[:-1])]
+    return got
+
+
+def test_every_letter_before_every_mark():
+    """Letters that normalise to a letter and a combining mark included; both ways of encoding."""
+    letters = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000 and chr(k).isalpha()]
+    changed = [x for x in letters if unicodedata.normalize("NFC", x).lower() != x]
+    words = [f"a{x}," for x in letters] + [f"a{x}{chr(m)}" for x in changed for m in tokens.MARKS] + [f"{x}." for x in letters] + ["EDİLDİ.", "EDİLDİ.) x", "ড়. ঢ়,"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in CODER.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert encoded(words) == want
+    assert [CODER.encode(w) for w in words[::7] + words[-3:]] == want[::7] + want[-3:]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abcßéñøXYZ ,.'-)!\n\t\x1c\xa0<|>0é́İΣড়"), st.characters(exclude_categories=("Cs",))), max_size=30), max_size=5))
+def test_many_encode_like_the_library(texts):
+    assert encoded(texts) == [library(t) for t in texts]
+
+
+def test_known_words_make_room(docs, monkeypatch):
+    """Few words are kept, over many slices: the same ids."""
+    texts = [r.text or "" for r in docs.collect()]
+    want = encoded(texts)
+    monkeypatch.setattr(tokens, "KNOWN", 300)
+    monkeypatch.setattr(tokens, "SLICE", 4_000)
+    assert encoded(texts) == want == [library(t) for t in texts]
+    assert len(CODER.known.words) <= 300 + 4_000
+
+
 @pytest.mark.parametrize("size", [1 << 24, 40])
 def test_documents_encode_like_the_library(docs, odd, monkeypatch, size):
     assert CODER.memory.direct

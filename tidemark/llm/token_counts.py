@@ -14,93 +14,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark.llm.merges import MergeTable
 from tidemark.llm.shared import fresh
-from tidemark.llm.tokens import _byte_letters
 
 #: Fixed value: how byte-level tokenizers cut a text into pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: No pair of these symbols merges.
-NONE = np.iinfo(np.int32).max
 #: Pre-tokens whose counts a worker remembers, from before and since it last made room, each; the longest of them.
 REMEMBERED, LONGEST = 300_000, 48
 #: Bytes of pre-tokens that are merged together; characters of text that are cut together; pre-tokens of a longer text at a time.
 MERGED, CUT, STEP = 1 << 21, 1 << 22, 200_000
 
 
-class MergeTable:
-    """Ranks of the pairs of a byte-level BPE vocabulary and the symbols that they make, as sorted arrays."""
-
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, pre = spec["model"], spec["pre_tokenizer"] or {}
-        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-        added = all(not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in spec["added_tokens"])
-        if not (model["type"] == "BPE" and plain and added and not spec["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]):
-            raise ValueError(f"{path} is no plain byte-level BPE tokenizer")
-        vocab, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        letters = _byte_letters()
-        self.of_byte = np.array([vocab[letters[b]] for b in range(256)], np.int32)
-        made = set(letters.values())
-        for left, right in merges:
-            # Then a pair that a merge brings about never ranks before it, and all places of one pair can be merged at once.
-            if left not in made or right not in made or left + right in made:
-                raise ValueError(f"{path} merges {left!r} and {right!r} out of turn")
-            made.add(left + right)
-        self.width = max(vocab.values()) + 1
-        keys = np.array([vocab[a] * self.width + vocab[b] for a, b in merges], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.rank_of_key = keys[order], order.astype(np.int32)
-        self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
-        self.specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-
-    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair, NONE where it does not merge."""
-        wanted = left.astype(np.int64) * self.width + right
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where(self.keys[at] == wanted, self.rank_of_key[at], NONE)
-
-    def counts(self, pieces: list[bytes]) -> np.ndarray:
-        """Symbols that survive of each piece.
-
-        All pieces lie in one array.  A round merges, in every piece at once, all places of the piece's lowest pair (every other one where
-        they overlap, from the left); finished pieces leave the array.
-        """
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        left = size.copy()
-        sym = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        own = np.repeat(np.arange(len(pieces)), size)
-        rank = self._ranked(sym, own, np.arange(len(sym)))
-        while len(sym):
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            low = np.minimum.reduceat(rank, first)
-            low = np.repeat(low, np.diff(first, append=len(sym)))
-            alive = low != NONE
-            if not alive.all():
-                sym, own, rank, low = sym[alive], own[alive], rank[alive], low[alive]
-            at = np.flatnonzero(rank == low)
-            if not len(at):
-                break
-            k = np.arange(len(at))
-            run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, k, 0))
-            at = at[(k - run) % 2 == 0]
-            sym[at] = self.made[rank[at]]
-            left -= np.bincount(own[at], minlength=len(left))
-            stay = np.ones(len(sym), bool)
-            stay[at + 1] = False
-            sym, own, rank = sym[stay], own[stay], rank[stay]
-            moved = at - np.arange(len(at))
-            around = np.concatenate((moved, moved[moved > 0] - 1))
-            rank[around] = self._ranked(sym, own, around)
-        return left
-
-    def _ranked(self, sym: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Ranks of the pairs that begin at these places; none across the end of a piece."""
-        out = np.full(len(at), NONE, np.int32)
-        inside = np.flatnonzero(at + 1 < len(sym))
-        inside = inside[own[at[inside]] == own[at[inside] + 1]]
-        out[inside] = self.ranks(sym[at[inside]], sym[at[inside] + 1])
-        return out
+def _model(path: str) -> tuple[MergeTable, list[str]]:
+    """The merges and the special strings of a tokenizer file; raises ValueError where it is no byte-level BPE without a normaliser."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec["pre_tokenizer"] or {}
+    added = all(not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in spec["added_tokens"])
+    if not (added and not spec["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]):
+        raise ValueError(f"{path} is no plain byte-level BPE tokenizer")
+    return MergeTable(spec["model"]), sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
 
 
 class TokenCounter:
@@ -109,8 +42,8 @@ class TokenCounter:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.table, self.cut = MergeTable(path), regex.compile(PRE_TOKEN)
-        self.special = regex.compile("|".join(map(regex.escape, self.table.specials))) if self.table.specials else None
+        (self.table, specials), self.cut = _model(path), regex.compile(PRE_TOKEN)
+        self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self.library = Tokenizer.from_file(path).pre_tokenizer
         self.known: dict[str, int] = {}
         self.old: dict[str, int] = {}
@@ -179,7 +112,9 @@ class TokenCounter:
             while new and (not run or size + len(new[-1]) < MERGED):
                 run.append(new.pop())
                 size += 4 * len(run[-1])
-            found.update(zip(run, self.table.counts([p.encode("utf-8") for p in run]).tolist(), strict=True))
+            raw = [p.encode("utf-8") for p in run]
+            _, n = self.table.merged(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
+            found.update(zip(run, n.tolist(), strict=True))
         if len(self.known) + len(found) > REMEMBERED:
             self.old, self.known = self.known, {}
         self.known.update((p, n) for p, n in found.items() if len(p) <= LONGEST)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidemark.llm.merges import MergeTable, byte_letters
+
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Words that a Python worker remembers from before and since it last made room, each; the longest of them.
-WORDS, LONGEST = 400_000, 32
+#: Words of lower-case letters up to U+024F: these are in normal form and have no lower case of their own.
+SIMPLE = "^[a-z" + "".join(chr(c) for c in range(128, 0x250) if chr(c).isalpha() and chr(c).lower() == chr(c)) + "]+$"
+#: Words that a worker encodes one by one and remembers, from before and since it last made room, each; the longest that are remembered.
+WORDS, LONGEST = 50_000, 32
+#: Words whose ids are kept in arrays; new words that are merged together.
+KNOWN, MERGED = 1_000_000, 32_768
 #: Marks that are cut off the end of a word; an apostrophe can belong to letters.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words whose ids are gathered at a time.
@@ -21,13 +28,6 @@ GATHER = 1 << 17
 SLICE = 1 << 24
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable character that byte-level vocabularies write for each byte: itself, or one from U+0100 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
-
-
 def _ends_in_letter(word: str) -> bool:
     """Whether the word still ends in a letter when the tokenizer has normalised it: some letters become a letter and a combining mark."""
     return word[-1].isalpha() and (word[-1].isascii() or unicodedata.normalize("NFC", word[-1]).lower()[-1].isalpha())
@@ -37,7 +37,7 @@ class _Memory(dict):
     """Word (bytes) -> its ids as little-endian 32-bit integers."""
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, byte_letters()
         self.old: dict[bytes, bytes] = {}
         # Words of letters are one piece to a byte-level tokenizer; then its model alone gives the ids, faster.
         self.direct = True
@@ -73,6 +73,76 @@ class _Memory(dict):
         return ids
 
 
+class _Known:
+    """Words and their ids in arrays: little memory for many, looked up all at once; words of letters are also merged all at once."""
+
+    def __init__(self, ids: Callable[[bytes], bytes], table: MergeTable | None) -> None:
+        self.ids, self.table = ids, table
+        self.words, self.size, self.pool = pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(0, "<u4")
+        self.used = np.zeros(0, bool)
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For different words: numbers of their entries, and the sizes and begins in pool of all entries."""
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            new = words.filter(at.is_null())
+            at = at.to_numpy(zero_copy_only=False)
+            at[np.isnan(at)] = len(self.words) + np.arange(len(new))
+            size, pool = self._encoded(new)
+            self.words = pa.concat_arrays([self.words, new])
+            self.size, self.pool = np.concatenate((self.size, size.astype(np.int32))), np.concatenate((self.pool, pool))
+            self.used = np.concatenate((self.used, np.ones(len(new), bool)))
+        else:
+            at = at.to_numpy()
+        at = at.astype(np.int64)
+        self.used[at] = True
+        return at, self.size, np.cumsum(self.size, dtype=np.int64) - self.size
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids one after the other: those of its letters, then those of the marks after them."""
+        stems = pc.utf8_rtrim(words.cast(pa.large_string()), characters=MARKS.decode())
+        simple = pc.match_substring_regex(stems, SIMPLE).to_numpy(zero_copy_only=False) & (self.table is not None)
+        stems = stems.cast(pa.large_binary()).filter(pa.array(simple)).dictionary_encode()
+        raw, length = stems.dictionary.to_pylist(), pc.binary_length(stems.dictionary).to_numpy()
+        pools, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for k in range(0, len(raw), MERGED):
+            pool, n = self.table.merged(np.frombuffer(b"".join(raw[k : k + MERGED]), np.uint8), length[k : k + MERGED])
+            pools.append(pool.astype("<u4"))
+            sizes.append(n)
+        # Tails of the simple words, and all others whole, by the library.
+        head, tail = np.full(len(words), -1), np.full(len(words), -1)
+        head[simple] = stems.indices.to_numpy()
+        cut = np.zeros(len(words), np.int64)
+        cut[simple] = length[head[simple]]
+        rest = np.flatnonzero(cut < pc.binary_length(words).to_numpy())
+        tails = [w[k:] for w, k in zip(words.take(pa.array(rest)).to_pylist(), cut[rest].tolist(), strict=True)]
+        number = {t: k for k, t in enumerate(dict.fromkeys(tails))}
+        found = [self.ids(t) for t in number]
+        tail[rest] = np.fromiter(map(number.__getitem__, tails), np.int64, len(tails)) + len(raw)
+        pools.append(np.frombuffer(b"".join(found), "<u4"))
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        pool, size = np.concatenate(pools), np.concatenate(sizes)
+        parts = np.stack((head, tail), 1).ravel()
+        parts = parts[parts >= 0]
+        n, begin = size[parts], (np.cumsum(size) - size)[parts]
+        out = pool[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        of = lambda part: np.where(part >= 0, size[part], 0) if len(size) else np.zeros(len(part), np.int64)
+        return of(head) + of(tail), out
+
+    def make_room(self) -> None:
+        """Forget long words; where there are too many, those that were not met since room was last made, or else the oldest."""
+        stay = pc.less_equal(pc.binary_length(self.words), LONGEST).to_numpy(zero_copy_only=False)
+        full = np.count_nonzero(stay) > KNOWN
+        if full:
+            stay &= self.used
+            stay[: max(0, len(stay) - KNOWN)] &= np.count_nonzero(stay) <= KNOWN // 2
+        if not stay.all():
+            self.pool = self.pool[np.repeat(stay, self.size)]
+            self.words, self.size, self.used = self.words.filter(pa.array(stay)), self.size[stay], self.used[stay]
+        if full:
+            self.used[:] = False
+
+
 class WordCoder:
     """Encodes as the library does, word by word.
 
@@ -86,6 +156,19 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memory = _Memory(self.tokenizer)
+        self.known = _Known(self.memory.__getitem__, self._table(path) if self.memory.direct else None)
+
+    def _table(self, path: str) -> MergeTable | None:
+        """The model's merges, if they give its ids."""
+        with open(path, encoding="utf-8") as f:
+            try:
+                table = MergeTable(json.load(f)["model"])
+            except ValueError:
+                return None
+        words = ["a", "the", "zebra", "qxqz", "banana", "mississippi", "déjà", "straße", "ñandú", "çéèêñßüöä"]
+        raw = [w.encode("utf-8") for w in words]
+        ids, n = table.merged(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw]))
+        return table if ids.astype("<u4").tobytes() == b"".join(map(self.memory.by_model, words)) and n.all() else None
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
@@ -116,13 +199,13 @@ class WordCoder:
         last = np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()  # a slice's offsets need not begin with 0
         words = lists.flatten().cast(pa.large_binary()).dictionary_encode()
         del lists, texts
-        found = [self.memory[w] for w in words.dictionary.to_pylist()]
-        found.append(np.array([end_id], "<u4").tobytes())
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        pool, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
-        code = np.insert(words.indices.to_numpy(), last, len(found) - 1)
-        del words, found
-        n = size.astype(np.int32).take(code)
+        entry, size, start = self.known.find(words.dictionary)
+        pool = np.append(self.known.pool, np.uint32(end_id))
+        size, start, entry = np.append(size, np.int32(1)), np.append(start, len(pool) - 1), np.append(entry, len(size))
+        code = entry.take(np.insert(words.indices.to_numpy(), last, len(entry) - 1))
+        self.known.make_room()
+        del words, entry
+        n = size.take(code)
         done = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
         ids = np.zeros(done[-1], "<u4")
         for k in range(0, len(code), GATHER):
