@@ -1,3 +1,4 @@
+import csv
 import json
 import threading
 from collections import Counter
@@ -7,7 +8,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import files, quotes, sinks
+from tidemark.sources import files, onefile, quotes, sinks
 from tidemark.streaming import upsert
 
 
@@ -136,6 +137,69 @@ def test_quote_pages(spark):
     assert got == {"2024-01-01": 2201.5, "2024-01-03": 2203.5, "2024-01-04": 2204.5}
 
 
+def test_quote_stream(spark, tmp_path):
+    """Batches read the new days and the last ones before again; a restart asks for no other day."""
+    asked = []
+
+    class Page(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path.rsplit("/", 1)[1])
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(f"<td>USD (cours moyen)</td><td>2 2{self.path[-2:]},50</td>".encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def run(end):
+        spark.dataSource.register(quotes.QuotePages)
+        pages = spark.readStream.format("quote_pages").options(base=f"http://127.0.0.1:{server.server_port}/d", start="2024-01-01", end=end, retries=0, back=3, days_per_partition=2).load()
+        query = quotes.rates(pages).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+        query.awaitTermination()
+        days = sorted(asked)
+        asked.clear()
+        return days
+
+    try:
+        assert run("2024-01-05") == [f"2024-01-0{k}" for k in range(1, 6)]
+        assert run("2024-01-05") == []
+        assert run("2024-01-07") == [f"2024-01-0{k}" for k in range(3, 8)]
+    finally:
+        server.shutdown()
+    got = [(str(r.date), r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(got) == 10 and {d: v for d, v in got} == {f"2024-01-0{k}": 2200.5 + k for k in range(1, 8)}
+
+
+@pytest.mark.parametrize("kind", ["csv", "json", "lines"])
+def test_one_file(spark, tmp_path, kind):
+    """Rows in order, odd values, one file and nothing beside it; a failed task leaves the old file whole."""
+    path = tmp_path / "new" / f"out.{kind}"
+    rows = [(k, f'x,"{k}"\né', date(2024, 1, 1 + k % 28), [k, None], None) for k in range(50)]
+    df = spark.createDataFrame(rows, "k int, t string, d date, a array<int>, n double").repartitionByRange(5, "k").sortWithinPartitions("k")
+    onefile.write_one_file(df.drop("a") if kind == "csv" else df, str(path), kind)
+
+    def read():
+        if kind == "csv":
+            with open(path, newline="") as f:
+                return [(int(r["k"]), r["t"], r["d"]) for r in csv.DictReader(f)]
+        text = path.read_text()
+        objects = json.loads(text) if kind == "json" else [json.loads(line) for line in text.splitlines()]
+        assert all(o["a"] == [o["k"], None] and o["n"] is None for o in objects)
+        return [(o["k"], o["t"], o["d"]) for o in objects]
+
+    want = [(k, t, str(d)) for k, t, d, *_ in rows]
+    assert read() == want and [p.name for p in path.parent.iterdir()] == [path.name]
+    dies = df.withColumn("t", F.when(F.col("k") == 43, F.raise_error(F.lit("lost"))).otherwise(F.lit("new")))
+    with pytest.raises(Exception, match="lost"):
+        onefile.write_one_file(dies.drop("a") if kind == "csv" else dies, str(path), kind)
+    assert read() == want
+    onefile.write_one_file(df.limit(0).drop("a"), str(path), kind)
+    assert read() == []
+
+
 def test_stream_upsert(spark, tmp_path):
     source, table, checkpoint = (str(tmp_path / x) for x in ("in", "table", "cp"))
     (tmp_path / "in").mkdir()

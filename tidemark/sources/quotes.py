@@ -14,7 +14,7 @@ from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidemark.functions.scalars import quote_rate
 
@@ -63,9 +63,46 @@ class QuoteReader(DataSourceReader):
         return [Days(self.start + timedelta(k), min(self.per_task, days - k)) for k in range(0, max(0, days), self.per_task)]
 
     def read(self, partition: Days) -> Iterator[tuple]:
-        for k in range(partition.n):
-            day = partition.first + timedelta(k)
-            yield day, fetch(f"{self.base}/{day.isoformat()}", self.timeout, self.retries, self.pause).text
+        return pages(partition, self.base, self.timeout, self.retries, self.pause)
+
+
+def pages(days: Days, base: str, timeout: float, retries: int, pause: float) -> Iterator[tuple[date, str | None]]:
+    """Days with their pages, one request for each."""
+    for k in range(days.n):
+        day = days.first + timedelta(k)
+        yield day, fetch(f"{base}/{day.isoformat()}", timeout, retries, pause).text
+
+
+class QuoteStream(DataSourceStreamReader):
+    """Pages day by day; an offset is the last day that was read.
+
+    A batch reads the days after the offset before it through the newest one, and again the last `back` days before these, as quotes are corrected.
+    The newest day is the option end, or today.  A restart goes on from the checkpoint's offset and asks for no other days.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.base, self.start, self.end = options["base"].rstrip("/"), date.fromisoformat(options["start"]), options.get("end")
+        self.timeout, self.retries, self.pause = float(options.get("timeout", 25)), int(options.get("retries", 2)), float(options.get("pause", 1.25))
+        self.back, self.per_task = int(options.get("back", 14)), int(options.get("days_per_partition", 1))
+
+    def initialOffset(self) -> dict:
+        return {"day": (self.start - timedelta(1)).isoformat()}
+
+    def latestOffset(self) -> dict:
+        newest = date.fromisoformat(self.end) if self.end else date.today()
+        return {"day": max(newest, self.start - timedelta(1)).isoformat()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        before, last = date.fromisoformat(start["day"]), date.fromisoformat(end["day"])
+        first = max(self.start, before - timedelta(self.back - 1))
+        days = (last - first).days + 1 if last > before else 0
+        return [Days(first + timedelta(k), min(self.per_task, days - k)) for k in range(0, days, self.per_task)]
+
+    def read(self, partition: Days) -> Iterator[tuple]:
+        return pages(partition, self.base, self.timeout, self.retries, self.pause)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class QuotePages(DataSource):
@@ -79,6 +116,9 @@ class QuotePages(DataSource):
     def reader(self, schema) -> QuoteReader:
         return QuoteReader(self.options)
 
+    def streamReader(self, schema) -> QuoteStream:
+        return QuoteStream(self.options)
+
 
 def rates(pages: DataFrame, series_id: str = "quotes") -> DataFrame:
     """Plausible rates of daily pages (date, html): series_id, date, value."""

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.onefile import write_one_file
+
 
 def write_csv(df: DataFrame, path: str, **names: str) -> None:
-    """One CSV file with a header, for a report that is small by nature; names rename columns on the way."""
-    df.withColumnsRenamed(names).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """The named CSV file with a header, for a report that is small by nature; names rename columns on the way."""
+    write_one_file(df.withColumnsRenamed(names), path, "csv")
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """The named file of one JSON object for each row."""
+    write_one_file(df, path, "lines")
 
 
 def write_table(df: DataFrame, path: str, *by: str) -> None:
