@@ -13,7 +13,7 @@ DEFAULTS = {
     "n_estimators": 200, "max_depth": 3, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.9,
     "min_child_weight": 10.0, "reg_alpha": 0.0, "reg_lambda": 5.0, "objective": "squared",
 }
-BINS = 32
+BINS = 64
 
 
 @dataclass
@@ -42,11 +42,19 @@ class Binned:
 
     edges: list[np.ndarray]
     bins: np.ndarray  # (rows, features): bin b holds values up to edge b
+    key: np.ndarray  # the same, numbered over all features
 
     @classmethod
     def of(cls, x: np.ndarray) -> Binned:
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-        return cls(edges, np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1))
+        bins = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1)
+        return cls(edges, bins, bins + np.arange(x.shape[1]) * BINS)
+
+    def unusable(self, columns: np.ndarray) -> np.ndarray:
+        """(features, bins): where a tree over these columns cannot split, as the column is not among them or the bin has no edge."""
+        out = np.array([len(e) for e in self.edges])[:, None] <= np.arange(BINS)
+        out[np.setdiff1d(np.arange(len(self.edges)), columns)] = True
+        return out
 
 
 def fit(x: np.ndarray, y: np.ndarray, params: dict | None = None, seed: int = 42, binned: Binned | None = None) -> Regressor:
@@ -69,27 +77,33 @@ def fit(x: np.ndarray, y: np.ndarray, params: dict | None = None, seed: int = 42
 def _grown(binned: Binned, rows: np.ndarray, columns: np.ndarray, g: np.ndarray, p: dict, gain: np.ndarray) -> list[tuple]:
     """A tree as nodes (feature, bin, first child or 0, value), grown level by level.
 
-    Of two siblings only the smaller one's histogram is counted; the other's is what is left of the parent's.
+    Of two siblings only the smaller one's histogram is counted; the other's is what is left of the parent's.  Histograms are of all features: leaving
+    some out costs more than counting them.
     """
-    lam, alpha, least, c = p["reg_lambda"], p["reg_alpha"], p["min_child_weight"], len(columns)
+    lam, alpha, least, wide = p["reg_lambda"], p["reg_alpha"], p["min_child_weight"], binned.key.shape[1] * BINS
     soft = (lambda v: np.sign(v) * np.maximum(np.abs(v) - alpha, 0.0)) if alpha else (lambda v: v)
     value = lambda total, weight: float(-p["learning_rate"] * soft(total) / (weight + lam))
-    own = binned.bins[rows[:, None], columns]
-    key = own + np.arange(c) * BINS
+    m, closed = binned.key.shape[1], binned.unusable(columns)
 
-    def histograms(among: np.ndarray, node: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        slot = (key[among] + (node * (c * BINS))[:, None]).ravel()
-        sums = np.bincount(slot, np.repeat(g[among], c), n * c * BINS).reshape(n, c, BINS)
-        return sums, np.bincount(slot, minlength=n * c * BINS).reshape(n, c, BINS)
+    def histograms(among: np.ndarray | None, node: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+        slot = binned.key[rows if among is None else rows[among]]
+        if n > 1:
+            slot += (node * wide)[:, None]
+        slot = slot.ravel()
+        sums = np.bincount(slot, np.repeat(g if among is None else g[among], m), n * wide).reshape(n, m, BINS)
+        return sums, np.bincount(slot, minlength=n * wide).reshape(n, m, BINS)
 
-    unusable = np.array([len(binned.edges[j]) for j in columns])[:, None] <= np.arange(BINS)  # bins without an edge
     nodes, level, at = [(0, 0, 0, value(g.sum(), len(g)))], [0], np.zeros(len(rows), np.int64)
-    sums, counts = histograms(np.arange(len(rows)), at, 1)
+    sums, counts = histograms(None, None, 1)
     for depth in range(p["max_depth"]):
         gl, hl = sums.cumsum(2), counts.cumsum(2)
         total, weight = gl[:, :1, -1:], hl[:, :1, -1:]
-        score = soft(gl) ** 2 / (hl + lam) + soft(total - gl) ** 2 / (weight - hl + lam)
-        score[(hl < least) | (weight - hl < least) | unusable] = -np.inf
+        hr = weight - hl
+        score, other = soft(gl) ** 2, soft(total - gl) ** 2
+        score /= hl + lam
+        other /= hr + lam
+        score += other
+        score[(hl < least) | (hr < least) | closed] = -np.inf
         flat, n = score.reshape(len(level), -1), np.arange(len(level))
         best = flat.argmax(1)
         rise = flat[n, best] - (soft(total) ** 2 / (weight + lam))[:, 0, 0]
@@ -99,26 +113,31 @@ def _grown(binned: Binned, rows: np.ndarray, columns: np.ndarray, g: np.ndarray,
             break
         left_g, left_h = gl[n, column, b], hl[n, column, b]
         fresh, following = np.full(len(level), -1), []
-        for i, k in enumerate(split.tolist()):
-            j, first = int(columns[column[k]]), len(nodes)
+        # Pairs of children that are both too small to split are done.
+        goes = np.maximum(left_h, weight[:, 0, 0] - left_h) >= 2 * least
+        for k in split.tolist():
+            j, first = int(column[k]), len(nodes)
             gain[j] += rise[k]
             nodes[level[k]] = (j, int(b[k]), first, nodes[level[k]][3])
             nodes += [(0, 0, 0, value(left_g[k], left_h[k])), (0, 0, 0, value(total[k, 0, 0] - left_g[k], weight[k, 0, 0] - left_h[k]))]
-            fresh[k] = 2 * i
-            following += [first, first + 1]
-        went = fresh[at]
-        right = own[np.arange(len(at)), column[at]] > b[at]
-        at = np.where(went < 0, -1, went + right)
+            if goes[k]:
+                fresh[k] = len(following)
+                following += [first, first + 1]
+        split = split[goes[split]]
+        if depth + 1 == p["max_depth"] or not following:
+            break
+        live = np.flatnonzero(at >= 0)
+        went = fresh[at[live]]
+        right = binned.bins[rows[live], column[at[live]]] > b[at[live]]
+        at[live] = np.where(went < 0, -1, went + right)
         level = following
-        if depth + 1 < p["max_depth"]:
-            smaller = 2 * left_h[split] > weight[split, 0, 0]  # whether the right child is
-            live = np.flatnonzero(at >= 0)
-            counted = live[(at[live] & 1) == smaller[at[live] >> 1]]
-            few = histograms(counted, at[counted] >> 1, len(split))
-            rest = sums[split] - few[0], counts[split] - few[1]
-            pick = smaller[:, None, None]
-            sums, counts = (np.stack([np.where(pick, r, f), np.where(pick, f, r)], 1).reshape(-1, c, BINS) for f, r in zip(few, rest, strict=True))
-            key, own, g, at = key[live], own[live], g[live], at[live]
+        smaller = 2 * left_h[split] > weight[split, 0, 0]  # whether the right child is
+        live = live[went >= 0]
+        counted = live[(at[live] & 1) == smaller[at[live] >> 1]]
+        few = histograms(counted, at[counted] >> 1, len(split))
+        rest = sums[split] - few[0], counts[split] - few[1]
+        pick = smaller[:, None, None]
+        sums, counts = (np.stack([np.where(pick, r, f), np.where(pick, f, r)], 1).reshape(-1, m, BINS) for f, r in zip(few, rest, strict=True))
     return nodes
 
 

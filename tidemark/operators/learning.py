@@ -39,11 +39,12 @@ def _matrix(part: pd.DataFrame, kind: str) -> np.ndarray:
     return part[feature_names(kind)].to_numpy(float)
 
 
-def fold_predictions(dataset: DataFrame, h: int, sets: DataFrame, kind: str = "scale_free", together: int = 4) -> DataFrame:
+def fold_predictions(dataset: DataFrame, h: int, sets: DataFrame, kind: str = "scale_free", together: int = 1) -> DataFrame:
     """Out-of-fold predictions of every parameter set: series_id, candidate, fold, row, value, actual and predicted return.
 
     A series goes once to each task of about `together` parameter sets, whose candidates are numbered from 0 on; the task fits them on the
-    training rows of each fold, which are cut into bins once, and predicts the fold's validation rows.
+    training rows of each fold, which are cut into bins once, and predicts the fold's validation rows.  Fits differ much in cost, so there are
+    several partitions for each task's key: Spark deals them out as workers become free.
     """
     names = feature_names(kind)
     dealt = sets.select("candidate", "params", F.expr(f"candidate div {together}").alias("task"))
@@ -65,7 +66,9 @@ def fold_predictions(dataset: DataFrame, h: int, sets: DataFrame, kind: str = "s
                 out.append(rows.assign(candidate=job.candidate, fold=job.fold, pred_return=model.predict(x[valid]) / SCALE))
         return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in kinds.split(", ")])
 
-    return spread(dev, "series_id", "task").groupBy("series_id", "task").cogroup(spread(jobs, "series_id", "task").groupBy("series_id", "task")).applyInPandas(run, kinds)
+    parts = 4 * tasks.count()
+    dev, jobs = (spread(df, "series_id", "task", parts=parts) for df in (dev, jobs))
+    return dev.groupBy("series_id", "task").cogroup(jobs.groupBy("series_id", "task")).applyInPandas(run, kinds)
 
 
 def search(predictions: DataFrame) -> DataFrame:

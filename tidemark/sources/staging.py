@@ -51,10 +51,10 @@ def _write(df: DataFrame, name: str) -> str:
     return path
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt by keys over spark.sql.shuffle.partitions tasks, also where it is small.
+def spread(df: DataFrame, *keys: str, parts: int = 0) -> DataFrame:
+    """df dealt by keys over spark.sql.shuffle.partitions tasks, or over parts where that is more, also where it is small.
 
     For steps that multiply rows or fit models: adaptive execution joins small partitions by their bytes, which
     would run all that work in one task.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
