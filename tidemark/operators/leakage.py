@@ -65,6 +65,11 @@ def split_checks(features: DataFrame, h: int) -> DataFrame:
     return holdout.unionByName(folds.select("series_id", F.lit(f"folds purged h={h}").alias("check"), "ok", "n"))
 
 
+def leakage_report(series: DataFrame, features: DataFrame, h: int, cuts: list[int]) -> DataFrame:
+    """All checks of features, targets and splits: series_id, check, ok, n."""
+    return feature_checks(series, cuts).unionByName(target_checks(series, features, h)).unionByName(split_checks(features, h))
+
+
 def require_history(series: DataFrame, least: int) -> DataFrame:
     """series as it is; raises ValueError where one of its series has fewer than least observations."""
     short = series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least).limit(5).collect()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import boosted
 from tidemark.operators.evaluation import walk_forward_folds
 from tidemark.operators.features import feature_names
-from tidemark.sources.staging import spread
+from tidemark.sources.staging import spread, staged
 
 #: Targets are fitted in per cent, so that penalties mean the same at every level.
 SCALE, SEED, REPEATS = 100.0, 42, 10
@@ -130,6 +130,20 @@ def predict(models: DataFrame, features: DataFrame, kind: str = "scale_free") ->
     return slim.groupBy("series_id").cogroup(models.groupBy("series_id")).applyInPandas(run, "series_id string, horizon int, row int, date date, value double, pred_return double")
 
 
+def joined_importances(gains: DataFrame, rises: DataFrame, keys: list[str]) -> DataFrame:
+    """Two measures of each feature beside each other: gain as a share of the keys' sum, the rise, and the rank by it (1 is the largest; ties share one)."""
+    both = gains.join(rises, [*keys, "feature"])
+    share = F.col("gain") / F.coalesce(F.nullif(F.sum("gain").over(Window.partitionBy(*keys)), F.lit(0.0)), F.lit(1.0))
+    return both.withColumn("gain", share).withColumn("permutation_rank", F.rank().over(Window.partitionBy(*keys).orderBy(F.desc("permutation_rise"))))
+
+
+def associations(dataset: DataFrame, names: list[str]) -> DataFrame:
+    """Importance of features without a fitted model: gain is the squared correlation with the return, permutation_rise its size. By series, in one aggregate."""
+    each = dataset.groupBy("series_id").agg(*[F.coalesce(F.corr(c, "return_h"), F.lit(0.0)).alias(c) for c in names])
+    long = each.select("series_id", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in names])).alias("f")).select("series_id", "f.*")
+    return joined_importances(long.select("series_id", "feature", (F.col("r") * F.col("r")).alias("gain")), long.select("series_id", "feature", F.abs("r").alias("permutation_rise")), ["series_id"])
+
+
 def importances(dataset: DataFrame, best: DataFrame, h: int, kind: str = "scale_free", repeats: int = REPEATS) -> DataFrame:
     """Normalised split gain, and the rise of the test error when a feature is permuted (mean, std over repeats), with ranks."""
     rows = dataset.where("split in ('dev', 'test')").select("series_id", "row", "split", "value", "return_h", *feature_names(kind)).join(best.select("series_id", "params"), "series_id")
@@ -142,15 +156,15 @@ def importances(dataset: DataFrame, best: DataFrame, h: int, kind: str = "scale_
         x, y, v = _matrix(part[~dev], kind), part.loc[~dev, "return_h"].to_numpy(), part.loc[~dev, "value"].to_numpy()
         error = lambda x: np.abs(v * (model.predict(x) / SCALE - y)).mean()
         base, rng, out = error(x), np.random.default_rng(SEED + h), []
-        total = model.gain.sum() or 1.0
         for j, name in enumerate(names):
             rises = []
             for _ in range(repeats):
                 mixed = x.copy()
                 mixed[:, j] = rng.permutation(mixed[:, j])
                 rises.append(error(mixed) - base)
-            out.append((part["series_id"].iloc[0], name, model.gain[j] / total, float(np.mean(rises)), float(np.std(rises))))
+            out.append((part["series_id"].iloc[0], name, float(model.gain[j]), float(np.mean(rises)), float(np.std(rises))))
         return pd.DataFrame(out, columns=["series_id", "feature", "gain", "permutation_rise", "permutation_std"])
 
     got = spread(rows, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, feature string, gain double, permutation_rise double, permutation_std double")
-    return got.withColumn("permutation_rank", F.rank().over(Window.partitionBy("series_id").orderBy(F.desc("permutation_rise"))))
+    got = staged(got, "importances")
+    return joined_importances(got.select("series_id", "feature", "gain"), got.drop("gain"), ["series_id"])

@@ -56,8 +56,8 @@ def since_training(series: DataFrame, trained: DataFrame) -> DataFrame:
     return trained.join(counted, ["series_id", "trained_through"], "left")
 
 
-def site_snapshot(series: DataFrame, indicators: DataFrame, **reports: DataFrame) -> DataFrame:
-    """One row per series for the site: overview, indicators, and a field for each report.
+def site_snapshot(series: DataFrame, indicators: DataFrame, importance: DataFrame | None = None, **reports: DataFrame) -> DataFrame:
+    """One row per series for the site: overview, indicators, a field for each report, and the best features (features_top) where importances are given.
 
     A report has series_id, horizon, trained_through and its own figures; it becomes an array of structs by horizon, with the
     observations since training, and is null for a series that it does not name.
@@ -69,6 +69,10 @@ def site_snapshot(series: DataFrame, indicators: DataFrame, **reports: DataFrame
         aged = since_training(series, report)
         fields = ["horizon", *[c for c in aged.columns if c not in ("series_id", "horizon")]]
         out = out.join(aged.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name)), "series_id", "left")
+    if importance is not None:
+        best = top_features(importance, keys=["series_id", "horizon"], rank="permutation_rank")
+        row = F.struct("horizon", "permutation_rank", "feature", "permutation_rise")
+        out = out.join(best.groupBy("series_id").agg(F.sort_array(F.collect_list(row)).alias("features_top")), "series_id", "left")
     return out
 
 
@@ -78,7 +82,7 @@ def with_report(horizons: DataFrame, report: DataFrame, default: str = "naive")
     return joined.withColumn("selected_model", F.coalesce("selected_model", F.lit(default)))
 
 
-def top_features(importance: DataFrame, n: int = 6) -> DataFrame:
-    """The n best-ranked features of each horizon."""
-    w = Window.partitionBy("horizon").orderBy("perm_rank", "feature")
+def top_features(importance: DataFrame, n: int = 6, keys: list[str] | None = None, rank: str = "perm_rank") -> DataFrame:
+    """The n best-ranked features of each horizon, or of each of the keys."""
+    w = Window.partitionBy(*(keys or ["horizon"])).orderBy(rank, "feature")
     return importance.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).drop("place")

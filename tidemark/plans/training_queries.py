@@ -8,14 +8,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluation, forecast, learning
-from tidemark.operators.features import with_features
-from tidemark.plans.series_queries import positioned, six
+from tidemark.operators import evaluation, forecast, leakage, learning, site
+from tidemark.operators.features import MEANS, STDS, VARIATIONS, with_features
+from tidemark.plans.series_queries import positioned, six, with_indicators
 from tidemark.sources.staging import staged_once
 
 H, HORIZONS = 5, [5, 10, 20]
 #: Parameter sets that the search draws beside the default, as workflows.train does.
 DRAWS = 30
+#: Features that are told apart by their association with the return.
+ASSOCIATED = [*[f"variation_{k}" for k in VARIATIONS], *[f"rolling_mean_{k}_rel" for k in MEANS], *[f"rolling_std_{k}" for k in STDS]]
 METRICS = ["mae", "rmse", "mape_pct", "smape_pct", "bias", "r2_level", "r2_return", "r2_oos_vs_naive", "directional_accuracy"]
 
 
@@ -89,6 +91,36 @@ def interval_coverage_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return six(evaluation.coverage(p.where("split = 'holdout'"), c, "naive", "conformal_normalized"), "empirical_coverage", "mean_width")
 
 
+def baseline_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search's scores and places, of three forecasts that need no fit: no change, drift and half the drift."""
+    wf = _baselines(spark, sf_dir).where("split = 'wf' and pred_return_drift is not null")
+    guesses = F.explode(F.array(*[F.struct(F.lit(k).alias("candidate"), (F.lit(w) * F.col("pred_return_drift")).alias("pred_return")) for k, w in enumerate((0.0, 1.0, 0.5))]))
+    predictions = wf.select("series_id", "fold", "row", F.col("value_origin").alias("value"), "actual_return", guesses.alias("g")).select("*", "g.*").drop("g")
+    return six(learning.search(predictions), "cv_mean", "cv_std")
+
+
+def feature_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importances without a fitted model, over the development rows."""
+    return six(_associations(spark, sf_dir), "gain", "permutation_rise")
+
+
+def _associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.associations(_dataset(spark, sf_dir).where("split = 'dev'"), ASSOCIATED)
+
+
+def snapshot_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot's best features, beside its overview."""
+    ind = staged_once(spark, sf_dir, "indicators", lambda: with_indicators(spark, sf_dir))
+    snapshot = site.site_snapshot(positioned(spark, sf_dir), ind, importance=_associations(spark, sf_dir).withColumn("horizon", F.lit(H)))
+    return six(snapshot.select("series_id", "observations", "last_value", F.inline("features_top")), "permutation_rise")
+
+
+def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features do not look ahead at three cuts, targets are where they belong, and splits are purged."""
+    s = positioned(spark, sf_dir)
+    return leakage.leakage_report(s, with_features(s), H, [150, 700, 1500])
+
+
 def _by_horizon(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
     """What make gives of the dataset, the ranked parameter sets and each horizon."""
     ranked = staged_once(spark, sf_dir, "ranked", lambda: _ranked(spark, sf_dir))
@@ -134,5 +166,5 @@ def selected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     horizon_split, training_folds, metric_block_naive_drift, fold_metrics, cumulative_gain, diebold_mariano_drift, diebold_mariano_statistic, bootstrap_drift,
-    conformal_interval_naive, conformal_interval_long, interval_coverage_naive, learned_search, learned_holdout, learned_importances, path_model_scores, selected_paths,
+    conformal_interval_naive, conformal_interval_long, interval_coverage_naive, baseline_search, feature_associations, snapshot_features, leakage_report, learned_search, learned_holdout, learned_importances, path_model_scores, selected_paths,
 ]
