@@ -8,7 +8,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import files, onefile, quotes, sinks
+from tidemark.sources import files, onefile, quotes, sinks, staging
 from tidemark.streaming import upsert
 
 
@@ -137,6 +137,18 @@ def test_quote_pages(spark):
     assert got == {"2024-01-01": 2201.5, "2024-01-03": 2203.5, "2024-01-04": 2204.5}
 
 
+def test_staged_once_follows_the_files(spark, tmp_path):
+    made = []
+
+    def of():
+        return staging.staged_once(spark, str(tmp_path), "n", lambda: made.append(1) or spark.read.parquet(f"{tmp_path}/t").agg(F.sum("id").alias("s"))).first().s
+
+    spark.range(5).write.parquet(f"{tmp_path}/t")
+    assert of() == of() == 10 and len(made) == 1
+    spark.range(7).write.mode("overwrite").parquet(f"{tmp_path}/t")
+    assert of() == 21 and len(made) == 2
+
+
 def test_quote_stream(spark, tmp_path):
     """Batches read the new days and the last ones before again; a restart asks for no other day."""
     asked = []

@@ -368,8 +368,13 @@ SQL = {
     ),
     "data_quality_report": q(
         f"""SELECT series_id, n_rows, bad_date, missing, non_numeric, non_positive, non_finite, n_duplicate_dates, chronological, median_gap, max_gap, has_weekend, n_long_gaps, n_repeated, n_excursions, n_rows_clean, date_min, date_max, value_min, value_max,
-            last_value, {six("last_change")} AS last_change, abs(last_change) > 0.05 AS last_alert, n_extremes, invalid + n_excursions AS n_rows_excluded, 0 AS modified_values, 0 AS interpolated_values
-            FROM flags JOIN filed USING (series_id) JOIN spacing USING (series_id) JOIN stay USING (series_id)""",
+            last_value, {six("last_change")} AS last_change, abs(last_change) > 0.05 AS last_alert, n_extremes, invalid + n_excursions AS n_rows_excluded, 0 AS modified_values, 0 AS interpolated_values,
+            CAST(gaps AS VARCHAR) AS gaps, CAST(weekdays AS VARCHAR) AS weekdays, coalesce(CAST(distant AS VARCHAR), '[]') AS distant, CAST(extreme_years AS VARCHAR) AS extreme_years
+            FROM flags JOIN filed USING (series_id) JOIN spacing USING (series_id) JOIN stay USING (series_id)
+            LEFT JOIN (SELECT series_id, to_json(list({{gap_days: g, n: c}} ORDER BY g)) AS gaps FROM (SELECT series_id, g, count(*) AS c FROM judged WHERE g IS NOT NULL GROUP BY ALL) GROUP BY 1) USING (series_id)
+            LEFT JOIN (SELECT series_id, to_json(list({{day_of_week: d, n: c}} ORDER BY d)) AS weekdays FROM (SELECT series_id, isodow(date) - 1 AS d, count(*) AS c FROM judged GROUP BY ALL) GROUP BY 1) USING (series_id)
+            LEFT JOIN (SELECT series_id, to_json(list({{from_date: f, to_date: date, gap_days: g}} ORDER BY f)) AS distant FROM (SELECT series_id, {lag(1, "date")} AS f, date, g FROM judged) WHERE g > 7 GROUP BY 1) USING (series_id)
+            LEFT JOIN (SELECT series_id, to_json(list({{year: y, n: c}} ORDER BY y)) AS extreme_years FROM (SELECT series_id, year(date) AS y, count(*) AS c FROM moved JOIN widths USING (series_id) WHERE mad > 0 AND abs(r - m) / mad > 8.0 GROUP BY ALL) GROUP BY 1) USING (series_id)""",
         SPOILT,
     ),
     "site_snapshot": q(

@@ -271,8 +271,9 @@ def raw_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def data_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report's figures; its arrays are what gap_histogram, weekday_histogram and long_gaps return."""
-    report = audit.quality_report(raw_days(spark, sf_dir)).drop("gaps", "weekdays", "distant", "extreme_years")
+    """The report's figures, and its arrays as JSON."""
+    report = audit.quality_report(raw_days(spark, sf_dir))
+    report = report.withColumns({c: F.to_json(c) for c in ("gaps", "weekdays", "distant", "extreme_years")})
     return six(report, "last_change").withColumn("median_gap", F.col("median_gap").cast("double"))
 
 

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -21,16 +22,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Path and schema of what staged_once has written, by application, source and name.
-_KEPT: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+#: Path and schema of what staged_once has written, by application, source and its state, and name.
+_KEPT: dict[tuple, tuple[str, StructType]] = {}
 
 
-def staged_once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """Like staged, but made once for an application: later calls for the same source and name read the table that is there.
+def state_of(spark: SparkSession, folder: str) -> int:
+    """A number that changes when a file of the folder is added, removed or written again: of paths, sizes and times, not of contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("state")).first().state
 
-    For inputs that do not change while the application runs.
-    """
-    key = spark.sparkContext.applicationId, source, name
+
+def staged_once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Like staged, but made once for an application and state of the source's files: later calls for the same read the table that is there."""
+    key = spark.sparkContext.applicationId, source, state_of(spark, source), name
     if key not in _KEPT:
         df = make()
         _KEPT[key] = _write(df, name), df.schema
