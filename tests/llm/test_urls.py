@@ -1,5 +1,5 @@
 from collections import Counter
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from tidemark.llm import url_filters
 
@@ -40,6 +40,31 @@ def test_against_loops(spark):
     assert url_filters.filter_urls(df.limit(0), listed).count() == 0
 
 
+def test_times_within_a_day(spark):
+    """Timestamps: entries earlier the same day, at the same moment, days before, and taken off again."""
+    at = lambda s: datetime.fromisoformat(f"2024-01-{s}")
+    entries = [("x.y", at("01T10:00:00"), "a"), ("x.y", at("03T12:00:00"), None), ("x.y", at("03T18:00:00"), "b"), ("y", at("02T00:00:00"), "c")]
+    moments = ["01T09:59:59", "01T10:00:00", "01T23:00:00", "02T05:00:00", "03T11:59:59", "03T12:00:00", "03T17:59:59", "03T18:00:00", "09T00:00:00"]
+    df = spark.createDataFrame([(k, "http://w.x.y/", at(m)) for k, m in enumerate(moments)], "page_id long, url string, fetched_on timestamp").repartition(4)
+    got = {r.page_id: (r.domain, r.category) for r in url_filters.filter_urls(df, spark.createDataFrame(entries, "domain string, listed_on timestamp, category string")).collect()}
+    assert got == dict(enumerate([(None, None), ("x.y", "a"), ("x.y", "a"), ("x.y", "a"), ("x.y", "a"), ("y", "c"), ("y", "c"), ("x.y", "b"), ("x.y", "b")]))
+
+
+def test_sql_host_rule(spark, tmp_path):
+    """The query and its SQL agree on odd URLs."""
+    import duckdb
+
+    from tidemark.llm import queries
+
+    urls = [None, "", "nohost", "http://A.ads-track.example.org/x", "https://u:p@example.net:80/", "https://example.net./q?x#y", "http://[::1]:80/", "http://u@[::2]/", "http://[oops/", "ftp://cheap-pills.example.com"]
+    spark.createDataFrame([(60 * k + 9, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["page_id", "host", "domain", "category", "blocked"]
+    want = con.sql(queries.oracle_sql()["op3_url_filters"]).select(", ".join(names)).fetchall()
+    assert sorted(map(tuple, queries.op3_url_filters(spark, str(tmp_path)).select(*names).collect())) == sorted(want)
+
+
 def test_hosts(spark):
     from pyspark.sql import functions as F
 

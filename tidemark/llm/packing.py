@@ -133,8 +133,9 @@ def pack(docs: DataFrame, capacity: int, tokenizer: str, id_col: str = "doc_id",
 
     Texts are tokenized once; the slim table of pieces goes to the shared folder.  Only the histogram (capacity
     + 1 counts) reaches the driver.  Pieces are ranked within their length, in hash cells so that a length that many
-    share is no big task, and look their place up in the plan.  Null and empty texts are one piece of end_id; repeated
-    rows are packed each; an empty table gives an empty result.
+    share is no big task, and look their place up in the plan.  Null and empty texts are one piece of end_id; a text of more than
+    capacity tokens is pieces of capacity and a last one, however long it is; repeated rows are packed each, and pieces that tie in all that orders
+    them stand in any order; null ids are ids; an empty table gives an empty result; other columns, whatever their names, are not read.
     """
     slim = stored(pieces(docs, capacity, tokenizer, id_col, text_col, end_id), "pieces")
     counts = np.zeros(capacity + 1, np.int64)

@@ -54,7 +54,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     Texts are read once; their statistics go to the shared folder.  Rows whose crc32(id) mod parts is part are
     held out of the fit.  Null and empty texts have statistics of 0 and a score; a null id is scored, never
-    learned from; without labels of both kinds every score is the prior; an empty table gives an empty result.
+    learned from; without labels of both kinds every score is the prior; repeated rows are scored alike; very long texts are read whole; an
+    empty table gives an empty result; other columns, whatever their names, are not read.
     """
     stats = stored(with_stats(docs, id_col, text_col).select("id", "features"), "quality-stats")
     sample = _sample(labels.where(~held_out(id_col, parts, part)), id_col, label_col, max_train_rows)
@@ -78,8 +79,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Judge every text: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
     kept is false where a base rule fails, else whether the trees' score reaches least_score.  Null and
-    empty texts have no words and fail; repeated rows are judged alike; without labels of both kinds the trees
-    keep all that the base rules keep (the prior is then set aside); an empty table gives an empty result.
+    empty texts have no words and fail; repeated rows are judged alike; very long texts are read whole; a null id is judged, never learned from; without
+    labels of both kinds the trees keep all that the base rules keep (the prior is then set aside); an empty table gives an empty result; other
+    columns, whatever their names, are not read.
     """
     trees = fit_rules(docs, labels, id_col, text_col, label_col, max_train_rows)
     verdict = F.lit(True) if not len(trees.leaf) else F.col("score") >= least_score
@@ -88,7 +90,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train_rows: int = MAX_TRAIN_ROWS, least_score: float = 0.5) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns; the texts are judged where they stand."""
+    """The rows of docs that quality_rules keeps, with all their columns, whatever these are called; the texts are judged where they stand.
+
+    Null and empty texts go; repeated rows stay or go together; very long texts are read whole; an empty table gives an empty result.
+    """
     trees = fit_rules(docs, labels, id_col, text_col, label_col, max_train_rows)
     words, repeats = COUNTS.index("n_words"), COUNTS.index("n_repeat_words")
 

@@ -150,7 +150,7 @@ def oracle_sql() -> dict[str, str]:
             WITH entries(domain, listed_on, category) AS (VALUES {entries}),
             spans AS (SELECT domain, category, listed_on AS since, lead(listed_on) OVER (PARTITION BY domain ORDER BY listed_on) AS until FROM entries),
             captures AS (
-                SELECT page_id, lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), '')) AS host,
+                SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[0-9A-Fa-f:.]+\\]|[^/?#:\\[\\]]+)', 1)), '\\.$', ''), '') AS host,
                        DATE '{FIRST_FETCH}' + CAST(page_id % 365 AS INTEGER) AS at
                 FROM pages),
             hits AS (

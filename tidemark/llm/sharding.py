@@ -17,8 +17,8 @@ def interleaved_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", t
     orders them all, and the order is cut into shards whose counts differ by one at most (law "rows").
     Returns id, size (UTF-8 bytes of the text plus 16), text_crc32, law, shard, slot, grown_shard (null under
     this law).  Null text: no bytes; a null stratum is one of its own; repeated rows each have a slot (which of
-    two equal rows comes first is left open); equal texts are dealt like any others; an empty table gives an
-    empty result.
+    two equal rows comes first is left open); equal texts are dealt like any others; a very long text counts as one row; an empty table gives an
+    empty result; other columns, whatever their names, are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = stored(
