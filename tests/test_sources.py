@@ -67,6 +67,8 @@ def test_dates_and_blanks(spark):
     texts = {
         "2024-12-31": ("2024-12-31",) * 2, "2024-12-31 10:30": ("2024-12-31",) * 2, "2024-12-31T10:30:00.5Z": ("2024-12-31",) * 2, "2024/1/2": ("2024-01-02",) * 2, "20240102": ("2024-01-02",) * 2,
         " 01-02-2024\t": ("2024-01-02", "2024-02-01"), "31.12.2024": (None, "2024-12-31"), "1/2/2024 00:00:00": ("2024-01-02", "2024-02-01"), "2024-13-01": (None, None), "2024-1/2": (None, None), "soon": (None, None), "": (None, None),
+        "5 March 2024": ("2024-03-05",) * 2, "Mar 5, 2024": ("2024-03-05",) * 2, "05-MAR-2024": ("2024-03-05",) * 2, "december 31. 2024 10:30": ("2024-12-31",) * 2, "2024 sep 3": ("2024-09-03",) * 2, "2024-May-03": ("2024-05-03",) * 2,
+        "31 February 2024": (None, None), "5 Mars 2024": (None, None), "5 Marchy 2024": (None, None), "March 2024": (None, None), "12 2024 March": (None, None),
     }
     df = spark.createDataFrame([(t,) for t in texts], "raw string")
     got = df.select("raw", parsed_date(F.col("raw")).cast("string").alias("m"), parsed_date(F.col("raw"), True).cast("string").alias("d")).collect()

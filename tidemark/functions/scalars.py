@@ -10,6 +10,8 @@ NBSP, NARROW_NBSP = "\u00a0", "\u202f"
 BLANKS = f" \t\n\r\f\v{NBSP}{NARROW_NBSP}"
 #: A time of day that may follow a date, with or without a zone.
 TIME = r"([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)? ?(Z|UTC|[+-]\d{2}:?\d{2})?)?"
+#: Dates with the name of a month.
+NAMED = r"\d{1,2}[-/., ]+[a-z]{3,9}[-/., ]+\d{4}|[a-z]{3,9}[-/., ]+\d{1,2}[-/., ]+\d{4}|\d{4}[-/., ]+[a-z]{3,9}[-/., ]+\d{1,2}"
 #: Texts that stand for a missing value.
 MISSING = ("", "nan", "None", "null")
 #: Rates outside of this range are not believed.
@@ -89,12 +91,17 @@ def latest_quote(html: Column) -> Column:
 def parsed_date(raw: Column, day_first: bool = False) -> Column:
     """Date of a text, null where it is none.
 
-    The year may come first, with dashes, slashes, dots or nothing between, or last, with day and month by day_first.  A time of day may follow.
+    The year may come first, with dashes, slashes, dots or nothing between, or last, with day and month by day_first.  English names of months, whole or of
+    three letters, may stand before or after the day, with blanks, dashes, dots or commas between.  A time of day may follow.
     """
-    day = F.regexp_extract(F.btrim(raw, F.lit(BLANKS)), rf"^(\d{{4}}([-/.])\d{{1,2}}\2\d{{1,2}}|\d{{1,2}}([-/.])\d{{1,2}}\3\d{{4}}|\d{{8}}){TIME}$", 1)
+    trimmed = F.btrim(raw, F.lit(BLANKS))
+    words = F.regexp_extract(trimmed, rf"(?i)^({NAMED}){TIME}$", 1)
+    spaced = F.initcap(F.lower(F.btrim(F.regexp_replace(words, r"[-/., ]+", " "))))
+    named = F.when(spaced != "", F.coalesce(*[F.try_to_date(spaced, f) for f in ("d MMM y", "d MMMM y", "MMM d y", "MMMM d y", "y MMM d", "y MMMM d")]))
+    day = F.regexp_extract(trimmed, rf"^(\d{{4}}([-/.])\d{{1,2}}\2\d{{1,2}}|\d{{1,2}}([-/.])\d{{1,2}}\3\d{{4}}|\d{{8}}){TIME}$", 1)
     text = F.translate(day, "/.", "--")
     iso, plain, last = (F.try_to_date(text, f) for f in ("y-M-d", "yyyyMMdd", "d-M-y" if day_first else "M-d-y"))
-    return F.when(text.rlike(r"^\d{4}-"), iso).when(text.rlike(r"^\d{8}$"), plain).when(text != "", last)
+    return F.when(text.rlike(r"^\d{4}-"), iso).when(text.rlike(r"^\d{8}$"), plain).when(text != "", last).otherwise(named)
 
 
 def rounded(value: Column, digits: int) -> Column:

@@ -71,11 +71,15 @@ def fold_predictions(dataset: DataFrame, h: int, sets: DataFrame, kind: str = "s
     return dev.groupBy("series_id", "task").cogroup(jobs.groupBy("series_id", "task")).applyInPandas(run, kinds)
 
 
+def fold_scores(predictions: DataFrame) -> DataFrame:
+    """Ratio of each parameter set's mean absolute error to the naive one, by fold: score."""
+    err = lambda c: F.avg(F.abs(F.col("value") * c))
+    return predictions.groupBy("series_id", "candidate", "fold").agg((err(F.col("pred_return") - F.col("actual_return")) / F.nullif(err(F.col("actual_return")), F.lit(0.0))).alias("score"))
+
+
 def search(predictions: DataFrame) -> DataFrame:
     """Parameter sets by mean ratio of fold errors to the naive ones: cv_mean, cv_std, folds_better, place."""
-    err = lambda c: F.avg(F.abs(F.col("value") * c))
-    fold = predictions.groupBy("series_id", "candidate", "fold").agg((err(F.col("pred_return") - F.col("actual_return")) / F.nullif(err(F.col("actual_return")), F.lit(0.0))).alias("score"))
-    sets = fold.groupBy("series_id", "candidate").agg(F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"), F.count_if(F.col("score") < 1).alias("folds_better"))
+    sets = fold_scores(predictions).groupBy("series_id", "candidate").agg(F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"), F.count_if(F.col("score") < 1).alias("folds_better"))
     return sets.withColumn("place", F.row_number().over(Window.partitionBy("series_id").orderBy("cv_mean", "candidate")))
 
 

@@ -335,9 +335,9 @@ SQL = {
         n AS (SELECT id, form, CASE WHEN t IN ('', 'nan') THEN NULL ELSE TRY_CAST(CASE WHEN contains(t, ',') AND NOT contains(t, '.') THEN replace(t, ',', '.') ELSE t END AS DOUBLE) END AS audited,
             TRY_CAST(nullif(nullif({QUOTED}, 'nan'), '') AS DOUBLE) AS quoted FROM s)
         SELECT id, audited, CASE WHEN form = 7 THEN CAST('nan' AS DOUBLE) ELSE quoted END AS quoted, CASE WHEN quoted BETWEEN 500 AND 10000 THEN quoted END AS believed FROM n""",
-    "date_normalisers": """WITH raw AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y')
-               WHEN 3 THEN strftime(o_orderdate, '%Y%m%d') WHEN 4 THEN 'junk' ELSE '' END AS d FROM orders),
-        p AS (SELECT id, coalesce(CAST(try_strptime(d, '%Y-%m-%d') AS DATE), CASE WHEN length(d) = 8 THEN CAST(try_strptime(d, '%Y%m%d') AS DATE) END) AS iso,
+    "date_normalisers": """WITH raw AS (SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y')
+               WHEN 3 THEN strftime(o_orderdate, '%Y%m%d') WHEN 4 THEN 'junk' WHEN 5 THEN '' WHEN 6 THEN strftime(o_orderdate, '%-d %B %Y') WHEN 7 THEN upper(strftime(o_orderdate, '%d-%b-%Y')) ELSE strftime(o_orderdate, '%b %-d, %Y') END AS d FROM orders),
+        p AS (SELECT id, coalesce(CAST(try_strptime(d, '%Y-%m-%d') AS DATE), CASE WHEN length(d) = 8 THEN CAST(try_strptime(d, '%Y%m%d') AS DATE) END, CAST(try_strptime(d, ['%d %B %Y', '%d-%b-%Y', '%b %d, %Y']) AS DATE)) AS iso,
                      CAST(try_strptime(d, '%m/%d/%Y') AS DATE) AS md, CAST(try_strptime(d, '%d/%m/%Y') AS DATE) AS dm FROM raw)
         SELECT id, coalesce(iso, md) AS month_first, coalesce(iso, dm) AS day_first FROM p""",
     "page_quotes": r"""WITH keyed AS (SELECT page_id AS id, html, page_id % 7 AS form, CAST(400 + page_id * 37 % 9900 AS VARCHAR) AS w, lpad(CAST(page_id % 100 AS VARCHAR), 2, '0') AS c FROM pages),
@@ -449,6 +449,10 @@ SQL = {
         """scored AS (SELECT series_id, fold, candidate, avg(abs(v * (w * dr - y))) / avg(abs(v * y)) AS score FROM base, (VALUES (0, 0.0), (1, 1.0), (2, 0.5)) g(candidate, w) WHERE split = 'wf' AND dr IS NOT NULL GROUP BY ALL),
            sets AS (SELECT series_id, candidate, avg(score) AS m, stddev_pop(score) AS s, count(*) FILTER (score < 1) AS better FROM scored GROUP BY ALL)""",
     ),
+    "baseline_fold_scores": dataset(
+        f"SELECT series_id, CAST(candidate AS INTEGER) AS candidate, CAST(fold AS INTEGER) AS fold, {six('score')} AS score FROM scored",
+        """scored AS (SELECT series_id, fold, candidate, avg(abs(v * (w * dr - y))) / avg(abs(v * y)) AS score FROM base, (VALUES (0, 0.0), (1, 1.0), (2, 0.5)) g(candidate, w) WHERE split = 'wf' AND dr IS NOT NULL GROUP BY ALL)""",
+    ),
     "feature_associations": dataset(f"SELECT series_id, feature, {six('gain')} AS gain, {six('rise')} AS permutation_rise, place AS permutation_rank FROM assoc", ASSOCIATION),
     "snapshot_features": dataset(
         f"""SELECT a.series_id, observations, last_value, CAST(5 AS INTEGER) AS horizon, place AS permutation_rank, feature, {six("rise")} AS permutation_rise

@@ -300,10 +300,11 @@ def number_normalisers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_normalisers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of orders, written in six ways by their key."""
+    """Days of orders, written in nine ways by their key."""
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
     forms = [F.date_format(day, f) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyyMMdd")] + [F.lit("junk"), F.lit("")]
-    raw = tables.table(spark, sf_dir, "orders").select(key.alias("id"), F.element_at(F.array(*forms), (key % 6 + 1).cast("int")).alias("raw"))
+    forms += [F.date_format(day, "d MMMM yyyy"), F.upper(F.date_format(day, "dd-MMM-yyyy")), F.date_format(day, "MMM d, yyyy")]
+    raw = tables.table(spark, sf_dir, "orders").select(key.alias("id"), F.element_at(F.array(*forms), (key % 9 + 1).cast("int")).alias("raw"))
     return raw.select("id", parsed_date(F.col("raw")).alias("month_first"), parsed_date(F.col("raw"), True).alias("day_first"))
 
 

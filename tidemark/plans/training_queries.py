@@ -93,10 +93,17 @@ def interval_coverage_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def baseline_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search's scores and places, of three forecasts that need no fit: no change, drift and half the drift."""
+    return six(learning.search(_guesses(spark, sf_dir)), "cv_mean", "cv_std")
+
+
+def baseline_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return six(learning.fold_scores(_guesses(spark, sf_dir)), "score")
+
+
+def _guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     wf = _baselines(spark, sf_dir).where("split = 'wf' and pred_return_drift is not null")
     guesses = F.explode(F.array(*[F.struct(F.lit(k).alias("candidate"), (F.lit(w) * F.col("pred_return_drift")).alias("pred_return")) for k, w in enumerate((0.0, 1.0, 0.5))]))
-    predictions = wf.select("series_id", "fold", "row", F.col("value_origin").alias("value"), "actual_return", guesses.alias("g")).select("*", "g.*").drop("g")
-    return six(learning.search(predictions), "cv_mean", "cv_std")
+    return wf.select("series_id", "fold", "row", F.col("value_origin").alias("value"), "actual_return", guesses.alias("g")).select("*", "g.*").drop("g")
 
 
 def feature_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,5 +173,5 @@ def selected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     horizon_split, training_folds, metric_block_naive_drift, fold_metrics, cumulative_gain, diebold_mariano_drift, diebold_mariano_statistic, bootstrap_drift,
-    conformal_interval_naive, conformal_interval_long, interval_coverage_naive, baseline_search, feature_associations, snapshot_features, leakage_report, learned_search, learned_holdout, learned_importances, path_model_scores, selected_paths,
+    conformal_interval_naive, conformal_interval_long, interval_coverage_naive, baseline_search, baseline_fold_scores, feature_associations, snapshot_features, leakage_report, learned_search, learned_holdout, learned_importances, path_model_scores, selected_paths,
 ]

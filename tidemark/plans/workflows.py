@@ -46,7 +46,7 @@ def train(spark: SparkSession, raw: DataFrame, out: str, draws: int = 30, horizo
         models = staged(learning.fit_models(data, best, h), "models")
         newest = merge.last_rows(feats, 1)
         forecasts[h] = _forecast(learning.predict(models, newest), newest, chosen, both, h)
-        for name, df in {"search": ranked, "metrics": metrics, "predictions": both, "tests": tests, "bootstrap": boot, "selection": chosen, "models": models, "importances": learning.importances(data, best, h), "forecast": forecasts[h]}.items():
+        for name, df in {"search": ranked, "fold_scores": learning.fold_scores(folds), "metrics": metrics, "predictions": both, "tests": tests, "bootstrap": boot, "selection": chosen, "models": models, "importances": learning.importances(data, best, h), "forecast": forecasts[h]}.items():
             df.write.mode("overwrite").parquet(f"{out}/h={h}/{name}")
     return forecasts
 
