@@ -319,6 +319,8 @@ SQL = {
     "gap_histogram": q(f"SELECT series_id, g AS gap_days, count(*) AS n FROM (SELECT series_id, CAST(date - {lag(1, 'date')} AS INTEGER) AS g FROM pos) WHERE g IS NOT NULL GROUP BY ALL"),
     "gap_summary": q(f"SELECT series_id, quantile_cont(g, 0.5) AS median_gap, max(g) AS max_gap, bool_or(isodow(date) >= 6) AS has_weekend FROM (SELECT series_id, date, CAST(date - {lag(1, 'date')} AS INTEGER) AS g FROM pos) GROUP BY 1"),
     "long_gaps": q(f"SELECT * FROM (SELECT series_id, {lag(1, 'date')} AS from_date, date AS to_date, CAST(date - {lag(1, 'date')} AS INTEGER) AS gap_days FROM pos) WHERE gap_days > 1"),
+    "customer_long_gaps": """SELECT * FROM (SELECT series_id, lag(date) OVER (PARTITION BY series_id ORDER BY date) AS from_date, date AS to_date, CAST(date - lag(date) OVER (PARTITION BY series_id ORDER BY date) AS INTEGER) AS gap_days
+        FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS series_id, CAST(o_orderdate AS DATE) AS date FROM orders)) WHERE gap_days > 7""",
     "weekday_histogram": q("SELECT series_id, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, count(*) AS n FROM pos GROUP BY ALL"),
     "year_histogram": q("SELECT series_id, CAST(year(date) AS INTEGER) AS year, count(*) AS n FROM pos GROUP BY ALL"),
     "repeated_values": q(f"SELECT series_id, count(*) FILTER (same) AS n_repeated FROM (SELECT series_id, value = {lag(1)} AS same FROM pos) GROUP BY 1"),

@@ -216,6 +216,11 @@ def long_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.long_gaps(positioned(spark, sf_dir), 1)
 
 
+def customer_long_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of over a week, the default, between the days of each customer's orders."""
+    return audit.long_gaps(tables.orders_by_customer(spark, sf_dir))
+
+
 def weekday_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.weekday_histogram(positioned(spark, sf_dir))
 
@@ -429,7 +434,7 @@ def variation_since_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     series_position, ship_series_position, event_series_position, event_lag_features, event_rolling_std, event_excursions, event_gaps, event_averages, event_indicators, event_quantiles, event_gap_summary, event_robust_extremes, pct_change, lag_features, rolling_mean, moving_averages, rolling_std, rolling_slope,
     rolling_minmax, range_position, ema_20_50, ema_in_sql, macd, rsi_14, gap_features, feature_vector, calendar_features, lead_targets, drift_baseline,
-    usable_counts, excursion_flags, robust_z_extremes, gap_histogram, gap_summary, long_gaps, weekday_histogram, year_histogram, repeated_values,
+    usable_counts, excursion_flags, robust_z_extremes, gap_histogram, gap_summary, long_gaps, customer_long_gaps, weekday_histogram, year_histogram, repeated_values,
     last_observation, data_quality_report, site_snapshot, audit_flag_counts, quarantine, duplicate_dates, chronological, number_normalisers, date_normalisers, page_quotes, page_text,
     business_days, collection_calendar, stratified_orders, unsampled_orders, date_range_filter, date_search_top80, quartile_picks, new_observations, upsert_by_date, upsert_counts,
     series_overview, pct_summary, recent_stats, technical_snapshot, published_envelope, naive_paths, drift_paths, recent_drift_paths, variation_since_last,

@@ -24,6 +24,10 @@ def orders_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderdate", "o_totalprice")
 
 
+def orders_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _daily(table(spark, sf_dir, "orders"), "cast(o_custkey as string)", "o_orderdate", "o_totalprice")
+
+
 def ship_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_shipdate", "l_extendedprice")
 
