@@ -212,13 +212,24 @@ def test_every_language_is_learned(spark):
             rows.append((len(rows), " ".join("".join(rng.choice(letters, 5)) for _ in range(12)), name))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = language.identify_language(df, rows_per_lang=60, max_rows=1200).join(df, "doc_id").collect()
-    assert {r.lang_pred for r in got} <= set(alphabet) and len({r.lang_pred for r in got}) > 85  # the fit may miss one that it saw little of
+    assert {r.lang_pred for r in got} == set(alphabet)
     assert np.mean([r.lang_pred == r.lang for r in got if r.held_out]) > 0.9
     sample, langs = language._sample(df, "doc_id", "text", "lang", 60, 1200)
     by = Counter(langs)
     assert set(by) == set(alphabet) and by["l000"] < 60 and len(langs) == len(sample.ends) < 2400
 
 
+@pytest.mark.parametrize("place", [0, 8, 9, 19, 29])
+def test_a_language_of_one_row_is_fitted(place):
+    """Wherever its row stands in the sample, also where every tenth row would only calibrate."""
+    texts = [f"the house number {k} stands near some old trees" for k in range(30)]
+    texts[place] = "zzyx qqwv zzyx kkzz qqwv"
+    langs = ["zz" if k == place else "en" for k in range(30)]
+    sample = language.Sample.of([np.unique(language.subwords(t), return_counts=True) for t in texts])
+    names, _ = language.train(sample, langs).predict(["zzyx qqwv kkzz", "some house stands near"])
+    assert names == ["zz", "en"]
+
+
 def test_large_lists_are_found(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SAMPLED", 1)
     monkeypatch.setattr(simhash, "BLOCK", 50)

@@ -16,6 +16,8 @@ from tidemark.llm.quality import held_out
 BUCKETS = 1 << 12
 #: Rows of each language that the fit takes, about, and rows of all languages together.
 ROWS_PER_LANG, MAX_ROWS = 500, 32_000
+#: Languages whose cut-offs (some 30 bytes each) are broadcast at most.
+BROADCAST = 100_000
 UNDETERMINED = "und"
 
 
@@ -130,7 +132,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per
     """Subword shares and languages of about rows_per_lang rows of each language, fewer where all of them would pass max_rows.
 
     A row is in if the hash of its id is under its language's cut-off, or the least of the language; so no task sees a
-    whole language.  The cut-offs are a number for each language; Spark broadcasts them where their measured size allows.
+    whole language.  The cut-offs are a number for each language, counted before they are broadcast; beyond BROADCAST languages they are joined by a shuffle.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null")
     h = F.shiftrightunsigned(F.xxhash64("id"), 1)
@@ -138,7 +140,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per
     each = max(1, min(rows_per_lang, max_rows // max(1, len(found))))
     cuts = [(r.lang, 2**63 - 1 if r.n <= each else max(r.least, int(each / r.n * 2**63))) for r in found]
     limits = slim.sparkSession.createDataFrame(cuts, "lang string, cut long")
-    texts = slim.withColumn("h", h).join(limits, "lang").where("h <= cut").select("lang", "h", "text")
+    texts = slim.withColumn("h", h).join(F.broadcast(limits) if len(cuts) <= BROADCAST else limits, "lang").where("h <= cut").select("lang", "h", "text")
 
     def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
