@@ -24,8 +24,12 @@ class Regressor:
     gain: np.ndarray | None = None
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
-        for nodes in self.trees:
+        return self.base + self.part(x, self.trees)
+
+    def part(self, x: np.ndarray, trees: list[list[tuple]]) -> np.ndarray:
+        """What some of the trees add."""
+        out = np.zeros(len(x))
+        for nodes in trees:
             at = np.zeros(len(x), np.int64)
             feature, threshold, left, value = (np.array(c) for c in zip(*nodes, strict=True))
             for _ in range(self.params["max_depth"]):
@@ -36,6 +40,11 @@ class Regressor:
         return out
 
 
+    def using(self, feature: int) -> list[list[tuple]]:
+        """The trees that split on a feature."""
+        return [t for t in self.trees if any(left and j == feature for j, _, left, _ in t)]
+
+
 @dataclass(frozen=True)
 class Binned:
     """Features cut into bins at quantiles; fits on the same rows can share it."""
@@ -80,7 +89,7 @@ def _grown(binned: Binned, rows: np.ndarray, columns: np.ndarray, g: np.ndarray,
     Of two siblings only the smaller one's histogram is counted; the other's is what is left of the parent's.  Histograms are of all features: leaving
     some out costs more than counting them.
     """
-    lam, alpha, least, wide = p["reg_lambda"], p["reg_alpha"], p["min_child_weight"], binned.key.shape[1] * BINS
+    lam, alpha, least, wide = np.float32(p["reg_lambda"]), np.float32(p["reg_alpha"]), np.float32(p["min_child_weight"]), binned.key.shape[1] * BINS
     soft = (lambda v: np.sign(v) * np.maximum(np.abs(v) - alpha, 0.0)) if alpha else (lambda v: v)
     value = lambda total, weight: float(-p["learning_rate"] * soft(total) / (weight + lam))
     m, closed = binned.key.shape[1], binned.unusable(columns)
@@ -90,8 +99,8 @@ def _grown(binned: Binned, rows: np.ndarray, columns: np.ndarray, g: np.ndarray,
         if n > 1:
             slot += (node * wide)[:, None]
         slot = slot.ravel()
-        sums = np.bincount(slot, np.repeat(g if among is None else g[among], m), n * wide).reshape(n, m, BINS)
-        return sums, np.bincount(slot, minlength=n * wide).reshape(n, m, BINS)
+        sums = np.bincount(slot, np.repeat(g if among is None else g[among], m), n * wide).astype(np.float32)
+        return sums.reshape(n, m, BINS), np.bincount(slot, minlength=n * wide).astype(np.float32).reshape(n, m, BINS)
 
     nodes, level, at = [(0, 0, 0, value(g.sum(), len(g)))], [0], np.zeros(len(rows), np.int64)
     sums, counts = histograms(None, None, 1)
