@@ -105,9 +105,15 @@ def parsed_date(raw: Column, day_first: bool = False) -> Column:
 
 
 def rounded(value: Column, digits: int) -> Column:
-    """Round half up in binary arithmetic, alike in every engine that follows IEEE 754."""
+    """Round half up in binary arithmetic, alike in every engine that follows IEEE 754; infinities and NaN stay."""
     scale = float(10**digits)
-    return F.floor(value * scale + 0.5).cast("double") / scale
+    moved = value * scale + 0.5
+    return F.when(F.abs(moved) < 2.0**53, F.floor(moved).cast("double")).otherwise(moved) / scale
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as IEEE 754 has it: infinite by zero, or NaN if a is zero too, where Spark's own division raises."""
+    return F.when(b != 0, a / b).otherwise(a * F.pow(b, F.lit(-1.0)))
 
 
 def business_days_later(day: Column, n: int) -> Column:
