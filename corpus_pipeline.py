@@ -38,9 +38,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays, one without an id only where none has one.
 
-    Here the method is left for exactness: candidates are texts that share one of their least common shingles, which misses no pair; SimHash of 512
-    bits proposes links among them, and only an exact comparison links.  The byte-position index with count filtering is op5's.  Texts
-    without words are one group; of rows with one id in a group any one stays.
+    SimHash proposes links through the byte-position inverted index with count filtering, as in op5.  Pairs near the limit can share too few bytes
+    for any index of them, so texts that share one of their least common shingles are candidates too, which misses no pair; only an exact comparison
+    links.  Texts without words are one group; of rows with one id in a group any one stays.
     """
     return drop_near(docs, plain_table=True)
 

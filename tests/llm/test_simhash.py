@@ -169,6 +169,19 @@ def test_drop_near_is_exact(spark, tmp_path, monkeypatch, together):
     assert kept == set(root)
 
 
+def test_drop_near_goes_through_the_index(spark, tmp_path, monkeypatch):
+    """Close copies are found by the byte-position index alone."""
+    monkeypatch.setattr(simhash, "set_links", lambda nodes, *_: spark.createDataFrame([], "a long, b long"))
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(20):
+        words = [f"w{v}" for v in rng.integers(0, 10**6, 400)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    kept = {r.doc_id for r in simhash.drop_near(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert kept == set(range(0, 40, 2))
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + k, 1001 + k) for k in range(90)]

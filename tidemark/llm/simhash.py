@@ -294,6 +294,8 @@ SAMPLE, COMMON, OFTEN = 20_000, 50_000, 8
 #: Standard errors of room for proposed links (sets of five shingles lose ties, which takes two or three of them), and the
 #: heads (a fifth of the shingles) of the texts in a block that one task compares.
 ERRORS, TOGETHER = 6.5, 100_000
+#: Equal bytes of the first SimHash word that the index asks for, certain for pairs with up to 8 - BYTES different bits there.
+BYTES = 4
 
 
 def bits_at(similarity: float, bits: int, errors: float) -> int:
@@ -395,9 +397,10 @@ def exact_links(texts: DataFrame, nodes: DataFrame, proposed: DataFrame, shingle
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, checks: int = CHECKS, plain_table: bool = False) -> DataFrame:
     """The rows of docs but for near copies: of each component the row with the smallest id stays, with all its columns.
 
-    Sets of `shingle`-word shingles at the similarity or above share one of their heads, so every such pair meets in
-    the list of one.  SimHash of 8 * checks bytes over the shingles, with ERRORS standard errors of room, proposes links there; groups
-    of these are then compared shingle by shingle, and only pairs at the similarity link.
+    SimHash of 8 * checks bytes over the `shingle`-word shingles, with ERRORS standard errors of room, proposes links between pairs that the
+    byte-position inverted index of its first word counts BYTES or more equal bytes for.  No such count is certain at the similarity, so the
+    same is asked of pairs that share one of their heads, as all sets at the similarity or above do.  Groups of proposed links are then
+    compared shingle by shingle, and only pairs at the similarity link.
 
     Null, empty and wordless texts are all one group; shorter texts than a shingle have one of all their words; very long ones are read
     whole.  Null ids stay only in groups without any other id; of repeated rows one stays; an empty table gives an empty result; no column's name can
@@ -409,7 +412,9 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     alike = [F.first(c).alias(c) for c in (*(f"w{k}" for k in range(checks)), "heads")]
     nodes = sigs.groupBy("k0", "k1").agg(best, *alike).select("best.*", *[f"w{k}" for k in range(checks)], "heads")
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    proposed = components(set_links(nodes, checks, bits_at(similarity, 64 * checks, ERRORS)))
+    most = bits_at(similarity, 64 * checks, ERRORS)
+    indexed = near_links(nodes, 1, list(range(checks)), most, BYTES)
+    proposed = components(indexed.union(set_links(nodes, checks, most)).distinct())
     texts = keyed.select(*[F.col(c).alias(f"key{j}") for j, c in enumerate(key)], F.col(text_col).alias("text"))
     roots = components(exact_links(texts, nodes, proposed, shingle, similarity))
     kept = nodes.select("id", "key0", "key1", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(best)
